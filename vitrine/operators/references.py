@@ -5,8 +5,8 @@ any row (deleted rows included) the reference tries ``-02``, ``-03``, ... in
 variation id order. Because the product id is part of the text, candidates can
 only meet inside one product, and inside a product only inside one *family*
 (``functions.references.reference_family``), so the exact counter runs per
-(product, family) group with ``applyInPandas``; the groups hold only the rows
-that lack a reference plus the stored references of that same family.
+(product, family) group; the groups hold only the rows that lack a reference
+plus the stored references of that same family.
 """
 
 from __future__ import annotations
@@ -35,39 +35,57 @@ def reference_sequence(variations: DataFrame) -> DataFrame:
     new = with_reference_base(variations.filter(F.col("reference").isNull() & F.col("product_id").isNotNull()))
     seq = row_number_by_id(new.select("id", "product_id", "base_reference"),
                            ["product_id", "base_reference"], out_col="seq")
-    suffix = F.format_string("-%02d", F.col("seq"))
-    cut = F.col("base_reference").substr(F.lit(1), F.lit(refs.MAX_REFERENCE) - F.length(suffix))
-    return seq.withColumn("candidate_reference",
-                          F.when(F.col("seq") == 1, F.col("base_reference")).otherwise(F.concat(cut, suffix)))
+    return seq.withColumn("candidate_reference", _window_candidate(F.col("base_reference"), F.col("seq")))
 
 
-def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential counter of one (product, family) group, in id order."""
-    taken = set(pdf.loc[pdf["kind"] == 1, "ref"].tolist())
-    new = pdf[pdf["kind"] == 0].sort_values("id")
+def _candidate(base: str, n: int) -> str:
+    if n == 1:
+        return base
+    suffix = "-" + str(n).zfill(2)
+    return base[:refs.MAX_REFERENCE - len(suffix)] + suffix
+
+
+def _assign_partition(batches):
+    """Sequential counter over one partition sorted by (pid, family, kind desc, id).
+
+    Stored references (kind 1) of a group come before its new rows, so the set
+    of used references is complete when the first new row is reached. State is
+    kept across Arrow batches, so a group may span several batches.
+    """
+    key = None
+    taken: set[str] = set()
     next_try: dict[str, int] = {}
-    out_ids, out_refs = [], []
-    for vid, base in zip(new["id"].tolist(), new["ref"].tolist()):
-        n = next_try.get(base, 1)
-        while True:
-            if n == 1:
-                candidate = base
-            else:
-                suffix = "-" + str(n).zfill(2)
-                candidate = base[:refs.MAX_REFERENCE - len(suffix)] + suffix
-            if candidate not in taken:
-                break
-            n += 1
-        # every candidate before n is taken and stays taken
-        next_try[base] = n
-        taken.add(candidate)
-        out_ids.append(vid)
-        out_refs.append(candidate)
-    return pd.DataFrame({"id": pd.Series(out_ids, dtype="int64"), "reference": pd.Series(out_refs, dtype="object")})
+    for pdf in batches:
+        out_ids, out_refs = [], []
+        for vid, pid, fam, kind, ref in zip(pdf["id"].tolist(), pdf["pid"].tolist(), pdf["family"].tolist(),
+                                            pdf["kind"].tolist(), pdf["ref"].tolist()):
+            if (pid, fam) != key:
+                key, taken, next_try = (pid, fam), set(), {}
+            if kind == 1:
+                taken.add(ref)
+                continue
+            n = next_try.get(ref, 1)
+            candidate = _candidate(ref, n)
+            while candidate in taken:
+                n += 1
+                candidate = _candidate(ref, n)
+            # every candidate before n is taken and stays taken
+            next_try[ref] = n
+            taken.add(candidate)
+            out_ids.append(vid)
+            out_refs.append(candidate)
+        yield pd.DataFrame({"id": pd.Series(out_ids, dtype="int64"),
+                            "reference": pd.Series(out_refs, dtype="object")})
 
 
 def assign_references(variations: DataFrame) -> DataFrame:
-    """Reference for every variation that has none: ``id, product_id, reference``."""
+    """Reference for every variation that has none: ``id, product_id, reference``.
+
+    Groups (product, family) with one base and no stored reference are exact
+    with the window form (the k-th row takes the k-th candidate) and never
+    leave the JVM. Other groups run the sequential counter in one sorted pass
+    per partition (``mapInPandas``), hash-partitioned on (product, family).
+    """
     new = (with_reference_base(variations.filter(F.col("reference").isNull() & F.col("product_id").isNotNull()))
            .select("id", F.col("product_id").alias("pid"), F.col("base_reference").alias("ref"), F.lit(0).alias("kind")))
     new = new.withColumn("family", refs.reference_family(F.col("pid"), F.col("ref")))
@@ -77,14 +95,38 @@ def assign_references(variations: DataFrame) -> DataFrame:
               .filter(F.col("pid").isNotNull())
               .select("id", "pid", "ref", F.lit(1).alias("kind")))
     stored = stored.withColumn("family", refs.reference_family(F.col("pid"), F.col("ref")))
-    # only stored references of a family that has new rows can matter
-    stored = stored.join(new.select("pid", "family").distinct(), ["pid", "family"], "left_semi")
-    both = new.unionByName(stored)
-    assigned = both.groupBy("pid", "family").applyInPandas(_assign_group, "id long, reference string")
+    groups = new.groupBy("pid", "family").agg(F.countDistinct("ref").alias("n_bases"))
+    stored_count = stored.groupBy("pid", "family").agg(F.count(F.lit(1)).alias("n_stored"))
+    groups = (groups.join(stored_count, ["pid", "family"], "left")
+              .withColumn("simple", (F.col("n_bases") == 1) & F.col("n_stored").isNull())
+              .select("pid", "family", "simple"))
+    tagged = new.join(groups, ["pid", "family"])
+
+    simple = tagged.filter(F.col("simple")).select("id", "pid", "ref")
+    seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")
+    simple_out = seq.select("id", _window_candidate(F.col("ref"), F.col("seq")).alias("reference"))
+
+    complex_new = tagged.filter(~F.col("simple")).select("id", "pid", "ref", "kind", "family")
+    complex_stored = stored.join(groups.filter(~F.col("simple")), ["pid", "family"], "left_semi") \
+        .select("id", "pid", "ref", "kind", "family")
+    # a fixed partition count keeps AQE from folding the Python stage into one task
+    parts = int(variations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = (complex_new.unionByName(complex_stored)
+            .repartition(parts, "pid", "family")
+            .sortWithinPartitions("pid", "family", F.col("kind").desc(), "id"))
+    complex_out = both.mapInPandas(_assign_partition, "id long, reference string")
+
+    assigned = simple_out.unionByName(complex_out)
     return (assigned.join(variations.select("id", "product_id"), "id")
             .select("id", "product_id", "reference"))
 
 
+def _window_candidate(base, seq):
+    suffix = F.format_string("-%02d", seq)
+    cut = base.substr(F.lit(1), F.lit(refs.MAX_REFERENCE) - F.length(suffix))
+    return F.when(seq == 1, base).otherwise(F.concat(cut, suffix))
+
+
 def apply_references(variations: DataFrame) -> DataFrame:
     """The variation table with generated references filled in (existing ones kept)."""
     assigned = assign_references(variations).select("id", F.col("reference").alias("__new_ref"))
