@@ -52,11 +52,10 @@ def normalise_pairs(names: Column, values: Column) -> Column:
         php_trim(n).alias("name"),
         php_trim(F.get(values, i)).alias("value")))
     kept = F.filter(zipped, lambda p: (p["name"] != "") & (p["value"] != ""))
-    indexed = F.transform(kept, lambda p, i: F.struct(p["name"].alias("name"), p["value"].alias("value"),
-                                                      i.alias("pos")))
-    first = F.filter(indexed, lambda p: ~F.exists(
-        F.slice(indexed, 1, p["pos"]),
-        lambda q: (q["pos"] < p["pos"]) & (F.lower(q["name"]) == F.lower(p["name"]))))
+    empty = F.array().cast("array<struct<name:string,value:string>>")
+    first = F.aggregate(kept, empty, lambda acc, p: F.when(
+        F.exists(acc, lambda q: F.lower(q["name"]) == F.lower(p["name"])), acc)
+        .otherwise(F.concat(acc, F.array(p))))
     return F.map_from_entries(F.transform(first, lambda p: F.struct(p["name"].alias("key"),
                                                                     p["value"].alias("value"))))
 

@@ -131,10 +131,11 @@ def normalise_variation_changes(changes: DataFrame, products: DataFrame) -> Data
     parsed = attrs.parse_attributes(F.col("attributs"))
     clean = attrs.normalise_pairs(F.map_keys(parsed), F.map_values(parsed))
     p = products.select(F.col("id").alias("__pid"), F.col("libelle").alias("__plabel"))
-    return (changes.join(p, changes.product_id == p.__pid, "left")
+    staged = changes.join(p, changes.product_id == p.__pid, "left").withColumn("__attrs", clean)
+    return (staged
             .select("id", "product_id",
-                    attrs.default_label(F.col("libelle"), clean, F.col("__plabel")).alias("libelle"),
-                    F.to_json(clean).alias("attributs"),
+                    attrs.default_label(F.col("libelle"), F.col("__attrs"), F.col("__plabel")).alias("libelle"),
+                    F.to_json(F.col("__attrs")).alias("attributs"),
                     prices.normalise_price_text(F.col("prix_supplement")).alias("prix_supplement"),
                     php_int(F.col("stock")).alias("stock")))
 

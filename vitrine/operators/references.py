@@ -11,7 +11,10 @@ plus the stored references of that same family.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ from vitrine.functions import references as refs
 from vitrine.operators.windows import row_number_by_id
 
 _PID_IN_REF = r"^PRD-([0-9]+)-"
+_MAX_REFERENCE = refs.MAX_REFERENCE
+
+# The Python task body is shipped by value, so executors need no copy of this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def with_reference_base(variations: DataFrame) -> DataFrame:
@@ -42,7 +50,7 @@ def _candidate(base: str, n: int) -> str:
     if n == 1:
         return base
     suffix = "-" + str(n).zfill(2)
-    return base[:refs.MAX_REFERENCE - len(suffix)] + suffix
+    return base[:_MAX_REFERENCE - len(suffix)] + suffix
 
 
 def _assign_partition(batches):
@@ -109,11 +117,17 @@ def assign_references(variations: DataFrame) -> DataFrame:
     complex_new = tagged.filter(~F.col("simple")).select("id", "pid", "ref", "kind", "family")
     complex_stored = stored.join(groups.filter(~F.col("simple")), ["pid", "family"], "left_semi") \
         .select("id", "pid", "ref", "kind", "family")
-    # a fixed partition count keeps AQE from folding the Python stage into one task
+    # Shuffle on an explicit hash of (pid, family): both union inputs are already
+    # hash-partitioned on (pid, family) by their joins, and a repartition on the
+    # same columns would be dropped as redundant although the two inputs'
+    # partitions are not aligned. A fixed partition count also keeps AQE from
+    # folding the Python stage into one task.
     parts = int(variations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = (complex_new.unionByName(complex_stored)
-            .repartition(parts, "pid", "family")
-            .sortWithinPartitions("pid", "family", F.col("kind").desc(), "id"))
+            .withColumn("__group", F.xxhash64("pid", "family"))
+            .repartition(parts, "__group")
+            .sortWithinPartitions("__group", "pid", "family", F.col("kind").desc(), "id")
+            .drop("__group"))
     complex_out = both.mapInPandas(_assign_partition, "id long, reference string")
 
     assigned = simple_out.unionByName(complex_out)
