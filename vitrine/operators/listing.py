@@ -80,19 +80,34 @@ def with_summary(rows: DataFrame, summ: DataFrame) -> DataFrame:
             .drop("stock_total"))
 
 
+def page_with_summary(page: DataFrame, variations: DataFrame) -> DataFrame:
+    """Attach stock and supplement flag to a bounded page of products.
+
+    The page (at most ``length`` rows) is the build side of the join with the
+    active variations, so the page is computed once and the variations are
+    only streamed; the aggregate is partial per task before its shuffle, so a
+    product with a huge number of variations is pre-summed where it is read.
+    """
+    v = filters.active_strict(variations).select(F.col("product_id").alias("__pid"), "stock", "prix_supplement")
+    cols = page.columns
+    joined = page.join(v, page.id == v.__pid, "left")
+    return (joined.groupBy(*cols)
+            .agg(F.coalesce(F.sum("stock"), F.lit(0)).cast("bigint").alias("stock"),
+                 F.coalesce(F.max("prix_supplement").cast("double") > 0, F.lit(False)).alias("has_price_supplement")))
+
+
 def product_page(products: DataFrame, users: DataFrame, variations: DataFrame,
                  start: int = 0, length: int = DEFAULT_LENGTH, search: str | None = None,
                  supplier_id: int | None = None, mode: str = "like") -> DataFrame:
     """The product grid page: newest first, offset/limit, with stock summary.
 
-    The summary is computed only for the ids on the page (semi join), as the
-    reference does with its IN list.
+    The summary covers only the products on the page, as the reference does
+    with its IN list.
     """
     start, length = clamp_page(start, length)
     listing = product_listing(products, users, search, supplier_id, mode)
     page = product_rows(listing).orderBy(F.col("id").desc()).offset(start).limit(length)
-    summ = summary.stock_summary(variations, page.select("id"))
-    return with_summary(page, summ)
+    return page_with_summary(page, variations)
 
 
 def product_counts(products: DataFrame, users: DataFrame, search: str | None = None,
@@ -111,9 +126,8 @@ def catalogue_mart(products: DataFrame, users: DataFrame, variations: DataFrame)
     The summary is aggregated once for all products (partial + final hash
     aggregate) and joined on the product id.
     """
-    rows = product_rows(product_listing(products, users)) \
-        .join(products.select(F.col("id").alias("_pid"), "fournisseur_id"), F.col("id") == F.col("_pid")) \
-        .drop("_pid")
+    rows = product_listing(products, users).select("id", "libelle", "description", "image", "prix",
+                                                    supplier_label().alias("fournisseur"), "fournisseur_id")
     mart = with_summary(rows, summary.stock_summary(variations))
     return mart.withColumn("prix_text", prices.listing_price_text(F.col("prix"), F.col("has_price_supplement")))
 
