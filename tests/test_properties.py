@@ -53,3 +53,13 @@ def test_variation_changes_keep_references_unique(spark):
     stored_dup = c.product_variations.filter(F.col("reference").isNotNull()).groupBy(F.upper("reference")).count() \
         .filter("count > 1")
     assert dup.count() == stored_dup.count()
+
+
+def test_variation_changes_touch_only_changed_rows(spark):
+    c = Catalogue(spark, SF_SMALL)
+    v = c.product_variations
+    snap = changes.apply_variation_changes(v, c.products, c.variation_changes).snapshot
+    changed = c.variation_changes.select("id")
+    before = v.join(changed, "id", "left_anti")
+    after = snap.join(changed, "id", "left_anti").select(*v.columns)
+    assert sorted(before.collect()) == sorted(after.collect())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import prices
 from vitrine.functions.text import php_trim
 from vitrine.operators import filters, quality
-from vitrine.operators.references import apply_references
+from vitrine.operators.references import apply_references, assign_new_references
 from vitrine.sources import schemas
 
 # The reference's answers for a missing row and for refused access.
@@ -105,8 +105,11 @@ def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variatio
     """Default variations of accepted ``standard`` intake rows, with references assigned
     against every stored reference."""
     _, defaults, _ = intake(intake_rows, users)
-    merged = apply_references(variations.unionByName(defaults))
-    return merged.join(defaults.select("id"), "id", "left_semi")
+    assigned = assign_new_references(defaults, variations.unionByName(defaults)) \
+        .select("id", F.col("reference").alias("__ref"))
+    return (defaults.join(assigned, "id", "left")
+            .withColumn("reference", F.coalesce(F.col("reference"), F.col("__ref"))).drop("__ref")
+            .select(*defaults.columns))
 
 
 def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFrame) -> ChangeResult:
@@ -196,7 +199,8 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
         "stock", used.alias("stock_utilise"), F.col("__ref").alias("reference"),
         F.lit(False).alias("is_deleted")), schemas.VARIATIONS)
     kept = variations.join(rows.select("id"), "id", "left_anti")
-    snapshot = apply_references(kept.unionByName(rows))
+    # only the added or edited rows get a generated reference (checked against every stored one)
+    snapshot = apply_references(kept.unionByName(rows), rows.select("id"))
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason")
     return ChangeResult(snapshot, rejected)
 

@@ -107,7 +107,8 @@ def product_page(products: DataFrame, users: DataFrame, variations: DataFrame,
     start, length = clamp_page(start, length)
     listing = product_listing(products, users, search, supplier_id, mode)
     page = product_rows(listing).orderBy(F.col("id").desc()).offset(start).limit(length)
-    return page_with_summary(page, variations)
+    # the aggregate does not keep row order; re-sort the (at most ``length``) page rows
+    return page_with_summary(page, variations).orderBy(F.col("id").desc())
 
 
 def product_counts(products: DataFrame, users: DataFrame, search: str | None = None,

@@ -87,17 +87,23 @@ def _assign_partition(batches):
 
 
 def assign_references(variations: DataFrame) -> DataFrame:
-    """Reference for every variation that has none: ``id, product_id, reference``.
+    """Reference for every variation that has none: ``id, product_id, reference``."""
+    return assign_new_references(variations.filter(F.col("reference").isNull()), variations)
+
+
+def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
+    """References for ``new_rows`` (rows without one), checked against every stored
+    reference of ``table`` (deleted rows included): ``id, product_id, reference``.
 
     Groups (product, family) with one base and no stored reference are exact
     with the window form (the k-th row takes the k-th candidate) and never
     leave the JVM. Other groups run the sequential counter in one sorted pass
-    per partition (``mapInPandas``), hash-partitioned on (product, family).
+    per partition (``mapInPandas``).
     """
-    new = (with_reference_base(variations.filter(F.col("reference").isNull() & F.col("product_id").isNotNull()))
+    new = (with_reference_base(new_rows.filter(F.col("reference").isNull() & F.col("product_id").isNotNull()))
            .select("id", F.col("product_id").alias("pid"), F.col("base_reference").alias("ref"), F.lit(0).alias("kind")))
     new = new.withColumn("family", refs.reference_family(F.col("pid"), F.col("ref")))
-    stored = (variations.filter(F.col("reference").isNotNull())
+    stored = (table.filter(F.col("reference").isNotNull())
               .select("id", refs.comparable_reference(F.col("reference")).alias("ref"))
               .withColumn("pid", F.regexp_extract("ref", _PID_IN_REF, 1).try_cast("bigint"))
               .filter(F.col("pid").isNotNull())
@@ -122,7 +128,7 @@ def assign_references(variations: DataFrame) -> DataFrame:
     # same columns would be dropped as redundant although the two inputs'
     # partitions are not aligned. A fixed partition count also keeps AQE from
     # folding the Python stage into one task.
-    parts = int(variations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = (complex_new.unionByName(complex_stored)
             .withColumn("__group", F.xxhash64("pid", "family"))
             .repartition(parts, "__group")
@@ -131,7 +137,7 @@ def assign_references(variations: DataFrame) -> DataFrame:
     complex_out = both.mapInPandas(_assign_partition, "id long, reference string")
 
     assigned = simple_out.unionByName(complex_out)
-    return (assigned.join(variations.select("id", "product_id"), "id")
+    return (assigned.join(new_rows.select("id", "product_id"), "id")
             .select("id", "product_id", "reference"))
 
 
@@ -141,9 +147,17 @@ def _window_candidate(base, seq):
     return F.when(seq == 1, base).otherwise(F.concat(cut, suffix))
 
 
-def apply_references(variations: DataFrame) -> DataFrame:
-    """The variation table with generated references filled in (existing ones kept)."""
-    assigned = assign_references(variations).select("id", F.col("reference").alias("__new_ref"))
+def apply_references(variations: DataFrame, new_rows: DataFrame | None = None) -> DataFrame:
+    """The variation table with generated references filled in (existing ones kept).
+
+    With ``new_rows`` (a DataFrame with ``id``), only those rows get a reference;
+    other rows without one are left as they are.
+    """
+    if new_rows is None:
+        assigned = assign_references(variations)
+    else:
+        assigned = assign_new_references(variations.join(new_rows.select("id"), "id", "left_semi"), variations)
+    assigned = assigned.select("id", F.col("reference").alias("__new_ref"))
     return (variations.join(assigned, "id", "left")
             .withColumn("reference", F.coalesce(F.col("reference"), F.col("__new_ref")))
             .drop("__new_ref"))
