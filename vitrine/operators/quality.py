@@ -211,13 +211,20 @@ def validate_intake(intake: DataFrame, users: DataFrame) -> DataFrame:
 
 def email_usage(candidates: DataFrame, users: DataFrame, cand_id: str = "id") -> DataFrame:
     """Candidates with ``email_taken``: another user (any id but the candidate's own,
-    deleted users included) has the same e-mail under the table collation."""
-    u = users.select(F.col("id").alias("__uid"), fold_key(F.col("email")).alias("__ukey"))
+    deleted users included) has the same e-mail under the table collation.
+
+    Users are first reduced to one row per e-mail key (row count and smallest
+    id, a partial/final aggregate), so a very common address never makes the
+    join emit or buffer all its rows: with unique ids, the key is taken for a
+    candidate when it has more than one user, or one user whose id differs.
+    """
+    per_key = (users.groupBy(fold_key(F.col("email")).alias("__ukey"))
+               .agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__uid")))
     c = candidates.withColumn("__ckey", fold_key(F.col("email")))
-    clash = (F.col("__ckey") == F.col("__ukey")) & (F.col(cand_id).isNull() | (F.col("__uid") != F.col(cand_id)))
-    taken = c.join(u, clash, "left_semi").withColumn("email_taken", F.lit(True))
-    free = c.join(u, clash, "left_anti").withColumn("email_taken", F.lit(False))
-    return taken.unionByName(free).drop("__ckey")
+    j = c.join(per_key, c.__ckey == per_key.__ukey, "left")
+    taken = (F.col("__n").isNotNull()
+             & (F.col(cand_id).isNull() | (F.col("__n") > 1) | (F.col("__uid") != F.col(cand_id))))
+    return j.withColumn("email_taken", taken).drop("__ckey", "__ukey", "__n", "__uid")
 
 
 def validate_user_changes(changes: DataFrame, users: DataFrame) -> DataFrame:

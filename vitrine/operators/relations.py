@@ -22,14 +22,23 @@ VARIATION_COLUMNS = ["libelle", "attributs", "prix_supplement", "stock", "stock_
 def products_with_variations(products: DataFrame, variations: DataFrame) -> DataFrame:
     """JOIN-3: every product with its variations in id order (flat; ``position`` 1-based).
 
-    A product without variation appears once with NULL variation columns.
+    A product without variation appears once with NULL variation columns. The
+    outer join is written as an inner join (variations on the streamed side,
+    so AQE can split a product with a huge number of variations) plus the
+    products that have none (anti join), instead of a left outer join whose
+    skewed side could not be split.
     """
     numbered = row_number_by_id(variations, ["product_id"], out_col="position")
     v = numbered.select(F.col("product_id"), F.col("id").alias("variation_id"), "position",
                         *[F.col(c).alias("v_" + c) for c in VARIATION_COLUMNS])
     p = products.select(F.col("id").alias("product_id"), F.col("libelle").alias("product_libelle"),
                         F.col("is_deleted").alias("product_is_deleted"))
-    return p.join(v, "product_id", "left")
+    matched = v.join(p, "product_id", "inner")
+    lonely = p.join(variations.select("product_id").distinct(), "product_id", "left_anti")
+    for field in v.schema.fields:
+        if field.name != "product_id":
+            lonely = lonely.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return matched.unionByName(lonely)
 
 
 def nested_stock_total(nested: DataFrame) -> DataFrame:
