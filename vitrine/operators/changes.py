@@ -31,6 +31,7 @@ EDIT_DENIED = "Vous ne pouvez pas modifier ce produit."
 class ChangeResult:
     snapshot: DataFrame
     rejected: DataFrame
+    accepted: DataFrame | None = None
 
 
 def _conform(df: DataFrame, schema) -> DataFrame:
@@ -65,16 +66,9 @@ def apply_variation_deletes(variations: DataFrame, products: DataFrame, ids: Dat
         (F.col("__vid").isNull() | F.coalesce(F.col("__vdel"), F.lit(False)), VARIATION_NOT_FOUND),
         (F.col("__pid").isNull() | F.coalesce(F.col("__pdel"), F.lit(False)), PRODUCT_NOT_FOUND))
     checked = checked.select(F.col("req_id").alias("id"), F.col("__vpid").alias("product_id"), reason.alias("reason"))
-    accepted = checked.filter(F.col("reason").isNull()).select("id")
+    accepted = checked.filter(F.col("reason").isNull()).select("id", "product_id")
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason")
-    return ChangeResult(soft_delete(variations, accepted), rejected)
-
-
-def deleted_variation_products(variations: DataFrame, products: DataFrame, ids: DataFrame) -> DataFrame:
-    """Changed rows of CHG-2 (``id, product_id``), input of the stock refresh (AGG-9)."""
-    res = apply_variation_deletes(variations, products, ids)
-    acc = ids.select("id").distinct().join(res.rejected.select("id"), "id", "left_anti")
-    return acc.join(variations.select("id", "product_id"), "id")
+    return ChangeResult(soft_delete(variations, accepted.select("id")), rejected, accepted)
 
 
 def intake(intake_rows: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

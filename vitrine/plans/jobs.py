@@ -526,8 +526,7 @@ GROUP BY t.product_id""", [P, V, "variation_deletes"])
 def refreshed_stock(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     res = changes.apply_variation_deletes(c.product_variations, c.products, c.variation_deletes)
-    changed = changes.deleted_variation_products(c.product_variations, c.products, c.variation_deletes)
-    return summary.refreshed_stock(res.snapshot, changed)
+    return summary.refreshed_stock(res.snapshot, res.accepted)
 
 
 _INTAKE_OK = f"SELECT * FROM ({_INTAKE_NORM}) WHERE ({S.report(_INTAKE_RULES).split(' AS n_violations')[0]}) = 0"
