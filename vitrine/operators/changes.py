@@ -158,13 +158,13 @@ def php_text(name: str) -> Column:
     return php_trim(F.col(name)).alias(name)
 
 
-def apply_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> ChangeResult:
-    """CHG-6: variation inserts (unknown id) and updates (known id).
+def check_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> DataFrame:
+    """CHG-6 checks: normalised change rows with ``reason`` (NULL when accepted).
 
     An update needs an active variation and an active parent; an insert needs
     an active parent (lenient). Fields are normalised as the form handler does;
-    an update keeps the variation's product, used stock and stored reference;
-    a missing reference is generated with the exact counter.
+    an update keeps the variation's product, used stock (``__used``) and stored
+    reference (``__ref``).
     """
     cur = variations.select(F.col("id").alias("__vid"), F.col("product_id").alias("__vpid"),
                             F.col("is_deleted").alias("__vdel"), F.col("stock_utilise").alias("__used"),
@@ -185,18 +185,29 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
               .when(parent_missing, F.lit(PRODUCT_NOT_FOUND))
               .when(F.col("stock").isNull(), F.lit(quality.MSG["stock_not_integer"]))
               .when(F.size(entity) > 0, F.get(entity, 0)["message"]))
-    checked = norm.withColumn("reason", reason)
+    return norm.withColumn("__used", used).withColumn("reason", reason)
+
+
+def apply_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> ChangeResult:
+    """CHG-6: variation inserts (unknown id) and updates (known id).
+
+    Accepted rows replace or extend the table. A changed row without a stored
+    reference gets one from the exact counter, checked against every stored
+    reference; rows outside the change set are left as they are.
+    """
+    checked = check_variation_changes(variations, products, changes)
     ok = checked.filter(F.col("reason").isNull())
     rows = _conform(ok.select(
         "id", "product_id", "libelle", "attributs",
         prices.parse_price(F.col("prix_supplement")).alias("prix_supplement"),
-        "stock", used.alias("stock_utilise"), F.col("__ref").alias("reference"),
+        "stock", F.col("__used").alias("stock_utilise"), F.col("__ref").alias("reference"),
         F.lit(False).alias("is_deleted")), schemas.VARIATIONS)
     kept = variations.join(rows.select("id"), "id", "left_anti")
-    # only the added or edited rows get a generated reference (checked against every stored one)
-    snapshot = apply_references(kept.unionByName(rows), rows.select("id"))
+    assigned = assign_new_references(rows, kept.unionByName(rows)).select("id", F.col("reference").alias("__new"))
+    rows = (rows.join(assigned, "id", "left")
+            .withColumn("reference", F.coalesce(F.col("reference"), F.col("__new"))).drop("__new"))
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason")
-    return ChangeResult(snapshot, rejected)
+    return ChangeResult(kept.unionByName(rows), rejected)
 
 
 def apply_user_changes(users: DataFrame, changes: DataFrame) -> ChangeResult:

@@ -64,7 +64,7 @@ def _assign_partition(batches):
     taken: set[str] = set()
     next_try: dict[str, int] = {}
     for pdf in batches:
-        out_ids, out_refs = [], []
+        out_ids, out_pids, out_refs = [], [], []
         for vid, pid, fam, kind, ref in zip(pdf["id"].tolist(), pdf["pid"].tolist(), pdf["family"].tolist(),
                                             pdf["kind"].tolist(), pdf["ref"].tolist()):
             if (pid, fam) != key:
@@ -81,64 +81,80 @@ def _assign_partition(batches):
             next_try[ref] = n
             taken.add(candidate)
             out_ids.append(vid)
+            out_pids.append(pid)
             out_refs.append(candidate)
         yield pd.DataFrame({"id": pd.Series(out_ids, dtype="int64"),
+                            "product_id": pd.Series(out_pids, dtype="int64"),
                             "reference": pd.Series(out_refs, dtype="object")})
 
 
+def _keyed(rows: DataFrame, new: bool | None) -> DataFrame:
+    """``id, pid, ref, kind, family`` of rows: kind 0 = needs a reference (``ref``
+    is its base), kind 1 = stored reference (``ref`` in comparable form, ``pid``
+    read from its prefix). ``new=None`` keeps both kinds from one pass."""
+    is_new = F.col("reference").isNull() & F.col("product_id").isNotNull()
+    stored_ref = refs.comparable_reference(F.col("reference"))
+    base = refs.reference_base(F.col("product_id"), F.col("libelle"))
+    if new is True:
+        rows, is_new = rows.filter(is_new), F.lit(True)
+    elif new is False:
+        rows, is_new = rows.filter(F.col("reference").isNotNull()), F.lit(False)
+    else:
+        rows = rows.filter(is_new | F.col("reference").isNotNull())
+    keyed = rows.select(
+        "id",
+        F.when(is_new, F.col("product_id"))
+         .otherwise(F.regexp_extract(stored_ref, _PID_IN_REF, 1).try_cast("bigint")).alias("pid"),
+        F.when(is_new, base).otherwise(stored_ref).alias("ref"),
+        F.when(is_new, F.lit(0)).otherwise(F.lit(1)).alias("kind"))
+    return (keyed.filter(F.col("pid").isNotNull())
+            .withColumn("family", refs.reference_family(F.col("pid"), F.col("ref"))))
+
+
 def assign_references(variations: DataFrame) -> DataFrame:
     """Reference for every variation that has none: ``id, product_id, reference``."""
-    return assign_new_references(variations.filter(F.col("reference").isNull()), variations)
+    return _assign(_keyed(variations, None))
 
 
 def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
     """References for ``new_rows`` (rows without one), checked against every stored
-    reference of ``table`` (deleted rows included): ``id, product_id, reference``.
+    reference of ``table`` (deleted rows included): ``id, product_id, reference``."""
+    return _assign(_keyed(new_rows, True).unionByName(_keyed(table, False)))
 
-    Groups (product, family) with one base and no stored reference are exact
-    with the window form (the k-th row takes the k-th candidate) and never
-    leave the JVM. Other groups run the sequential counter in one sorted pass
-    per partition (``mapInPandas``).
+
+def _assign(keyed: DataFrame) -> DataFrame:
+    """The counter over keyed rows (see ``_keyed``).
+
+    Per (product, family): the number of distinct bases among new rows and of
+    stored references (one partial/final aggregate). Groups with one base and
+    no stored reference are exact with the window form (the k-th row takes the
+    k-th candidate) and never leave the JVM. Other groups run the sequential
+    counter in one sorted pass per partition (``mapInPandas``). Families with
+    no new row are dropped by the inner join.
     """
-    new = (with_reference_base(new_rows.filter(F.col("reference").isNull() & F.col("product_id").isNotNull()))
-           .select("id", F.col("product_id").alias("pid"), F.col("base_reference").alias("ref"), F.lit(0).alias("kind")))
-    new = new.withColumn("family", refs.reference_family(F.col("pid"), F.col("ref")))
-    stored = (table.filter(F.col("reference").isNotNull())
-              .select("id", refs.comparable_reference(F.col("reference")).alias("ref"))
-              .withColumn("pid", F.regexp_extract("ref", _PID_IN_REF, 1).try_cast("bigint"))
-              .filter(F.col("pid").isNotNull())
-              .select("id", "pid", "ref", F.lit(1).alias("kind")))
-    stored = stored.withColumn("family", refs.reference_family(F.col("pid"), F.col("ref")))
-    groups = new.groupBy("pid", "family").agg(F.countDistinct("ref").alias("n_bases"))
-    stored_count = stored.groupBy("pid", "family").agg(F.count(F.lit(1)).alias("n_stored"))
-    groups = (groups.join(stored_count, ["pid", "family"], "left")
-              .withColumn("simple", (F.col("n_bases") == 1) & F.col("n_stored").isNull())
-              .select("pid", "family", "simple"))
-    tagged = new.join(groups, ["pid", "family"])
+    stats = (keyed.groupBy("pid", "family")
+             .agg(F.count_distinct(F.when(F.col("kind") == 0, F.col("ref"))).alias("n_bases"),
+                  F.sum("kind").alias("n_stored"))
+             .filter(F.col("n_bases") > 0)
+             .select("pid", "family", ((F.col("n_bases") == 1) & (F.col("n_stored") == 0)).alias("simple")))
+    tagged = keyed.join(stats, ["pid", "family"])
 
     simple = tagged.filter(F.col("simple")).select("id", "pid", "ref")
     seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")
-    simple_out = seq.select("id", _window_candidate(F.col("ref"), F.col("seq")).alias("reference"))
-
-    complex_new = tagged.filter(~F.col("simple")).select("id", "pid", "ref", "kind", "family")
-    complex_stored = stored.join(groups.filter(~F.col("simple")), ["pid", "family"], "left_semi") \
-        .select("id", "pid", "ref", "kind", "family")
-    # Shuffle on an explicit hash of (pid, family): both union inputs are already
-    # hash-partitioned on (pid, family) by their joins, and a repartition on the
-    # same columns would be dropped as redundant although the two inputs'
-    # partitions are not aligned. A fixed partition count also keeps AQE from
-    # folding the Python stage into one task.
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = (complex_new.unionByName(complex_stored)
+    simple_out = seq.select("id", F.col("pid").alias("product_id"),
+                            _window_candidate(F.col("ref"), F.col("seq")).alias("reference"))
+
+    # Shuffle on an explicit hash of (pid, family) with a fixed partition count:
+    # a repartition on columns the input is already partitioned by would be
+    # dropped, and AQE would fold the Python stage into one task.
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = (tagged.filter(~F.col("simple")).select("id", "pid", "ref", "kind", "family")
             .withColumn("__group", F.xxhash64("pid", "family"))
             .repartition(parts, "__group")
             .sortWithinPartitions("__group", "pid", "family", F.col("kind").desc(), "id")
             .drop("__group"))
-    complex_out = both.mapInPandas(_assign_partition, "id long, reference string")
-
-    assigned = simple_out.unionByName(complex_out)
-    return (assigned.join(new_rows.select("id", "product_id"), "id")
-            .select("id", "product_id", "reference"))
+    complex_out = both.mapInPandas(_assign_partition, "id long, product_id long, reference string")
+    return simple_out.unionByName(complex_out)
 
 
 def _window_candidate(base, seq):

@@ -615,7 +615,8 @@ LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)"""
           [P, V, "variation_changes"])
 def rejected_variation_changes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.apply_variation_changes(c.product_variations, c.products, c.variation_changes).rejected
+    checked = changes.check_variation_changes(c.product_variations, c.products, c.variation_changes)
+    return checked.filter(F.col("reason").isNotNull()).select("id", "reason")
 
 
 _UC_OK = f"SELECT n.* FROM ({_USER_NORM}) n WHERE ({S.report(_USER_RULES).split(' AS n_violations')[0]}) = 0"
