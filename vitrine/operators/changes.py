@@ -18,6 +18,7 @@ from vitrine.functions import prices
 from vitrine.functions.text import php_trim
 from vitrine.operators import filters, quality
 from vitrine.operators.references import apply_references, assign_new_references
+from vitrine.session import materialise
 from vitrine.sources import schemas
 
 # The reference's answers for a missing row and for refused access.
@@ -99,6 +100,7 @@ def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variatio
     """Default variations of accepted ``standard`` intake rows, with references assigned
     against every stored reference."""
     _, defaults, _ = intake(intake_rows, users)
+    defaults = materialise(defaults)
     assigned = assign_new_references(defaults, variations.unionByName(defaults)) \
         .select("id", F.col("reference").alias("__ref"))
     return (defaults.join(assigned, "id", "left")
@@ -195,7 +197,8 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
     reference gets one from the exact counter, checked against every stored
     reference; rows outside the change set are left as they are.
     """
-    checked = check_variation_changes(variations, products, changes)
+    # the checked change set (its size, not the table's) feeds several joins below
+    checked = materialise(check_variation_changes(variations, products, changes))
     ok = checked.filter(F.col("reason").isNull())
     rows = _conform(ok.select(
         "id", "product_id", "libelle", "attributs",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import references as refs
 from vitrine.operators.windows import row_number_by_id
+from vitrine.session import materialise
 
 _PID_IN_REF = r"^PRD-([0-9]+)-"
 _MAX_REFERENCE = refs.MAX_REFERENCE
@@ -137,7 +138,9 @@ def _assign(keyed: DataFrame) -> DataFrame:
                   F.sum("kind").alias("n_stored"))
              .filter(F.col("n_bases") > 0)
              .select("pid", "family", ((F.col("n_bases") == 1) & (F.col("n_stored") == 0)).alias("simple")))
-    tagged = keyed.join(stats, ["pid", "family"])
+    # both paths below read the tagged rows; write them once instead of scanning
+    # and joining the table again for each reader
+    tagged = materialise(keyed.join(stats, ["pid", "family"]))
 
     simple = tagged.filter(F.col("simple")).select("id", "pid", "ref")
     seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (the only
 # place a side is broadcast is below ``autoBroadcastJoinThreshold``, a size Spark
@@ -23,6 +23,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -48,9 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting points at shared storage and is left alone. Only
     when it is unset (local tests) a scratch directory is created for it.
     """
+    current = spark.sparkContext.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if current and not path:
+        return current
     if not path:
         path = tempfile.mkdtemp(prefix="vitrine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not current:
+        spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate result that several later steps read.
+
+    A reliable checkpoint is written once to the shared ``spark.checkpoint.dir``;
+    later steps read it instead of recomputing the scans and joins behind it,
+    and a lost executor does not force that recomputation either.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
