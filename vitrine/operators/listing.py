@@ -209,6 +209,8 @@ def variation_rows(variations: DataFrame, products: DataFrame) -> DataFrame:
         F.col("prix_supplement"),
         prices.final_price_double(F.col("_prix"), F.col("prix_supplement")).alias("prix_final"),
         prices.final_price_decimal(F.col("_prix"), F.col("prix_supplement")).alias("prix_final_dec"),
+        prices.supplement_text(F.col("prix_supplement")).alias("prix_supplement_text"),
+        prices.price_text(F.col("_prix") + F.col("prix_supplement")).alias("prix_final_text"),
         "stock")
 
 

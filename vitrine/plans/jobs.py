@@ -67,7 +67,10 @@ def assign_references(spark, sf_dir) -> DataFrame:
 _VROW = """v.id, v.product_id, v.libelle, {attr} AS attributs_text,
        CASE WHEN v.reference IS NULL OR v.reference IN ('', '0') THEN '—' ELSE v.reference END AS reference,
        v.prix_supplement, CAST(p.prix AS DOUBLE) + CAST(v.prix_supplement AS DOUBLE) AS prix_final,
-       CAST(p.prix + v.prix_supplement AS DECIMAL(11,3)) AS prix_final_dec, v.stock""".format(
+       CAST(p.prix + v.prix_supplement AS DECIMAL(11,3)) AS prix_final_dec,
+       '+' || CAST(CAST(v.prix_supplement AS DECIMAL(11,3)) AS VARCHAR) || ' TND' AS prix_supplement_text,
+       CAST(CAST(p.prix + v.prix_supplement AS DECIMAL(11,3)) AS VARCHAR) || ' TND' AS prix_final_text,
+       v.stock""".format(
     attr=S.attribute_text("v.attributs"))
 
 
