@@ -57,7 +57,35 @@ def reference_base(spark, sf_dir) -> DataFrame:
             .select("id", "product_id", "base_reference"))
 
 
-@register("assign_references")
+def _counter_ctes(new_select: str) -> str:
+    """CTEs ending in ``gen(id, product_id, reference)``: the k-th new row (by id) of a
+    (product, base) takes the k-th candidate that no stored reference holds. The
+    candidates are generated up to (new rows + stored references of that product).
+    ``new_select`` yields ``id, pid, base``; stored references are those of the table."""
+    return f"""new AS ({new_select}),
+stored AS (SELECT upper(strip_accents(rtrim(reference))) AS ref FROM product_variations WHERE reference IS NOT NULL),
+stored_pid AS (SELECT TRY_CAST(regexp_extract(ref, '^PRD-([0-9]+)-', 1) AS BIGINT) AS pid, count(*) AS n
+               FROM stored GROUP BY 1),
+grp AS (SELECT g.pid, g.base, g.n_new + coalesce(s.n, 0) AS n_cand
+        FROM (SELECT pid, base, count(*) AS n_new FROM new GROUP BY pid, base) g
+        LEFT JOIN stored_pid s ON s.pid = g.pid),
+cand AS (SELECT pid, base, unnest(generate_series(1, n_cand)) AS n FROM grp),
+named AS (SELECT pid, base, n, CASE WHEN n = 1 THEN base
+                                    ELSE substr(base, 1, 100 - length(printf('-%02d', n))) || printf('-%02d', n) END AS c
+          FROM cand),
+free AS (SELECT pid, base, c, row_number() OVER (PARTITION BY pid, base ORDER BY n) AS r
+         FROM named WHERE c NOT IN (SELECT ref FROM stored)),
+ranked AS (SELECT id, pid, base, row_number() OVER (PARTITION BY pid, base ORDER BY id) AS k FROM new),
+gen AS (SELECT ranked.id, ranked.pid AS product_id, free.c AS reference
+        FROM ranked JOIN free ON free.pid = ranked.pid AND free.base = ranked.base AND free.r = ranked.k)"""
+
+
+_ASSIGN_SQL = "WITH " + _counter_ctes(
+    f"SELECT id, product_id AS pid, {_BASE} AS base FROM product_variations "
+    "WHERE reference IS NULL AND product_id IS NOT NULL") + "\nSELECT id, product_id, reference FROM gen"
+
+
+@register("assign_references", _ASSIGN_SQL, [V])
 def assign_references(spark, sf_dir) -> DataFrame:
     return references.assign_references(cat(spark, sf_dir).product_variations)
 
@@ -290,13 +318,44 @@ def attributes_exploded(spark, sf_dir) -> DataFrame:
     return (v.select("id", F.explode(attrs.parse_attributes(F.col("attributs"))).alias("name", "value")))
 
 
-@register("normalise_attributes")
+_VALUE_AT_I = """json_extract_string(attributs, '$."' || names[i] || '"')"""
+
+
+def _pairs_ctes() -> str:
+    """CTEs ending in ``pj(id, attributes_json)``: the attribute object of each change
+    row with names and values trimmed, blank pairs dropped, first spelling kept."""
+    return f"""src AS (
+  SELECT id, attributs, CASE WHEN json_type(attributs) = 'OBJECT' THEN json_keys(attributs) ELSE [] END AS names
+  FROM variation_changes),
+zipped AS (
+  SELECT id, list_transform(range(1, len(names) + 1), lambda i: {{
+           'name': {S.php_trim('names[i]')},
+           'value': {S.php_trim(_VALUE_AT_I)}}})
+         AS pairs
+  FROM src),
+kept AS (SELECT id, list_filter(pairs, lambda p: p.name <> '' AND p.value <> '') AS kept FROM zipped),
+firsts AS (
+  SELECT id, list_filter(kept, lambda p, i: NOT list_contains(
+           list_transform(list_slice(kept, 1, i - 1), lambda q: lower(q.name)), lower(p.name))) AS firsts
+  FROM kept),
+pj AS (
+  SELECT id, '{{' || coalesce(array_to_string(list_transform(firsts, lambda p:
+           CAST(to_json(p.name) AS VARCHAR) || ':' || CAST(to_json(p.value) AS VARCHAR)), ','), '') || '}}'
+           AS attributes_json
+  FROM firsts)"""
+
+
+_PAIRS_SQL = "WITH " + _pairs_ctes() + "\nSELECT id, attributes_json FROM pj"
+
+
+@register("normalise_attributes", _PAIRS_SQL, ["variation_changes"])
 def normalise_attributes(spark, sf_dir) -> DataFrame:
-    """Form arrays taken from the change set's attribute objects, cleaned (SCL-11)."""
+    """Form arrays taken from the change set's attribute objects, cleaned (SCL-11),
+    as the JSON text that is stored."""
     ch = cat(spark, sf_dir).variation_changes
     m = attrs.parse_attributes(F.col("attributs"))
     clean = attrs.normalise_pairs(F.map_keys(m), F.map_values(m))
-    return ch.select("id", clean.alias("attributes_map"), F.to_json(clean).alias("attributes_json"))
+    return ch.select("id", F.to_json(clean).alias("attributes_json"))
 
 
 @register("variation_default_label", f"""
@@ -594,12 +653,6 @@ def rejected_product_updates(spark, sf_dir) -> DataFrame:
     return changes.apply_product_updates(c.products, c.users, c.product_updates).rejected
 
 
-@register("apply_variation_changes")
-def apply_variation_changes(spark, sf_dir) -> DataFrame:
-    c = cat(spark, sf_dir)
-    return changes.apply_variation_changes(c.product_variations, c.products, c.variation_changes).snapshot
-
-
 _VC_CHECK = f"""SELECT c.id, CASE
     WHEN v.id IS NOT NULL AND coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
     WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.'
@@ -614,6 +667,33 @@ FROM variation_changes c LEFT JOIN product_variations v ON v.id = c.id
 LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)"""
 
 
+_VC_LABEL = (f"CASE WHEN {S.php_trim('c.libelle')} <> '' THEN {S.php_trim('c.libelle')} "
+             f"WHEN coalesce(len(json_keys(c.attributs)), 0) = 0 THEN coalesce(p.libelle, '') "
+             f"ELSE {S.attribute_values('c.attributs')} END")
+_VC_ROWS = f"""SELECT c.id, coalesce(v.product_id, c.product_id) AS product_id, {_VC_LABEL} AS libelle,
+       {S.norm_price('c.prix_supplement')} AS sup_text, {S.php_int('c.stock')} AS stock,
+       CAST(coalesce(v.stock_utilise, 0) AS BIGINT) AS stock_utilise, v.reference AS old_ref, chk.reason
+FROM variation_changes c LEFT JOIN product_variations v ON v.id = c.id
+LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)
+JOIN ({_VC_CHECK}) chk ON chk.id = c.id"""
+_APPLY_VC_SQL = f"""WITH acc AS (SELECT * FROM ({_VC_ROWS}) WHERE reason IS NULL),
+{_pairs_ctes()},
+{_counter_ctes("SELECT id, product_id AS pid, " + S.reference_base("product_id", "libelle")
+               + " AS base FROM acc WHERE old_ref IS NULL")}
+SELECT {_V_COLS}, is_deleted FROM product_variations WHERE id NOT IN (SELECT id FROM acc)
+UNION ALL
+SELECT acc.id, acc.product_id, acc.libelle, pj.attributes_json AS attributs,
+       {S.parse_price('acc.sup_text')} AS prix_supplement, acc.stock, acc.stock_utilise,
+       coalesce(acc.old_ref, gen.reference) AS reference, false AS is_deleted
+FROM acc LEFT JOIN pj ON pj.id = acc.id LEFT JOIN gen ON gen.id = acc.id"""
+
+
+@register("apply_variation_changes", _APPLY_VC_SQL, [P, V, "variation_changes"])
+def apply_variation_changes(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.apply_variation_changes(c.product_variations, c.products, c.variation_changes).snapshot
+
+
 @register("rejected_variation_changes", f"SELECT id, reason FROM ({_VC_CHECK}) WHERE reason IS NOT NULL",
           [P, V, "variation_changes"])
 def rejected_variation_changes(spark, sf_dir) -> DataFrame:
