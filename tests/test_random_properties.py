@@ -62,3 +62,52 @@ def test_attribute_pairs_match_model(spark):
     got = {r.id: r.m for r in df.select("id", attrs.normalise_pairs(F.col("n"), F.col("v")).alias("m")).collect()}
     for i, names, values in rows:
         assert got[i] == _model_pairs(names, values), (names, values)
+
+
+def _brute_references(rows):
+    """The reference's loop over rows without reference, in id order; a stored
+    reference blocks a candidate whatever its case or trailing spaces."""
+    taken = {r.rstrip().upper() for _, _, _, r in rows if r is not None}
+    out = {}
+    for vid, pid, base, ref in sorted(rows):
+        if ref is not None or pid is None:
+            continue
+        cand, n = base, 2
+        while cand in taken:
+            sfx = "-" + str(n).zfill(2)
+            cand = base[:100 - len(sfx)] + sfx
+            n += 1
+        taken.add(cand)
+        out[vid] = cand
+    return out
+
+
+def test_counter_matches_brute_force_with_stored_suffixes(spark):
+    from vitrine.operators import references
+    from vitrine.sources import schemas
+
+    rng = random.Random(23)
+    labels = ["A", "A 02", "a-2", "B", "Lot B", "Été", "x" * 120]
+    rows, vid = [], 0
+    for _ in range(900):
+        vid += rng.randint(1, 3)
+        pid = rng.choice([1, 2, 3, 7])
+        label = rng.choice(labels)
+        if rng.random() < 0.45:
+            rows.append((vid, pid, label, None))
+        else:
+            base_label = rng.choice(labels)
+            base = "PRD-%06d-" % pid + base_label.upper().replace(" ", "-").replace("É", "E")[:89]
+            n = rng.choice([1, 1, 2, 3, 4, 5, 7, 12, 100])
+            ref = base if n == 1 else base[:100 - len("-%02d" % n)] + "-%02d" % n
+            ref = rng.choice([ref, ref.lower(), ref + "  "])
+            rows.append((vid, pid, label, ref))
+    full = [(i, p, lab, "[]", 0, 0, 0, ref, False) for i, p, lab, ref in rows]
+    df = spark.createDataFrame(full, "id long, product_id long, libelle string, attributs string, "
+                                     "prix_supplement int, stock long, stock_utilise long, reference string, "
+                                     "is_deleted boolean")
+    df = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.VARIATIONS.fields])
+    based = references.with_reference_base(df).select("id", "product_id", "base_reference", "reference").collect()
+    expected = _brute_references([(r.id, r.product_id, r.base_reference, r.reference) for r in based])
+    got = {r.id: r.reference for r in references.assign_references(df).collect()}
+    assert got == expected

@@ -126,38 +126,88 @@ def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
 def _assign(keyed: DataFrame) -> DataFrame:
     """The counter over keyed rows (see ``_keyed``).
 
-    Per (product, family): the number of distinct bases among new rows and of
-    stored references (one partial/final aggregate). Groups with one base and
-    no stored reference are exact with the window form (the k-th row takes the
-    k-th candidate) and never leave the JVM. Other groups run the sequential
-    counter in one sorted pass per partition (``mapInPandas``). Families with
-    no new row are dropped by the inner join.
+    Per (product, family) one partial/final aggregate counts the distinct
+    bases among new rows and the stored references. Three exact paths follow:
+
+    * one base, nothing stored: the k-th new row (id order) takes candidate k;
+    * one base with stored references (``_single_base``): candidate indices
+      already stored are found and the k-th new row takes the k-th free index,
+      all with skew-safe numbering, so even a group holding a third of the table
+      is spread over many tasks;
+    * several bases in one family (their candidates can meet, so the order of
+      rows across bases matters): the sequential counter in one sorted pass per
+      partition (``mapInPandas``).
+
+    Families with no new row are dropped by the inner join.
     """
     stats = (keyed.groupBy("pid", "family")
              .agg(F.count_distinct(F.when(F.col("kind") == 0, F.col("ref"))).alias("n_bases"),
+                  F.max(F.when(F.col("kind") == 0, F.col("ref"))).alias("base"),
+                  F.sum(F.lit(1) - F.col("kind")).alias("n_new"),
                   F.sum("kind").alias("n_stored"))
              .filter(F.col("n_bases") > 0)
-             .select("pid", "family", ((F.col("n_bases") == 1) & (F.col("n_stored") == 0)).alias("simple")))
-    # both paths below read the tagged rows; write them once instead of scanning
+             .select("pid", "family", "base", "n_new", "n_stored",
+                     F.when(F.col("n_bases") > 1, F.lit("multi"))
+                      .when(F.col("n_stored") == 0, F.lit("simple"))
+                      .otherwise(F.lit("single")).alias("path")))
+    # every path below reads the tagged rows; write them once instead of scanning
     # and joining the table again for each reader
     tagged = materialise(keyed.join(stats, ["pid", "family"]))
 
-    simple = tagged.filter(F.col("simple")).select("id", "pid", "ref")
+    simple = tagged.filter(F.col("path") == "simple").select("id", "pid", "ref")
     seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")
     simple_out = seq.select("id", F.col("pid").alias("product_id"),
                             _window_candidate(F.col("ref"), F.col("seq")).alias("reference"))
 
+    single_out = _single_base(tagged.filter(F.col("path") == "single"))
+
     # Shuffle on an explicit hash of (pid, family) with a fixed partition count:
     # a repartition on columns the input is already partitioned by would be
     # dropped, and AQE would fold the Python stage into one task.
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = (tagged.filter(~F.col("simple")).select("id", "pid", "ref", "kind", "family")
+    both = (tagged.filter(F.col("path") == "multi").select("id", "pid", "ref", "kind", "family")
             .withColumn("__group", F.xxhash64("pid", "family"))
             .repartition(parts, "__group")
             .sortWithinPartitions("__group", "pid", "family", F.col("kind").desc(), "id")
             .drop("__group"))
     complex_out = both.mapInPandas(_assign_partition, "id long, product_id long, reference string")
-    return simple_out.unionByName(complex_out)
+    return simple_out.unionByName(single_out).unionByName(complex_out)
+
+
+def _single_base(rows: DataFrame) -> DataFrame:
+    """Counter for families with one base B and stored references, without sequencing.
+
+    Let t_1 < t_2 < ... be the candidate indices of B already stored (B itself is
+    index 1, ``B cut + '-NN'`` is index NN). The k-th new row takes the k-th index
+    not in that set, which is m = k + #{j : t_j - j < k}. That m is the row's
+    position when new rows (key 2k) and stored indices (key 2(t_j - j) + 1) are
+    ordered together, so it comes from the skew-safe row numbering. Stored
+    indices above (new rows + stored references) of the family cannot be reached
+    and are left out.
+    """
+    keys = ["pid", "family"]
+    news = row_number_by_id(rows.filter(F.col("kind") == 0).select("id", *keys, "base"), keys, out_col="k")
+
+    stored = rows.filter(F.col("kind") == 1)
+    digits = F.regexp_extract(F.col("ref"), r"-([0-9]{2,})$", 1)
+    n = F.when(F.col("ref") == F.col("base"), F.lit(1)).otherwise(digits.try_cast("bigint"))
+    sfx = F.concat(F.lit("-"), digits)
+    is_candidate = (F.col("ref") == F.col("base")) | (
+        (n >= 2) & (F.format_string("%02d", n) == digits)
+        & (F.concat(F.col("base").substr(F.lit(1), F.lit(_MAX_REFERENCE) - F.length(sfx)), sfx) == F.col("ref")))
+    taken = (stored.select(*keys, n.alias("t"), is_candidate.alias("ok"), (F.col("n_new") + F.col("n_stored")).alias("cap"))
+             .filter(F.col("ok") & (F.col("t") <= F.col("cap")))
+             .select(*keys, "t").distinct())
+    ranked = row_number_by_id(taken, keys, id_col="t", out_col="j")
+
+    events = (news.select(*keys, "id", "base", (F.col("k") * 2).alias("okey"))
+              .unionByName(ranked.select(*keys, F.lit(None).cast("long").alias("id"),
+                                         F.lit(None).cast("string").alias("base"),
+                                         ((F.col("t") - F.col("j")) * 2 + 1).alias("okey"))))
+    placed = row_number_by_id(events, keys, id_col="okey", out_col="m")
+    return (placed.filter(F.col("id").isNotNull())
+            .select("id", F.col("pid").alias("product_id"),
+                    _window_candidate(F.col("base"), F.col("m")).alias("reference")))
 
 
 def _window_candidate(base, seq):
