@@ -161,3 +161,12 @@ def test_reference_base(spark):
 
 def test_row_type():
     assert Row(a=1).a == 1
+
+
+def test_proj4_supplier_option_label(spark):
+    users = spark.createDataFrame(
+        [(1, "Ben", "Ana", "a@x.tn", "ROLE_FOURNISSEUR", "Maison", False),
+         (2, "Ben", "Ali", "b@x.tn", "ROLE_FOURNISSEUR", "0", False),
+         (3, "Ben", "Sami", "c@x.tn", "ROLE_FOURNISSEUR", None, False)], schemas.USERS)
+    got = {r.id: r.label for r in listing.supplier_options(users).collect()}
+    assert got == {1: "Ben Ana (Maison)", 2: "Ben Ali", 3: "Ben Sami"}

@@ -179,8 +179,9 @@ def user_counts(users: DataFrame, search: str | None = None, mode: str = "like")
 def supplier_options(users: DataFrame) -> DataFrame:
     """PROJ-4: choice label "Last First (Trade)" of active suppliers, trade part only when non-empty."""
     base = F.concat_ws(" ", F.coalesce(F.col("nom"), F.lit("")), F.coalesce(F.col("prenom"), F.lit("")))
-    label = F.when(F.coalesce(F.col("libelle"), F.lit("")) != "",
-                   F.concat(base, F.lit(" ("), F.col("libelle"), F.lit(")"))).otherwise(base)
+    # the trade name is shown only when truthy in the template: NULL, '' and '0' are not
+    truthy = F.col("libelle").isNotNull() & ~F.col("libelle").isin("", "0")
+    label = F.when(truthy, F.concat(base, F.lit(" ("), F.col("libelle"), F.lit(")"))).otherwise(base)
     return filters.active_suppliers(users).select(F.col("id"), label.alias("label"))
 
 

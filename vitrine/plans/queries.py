@@ -164,7 +164,7 @@ def user_role_labels(spark, sf_dir) -> DataFrame:
 
 
 @register("supplier_options", """
-SELECT id, CASE WHEN coalesce(libelle, '') <> '' THEN coalesce(nom, '') || ' ' || coalesce(prenom, '') || ' (' || libelle || ')'
+SELECT id, CASE WHEN libelle IS NOT NULL AND libelle NOT IN ('', '0') THEN coalesce(nom, '') || ' ' || coalesce(prenom, '') || ' (' || libelle || ')'
                 ELSE coalesce(nom, '') || ' ' || coalesce(prenom, '') END AS label
 FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false""", [U])
 def supplier_options(spark, sf_dir) -> DataFrame:
