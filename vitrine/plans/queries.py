@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import filters, listing, summary
 from vitrine.plans.registry import register
+from vitrine.sources import snapshots
 from vitrine.sources.fixtures import Catalogue
 
 # Request parameters used by the registered queries.
@@ -39,7 +40,11 @@ SUMMARY_SQL = """SELECT product_id, CAST(coalesce(sum(stock), 0) AS BIGINT) AS s
 FROM product_variations WHERE is_deleted = false"""
 
 
-def cat(spark: SparkSession, sf_dir: str) -> Catalogue:
+def cat(spark: SparkSession, sf_dir: str):
+    """The catalogue under ``sf_dir``: stored snapshots when it holds them, else the
+    views derived from the driver's source tables."""
+    if snapshots.is_snapshot_root(spark, sf_dir):
+        return snapshots.SnapshotCatalogue(spark, sf_dir)
     return Catalogue(spark, sf_dir)
 
 

@@ -53,5 +53,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, schema: T.StructType,
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def catalogue_schema(name: str) -> T.StructType:
     return schemas.TABLES[name]
