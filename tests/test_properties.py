@@ -63,3 +63,21 @@ def test_variation_changes_touch_only_changed_rows(spark):
     before = v.join(changed, "id", "left_anti")
     after = snap.join(changed, "id", "left_anti").select(*v.columns)
     assert sorted(before.collect()) == sorted(after.collect())
+
+
+def test_write_intake_keeps_products_and_defaults_together(spark, tmp_path):
+    c = Catalogue(spark, SF_SMALL)
+    root = str(tmp_path / "v2")
+    changes.write_intake(c.product_intake, c.users, c.products, c.product_variations, root)
+    p2 = spark.read.parquet(f"{root}/products")
+    v2 = spark.read.parquet(f"{root}/product_variations")
+    rej = spark.read.parquet(f"{root}/rejected_intake")
+    new_ids = p2.join(c.products.select("id"), "id", "left_anti")
+    intake_n = c.product_intake.count()
+    assert new_ids.count() + rej.count() == intake_n
+    std = c.product_intake.filter(F.col("product_type") == "standard").select("id")
+    # every accepted standard product has exactly one default variation, and no other new variation exists
+    new_vars = v2.join(c.product_variations.select("id"), "id", "left_anti")
+    assert new_vars.count() == new_ids.join(std, "id", "left_semi").count()
+    assert new_vars.join(new_ids, new_vars.product_id == new_ids.id, "left_anti").count() == 0
+    assert new_vars.filter(F.col("reference").isNull()).count() == 0

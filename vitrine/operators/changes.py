@@ -72,15 +72,18 @@ def apply_variation_deletes(variations: DataFrame, products: DataFrame, ids: Dat
     return ChangeResult(soft_delete(variations, accepted.select("id")), rejected, accepted)
 
 
-def intake(intake_rows: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def intake(intake_rows: DataFrame, users: DataFrame, checked: DataFrame | None = None
+           ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """CHG-4: validate intake rows; return (new products, default variations, rejected).
 
     Both outputs are derived from the same validated rows, so a product is
     written only together with its default variation (``standard`` type).
     The new rows keep the intake ``id``; a default variation takes the id of its
-    product, which is new in the variation table as well.
+    product, which is new in the variation table as well. ``checked`` may pass
+    an already validated (and materialised) intake.
     """
-    checked = quality.validate_intake(intake_rows, users)
+    if checked is None:
+        checked = quality.validate_intake(intake_rows, users)
     ok = checked.filter(F.col("n_violations") == 0)
     new_products = _conform(ok.select(
         "id", "libelle", "description", F.lit(None).cast("string").alias("image"),
@@ -96,11 +99,8 @@ def intake(intake_rows: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFra
     return new_products, defaults, rejected
 
 
-def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variations: DataFrame) -> DataFrame:
-    """Default variations of accepted ``standard`` intake rows, with references assigned
-    against every stored reference."""
-    _, defaults, _ = intake(intake_rows, users)
-    defaults = materialise(defaults)
+def with_default_references(defaults: DataFrame, variations: DataFrame) -> DataFrame:
+    """Default variations with references assigned against every stored reference."""
     assigned = assign_new_references(defaults, variations.unionByName(defaults)) \
         .select("id", F.col("reference").alias("__ref"))
     return (defaults.join(assigned, "id", "left")
@@ -108,6 +108,39 @@ def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variatio
             .select(*defaults.columns))
 
 
+def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variations: DataFrame) -> DataFrame:
+    """Default variations of accepted ``standard`` intake rows, with references assigned
+    against every stored reference."""
+    _, defaults, _ = intake(intake_rows, users)
+    return with_default_references(materialise(defaults), variations)
+
+
+def write_intake(intake_rows: DataFrame, users: DataFrame, products: DataFrame, variations: DataFrame,
+                 out_root: str) -> None:
+    """SNK-2 for CHG-4: write the next ``products`` and ``product_variations``
+    snapshots and the rejected rows under one new root.
+
+    The intake is validated once (checkpointed), and both tables come from that
+    one result, so a new product is never written without its default
+    variation. The root is complete when all three directories carry their
+    ``_SUCCESS`` marker; a reader switches to it only then.
+    """
+    checked = materialise(quality.validate_intake(intake_rows, users))
+    new_products, defaults, rejected = intake(intake_rows, users, checked)
+    defaults = with_default_references(defaults, variations)
+    root = out_root.rstrip("/")
+    rejected.write.mode("errorifexists").parquet(f"{root}/rejected_intake")
+    products.unionByName(new_products).write.mode("errorifexists").parquet(f"{root}/products")
+    variations.unionByName(defaults).write.mode("errorifexists").parquet(f"{root}/product_variations")
+
+
+def write_change_result(result: ChangeResult, table: str, out_root: str) -> None:
+    """Write the next snapshot of ``table`` and its rejected changes under a new root."""
+    root = out_root.rstrip("/")
+    result.rejected.write.mode("errorifexists").parquet(f"{root}/rejected_{table}")
+    result.snapshot.write.mode("errorifexists").parquet(f"{root}/{table}")
+
+
 def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFrame) -> ChangeResult:
     """CHG-5: product edits by admins or the owning supplier.
 
