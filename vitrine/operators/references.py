@@ -126,8 +126,9 @@ def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
 def _assign(keyed: DataFrame) -> DataFrame:
     """The counter over keyed rows (see ``_keyed``).
 
-    Per (product, family) one partial/final aggregate counts the distinct
-    bases among new rows and the stored references. Three exact paths follow:
+    Per (product, family) one partial/final aggregate finds whether the new
+    rows share one base and counts new rows and stored references. Three exact
+    paths follow:
 
     * one base, nothing stored: the k-th new row (id order) takes candidate k;
     * one base with stored references (``_single_base``): candidate indices
@@ -140,14 +141,16 @@ def _assign(keyed: DataFrame) -> DataFrame:
 
     Families with no new row are dropped by the inner join.
     """
+    # one base <=> smallest and largest base of the new rows are equal (a plain
+    # partial/final aggregate; no distinct-count expansion and its extra shuffle)
+    new_ref = F.when(F.col("kind") == 0, F.col("ref"))
     stats = (keyed.groupBy("pid", "family")
-             .agg(F.count_distinct(F.when(F.col("kind") == 0, F.col("ref"))).alias("n_bases"),
-                  F.max(F.when(F.col("kind") == 0, F.col("ref"))).alias("base"),
+             .agg(F.min(new_ref).alias("__min_base"), F.max(new_ref).alias("base"),
                   F.sum(F.lit(1) - F.col("kind")).alias("n_new"),
                   F.sum("kind").alias("n_stored"))
-             .filter(F.col("n_bases") > 0)
+             .filter(F.col("n_new") > 0)
              .select("pid", "family", "base", "n_new", "n_stored",
-                     F.when(F.col("n_bases") > 1, F.lit("multi"))
+                     F.when(F.col("__min_base") != F.col("base"), F.lit("multi"))
                       .when(F.col("n_stored") == 0, F.lit("simple"))
                       .otherwise(F.lit("single")).alias("path")))
     # every path below reads the tagged rows; write them once instead of scanning
