@@ -21,3 +21,13 @@ def test_page_numbers(spark):
     pages = {r.id: (r.rn, r.page) for r in page_numbers(df, ["s"], 5, bucket_width=3).collect()} \
         if False else {r.id: (r.rn, r.page) for r in page_numbers(df, ["s"], 5).collect()}
     assert pages[12] == (1, 0) and pages[8] == (5, 0) and pages[7] == (6, 1) and pages[1] == (12, 2)
+
+
+def test_null_keys_are_a_group_not_dropped(spark):
+    df = spark.range(0, 500).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).cast("long").alias("k"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.lit("x")).alias("s"))
+    got = row_number_by_id(df, ["k", "s"], bucket_width=16)
+    assert got.count() == 500
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k", "s").orderBy("id")).cast("bigint"))
+    assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)

@@ -28,19 +28,28 @@ def row_number_by_id(df: DataFrame, keys: list[str], id_col: str = "id", descend
                      out_col: str = "rn", bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """Add ``out_col`` = position of the row inside its ``keys`` group, ordered by ``id_col``.
 
-    ``keys`` must not be NULL; ``id_col`` must be a unique integer.
+    ``id_col`` is an integer, unique inside a group. A NULL key is a group of its
+    own: keys are numbered through a (non-NULL value, is-NULL flag) pair, so
+    every join below is a plain equality join and no row is lost.
     """
     bucket = "__bucket"
-    d = df.withColumn(bucket, F.floor(F.col(id_col) / F.lit(bucket_width)))
+    types = dict(df.dtypes)
+    safe = []
+    d = df
+    for i, k in enumerate(keys):
+        d = (d.withColumn(f"__k{i}", F.coalesce(F.col(k), F.lit(0).cast(types[k])))
+              .withColumn(f"__n{i}", F.col(k).isNull()))
+        safe += [f"__k{i}", f"__n{i}"]
+    d = d.withColumn(bucket, F.floor(F.col(id_col) / F.lit(bucket_width)))
     order_id = F.col(id_col).desc() if descending else F.col(id_col).asc()
-    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(order_id)))
-    counts = d.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(*safe, bucket).orderBy(order_id)))
+    counts = d.groupBy(*safe, bucket).agg(F.count(F.lit(1)).alias("__n"))
     order_b = F.col(bucket).desc() if descending else F.col(bucket).asc()
-    before = Window.partitionBy(*keys).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*safe).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return (local.join(offsets, [*keys, bucket])
+    return (local.join(offsets, [*safe, bucket])
             .withColumn(out_col, (F.col("__local") + F.col("__offset")).cast("bigint"))
-            .drop("__local", "__offset", bucket))
+            .drop("__local", "__offset", bucket, *safe))
 
 
 def page_numbers(df: DataFrame, keys: list[str], page_size: int, id_col: str = "id",
