@@ -81,3 +81,14 @@ def test_write_intake_keeps_products_and_defaults_together(spark, tmp_path):
     assert new_vars.count() == new_ids.join(std, "id", "left_semi").count()
     assert new_vars.join(new_ids, new_vars.product_id == new_ids.id, "left_anti").count() == 0
     assert new_vars.filter(F.col("reference").isNull()).count() == 0
+
+
+def test_envelope_write(spark, tmp_path):
+    c = Catalogue(spark, SF_SMALL)
+    env = listing.product_envelope(c.products, c.users, c.product_variations, 0, 5, "red")
+    out = str(tmp_path / "env")
+    env.write(out)
+    counts = spark.read.json(f"{out}/counts").first()
+    page = spark.read.json(f"{out}/data")
+    assert counts.records_filtered <= counts.records_total
+    assert page.count() == min(5, counts.records_filtered)
