@@ -92,3 +92,24 @@ def test_envelope_write(spark, tmp_path):
     page = spark.read.json(f"{out}/data")
     assert counts.records_filtered <= counts.records_total
     assert page.count() == min(5, counts.records_filtered)
+
+
+def test_batch_integrity_rules(spark):
+    from vitrine.sources import schemas
+    users = spark.createDataFrame([(1, "N", "P", "a@x.tn", "ROLE_ADMIN", None, False)], schemas.USERS)
+    ch = spark.createDataFrame([
+        (10, "N", "P", "same@x.tn", "ROLE_ADMIN", None),
+        (11, "N", "P", "SAME@x.tn", "ROLE_ADMIN", None),
+        (12, "", "P", "other@x.tn", "ROLE_ADMIN", None),
+        (13, "N", "P", "other@x.tn", "ROLE_ADMIN", None),
+        (14, "N", "P", "dup@x.tn", "ROLE_ADMIN", None),
+        (14, "N", "P", "dup2@x.tn", "ROLE_ADMIN", None)], schemas.USER_CHANGES)
+    res = changes.apply_user_changes(users, ch)
+    rej_rows = [(r.id, r.reason) for r in res.rejected.collect()]
+    rej = set(rej_rows)
+    assert (11, "Cet email est déjà utilisé.") in rej          # 10 claimed it first
+    assert (12, "Le nom est obligatoire.") in rej              # invalid row does not win the e-mail...
+    assert not any(i == 13 for i, _ in rej)                    # ...so 13 gets it
+    assert sum(1 for i, _ in rej_rows if i == 14) == 2         # both changes of id 14 reported
+    snap = {r.id for r in res.snapshot.collect()}
+    assert snap == {1, 10, 13}

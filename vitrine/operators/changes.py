@@ -28,6 +28,20 @@ ACCOUNT_DISABLED = "Ce compte est désactivé."
 EDIT_DENIED = "Vous ne pouvez pas modifier ce produit."
 
 
+# Batch rule of these jobs (requests arrive one at a time in the reference, so
+# it has no equivalent): a change set may change an id only once.
+DUPLICATE_CHANGE = "More than one change for this id in the batch."
+
+
+def one_change_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes whose id occurs once, and ``id, reason`` for every change of an id
+    that occurs more than once (reported, never silently dropped)."""
+    dup = changes.groupBy("id").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > 1).select("id")
+    unique = changes.join(dup, "id", "left_anti")
+    rejected = changes.join(dup, "id", "left_semi").select("id", F.lit(DUPLICATE_CHANGE).alias("reason"))
+    return unique, rejected
+
+
 @dataclass
 class ChangeResult:
     snapshot: DataFrame
@@ -82,8 +96,9 @@ def intake(intake_rows: DataFrame, users: DataFrame, checked: DataFrame | None =
     product, which is new in the variation table as well. ``checked`` may pass
     an already validated (and materialised) intake.
     """
+    unique, dups = one_change_per_id(intake_rows)
     if checked is None:
-        checked = quality.validate_intake(intake_rows, users)
+        checked = quality.validate_intake(unique, users)
     ok = checked.filter(F.col("n_violations") == 0)
     new_products = _conform(ok.select(
         "id", "libelle", "description", F.lit(None).cast("string").alias("image"),
@@ -96,7 +111,7 @@ def intake(intake_rows: DataFrame, users: DataFrame, checked: DataFrame | None =
         F.lit(0).cast("bigint").alias("stock_utilise"), F.lit(None).cast("string").alias("reference"),
         F.lit(False).alias("is_deleted")), schemas.VARIATIONS)
     rejected = checked.filter(F.col("n_violations") > 0).select("id", F.col("first_message").alias("reason"))
-    return new_products, defaults, rejected
+    return new_products, defaults, rejected.unionByName(dups)
 
 
 def with_default_references(defaults: DataFrame, variations: DataFrame) -> DataFrame:
@@ -125,7 +140,7 @@ def write_intake(intake_rows: DataFrame, users: DataFrame, products: DataFrame,
     variation. The root is complete when all three directories carry their
     ``_SUCCESS`` marker; a reader switches to it only then.
     """
-    checked = materialise(quality.validate_intake(intake_rows, users))
+    checked = materialise(quality.validate_intake(one_change_per_id(intake_rows)[0], users))
     new_products, defaults, rejected = intake(intake_rows, users, checked)
     defaults = with_default_references(defaults, variations)
     root = out_root.rstrip("/")
@@ -153,6 +168,7 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
                           F.col("is_deleted").alias("__adel"))
     sup = filters.active_suppliers(users).select(F.col("id").alias("__sid"))
     cur = products.select(*[F.col(c).alias("old_" + c) for c in products.columns])
+    updates, dups = one_change_per_id(updates)
     u = updates.select(
         "id", "actor_id", "remove_image", "new_image",
         php_text("libelle"), php_text("description"),
@@ -177,7 +193,7 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
         F.col("id").alias("__uid"), F.col("libelle").alias("__libelle"), F.col("description").alias("__description"),
         image.alias("__image"), prices.parse_price(F.col("prix")).alias("__prix"),
         F.when(is_admin, F.col("req_fournisseur_id")).otherwise(F.col("actor_id")).alias("__fid"))
-    rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason")
+    rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason").unionByName(dups)
     merged = products.join(accepted, products.id == accepted.__uid, "left")
     hit = F.col("__uid").isNotNull()
     snap = merged.select(
@@ -201,6 +217,7 @@ def check_variation_changes(variations: DataFrame, products: DataFrame, changes:
     an update keeps the variation's product, used stock (``__used``) and stored
     reference (``__ref``).
     """
+    changes, dups = one_change_per_id(changes)
     cur = variations.select(F.col("id").alias("__vid"), F.col("product_id").alias("__vpid"),
                             F.col("is_deleted").alias("__vdel"), F.col("stock_utilise").alias("__used"),
                             F.col("reference").alias("__ref"))
@@ -220,7 +237,8 @@ def check_variation_changes(variations: DataFrame, products: DataFrame, changes:
               .when(parent_missing, F.lit(PRODUCT_NOT_FOUND))
               .when(F.col("stock").isNull(), F.lit(quality.MSG["stock_not_integer"]))
               .when(F.size(entity) > 0, F.get(entity, 0)["message"]))
-    return norm.withColumn("__used", used).withColumn("reason", reason)
+    checked = norm.withColumn("__used", used).withColumn("reason", reason)
+    return checked.unionByName(dups, allowMissingColumns=True)
 
 
 def apply_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> ChangeResult:
@@ -248,8 +266,8 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
 
 def apply_user_changes(users: DataFrame, changes: DataFrame) -> ChangeResult:
     """CHG-7: user inserts and updates (no deleted check on edit, T15)."""
-    others = users
-    checked = quality.validate_user_changes(changes, others)
+    changes, dups = one_change_per_id(changes)
+    checked = quality.validate_user_changes(changes, users)
     ok = checked.filter(F.col("n_violations") == 0)
     cur = users.select(F.col("id").alias("__id"), F.col("is_deleted").alias("__del"))
     rows = (ok.join(cur, ok.id == cur.__id, "left")
@@ -257,4 +275,4 @@ def apply_user_changes(users: DataFrame, changes: DataFrame) -> ChangeResult:
     rows = _conform(rows, schemas.USERS)
     snapshot = users.join(rows.select("id"), "id", "left_anti").unionByName(rows)
     rejected = checked.filter(F.col("n_violations") > 0).select("id", F.col("first_message").alias("reason"))
-    return ChangeResult(snapshot, rejected)
+    return ChangeResult(snapshot, rejected.unionByName(dups))

@@ -228,11 +228,24 @@ def email_usage(candidates: DataFrame, users: DataFrame, cand_id: str = "id") ->
 
 
 def validate_user_changes(changes: DataFrame, users: DataFrame) -> DataFrame:
-    """DQ-8..13 on normalised user rows (insert or update)."""
+    """DQ-8..13 on normalised user rows (insert or update).
+
+    Inside one batch an e-mail goes to the lowest id among the rows that pass
+    every other rule (requests are applied in id order); later rows that claim
+    it are refused as taken, earlier failing rows keep their own first problem. The winner is a grouped minimum per e-mail
+    key, not a window, so a very common address is not one task.
+    """
     n = email_usage(normalise_users(changes), users)
-    rules = user_rules(F.col("nom"), F.col("prenom"), F.col("email"), F.col("role"), F.col("libelle"),
-                       F.col("email_taken"))
-    return with_violations(n, rules)
+    rules = lambda taken: user_rules(F.col("nom"), F.col("prenom"), F.col("email"), F.col("role"),
+                                     F.col("libelle"), taken)
+    first = with_violations(n, rules(F.col("email_taken")))
+    winners = (first.filter(F.col("n_violations") == 0)
+               .groupBy(fold_key(F.col("email")).alias("__wkey")).agg(F.min("id").alias("__winner")))
+    n = (n.join(winners, fold_key(n.email) == winners.__wkey, "left")
+         .withColumn("email_taken", F.col("email_taken")
+                     | F.coalesce(F.col("__winner") < F.col("id"), F.lit(False)))
+         .drop("__wkey", "__winner"))
+    return with_violations(n, rules(F.col("email_taken")))
 
 
 def validate_variations(variations: DataFrame) -> DataFrame:
