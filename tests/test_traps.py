@@ -170,3 +170,15 @@ def test_proj4_supplier_option_label(spark):
          (3, "Ben", "Sami", "c@x.tn", "ROLE_FOURNISSEUR", None, False)], schemas.USERS)
     got = {r.id: r.label for r in listing.supplier_options(users).collect()}
     assert got == {1: "Ben Ana (Maison)", 2: "Ben Ali", 3: "Ben Sami"}
+
+
+def test_t5_parsed_attribute_search(spark):
+    df = spark.createDataFrame([(1, "x", None, '{"Couleur":"Rouge"}'), (2, "x", None, "[]"),
+                                (3, "x", None, '{"Matière":"Éclat"}')],
+                               "id long, libelle string, reference string, attributs string")
+    hits = lambda t: sorted(r.id for r in df.filter(filters.variation_search_predicate(t, raw_json=False)).collect())
+    assert hits("rouge") == [1]
+    assert hits("couleur") == [1]
+    assert hits("eclat") == [3]
+    assert hits("Priorite") == []
+    assert hits('"') == []      # JSON punctuation is not part of a parsed name or value

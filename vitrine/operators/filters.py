@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.attributes import parse_attributes
 from vitrine.functions.text import binary_like_predicate, search_predicate
 
 ROLE_ADMIN = "ROLE_ADMIN"
@@ -99,14 +100,18 @@ def product_search_predicate(term: str | None, mode: str = "like") -> Column | N
 
 def variation_search_predicate(term: str | None, mode: str = "like", raw_json: bool = True) -> Column | None:
     """Label and reference under the table collation; attributes as raw JSON text,
-    case-sensitive (T5). The search text is trimmed first; blank means no filter."""
+    case-sensitive, as the reference stores them (T5). ``raw_json=False`` searches
+    the parsed attribute names and values under the collation instead. The
+    search text is trimmed first; blank means no filter."""
     term = (term or "").strip(" \t\n\r\0\x0b")
     if term == "":
         return None
     pred = search_predicate([F.col("libelle"), F.col("reference")], term, mode)
-    json_pred = binary_like_predicate(F.col("attributs"), term) if raw_json else \
-        search_predicate([F.col("attributs")], term, mode)
-    return pred | json_pred
+    if raw_json:
+        return pred | binary_like_predicate(F.col("attributs"), term)
+    entries = F.map_entries(parse_attributes(F.col("attributs")))
+    in_map = F.exists(entries, lambda e: search_predicate([e["key"], e["value"]], term, mode))
+    return pred | in_map
 
 
 def user_search_predicate(term: str | None, mode: str = "like") -> Column | None:
