@@ -28,16 +28,26 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(QUERIES)
     spark = get_session(f"local[{cpus}]", cpus)
     # warm-up: JVM, Parquet footers, Python workers
-    QUERIES["product_page"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    QUERIES["assign_references"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    for warm in ("product_page", "assign_references"):
+        try:
+            QUERIES[warm].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001
+            pass
     times: dict[str, float] = {}
+    failed: list[str] = []
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # noqa: BLE001  (a failing query must not hide the others)
+            failed.append(name)
+            print(f"{name} failed: {type(exc).__name__}: {str(exc)[:200]}", file=sys.stderr)
+            continue
         times[name] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}))
+                      "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
+                      "failed": failed}))
     spark.stop()
 
 
