@@ -111,3 +111,33 @@ def test_counter_matches_brute_force_with_stored_suffixes(spark):
     expected = _brute_references([(r.id, r.product_id, r.base_reference, r.reference) for r in based])
     got = {r.id: r.reference for r in references.assign_references(df).collect()}
     assert got == expected
+
+
+def test_counter_with_numbered_labels(spark):
+    """Labels ending in numbers ("T 42", "T 44") share a family but not candidates;
+    chains ("T", "T 42", "T 42 02") do share them. Both must match the brute force."""
+    from vitrine.operators import references
+    from vitrine.sources import schemas
+
+    rng = random.Random(5)
+    labels = ["T 42", "T 44", "T", "T 42 02", "T 4", "T 100", "T 44 03", "U 12", "U"]
+    rows, vid = [], 0
+    for _ in range(1200):
+        vid += rng.randint(1, 2)
+        pid = rng.choice([1, 2, 9])
+        if rng.random() < 0.5:
+            rows.append((vid, pid, rng.choice(labels), None))
+        else:
+            base = "PRD-%06d-" % pid + rng.choice(labels).replace(" ", "-")
+            n = rng.choice([1, 2, 3, 42, 44, 2, 5])
+            ref = base if n == 1 else base + "-%02d" % n
+            rows.append((vid, pid, rng.choice(labels), rng.choice([ref, ref.lower()])))
+    full = [(i, p, lab, "[]", 0, 0, 0, ref, False) for i, p, lab, ref in rows]
+    df = spark.createDataFrame(full, "id long, product_id long, libelle string, attributs string, "
+                                     "prix_supplement int, stock long, stock_utilise long, reference string, "
+                                     "is_deleted boolean")
+    df = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.VARIATIONS.fields])
+    based = references.with_reference_base(df).select("id", "product_id", "base_reference", "reference").collect()
+    expected = _brute_references([(r.id, r.product_id, r.base_reference, r.reference) for r in based])
+    got = {r.id: r.reference for r in references.assign_references(df).collect()}
+    assert got == expected

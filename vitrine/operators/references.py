@@ -15,7 +15,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import references as refs
@@ -123,6 +123,66 @@ def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
     return _assign(_keyed(new_rows, True).unionByName(_keyed(table, False)))
 
 
+def _parent(base: Column) -> Column:
+    """``base`` without its last ``-NN`` group when that group is a suffix the counter
+    writes (``-%02d`` of n >= 2); NULL otherwise."""
+    digits = F.regexp_extract(base, r"-([0-9]{2,})$", 1)
+    n = digits.try_cast("bigint")
+    ok = (digits != "") & (n >= 2) & (F.format_string("%02d", n) == digits)
+    return F.when(ok, base.substr(F.lit(1), F.length(base) - F.length(digits) - 1))
+
+
+def _ancestors(base: Column) -> Column:
+    """[base, parent(base), parent(parent(base)), ...]; a reference has at most 33 groups."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(34)), F.array(base),
+                       lambda acc, _: F.when(_parent(F.element_at(acc, -1)).isNotNull(),
+                                             F.concat(acc, F.array(_parent(F.element_at(acc, -1)))))
+                       .otherwise(acc))
+
+
+def _refine_families(keyed: DataFrame) -> DataFrame:
+    """Split families whose new rows carry several bases into the groups that can
+    really interact.
+
+    When no candidate can be cut (longest base + longest possible suffix <= 100),
+    a candidate of B is B or B + '-NN', so two bases share a candidate only if
+    one is the other plus one ``-NN`` group. The groups are then the chains of
+    such parent links among the bases present: each base goes to its highest
+    ancestor reached through present bases, and a stored reference to the group
+    of the base it equals or extends. Families where a cut is possible keep
+    their family-wide group. Labels such as "Taille 42" and "Taille 44" thus
+    become separate single-base groups.
+    """
+    new_ref = F.when(F.col("kind") == 0, F.col("ref"))
+    coarse = (keyed.groupBy("pid", "family")
+              .agg(F.min(new_ref).alias("__lo"), F.max(new_ref).alias("__hi"),
+                   F.max(F.length(new_ref)).alias("__longest"), F.count(F.lit(1)).alias("__rows")))
+    suffix_len = F.greatest(F.lit(2), F.length(F.col("__rows").cast("string"))) + 1
+    split = (coarse.filter((F.col("__lo") != F.col("__hi"))
+                           & (F.col("__longest") + suffix_len <= F.lit(_MAX_REFERENCE)))
+             .select("pid", "family", F.lit(True).alias("__split")))
+    rows = keyed.join(split, ["pid", "family"], "left")
+    keys = ["pid", "family"]
+    bases = rows.filter(F.col("__split") & (F.col("kind") == 0)).select(*keys, F.col("ref").alias("base")).distinct()
+    chain = bases.select(*keys, "base", F.posexplode(_ancestors(F.col("base"))).alias("pos", "anc")) \
+        .filter(F.col("pos") >= 1)
+    present = bases.select(*keys, F.col("base").alias("anc"), F.lit(True).alias("__hit"))
+    first_absent = (chain.join(present, [*keys, "anc"], "left").groupBy(*keys, "base")
+                    .agg(F.min(F.when(F.col("__hit").isNull(), F.col("pos"))).alias("__fa")))
+    anc = _ancestors(F.col("base"))
+    roots = (bases.join(first_absent, [*keys, "base"], "left")
+             .select(*keys, "base", F.when(F.col("__fa").isNull(), F.element_at(anc, -1))
+                     .otherwise(F.element_at(anc, F.col("__fa").cast("int"))).alias("root")))
+    by_self = roots.select(*keys, F.col("base").alias("ref"), F.col("root").alias("__r1"))
+    by_parent = roots.select(*keys, F.col("base").alias("__pref"), F.col("root").alias("__r2"))
+    refined = (rows.join(by_self, [*keys, "ref"], "left")
+               .withColumn("__pref", F.when(F.col("kind") == 1, _parent(F.col("ref"))))
+               .join(by_parent, [*keys, "__pref"], "left"))
+    group = F.concat(F.col("family"), F.lit("\u0001"), F.coalesce(F.col("__r1"), F.col("__r2"), F.lit("")))
+    return refined.select("id", "pid", "ref", "kind",
+                          F.when(F.col("__split"), group).otherwise(F.col("family")).alias("family"))
+
+
 def _assign(keyed: DataFrame) -> DataFrame:
     """The counter over keyed rows (see ``_keyed``).
 
@@ -141,6 +201,7 @@ def _assign(keyed: DataFrame) -> DataFrame:
 
     Families with no new row are dropped by the inner join.
     """
+    keyed = _refine_families(materialise(keyed))
     # one base <=> smallest and largest base of the new rows are equal (a plain
     # partial/final aggregate; no distinct-count expansion and its extra shuffle)
     new_ref = F.when(F.col("kind") == 0, F.col("ref"))
