@@ -14,32 +14,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (the only
 # place a side is broadcast is below ``autoBroadcastJoinThreshold``, a size Spark
-# measures) and splits skewed shuffle partitions of sort-merge joins.
-DEFAULTS = {
+# measures) and splits skewed shuffle partitions of sort-merge joins. These are
+# runtime SQL settings: applied only when the session has no value for them.
+SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Launch settings for sessions this helper starts itself (local runs and tests):
+# no web UI, no console progress bar, checkpoint files removed once unreferenced.
+LAUNCH_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+DEFAULTS = {**SQL_DEFAULTS, **LAUNCH_DEFAULTS}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "vitrine") -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for key, value in DEFAULTS.items():
-        builder = builder.config(key, value)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("VITRINE_DRIVER_MEMORY", "16g"))
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    """The active session, or a new one; never overrides a value already set."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        for key, value in LAUNCH_DEFAULTS.items():
+            builder = builder.config(key, value)
+        builder = builder.config("spark.driver.memory", os.environ.get("VITRINE_DRIVER_MEMORY", "16g"))
+        spark = builder.getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    for key, value in SQL_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    if shuffle_partitions and spark.conf.get("spark.sql.shuffle.partitions", None) is None:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 
