@@ -140,30 +140,20 @@ def _ancestors(base: Column) -> Column:
                        .otherwise(acc))
 
 
-def _refine_families(keyed: DataFrame) -> DataFrame:
+def _refine_families(rows: DataFrame) -> DataFrame:
     """Split families whose new rows carry several bases into the groups that can
-    really interact.
+    really interact (``rows``: keyed rows of such families only).
 
     When no candidate can be cut (longest base + longest possible suffix <= 100),
     a candidate of B is B or B + '-NN', so two bases share a candidate only if
     one is the other plus one ``-NN`` group. The groups are then the chains of
     such parent links among the bases present: each base goes to its highest
     ancestor reached through present bases, and a stored reference to the group
-    of the base it equals or extends. Families where a cut is possible keep
-    their family-wide group. Labels such as "Taille 42" and "Taille 44" thus
-    become separate single-base groups.
+    of the base it equals or extends. Labels such as "Taille 42" and
+    "Taille 44" thus become separate single-base groups.
     """
-    new_ref = F.when(F.col("kind") == 0, F.col("ref"))
-    coarse = (keyed.groupBy("pid", "family")
-              .agg(F.min(new_ref).alias("__lo"), F.max(new_ref).alias("__hi"),
-                   F.max(F.length(new_ref)).alias("__longest"), F.count(F.lit(1)).alias("__rows")))
-    suffix_len = F.greatest(F.lit(2), F.length(F.col("__rows").cast("string"))) + 1
-    split = (coarse.filter((F.col("__lo") != F.col("__hi"))
-                           & (F.col("__longest") + suffix_len <= F.lit(_MAX_REFERENCE)))
-             .select("pid", "family", F.lit(True).alias("__split")))
-    rows = keyed.join(split, ["pid", "family"], "left")
     keys = ["pid", "family"]
-    bases = rows.filter(F.col("__split") & (F.col("kind") == 0)).select(*keys, F.col("ref").alias("base")).distinct()
+    bases = rows.filter(F.col("kind") == 0).select(*keys, F.col("ref").alias("base")).distinct()
     chain = bases.select(*keys, "base", F.posexplode(_ancestors(F.col("base"))).alias("pos", "anc")) \
         .filter(F.col("pos") >= 1)
     present = bases.select(*keys, F.col("base").alias("anc"), F.lit(True).alias("__hit"))
@@ -179,8 +169,26 @@ def _refine_families(keyed: DataFrame) -> DataFrame:
                .withColumn("__pref", F.when(F.col("kind") == 1, _parent(F.col("ref"))))
                .join(by_parent, [*keys, "__pref"], "left"))
     group = F.concat(F.col("family"), F.lit("\u0001"), F.coalesce(F.col("__r1"), F.col("__r2"), F.lit("")))
-    return refined.select("id", "pid", "ref", "kind",
-                          F.when(F.col("__split"), group).otherwise(F.col("family")).alias("family"))
+    return refined.select("id", "pid", "ref", "kind", group.alias("family"))
+
+
+def _group_stats(keyed: DataFrame) -> DataFrame:
+    """Per (pid, family) with new rows: the base (if one), counts, path, and whether
+    the family may be split (several bases, and no candidate can be cut)."""
+    new_ref = F.when(F.col("kind") == 0, F.col("ref"))
+    stats = (keyed.groupBy("pid", "family")
+             .agg(F.min(new_ref).alias("__lo"), F.max(new_ref).alias("base"),
+                  F.max(F.length(new_ref)).alias("__longest"),
+                  F.sum(F.lit(1) - F.col("kind")).alias("n_new"),
+                  F.sum("kind").alias("n_stored"))
+             .filter(F.col("n_new") > 0))
+    suffix_len = F.greatest(F.lit(2), F.length((F.col("n_new") + F.col("n_stored")).cast("string"))) + 1
+    multi = F.col("__lo") != F.col("base")
+    return stats.select(
+        "pid", "family", "base", "n_new", "n_stored",
+        F.when(multi, F.lit("multi")).when(F.col("n_stored") == 0, F.lit("simple"))
+         .otherwise(F.lit("single")).alias("path"),
+        (multi & (F.col("__longest") + suffix_len <= F.lit(_MAX_REFERENCE))).alias("__split"))
 
 
 def _assign(keyed: DataFrame) -> DataFrame:
@@ -195,28 +203,22 @@ def _assign(keyed: DataFrame) -> DataFrame:
       already stored are found and the k-th new row takes the k-th free index,
       all with skew-safe numbering, so even a group holding a third of the table
       is spread over many tasks;
-    * several bases in one family (their candidates can meet, so the order of
+    * several bases in one group (their candidates can meet, so the order of
       rows across bases matters): the sequential counter in one sorted pass per
       partition (``mapInPandas``).
 
-    Families with no new row are dropped by the inner join.
+    Before that, families with several bases are split into the groups that can
+    really share candidates (``_refine_families``); only their rows take the
+    extra joins. Families with no new row are dropped by the inner join.
     """
-    keyed = _refine_families(materialise(keyed))
-    # one base <=> smallest and largest base of the new rows are equal (a plain
-    # partial/final aggregate; no distinct-count expansion and its extra shuffle)
-    new_ref = F.when(F.col("kind") == 0, F.col("ref"))
-    stats = (keyed.groupBy("pid", "family")
-             .agg(F.min(new_ref).alias("__min_base"), F.max(new_ref).alias("base"),
-                  F.sum(F.lit(1) - F.col("kind")).alias("n_new"),
-                  F.sum("kind").alias("n_stored"))
-             .filter(F.col("n_new") > 0)
-             .select("pid", "family", "base", "n_new", "n_stored",
-                     F.when(F.col("__min_base") != F.col("base"), F.lit("multi"))
-                      .when(F.col("n_stored") == 0, F.lit("simple"))
-                      .otherwise(F.lit("single")).alias("path")))
+    keyed = materialise(keyed)
+    cols = ["id", "pid", "ref", "kind", "family", "base", "n_new", "n_stored", "path"]
+    coarse = keyed.join(_group_stats(keyed), ["pid", "family"])
+    refined = _refine_families(coarse.filter(F.col("__split")).select("id", "pid", "ref", "kind", "family"))
+    regrouped = refined.join(_group_stats(refined), ["pid", "family"]).select(*cols)
     # every path below reads the tagged rows; write them once instead of scanning
     # and joining the table again for each reader
-    tagged = materialise(keyed.join(stats, ["pid", "family"]))
+    tagged = materialise(coarse.filter(~F.col("__split")).select(*cols).unionByName(regrouped))
 
     simple = tagged.filter(F.col("path") == "simple").select("id", "pid", "ref")
     seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")
