@@ -10,6 +10,7 @@ warm-up query runs once before timing starts so JVM start-up is not counted.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -44,6 +45,7 @@ def main() -> None:
             print(f"{name} failed: {type(exc).__name__}: {str(exc)[:200]}", file=sys.stderr)
             continue
         times[name] = round(time.perf_counter() - t0, 3)
+        gc.collect()  # drop the finished query's JVM-side objects before timing the next
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
