@@ -36,9 +36,9 @@ DUPLICATE_CHANGE = "More than one change for this id in the batch."
 def one_change_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes whose id occurs once, and ``id, reason`` for every change of an id
     that occurs more than once (reported, never silently dropped)."""
-    dup = changes.groupBy("id").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > 1).select("id")
-    unique = changes.join(dup, "id", "left_anti")
-    rejected = changes.join(dup, "id", "left_semi").select("id", F.lit(DUPLICATE_CHANGE).alias("reason"))
+    counted = changes.join(changes.groupBy("id").agg(F.count(F.lit(1)).alias("__c")), "id")
+    unique = counted.filter(F.col("__c") == 1).drop("__c")
+    rejected = counted.filter(F.col("__c") > 1).select("id", F.lit(DUPLICATE_CHANGE).alias("reason"))
     return unique, rejected
 
 
