@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import prices
 from vitrine.functions.text import php_trim
 from vitrine.operators import filters, quality
-from vitrine.operators.references import apply_references, assign_new_references
+from vitrine.operators.references import assign_new_references
 from vitrine.session import materialise
 from vitrine.sources import schemas
 
