@@ -9,7 +9,7 @@ suppliers at once use the skew-safe row numbering in ``windows``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,11 +246,19 @@ def active_variations(variations: DataFrame, product_id: int) -> DataFrame:
     return filters.active_strict(filters.of_parent(variations, product_id)).orderBy("id")
 
 
-@dataclass
 class Envelope:
-    """SNK-1: the counts and the page of a grid response."""
-    counts: DataFrame
-    page: DataFrame
+    """SNK-1: the counts and the page of a grid response (the page is planned on first use)."""
+
+    def __init__(self, counts: DataFrame, page: Callable[[], DataFrame]):
+        self.counts = counts
+        self._page_fn = page
+        self._page: DataFrame | None = None
+
+    @property
+    def page(self) -> DataFrame:
+        if self._page is None:
+            self._page = self._page_fn()
+        return self._page
 
     def write(self, path: str) -> None:
         self.counts.coalesce(1).write.mode("errorifexists").json(f"{path}/counts")
@@ -261,4 +269,4 @@ def product_envelope(products: DataFrame, users: DataFrame, variations: DataFram
                      length: int = DEFAULT_LENGTH, search: str | None = None,
                      supplier_id: int | None = None, mode: str = "like") -> Envelope:
     return Envelope(product_counts(products, users, search, supplier_id, mode),
-                    product_page(products, users, variations, start, length, search, supplier_id, mode))
+                    lambda: product_page(products, users, variations, start, length, search, supplier_id, mode))
