@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +50,17 @@ def shuffle_parts(spark: SparkSession) -> int:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids have a null fold."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
+
+
+def text_blocks(texts: Iterable[str | None], max_chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Consecutive texts in lists of about ``max_chars`` characters; null is the empty text."""
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        block.append(text or "")
+        size += len(block[-1])
+        if size >= max_chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import mixing, quality_rules, url_reputation
+from vitrine.llm import langid, mixing, packing, quality_model, quality_rules, token_counts, url_reputation
 from vitrine.sources.tables import raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = raw(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_model.classify(docs, raw(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = raw(spark, sf_dir, "documents", "doc_id", "source", "text")
@@ -33,6 +39,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(raw(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(raw(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(raw(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(raw(spark, sf_dir, "documents", "doc_id", "text", "lang"))
