@@ -131,16 +131,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     counted = counted.groupBy("lang", "rate", "step").agg(F.count("*").alias("n"))
     # step = cutoffs (loose to strict) that the value passes; it is above cutoff number k when step <= k
     total = Window.partitionBy("lang", "rate")
-    every = counted.groupBy("lang", "rate").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by_step"))
+    every = checkpointed(counted.groupBy("lang", "rate").agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by_step")))
+    m = max(1, every.count())
     tests = every.select(
         "lang", "rate", "n", "by_step", F.posexplode(grid).alias("k", "cutoff"))
     above = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(0).cast("long"),
                         lambda a, s: a + F.coalesce(F.try_element_at(F.col("by_step"), s), F.lit(0).cast("long")))
-    m = every.agg(F.count("*").alias("m"))
-    tests = tests.withColumn("x", above).join(m)  # one row
+    tests = tests.withColumn("x", above)
     tail = _log_tail(F.col("n").cast("double"), F.col("x"), alpha / len(RATES))
-    tests = tests.withColumn("refuted", tail <= F.ln(F.lit(delta) / F.col("m")))
+    tests = tests.withColumn("refuted", tail <= F.lit(math.log(delta / m)))
     stands = F.min(F.when(~F.col("refuted"), F.col("k"))).over(total)
     chosen = (tests.withColumn("__stop", stands)
               .filter(F.col("__stop").isNull() | (F.col("k") < F.col("__stop")))

@@ -72,13 +72,10 @@ def _shrunk(children: DataFrame, parents: DataFrame, key: str, parent: str) -> D
     spread = F.col("__m") * (1 - F.col("__m"))
     dev = F.col("bad") - F.col("n") * F.col("__m")
     rho = got.agg(F.try_divide(F.sum(dev * dev - F.col("n") * spread),
-                               F.sum(F.col("n") * (F.col("n") - 1) * spread)).alias("rho"))
-    rho = rho.select(F.least(F.greatest(F.coalesce("rho", F.lit(RHO[1])), F.lit(RHO[0])), F.lit(RHO[1])).alias("rho"))
-    kappa = rho.select((1 / F.col("rho") - 1).alias("kappa"))
-    a = F.col("kappa") * F.col("__m") + F.col("bad")
-    out = got.join(kappa)  # one row
-    return out.select(key, *([parent] if parent != key else []), "n", "bad", "kappa",
-                      (a / (F.col("kappa") + F.col("n"))).alias("mean"))
+                               F.sum(F.col("n") * (F.col("n") - 1) * spread)).alias("rho")).first()["rho"]
+    kappa = 1 / min(max(RHO[1] if rho is None else rho, RHO[0]), RHO[1]) - 1
+    mean = (kappa * F.col("__m") + F.col("bad")) / (kappa + F.col("n"))
+    return got.select(key, parent, "n", "bad", F.lit(kappa).alias("kappa"), mean.alias("mean"))
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
