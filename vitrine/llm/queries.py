@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import (balltree, html_crf, langid, mixing, packing, quality_model, quality_rules, token_counts,
-                         url_reputation)
+from vitrine.llm import (balltree, html_crf, langid, mixing, packing, partenum, quality_model, quality_rules,
+                         token_counts, url_reputation)
 from vitrine.sources.tables import raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ WHERE rank <= 20
 """
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.linked_groups(raw(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(raw(spark, sf_dir, "pages", "page_id", "url", "html"))
