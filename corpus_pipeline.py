@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import mixing, quality_rules
+from vitrine.llm import langid, mixing, packing, partenum, quality_rules
 from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources.tables import raw
 
@@ -21,14 +21,32 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.kept_documents(docs, raw(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found with enough confidence."""
+    return langid.kept_documents(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near copies."""
+    return partenum.one_of_each_group(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", apply_quality_rules),
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
     ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
 ]
 
 #: Hashing, a trained model and tokenization are not SQL; tests compare with brute force.
