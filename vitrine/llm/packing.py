@@ -43,12 +43,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 def pieces(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
-    file = tokens.read_vocabulary(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((file, tokens.whole_tokens(file)))
+    shared = docs.sparkSession.sparkContext.broadcast(tokens.read_vocabulary(vocabulary))
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.PieceEncoder(*shared.value)
+        encoder = tokens.Encoder(shared.value)
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in SCHEMA.names}
             texts = batch.column("text").to_pylist()

@@ -24,14 +24,13 @@ LIMIT = 1024
 
 def token_counts(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
-    file = tokens.read_vocabulary(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((file, tokens.whole_tokens(file)))
+    shared = docs.sparkSession.sparkContext.broadcast(tokens.read_vocabulary(vocabulary))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = tokens.PieceEncoder(*shared.value)
+        encoder = tokens.Encoder(shared.value)
         for texts in batches:
-            yield pd.Series([len(ids) // 4 for ids in encoder.ids(texts.tolist())], dtype="int64")
+            yield pd.Series(list(encoder.counts(texts.tolist())), dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))

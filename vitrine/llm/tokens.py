@@ -1,107 +1,151 @@
-"""Token ids of whole texts with a byte-level BPE file, few merges per text.
-
-A text is cut at single spaces. Before a space that does not touch other white
-space on both sides the pre-tokenizer always starts a new piece, so the pieces can
-be encoded one by one and give the same ids as the whole text. Texts in which a
-space is followed by more white space go through the library whole.
-
-``whole_tokens`` is the offline proof: it runs every string of the vocabulary through
-the library and keeps those that the pre-tokenizer leaves in one piece and that
-encode to their own id alone. A piece is split by the public pattern into
-pre-tokens; those in the proven set need no merges. The rest are merged by the
-library, each distinct one once per task while it stays in a bounded memo. Pieces
-with characters outside basic Latin text, where pattern libraries could differ, are
-given to the library as they are.
+"""Token ids and counts of whole texts with a byte-level BPE vocabulary.
+
+Three facts about the vocabulary are proven offline, on the driver, before any text
+is read:
+
+* ``whole_tokens``: the strings that the library leaves in one pre-token and encodes
+  to their own id alone. Such a pre-token counts one, without a merge.
+* ``merges_alike``: merging by the rank of the result, as the fast merger does, gives
+  the library's ids. The library joins only listed pairs, least rank first. The
+  fast merger could differ only by joining an unlisted pair whose concatenation is
+  a token. Inside the span of that token no pair crosses its ends, so the span went
+  through the same states as the token's own bytes would alone. It is enough,
+  then, that every token's bytes, merged with the ranks below its own, end as its
+  listed pair. Without that proof the library merges everything.
+* the pre-tokenizer of the file is the public pattern, without normalization.
+
+Texts with special strings, or with characters beyond ``PLAIN``, where pattern
+engines of different age could disagree, go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-
-import numpy as np
+from dataclasses import dataclass
 
 from vitrine.llm.common import ship_by_value, text_blocks
 
 ship_by_value(__name__)
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces and pre-tokens remembered by a task before it starts afresh.
-MEMO = 300_000
-_RAGGED = re.compile(r" [\s\x1c-\x1f\x85]")
-_PLAIN = r"[\t\n\x20-\x7e¡-ɏ]*"
+#: Distinct pre-tokens whose counts a task remembers before it starts afresh.
+MEMO = 500_000
+PLAIN = r"[\t\n\x20-\x7e¡-ɏ]*"
+
+
+@dataclass
+class Vocabulary:
+    """A tokenizer file and what is proven about it; sent to the tasks."""
+    file: str
+    whole: frozenset[str]
+    alike: bool
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 signs are
+    themselves, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranks_of(file: dict) -> dict[bytes, int]:
+    letters = byte_letters()
+    special = {t["content"] for t in file["added_tokens"]}
+    return {bytes(letters[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+
+
+def merges_alike(file: dict) -> bool:
+    model, pre = file["model"], file["pre_tokenizer"] or {}
+    if (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)
+            or file["normalizer"] or model.get("ignore_merges") or model.get("byte_fallback")):
+        return False
+    letters = byte_letters()
+    ranks = ranks_of(file)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    pairs = [tuple(bytes(letters[c] for c in part) for part in pair) for pair in pairs]
+    made = [ranks.get(a + b) for a, b in pairs]
+    if None in made or made != sorted(set(made)) or len(made) + 256 != len(ranks):
+        return False
+    for (a, b), rank in zip(pairs, made):
+        parts = [bytes([x]) for x in a + b]
+        while True:
+            joined = [ranks.get(x + y, rank) for x, y in zip(parts, parts[1:])]
+            least = min(joined)
+            if least >= rank:
+                break
+            i = joined.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
+def whole_tokens(file: str) -> frozenset[str]:
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_str(file)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    texts = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
+    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+    alone = [t for i, (t, e) in enumerate(zip(texts, encoded)) if e.ids == [i] and t not in special]
+    return frozenset(t for t in alone if len(tokenizer.pre_tokenizer.pre_tokenize_str(t)) == 1)
 
 
-def read_vocabulary(name: str = VOCABULARY) -> str:
-    """The tokenizer file, read once on the driver and sent to the tasks."""
+def read_vocabulary(name: str = VOCABULARY) -> Vocabulary:
+    """The tokenizer file, read once on the driver, and its proofs."""
     import public_tokenizers
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
-        return f.read()
+        file = f.read()
+    return Vocabulary(file, whole_tokens(file), merges_alike(json.loads(file)))
 
 
-def whole_tokens(vocabulary: str) -> dict[str, int]:
-    """Strings of the vocabulary proven to encode alone as their own single token."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_str(vocabulary)
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    texts = {i: tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())}
-    ids = [i for i, s in texts.items() if s and s not in special and "�" not in s]
-    encoded = tokenizer.encode_batch([texts[i] for i in ids], add_special_tokens=False)
-    alone = [i for i, e in zip(ids, encoded) if e.ids == [i]]
-    return {texts[i]: i for i in alone if len(tokenizer.pre_tokenizer.pre_tokenize_str(texts[i])) == 1}
+class Encoder:
+    """One task's encoder."""
 
-
-class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, vocabulary: str, whole: dict[str, int]):
+    def __init__(self, vocabulary: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
         import public_tokenizers
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        file = json.loads(vocabulary.file)
+        self.library = Tokenizer.from_str(vocabulary.file)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.is_plain = re.compile(PLAIN).fullmatch if vocabulary.alike else lambda text: None
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = re.compile(_PLAIN).fullmatch
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = {s: int(i).to_bytes(4, "little") for s, i in whole.items()}
-        self.merged: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _merge(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces (each after a space) into the memo."""
-        if len(self.merged) > MEMO:
-            self.merged.clear()
-        split: dict[str, list[str]] = {}
-        for piece in new:
-            text = " " + piece
-            if text not in self.whole:
-                special = any(s in text for s in self.specials)
-                split[piece] = [text] if special or not self.plain(text) else self.pretokens(text)
-        rest = list({p for parts in split.values() for p in parts if p not in self.whole and p not in self.merged})
-        self.merged.update(zip(rest, self._merge(rest)))
-        whole, merged = self.whole, self.merged
-        for piece in new:
-            parts = split.get(piece)
-            self.pieces[piece] = whole[" " + piece] if parts is None else b"".join(
-                [whole.get(p) or merged[p] for p in parts])
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        apart = [None if _RAGGED.search(t) else t.split(" ") for t in texts]
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        new = set().union(*[a[1:] for a in apart if a]) - self.pieces.keys()
-        if new:
-            self._learn(list(new))
-        heads = list(self._merge([t if a is None else a[0] for t, a in zip(texts, apart)]))
-        get = self.pieces.__getitem__
-        return [h if a is None else h + b"".join(map(get, a[1:])) for h, a in zip(heads, apart)]
+        self.merger = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                        mergeable_ranks=ranks_of(file)) if vocabulary.alike else None
+        self.whole = dict.fromkeys(vocabulary.whole, 1)
+        self.counts_of = dict(self.whole)
+
+    def _simple(self, text: str) -> bool:
+        return self.is_plain(text) is not None and not any(s in text for s in self.special)
+
+    def _library_ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; null is the empty text."""
+        """Ids of each text as little-endian unsigned 32-bit numbers; null is the empty text."""
+        for text in texts:
+            text = text or ""
+            if self._simple(text):
+                yield self.merger.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            else:
+                yield array("I", self._library_ids(text)).tobytes()
+
+    def counts(self, texts: list[str | None]) -> Iterator[int]:
+        """Tokens of each text: proven pre-tokens count one, only the rest is merged."""
+        known, merge = self.counts_of, self.merger
         for block in text_blocks(texts):
-            yield from self._block(block)
+            apart = [self.pretokens(t) if self._simple(t) else None for t in block]
+            if len(known) > MEMO:
+                known.clear()
+                known.update(self.whole)
+            for p in set().union(*[a for a in apart if a]) - known.keys():
+                known[p] = len(merge.encode_ordinary(p))
+            for text, parts in zip(block, apart):
+                yield len(self._library_ids(text)) if parts is None else sum(map(known.__getitem__, parts))
