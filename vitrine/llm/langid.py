@@ -124,12 +124,18 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> LanguageM
 
 
 def training_sample(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> DataFrame:
-    """At most ``max_docs`` labelled texts outside the held-out fold, in seeded hash order."""
-    return (docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-            .filter(F.length("text") <= max_chars)
-            .select("text", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("__h"), "doc_id")
-            .orderBy("__h", "doc_id", "text", "lang").limit(max_docs))
+    """At most ``max_docs`` labelled texts outside the held-out fold, in seeded hash order.
+
+    Ids are chosen first, so that no more than ``max_docs`` texts leave the executors.
+    """
+    fitting = (docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+               .filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+               .filter(F.length("text") <= max_chars)
+               .select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("__h")))
+    chosen = (fitting.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__order"))
+              .orderBy("__order", "__id").limit(max_docs).distinct())
+    found = fitting.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most max_docs ids
+    return found.orderBy("__h", "doc_id", "text", "lang").limit(max_docs).select("text", "lang")
 
 
 def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> LanguageModel | None:
