@@ -45,7 +45,7 @@ def test_normalisation_idempotent(spark):
 
 def test_variation_changes_keep_references_unique(spark):
     c = Catalogue(spark, SF_SMALL)
-    snap = changes.apply_variation_changes(c.product_variations, c.products, c.variation_changes).snapshot
+    snap = changes.apply_variation_changes(c.product_variations, c.products, c.users, c.variation_changes).snapshot
     new_refs = snap.join(c.variation_changes.select("id"), "id", "left_semi").filter(F.col("reference").isNotNull())
     assert new_refs.filter(F.length("reference") > 100).count() == 0
     dup = snap.filter(F.col("reference").isNotNull()).groupBy(F.upper("reference")).count().filter("count > 1")
@@ -58,7 +58,7 @@ def test_variation_changes_keep_references_unique(spark):
 def test_variation_changes_touch_only_changed_rows(spark):
     c = Catalogue(spark, SF_SMALL)
     v = c.product_variations
-    snap = changes.apply_variation_changes(v, c.products, c.variation_changes).snapshot
+    snap = changes.apply_variation_changes(v, c.products, c.users, c.variation_changes).snapshot
     changed = c.variation_changes.select("id")
     before = v.join(changed, "id", "left_anti")
     after = snap.join(changed, "id", "left_anti").select(*v.columns)
@@ -98,18 +98,18 @@ def test_batch_integrity_rules(spark):
     from vitrine.sources import schemas
     users = spark.createDataFrame([(1, "N", "P", "a@x.tn", "ROLE_ADMIN", None, False)], schemas.USERS)
     ch = spark.createDataFrame([
-        (10, "N", "P", "same@x.tn", "ROLE_ADMIN", None),
-        (11, "N", "P", "SAME@x.tn", "ROLE_ADMIN", None),
-        (12, "", "P", "other@x.tn", "ROLE_ADMIN", None),
-        (13, "N", "P", "other@x.tn", "ROLE_ADMIN", None),
-        (14, "N", "P", "dup@x.tn", "ROLE_ADMIN", None),
-        (14, "N", "P", "dup2@x.tn", "ROLE_ADMIN", None)], schemas.USER_CHANGES)
+        (10, "N", "P", "same@x.tn", "ROLE_ADMIN", None, 1),
+        (11, "N", "P", "SAME@x.tn", "ROLE_ADMIN", None, 1),
+        (12, "", "P", "other@x.tn", "ROLE_ADMIN", None, 1),
+        (13, "N", "P", "other@x.tn", "ROLE_ADMIN", None, 1),
+        (14, "N", "P", "dup@x.tn", "ROLE_ADMIN", None, 1),
+        (14, "N", "P", "dup2@x.tn", "ROLE_ADMIN", None, 2)], schemas.USER_CHANGES)
     res = changes.apply_user_changes(users, ch)
     rej_rows = [(r.id, r.reason) for r in res.rejected.collect()]
     rej = set(rej_rows)
     assert (11, "Cet email est déjà utilisé.") in rej          # 10 claimed it first
     assert (12, "Le nom est obligatoire.") in rej              # invalid row does not win the e-mail...
     assert not any(i == 13 for i, _ in rej)                    # ...so 13 gets it
-    assert sum(1 for i, _ in rej_rows if i == 14) == 2         # both changes of id 14 reported
-    snap = {r.id for r in res.snapshot.collect()}
-    assert snap == {1, 10, 13}
+    assert [r for r in rej_rows if r[0] == 14] == [(14, changes.SUPERSEDED)]
+    snap = {r.id: r.email for r in res.snapshot.collect()}
+    assert snap == {1: "a@x.tn", 10: "same@x.tn", 13: "other@x.tn", 14: "dup2@x.tn"}

@@ -20,7 +20,7 @@ def test_dq12_duplicates_ignore_case_accents_and_trailing_spaces(spark):
 
 
 def test_dq9_email_pattern(spark):
-    ch = spark.createDataFrame([(1, "N", "P", e, "ROLE_ADMIN", None) for e in
+    ch = spark.createDataFrame([(1, "N", "P", e, "ROLE_ADMIN", None, 1) for e in
                                 ["a@b.tn", "a@b", "a b@c.tn", "", "x.y+z@sub.example.com"]], schemas.USER_CHANGES)
     ch = ch.withColumn("id", F.monotonically_increasing_id() + 10)
     out = {r.email: r.first_message for r in
@@ -40,15 +40,16 @@ def test_dq21_dq22_image_keys(spark):
 
 
 def test_dq14_dq15_intake_order(spark):
-    users = spark.createDataFrame([(3, "N", "P", "s@x.tn", "ROLE_FOURNISSEUR", "T", False)], schemas.USERS)
+    users = spark.createDataFrame([(3, "N", "P", "s@x.tn", "ROLE_FOURNISSEUR", "T", False),
+                                   (1, "N", "P", "a@x.tn", "ROLE_ADMIN", None, False)], schemas.USERS)
     intake = spark.createDataFrame([
-        (1, "Chaise", "D", "10", "bundle", "5", 3),
-        (2, "Chaise", "D", "10", "standard", "-1", 3),
-        (3, "Chaise", "D", "10", "variations", "-1", 3),
-        (4, " ", "D", "1.2345", "standard", "2", 3),
-        (5, "Chaise", "D", "12,5", "standard", "2", 9),
-        (6, "Chaise", "D", "12,5", "standard", " 2 ", 3)], schemas.PRODUCT_INTAKE)
-    out = {r.id: r.first_message for r in quality.validate_intake(intake, users).collect()}
+        (1, "Chaise", "D", "10", "bundle", "5", 3, 1, None, 1),
+        (2, "Chaise", "D", "10", "standard", "-1", 3, 1, None, 1),
+        (3, "Chaise", "D", "10", "variations", "-1", 3, 1, None, 1),
+        (4, " ", "D", "1.2345", "standard", "2", 3, 1, None, 1),
+        (5, "Chaise", "D", "12,5", "standard", "2", 9, 1, None, 1),
+        (6, "Chaise", "D", "12,5", "standard", " 2 ", 3, 3, None, 1)], schemas.PRODUCT_INTAKE)
+    out = {r.id: r.first_message for r in quality.validate_intake(intake, users, spark.createDataFrame([], schemas.PRODUCTS)).collect()}
     assert out[1] == quality.MSG["type_invalid"]
     assert out[2] == quality.MSG["stock_negative"]
     assert out[3] is None                      # negative stock only matters for standard products

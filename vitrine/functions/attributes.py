@@ -32,11 +32,17 @@ def attributes_valid(attributs: Column) -> Column:
     return (F.regexp_replace(attributs, r"\s", "") == "[]") | F.from_json(attributs, MAP_TYPE).isNotNull()
 
 
+def stored_attributes(m: Column) -> Column:
+    """Map -> the JSON text that is stored; an empty map is the empty list."""
+    return F.when(F.size(m) == 0, F.lit("[]")).otherwise(F.to_json(m))
+
+
 def attribute_text(attributs: Column) -> Column:
     """``name : value`` per entry in stored order, ``Standard`` when there is none."""
     m = parse_attributes(attributs)
     text = F.array_join(F.transform(F.map_entries(m),
-                                    lambda e: F.concat(e["key"], F.lit(PAIR_SEPARATOR), e["value"])),
+                                    lambda e: F.concat(e["key"], F.lit(PAIR_SEPARATOR),
+                                                       F.coalesce(e["value"], F.lit("")))),
                         LIST_SEPARATOR)
     return F.when(F.size(m) == 0, F.lit(NO_ATTRIBUTES)).otherwise(text)
 

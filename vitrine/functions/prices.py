@@ -35,6 +35,11 @@ def parse_price(c: Column) -> Column:
     return F.when(price_matches_pattern(c), c.try_cast(PRICE))
 
 
+def price_out_of_range(c: Column) -> Column:
+    """The text passes the pattern but does not fit decimal(10,3)."""
+    return price_matches_pattern(c) & c.try_cast(PRICE).isNull()
+
+
 def php_negative(c: Column) -> Column:
     """``$x >= 0`` is false for a text value under PHP 8 comparison rules.
 

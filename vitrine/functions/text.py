@@ -6,6 +6,7 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -71,6 +72,12 @@ def php_concat(*parts: Column | str) -> Column:
     return F.concat(*cols)
 
 
+def like_text(term: str) -> str:
+    """The term as part of a LIKE pattern: ``%`` and ``_`` stay wildcards, and a
+    backslash stays an escape only before one of them."""
+    return re.sub(r"\\(?![%_])", r"\\\\", term)
+
+
 def search_predicate(columns: list[Column], term: str | None, mode: str = "like") -> Column | None:
     """OR of ``col LIKE '%term%'`` over ``columns`` under the case/accent-insensitive collation.
 
@@ -80,7 +87,7 @@ def search_predicate(columns: list[Column], term: str | None, mode: str = "like"
     """
     if term is None or term == "":
         return None
-    folded_term = F.lower(strip_accents(F.lit(term)))
+    folded_term = F.lower(strip_accents(F.lit(like_text(term) if mode == "like" else term)))
     if mode == "like":
         pattern = F.concat(F.lit("%"), folded_term, F.lit("%"))
         preds = [F.like(fold(c), pattern) for c in columns]
@@ -93,4 +100,4 @@ def search_predicate(columns: list[Column], term: str | None, mode: str = "like"
 
 def binary_like_predicate(c: Column, term: str) -> Column:
     """Case-sensitive LIKE on raw text (JSON columns carry a binary collation, T5)."""
-    return F.like(c, F.lit("%" + term + "%"))
+    return F.like(c, F.lit("%" + like_text(term) + "%"))

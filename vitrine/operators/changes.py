@@ -16,30 +16,55 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import prices
 from vitrine.functions.text import php_trim
-from vitrine.operators import filters, quality
+from vitrine.operators import filters, quality, summary
 from vitrine.operators.references import assign_new_references
 from vitrine.session import materialise
 from vitrine.sources import schemas
+from vitrine.sources.snapshots import publish
 
 # The reference's answers for a missing row and for refused access.
 PRODUCT_NOT_FOUND = "Produit introuvable."
 VARIATION_NOT_FOUND = "Variation introuvable."
+USER_NOT_FOUND = "user_not_found"
 ACCOUNT_DISABLED = "Ce compte est désactivé."
 EDIT_DENIED = "Vous ne pouvez pas modifier ce produit."
+DELETE_DENIED = "Vous ne pouvez pas supprimer ce produit."
+VARIATION_DENIED = "Vous ne pouvez pas gérer les variations de ce produit."
 
+# Batch rule of these jobs (requests arrive one at a time in the reference, so it
+# has no equivalent): of several changes of one id the last one is applied.
+SUPERSEDED = "Superseded by a later change of the same id in the batch."
 
-# Batch rule of these jobs (requests arrive one at a time in the reference, so
-# it has no equivalent): a change set may change an id only once.
-DUPLICATE_CHANGE = "More than one change for this id in the batch."
+# Ids of default variations: this start value plus the id of the product, which is
+# new. Other variations have ids below the start value.
+DEFAULT_VARIATION_START = 1 << 42
 
 
-def one_change_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changes whose id occurs once, and ``id, reason`` for every change of an id
-    that occurs more than once (reported, never silently dropped)."""
-    counted = changes.join(changes.groupBy("id").agg(F.count(F.lit(1)).alias("__c")), "id")
-    unique = counted.filter(F.col("__c") == 1).drop("__c")
-    rejected = counted.filter(F.col("__c") > 1).select("id", F.lit(DUPLICATE_CHANGE).alias("reason"))
-    return unique, rejected
+def last_change_per_id(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The change of each id with the greatest ``seq``, and ``id, reason`` for every other one.
+
+    Changes with equal ``seq`` are ordered by their other columns; exact repeats of
+    the last change are the same change. The maximum is combined in each task
+    before the shuffle, so an id with very many changes is not one task's rows.
+    """
+    names = ["seq"] + [c for c in changes.columns if c not in ("id", "seq")]
+    last = changes.groupBy("id").agg(F.max(F.struct(*names)).alias("__last"))
+    kept = last.select("id", *[F.col("__last").getField(c).alias(c) for c in names]).select(*changes.columns)
+    other = changes.select("id", F.struct(*names).alias("__own")).join(last, "id")
+    superseded = other.filter(F.col("__own") < F.col("__last")).select("id", F.lit(SUPERSEDED).alias("reason"))
+    return kept, superseded
+
+
+def _accounts(users: DataFrame) -> DataFrame:
+    return users.select(F.col("id").alias("__aid"), F.col("role").alias("__arole"), F.col("is_deleted").alias("__adel"))
+
+
+def _refused_account() -> Column:
+    return F.col("__aid").isNull() | F.coalesce(F.col("__adel"), F.lit(False))
+
+
+def _is_admin() -> Column:
+    return F.coalesce(F.col("__arole") == filters.ROLE_ADMIN, F.lit(False))
 
 
 @dataclass
@@ -62,56 +87,107 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
 
 
 def soft_delete(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """CHG-1 / CHG-3: flag the given ids deleted; no cascade, already-deleted rows allowed."""
+    """The table with the given ids flagged deleted; no cascade, already-deleted rows allowed."""
     hits = ids.select(F.col("id").alias("__hit")).distinct()
     return (table.join(hits, table.id == hits.__hit, "left")
             .withColumn("is_deleted", F.when(F.col("__hit").isNotNull(), F.lit(True)).otherwise(F.col("is_deleted")))
             .drop("__hit"))
 
 
-def apply_variation_deletes(variations: DataFrame, products: DataFrame, ids: DataFrame) -> ChangeResult:
-    """CHG-2: a variation is deleted only when it and its product exist and are active."""
-    req = ids.select(F.col("id").alias("req_id")).distinct()
+def apply_product_deletes(products: DataFrame, users: DataFrame, requests: DataFrame) -> ChangeResult:
+    """CHG-1: an existing product (deleted ones too) is deleted for an admin or its supplier."""
+    p = products.select(F.col("id").alias("__pid"), F.col("fournisseur_id").alias("__owner"))
+    asked = requests.select("id", "actor_id").distinct()
+    checked = (asked.join(p, asked.id == p.__pid, "left")
+               .join(_accounts(users), F.col("actor_id") == F.col("__aid"), "left"))
+    reason = _first_reason(
+        (F.col("__pid").isNull(), PRODUCT_NOT_FOUND),
+        (_refused_account(), ACCOUNT_DISABLED),
+        (~_is_admin() & ~F.col("__owner").eqNullSafe(F.col("actor_id")), DELETE_DENIED))
+    checked = checked.select("id", reason.alias("reason"))
+    accepted = checked.filter(F.col("reason").isNull()).select("id")
+    return ChangeResult(soft_delete(products, accepted), checked.filter(F.col("reason").isNotNull()), accepted)
+
+
+def apply_user_deletes(users: DataFrame, requests: DataFrame) -> ChangeResult:
+    """CHG-3: an existing user (deleted ones too) is deleted; the request comes from an admin."""
+    asked = requests.select("id").distinct()
+    known = users.select(F.col("id").alias("__uid"))
+    unknown = asked.join(known, asked.id == known.__uid, "left_anti")
+    return ChangeResult(soft_delete(users, asked), unknown.select("id", F.lit(USER_NOT_FOUND).alias("reason")))
+
+
+def check_variation_deletes(variations: DataFrame, products: DataFrame, users: DataFrame,
+                            requests: DataFrame) -> DataFrame:
+    """id, product_id and reason (NULL when accepted) of every request."""
+    req = requests.select(F.col("id").alias("req_id"), "actor_id").distinct()
     v = variations.select(F.col("id").alias("__vid"), F.col("product_id").alias("__vpid"),
                           F.col("is_deleted").alias("__vdel"))
-    p = products.select(F.col("id").alias("__pid"), F.col("is_deleted").alias("__pdel"))
+    p = products.select(F.col("id").alias("__pid"), F.col("is_deleted").alias("__pdel"),
+                        F.col("fournisseur_id").alias("__owner"))
     checked = (req.join(v, req.req_id == v.__vid, "left")
-               .join(p, F.col("__vpid") == F.col("__pid"), "left"))
+               .join(p, F.col("__vpid") == F.col("__pid"), "left")
+               .join(_accounts(users), F.col("actor_id") == F.col("__aid"), "left"))
     reason = _first_reason(
+        (_refused_account(), ACCOUNT_DISABLED),
         (F.col("__vid").isNull() | F.coalesce(F.col("__vdel"), F.lit(False)), VARIATION_NOT_FOUND),
-        (F.col("__pid").isNull() | F.coalesce(F.col("__pdel"), F.lit(False)), PRODUCT_NOT_FOUND))
-    checked = checked.select(F.col("req_id").alias("id"), F.col("__vpid").alias("product_id"), reason.alias("reason"))
+        (F.col("__pid").isNull() | F.coalesce(F.col("__pdel"), F.lit(False)), PRODUCT_NOT_FOUND),
+        (~_is_admin() & ~F.col("__owner").eqNullSafe(F.col("actor_id")), VARIATION_DENIED))
+    return checked.select(F.col("req_id").alias("id"), F.col("__vpid").alias("product_id"), reason.alias("reason"))
+
+
+def apply_variation_deletes(variations: DataFrame, products: DataFrame, users: DataFrame,
+                            requests: DataFrame) -> ChangeResult:
+    """CHG-2: a variation is deleted when it and its product exist and are active, for an
+    admin or the product's supplier."""
+    checked = check_variation_deletes(variations, products, users, requests)
     accepted = checked.filter(F.col("reason").isNull()).select("id", "product_id")
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason")
     return ChangeResult(soft_delete(variations, accepted.select("id")), rejected, accepted)
 
 
-def intake(intake_rows: DataFrame, users: DataFrame, checked: DataFrame | None = None
+def stock_after_deletes(variations: DataFrame, products: DataFrame, users: DataFrame, requests: DataFrame) -> DataFrame:
+    """AGG-9: stock totals of the products that lose a variation, after the deletes.
+
+    The variations are cut down to the touched products before the deleted ones
+    are taken out, so the work after the semi join follows the change set.
+    """
+    accepted = materialise(check_variation_deletes(variations, products, users, requests)
+                           .filter(F.col("reason").isNull()).select("id", "product_id"))
+    touched = accepted.select(F.col("product_id").alias("id")).distinct()
+    near = filters.by_keys(filters.active_strict(variations), touched, column="product_id")
+    gone = accepted.select(F.col("id").alias("__gone"))
+    left = near.join(gone, near.id == gone.__gone, "left_anti")
+    return summary.refreshed_stock(left, accepted)
+
+
+def intake(intake_rows: DataFrame, users: DataFrame, products: DataFrame, checked: DataFrame | None = None
            ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """CHG-4: validate intake rows; return (new products, default variations, rejected).
 
     Both outputs are derived from the same validated rows, so a product is
     written only together with its default variation (``standard`` type).
-    The new rows keep the intake ``id``; a default variation takes the id of its
-    product, which is new in the variation table as well. ``checked`` may pass
-    an already validated (and materialised) intake.
+    The new rows keep the intake ``id``, which may not be stored yet; a default
+    variation's id is ``DEFAULT_VARIATION_START`` plus that id, a range that no
+    other variation uses. ``checked`` may pass an already validated (and
+    materialised) intake.
     """
-    unique, dups = one_change_per_id(intake_rows)
+    last, superseded = last_change_per_id(intake_rows)
     if checked is None:
-        checked = quality.validate_intake(unique, users)
+        checked = quality.validate_intake(last, users, products)
     ok = checked.filter(F.col("n_violations") == 0)
     new_products = _conform(ok.select(
-        "id", "libelle", "description", F.lit(None).cast("string").alias("image"),
+        "id", "libelle", "description", "image",
         prices.parse_price(F.col("prix")).alias("prix"), "fournisseur_id",
         F.lit(False).alias("is_deleted")), schemas.PRODUCTS)
     std = ok.filter(F.col("product_type") == "standard")
     defaults = _conform(std.select(
-        F.col("id"), F.col("id").alias("product_id"), F.col("libelle"), F.lit("[]").alias("attributs"),
-        F.lit(0).cast(schemas.PRICE).alias("prix_supplement"), F.col("stock"),
+        (F.col("id") + DEFAULT_VARIATION_START).alias("id"), F.col("id").alias("product_id"), F.col("libelle"),
+        F.lit("[]").alias("attributs"), F.lit(0).cast(schemas.PRICE).alias("prix_supplement"), F.col("stock"),
         F.lit(0).cast("bigint").alias("stock_utilise"), F.lit(None).cast("string").alias("reference"),
         F.lit(False).alias("is_deleted")), schemas.VARIATIONS)
     rejected = checked.filter(F.col("n_violations") > 0).select("id", F.col("first_message").alias("reason"))
-    return new_products, defaults, rejected.unionByName(dups)
+    return new_products, defaults, rejected.unionByName(superseded)
 
 
 def with_default_references(defaults: DataFrame, variations: DataFrame) -> DataFrame:
@@ -123,10 +199,11 @@ def with_default_references(defaults: DataFrame, variations: DataFrame) -> DataF
             .select(*defaults.columns))
 
 
-def intake_default_variations(intake_rows: DataFrame, users: DataFrame, variations: DataFrame) -> DataFrame:
+def intake_default_variations(intake_rows: DataFrame, users: DataFrame, products: DataFrame,
+                              variations: DataFrame) -> DataFrame:
     """Default variations of accepted ``standard`` intake rows, with references assigned
     against every stored reference."""
-    _, defaults, _ = intake(intake_rows, users)
+    _, defaults, _ = intake(intake_rows, users, products)
     return with_default_references(materialise(defaults), variations)
 
 
@@ -137,20 +214,24 @@ def write_intake(intake_rows: DataFrame, users: DataFrame, products: DataFrame,
 
     The intake is validated once (checkpointed), and both tables come from that
     one result, so a new product is never written without its default
-    variation. The root is complete when all three directories carry their
-    ``_SUCCESS`` marker; a reader switches to it only then.
+    variation. The root's own marker is written last, when every table is there;
+    readers refuse a root without it.
     """
-    checked = materialise(quality.validate_intake(one_change_per_id(intake_rows)[0], users))
-    new_products, defaults, rejected = intake(intake_rows, users, checked)
+    checked = materialise(quality.validate_intake(last_change_per_id(intake_rows)[0], users, products))
+    new_products, defaults, rejected = intake(intake_rows, users, products, checked)
     defaults = with_default_references(defaults, variations)
     root = out_root.rstrip("/")
     rejected.write.mode("errorifexists").parquet(f"{root}/rejected_intake")
     products.unionByName(new_products).write.mode("errorifexists").parquet(f"{root}/products")
     variations.unionByName(defaults).write.mode("errorifexists").parquet(f"{root}/product_variations")
+    publish(products.sparkSession, root)
 
 
 def write_change_result(result: ChangeResult, table: str, out_root: str) -> None:
-    """Write the next snapshot of ``table`` and its rejected changes under a new root."""
+    """Write the next snapshot of ``table`` and its rejected changes under a new root.
+
+    The caller publishes the root once all its tables are there.
+    """
     root = out_root.rstrip("/")
     result.rejected.write.mode("errorifexists").parquet(f"{root}/rejected_{table}")
     result.snapshot.write.mode("errorifexists").parquet(f"{root}/{table}")
@@ -162,13 +243,13 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
     Checks in the reference's order: product exists (deleted ones too, T15),
     actor may sign in, actor is admin or owner, entity rules, and for admins the
     chosen supplier is an active supplier (others keep themselves as supplier).
-    Image: removed when asked, replaced by a new upload, else kept.
+    Image: removed when asked, replaced by a new upload (its key must be well formed
+    and in the folder of the product's supplier), else kept.
     """
-    actors = users.select(F.col("id").alias("__aid"), F.col("role").alias("__arole"),
-                          F.col("is_deleted").alias("__adel"))
+    actors = _accounts(users)
     sup = filters.active_suppliers(users).select(F.col("id").alias("__sid"))
     cur = products.select(*[F.col(c).alias("old_" + c) for c in products.columns])
-    updates, dups = one_change_per_id(updates)
+    updates, dups = last_change_per_id(updates)
     u = updates.select(
         "id", "actor_id", "remove_image", "new_image",
         php_text("libelle"), php_text("description"),
@@ -177,14 +258,17 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
     j = (u.join(cur, u.id == cur.old_id, "left")
          .join(actors, u.actor_id == actors.__aid, "left")
          .join(sup, u.req_fournisseur_id == sup.__sid, "left"))
-    is_admin = F.coalesce(F.col("__arole") == filters.ROLE_ADMIN, F.lit(False))
+    is_admin = _is_admin()
     is_owner = F.col("old_fournisseur_id").eqNullSafe(F.col("actor_id"))
+    supplier = F.when(is_admin, F.col("req_fournisseur_id")).otherwise(F.col("actor_id"))
     entity = quality.violations(quality.product_rules(F.col("libelle"), F.col("description"), F.col("prix")))
     reason = (F.when(F.col("old_id").isNull(), F.lit(PRODUCT_NOT_FOUND))
-              .when(F.col("__aid").isNull() | F.coalesce(F.col("__adel"), F.lit(False)), F.lit(ACCOUNT_DISABLED))
+              .when(_refused_account(), F.lit(ACCOUNT_DISABLED))
               .when(~is_admin & ~is_owner, F.lit(EDIT_DENIED))
               .when(F.size(entity) > 0, F.get(entity, 0)["message"])
-              .when(is_admin & F.col("__sid").isNull(), F.lit(quality.MSG["supplier_invalid"])))
+              .when(is_admin & F.col("__sid").isNull(), F.lit(quality.MSG["supplier_invalid"]))
+              .when(F.col("new_image").isNotNull() & ~quality.image_key_allowed(F.col("new_image"), supplier),
+                    F.lit(quality.MSG["image_invalid"])))
     image = (F.when(F.col("new_image").isNotNull(), F.col("new_image"))
              .when(F.coalesce(F.col("remove_image"), F.lit(False)), F.lit(None).cast("string"))
              .otherwise(F.col("old_image")))
@@ -192,7 +276,7 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
     accepted = checked.filter(F.col("reason").isNull()).select(
         F.col("id").alias("__uid"), F.col("libelle").alias("__libelle"), F.col("description").alias("__description"),
         image.alias("__image"), prices.parse_price(F.col("prix")).alias("__prix"),
-        F.when(is_admin, F.col("req_fournisseur_id")).otherwise(F.col("actor_id")).alias("__fid"))
+        supplier.alias("__fid"), F.col("old_image").alias("__old_image"))
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "reason").unionByName(dups)
     merged = products.join(accepted, products.id == accepted.__uid, "left")
     hit = F.col("__uid").isNotNull()
@@ -202,22 +286,31 @@ def apply_product_updates(products: DataFrame, users: DataFrame, updates: DataFr
         F.when(hit, F.col("__prix")).otherwise(F.col("prix")).alias("prix"),
         F.when(hit, F.col("__fid")).otherwise(F.col("fournisseur_id")).alias("fournisseur_id"),
         "is_deleted")
-    return ChangeResult(_conform(snap, schemas.PRODUCTS), rejected)
+    return ChangeResult(_conform(snap, schemas.PRODUCTS), rejected, accepted)
+
+
+def replaced_image_keys(result: ChangeResult) -> DataFrame:
+    """id, image: old image files that accepted product updates leave without their product."""
+    old, new = F.col("__old_image"), F.col("__image")
+    return (result.accepted.filter(old.isNotNull() & (old != "") & ~old.eqNullSafe(new))
+            .select(F.col("__uid").alias("id"), old.alias("image")))
 
 
 def php_text(name: str) -> Column:
     return php_trim(F.col(name)).alias(name)
 
 
-def check_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> DataFrame:
+def check_variation_changes(variations: DataFrame, products: DataFrame, users: DataFrame,
+                            changes: DataFrame) -> DataFrame:
     """CHG-6 checks: normalised change rows with ``reason`` (NULL when accepted).
 
     An update needs an active variation and an active parent; an insert needs
-    an active parent (lenient). Fields are normalised as the form handler does;
+    an active parent (lenient); both need an admin or the parent's supplier. Attributes
+    that cannot be read, and prices that cannot be stored, are refused. Fields are normalised as the form handler does;
     an update keeps the variation's product, used stock (``__used``) and stored
     reference (``__ref``).
     """
-    changes, dups = one_change_per_id(changes)
+    changes, dups = last_change_per_id(changes)
     cur = variations.select(F.col("id").alias("__vid"), F.col("product_id").alias("__vpid"),
                             F.col("is_deleted").alias("__vdel"), F.col("stock_utilise").alias("__used"),
                             F.col("reference").alias("__ref"))
@@ -225,23 +318,29 @@ def check_variation_changes(variations: DataFrame, products: DataFrame, changes:
     is_update = F.col("__vid").isNotNull()
     c = c.withColumn("product_id", F.when(is_update, F.col("__vpid")).otherwise(F.col("product_id")))
     norm = quality.normalise_variation_changes(c.drop("__vpid"), products) \
-        .join(c.select(F.col("id").alias("__cid"), "__vid", "__vdel", "__used", "__ref"),
+        .join(c.select(F.col("id").alias("__cid"), "actor_id", "__vid", "__vdel", "__used", "__ref"),
               F.col("id") == F.col("__cid")).drop("__cid")
-    p = products.select(F.col("id").alias("__pid"), F.col("is_deleted").alias("__pdel"))
-    norm = norm.join(p, norm.product_id == p.__pid, "left")
+    p = products.select(F.col("id").alias("__pid"), F.col("is_deleted").alias("__pdel"),
+                        F.col("fournisseur_id").alias("__owner"))
+    norm = (norm.join(p, norm.product_id == p.__pid, "left")
+            .join(_accounts(users), F.col("actor_id") == F.col("__aid"), "left"))
     used = F.coalesce(F.col("__used"), F.lit(0)).cast("bigint")
     entity = quality.violations(quality.variation_rules(F.col("libelle"), F.col("prix_supplement"),
                                                         F.col("stock"), used, F.col("__ref")))
     parent_missing = F.col("__pid").isNull() | F.coalesce(F.col("__pdel"), F.lit(False))
-    reason = (F.when(F.col("__vid").isNotNull() & F.coalesce(F.col("__vdel"), F.lit(False)), F.lit(VARIATION_NOT_FOUND))
+    reason = (F.when(_refused_account(), F.lit(ACCOUNT_DISABLED))
+              .when(F.col("__vid").isNotNull() & F.coalesce(F.col("__vdel"), F.lit(False)), F.lit(VARIATION_NOT_FOUND))
               .when(parent_missing, F.lit(PRODUCT_NOT_FOUND))
+              .when(~_is_admin() & ~F.col("__owner").eqNullSafe(F.col("actor_id")), F.lit(VARIATION_DENIED))
+              .when(~F.col("attributs_ok"), F.lit(quality.MSG["attributes_invalid"]))
               .when(F.col("stock").isNull(), F.lit(quality.MSG["stock_not_integer"]))
               .when(F.size(entity) > 0, F.get(entity, 0)["message"]))
     checked = norm.withColumn("__used", used).withColumn("reason", reason)
     return checked.unionByName(dups, allowMissingColumns=True)
 
 
-def apply_variation_changes(variations: DataFrame, products: DataFrame, changes: DataFrame) -> ChangeResult:
+def apply_variation_changes(variations: DataFrame, products: DataFrame, users: DataFrame,
+                            changes: DataFrame) -> ChangeResult:
     """CHG-6: variation inserts (unknown id) and updates (known id).
 
     Accepted rows replace or extend the table. A changed row without a stored
@@ -249,7 +348,7 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
     reference; rows outside the change set are left as they are.
     """
     # the checked change set (its size, not the table's) feeds several joins below
-    checked = materialise(check_variation_changes(variations, products, changes))
+    checked = materialise(check_variation_changes(variations, products, users, changes))
     ok = checked.filter(F.col("reason").isNull())
     rows = _conform(ok.select(
         "id", "product_id", "libelle", "attributs",
@@ -266,7 +365,7 @@ def apply_variation_changes(variations: DataFrame, products: DataFrame, changes:
 
 def apply_user_changes(users: DataFrame, changes: DataFrame) -> ChangeResult:
     """CHG-7: user inserts and updates (no deleted check on edit, T15)."""
-    changes, dups = one_change_per_id(changes)
+    changes, dups = last_change_per_id(changes)
     checked = quality.validate_user_changes(changes, users)
     ok = checked.filter(F.col("n_violations") == 0)
     cur = users.select(F.col("id").alias("__id"), F.col("is_deleted").alias("__del"))

@@ -57,8 +57,7 @@ def by_keys(df: DataFrame, keys: DataFrame | Iterable[int], column: str = "id",
     DataFrame of keys becomes a left-semi join.
     """
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(F.col(key_column).alias("__key")).distinct(),
-                       F.col(column) == F.col("__key"), "left_semi")
+        return df.join(keys.select(F.col(key_column).alias("__key")), F.col(column) == F.col("__key"), "left_semi")
     keys = list(keys)
     if not keys:
         return df.limit(0)

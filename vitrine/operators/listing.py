@@ -18,6 +18,7 @@ from vitrine.functions import attributes as attrs
 from vitrine.functions import prices
 from vitrine.functions.text import falsy_default, php_concat
 from vitrine.operators import filters, summary
+from vitrine.session import materialise
 
 # Page sizes of the server and of the grids, the variation page
 # bounds, and the text shown for a missing supplier / trade name / reference.
@@ -80,35 +81,30 @@ def with_summary(rows: DataFrame, summ: DataFrame) -> DataFrame:
             .drop("stock_total"))
 
 
-def page_with_summary(page: DataFrame, variations: DataFrame) -> DataFrame:
-    """Attach stock and supplement flag to a bounded page of products.
-
-    The page (at most ``length`` rows) is the build side of the join with the
-    active variations, so the page is computed once and the variations are
-    only streamed; the aggregate is partial per task before its shuffle, so a
-    product with a huge number of variations is pre-summed where it is read.
-    """
-    v = filters.active_strict(variations).select(F.col("product_id").alias("__pid"), "stock", "prix_supplement")
-    cols = page.columns
-    joined = page.join(v, page.id == v.__pid, "left")
-    return (joined.groupBy(*cols)
-            .agg(F.coalesce(F.sum("stock"), F.lit(0)).cast("bigint").alias("stock"),
-                 F.coalesce(F.max("prix_supplement").cast("double") > 0, F.lit(False)).alias("has_price_supplement")))
-
-
 def product_page(products: DataFrame, users: DataFrame, variations: DataFrame,
                  start: int = 0, length: int = DEFAULT_LENGTH, search: str | None = None,
                  supplier_id: int | None = None, mode: str = "like") -> DataFrame:
     """The product grid page: newest first, offset/limit, with stock summary.
 
-    The summary covers only the products on the page, as the reference does
-    with its IN list.
+    Without a search the page is cut from the products alone; it is written once
+    (at most ``length`` rows), and users and variations are reduced by semi joins
+    with its few keys before anything else happens to them. A search looks at the
+    supplier's names too, so then the join comes first. The summary covers only the
+    products on the page, as the reference does with its IN list.
     """
     start, length = clamp_page(start, length)
-    listing = product_listing(products, users, search, supplier_id, mode)
-    page = product_rows(listing).orderBy(F.col("id").desc()).offset(start).limit(length)
-    # the aggregate does not keep row order; re-sort the (at most ``length``) page rows
-    return page_with_summary(page, variations).orderBy(F.col("id").desc())
+    newest = F.col("id").desc()
+    if search:
+        listing = product_listing(products, users, search, supplier_id, mode)
+        rows = materialise(product_rows(listing).orderBy(newest).offset(start).limit(length))
+    else:
+        scope = filters.for_supplier(filters.active_strict(products), supplier_id)
+        page = materialise(scope.select("id", "libelle", "description", "image", "prix", "fournisseur_id")
+                           .orderBy(newest).offset(start).limit(length))
+        owners = filters.by_keys(users, page, key_column="fournisseur_id")
+        rows = product_rows(product_supplier_join(page, owners))
+    summ = summary.stock_summary(variations, rows.select("id") if search else page.select("id"))
+    return with_summary(rows, summ).orderBy(newest)
 
 
 def product_counts(products: DataFrame, users: DataFrame, search: str | None = None,

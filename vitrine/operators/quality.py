@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import attributes as attrs
-from vitrine.functions import prices
+from vitrine.functions import images, prices
 from vitrine.functions.text import fold_key, php_trim
 from vitrine.operators import filters
 
@@ -50,6 +50,11 @@ MSG = {
     "type_invalid": "Le type de produit sélectionné est invalide.",
     "stock_not_integer": "Le stock doit être un nombre entier.",
     "supplier_invalid": "Le fournisseur sélectionné est invalide.",
+    "price_range": "Le prix dépasse la valeur maximale.",
+    "supplement_range": "Le supplément de prix dépasse la valeur maximale.",
+    "product_stored": "Ce produit est déjà enregistré.",
+    "add_denied": "Vous ne pouvez pas ajouter de produit.",
+    "image_invalid": "L’image doit être au format JPEG, PNG ou WebP et ne pas dépasser 5 Mo.",
     "attributes_invalid": "Les caractéristiques ne sont pas un objet JSON.",
 }
 
@@ -108,7 +113,7 @@ def normalise_products(intake: DataFrame) -> DataFrame:
         F.col("product_type"),
         F.col("stock").alias("stock_text"),
         php_int(F.col("stock")).alias("stock"),
-        F.col("fournisseur_id"))
+        "fournisseur_id", "actor_id", "image")
 
 
 def normalise_users(changes: DataFrame) -> DataFrame:
@@ -123,6 +128,11 @@ def normalise_users(changes: DataFrame) -> DataFrame:
         F.when(role == "ROLE_FOURNISSEUR", php_trim(F.col("libelle"))).alias("libelle"))
 
 
+def attributes_readable(attributs: Column) -> Column:
+    """A change gives no attributes (NULL), the empty list, or an object."""
+    return F.coalesce(attrs.attributes_valid(attributs), attributs.isNull())
+
+
 def normalise_variation_changes(changes: DataFrame, products: DataFrame) -> DataFrame:
     """SCL-10..12: attributes cleaned, default label, decimal comma fixed, stock as integer.
 
@@ -135,7 +145,8 @@ def normalise_variation_changes(changes: DataFrame, products: DataFrame) -> Data
     return (staged
             .select("id", "product_id",
                     attrs.default_label(F.col("libelle"), F.col("__attrs"), F.col("__plabel")).alias("libelle"),
-                    F.to_json(F.col("__attrs")).alias("attributs"),
+                    attrs.stored_attributes(F.col("__attrs")).alias("attributs"),
+                    attributes_readable(F.col("attributs")).alias("attributs_ok"),
                     prices.normalise_price_text(F.col("prix_supplement")).alias("prix_supplement"),
                     php_int(F.col("stock")).alias("stock")))
 
@@ -151,6 +162,7 @@ def product_rules(libelle: Column, description: Column, prix: Column) -> list[tu
         ("prix", MSG["price_blank"], blank(prix)),
         ("prix", MSG["price_pattern"], filled(prix) & ~prices.price_matches_pattern(prix)),
         ("prix", MSG["price_negative"], prices.php_negative(prix)),
+        ("prix", MSG["price_range"], prices.price_out_of_range(prix)),
     ]
 
 
@@ -163,6 +175,7 @@ def variation_rules(libelle: Column, supplement: Column, stock: Column, used_sto
         ("prixSupplement", MSG["supplement_blank"], blank(supplement)),
         ("prixSupplement", MSG["supplement_pattern"], filled(supplement) & ~prices.price_matches_pattern(supplement)),
         ("prixSupplement", MSG["supplement_negative"], prices.php_negative(supplement)),
+        ("prixSupplement", MSG["supplement_range"], prices.price_out_of_range(supplement)),
         ("stock", MSG["stock_negative"], stock < 0),
         ("stockUtilise", MSG["used_stock_negative"], used_stock < 0),
         ("reference", MSG["reference_too_long"], too_long(reference, MAX_REFERENCE)),
@@ -193,20 +206,41 @@ def validate_products(intake: DataFrame) -> DataFrame:
     return with_violations(n, product_rules(F.col("libelle"), F.col("description"), F.col("prix")))
 
 
-def validate_intake(intake: DataFrame, users: DataFrame) -> DataFrame:
+def image_key_allowed(image: Column, supplier_id: Column) -> Column:
+    """DQ-20..22 on a new key: its shape and type, inside the folder of the product's supplier."""
+    return (images.key_well_formed(image) & ~images.key_escapes_directory(image)
+            & F.coalesce(images.key_supplier(image) == supplier_id, F.lit(False)))
+
+
+def validate_intake(intake: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
     """Whole intake check in the reference's order: product type (DQ-14), stock
-    (DQ-15), entity rules (DQ-1..3), active supplier (DQ-16)."""
+    (DQ-15), entity rules (DQ-1..3), supplier (DQ-16), image (DQ-20..22).
+
+    An admin names an active supplier; a supplier becomes the owner of what it
+    adds (``fournisseur_id`` of the result), and nobody else may add. An id that
+    is stored already is refused first: intake only adds rows.
+    """
     n = normalise_products(intake)
     sup = filters.active_suppliers(users).select(F.col("id").alias("__sid"))
-    n = n.join(sup, n.fournisseur_id == sup.__sid, "left")
+    actors = filters.eligible_accounts(users).select(F.col("id").alias("__aid"), F.col("role").alias("__arole"))
+    stored = products.select(F.col("id").alias("__stored"))
+    n = (n.join(sup, n.fournisseur_id == sup.__sid, "left").join(actors, n.actor_id == actors.__aid, "left")
+         .join(stored, n.id == stored.__stored, "left"))
+    is_admin = F.coalesce(F.col("__arole") == filters.ROLE_ADMIN, F.lit(False))
+    is_supplier = F.coalesce(F.col("__arole") == filters.ROLE_SUPPLIER, F.lit(False))
+    n = n.withColumn("fournisseur_id", F.when(is_supplier, F.col("actor_id")).otherwise(F.col("fournisseur_id")))
     rules = [
+        ("id", MSG["product_stored"], F.col("__stored").isNotNull()),
         ("product_type", MSG["type_invalid"], ~F.coalesce(F.col("product_type"), F.lit("")).isin(*PRODUCT_TYPES)),
         ("stock", MSG["stock_not_integer"], F.col("stock").isNull()),
         ("stock", MSG["stock_negative"], (F.col("product_type") == "standard") & (F.col("stock") < 0)),
         *product_rules(F.col("libelle"), F.col("description"), F.col("prix")),
-        ("fournisseur", MSG["supplier_invalid"], F.col("__sid").isNull()),
+        ("fournisseur", MSG["supplier_invalid"], is_admin & F.col("__sid").isNull()),
+        ("fournisseur", MSG["add_denied"], ~is_admin & ~is_supplier),
+        ("image", MSG["image_invalid"],
+         F.col("image").isNotNull() & ~image_key_allowed(F.col("image"), F.col("fournisseur_id"))),
     ]
-    return with_violations(n, rules).drop("__sid")
+    return with_violations(n, rules).drop("__sid", "__aid", "__arole", "__stored")
 
 
 def email_usage(candidates: DataFrame, users: DataFrame, cand_id: str = "id") -> DataFrame:

@@ -120,7 +120,10 @@ def assign_references(variations: DataFrame) -> DataFrame:
 def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
     """References for ``new_rows`` (rows without one), checked against every stored
     reference of ``table`` (deleted rows included): ``id, product_id, reference``."""
-    return _assign(_keyed(new_rows, True).unionByName(_keyed(table, False)))
+    news = _keyed(new_rows, True)
+    # groups are keyed by product: only the references of products with a new row matter
+    stored = _keyed(table, False).join(news.select("pid"), "pid", "left_semi")
+    return _assign(news.unionByName(stored))
 
 
 def _parent(base: Column) -> Column:

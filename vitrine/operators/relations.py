@@ -41,6 +41,16 @@ def products_with_variations(products: DataFrame, variations: DataFrame) -> Data
     return matched.unionByName(lonely)
 
 
+def products_with_plain_variations(products: DataFrame, variations: DataFrame) -> DataFrame:
+    """The relation without positions, for uses that only sum or filter it."""
+    v = variations.select("product_id", *[F.col(c).alias("v_" + c) for c in ("stock", "is_deleted")])
+    p = products.select(F.col("id").alias("__pid"))
+    matched = v.join(p, v.product_id == p["__pid"], "left_semi")
+    none = p.select(F.col("__pid").alias("product_id"), F.lit(None).cast("bigint").alias("v_stock"),
+                    F.lit(None).cast("boolean").alias("v_is_deleted"))
+    return matched.unionByName(none)
+
+
 def nested_stock_total(nested: DataFrame) -> DataFrame:
     """AGG-8: per product, stock of the variations that are not deleted (0 when none)."""
     active_stock = F.when(~F.coalesce(F.col("v_is_deleted"), F.lit(True)), F.col("v_stock"))

@@ -172,7 +172,7 @@ SELECT p.id AS product_id, CAST(coalesce(sum(CASE WHEN NOT v.is_deleted THEN v.s
 FROM products p LEFT JOIN product_variations v ON v.product_id = p.id GROUP BY p.id""", [P, V])
 def nested_stock_total(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return relations.nested_stock_total(relations.products_with_variations(c.products, c.product_variations))
+    return relations.nested_stock_total(relations.products_with_plain_variations(c.products, c.product_variations))
 
 
 @register("total_stock", f"""
@@ -321,12 +321,13 @@ def attributes_exploded(spark, sf_dir) -> DataFrame:
 _VALUE_AT_I = """json_extract_string(attributs, '$."' || names[i] || '"')"""
 
 
-def _pairs_ctes() -> str:
+def _pairs_ctes(rows: str = "SELECT id, attributs FROM variation_changes") -> str:
     """CTEs ending in ``pj(id, attributes_json)``: the attribute object of each change
     row with names and values trimmed, blank pairs dropped, first spelling kept."""
     return f"""src AS (
-  SELECT id, attributs, CASE WHEN json_type(attributs) = 'OBJECT' THEN json_keys(attributs) ELSE [] END AS names
-  FROM variation_changes),
+  SELECT id, attributs, CASE WHEN NOT json_valid(attributs) THEN [] WHEN json_type(attributs) = 'OBJECT'
+                             THEN json_keys(attributs) ELSE [] END AS names
+  FROM ({rows})),
 zipped AS (
   SELECT id, list_transform(range(1, len(names) + 1), lambda i: {{
            'name': {S.php_trim('names[i]')},
@@ -339,33 +340,40 @@ firsts AS (
            list_transform(list_slice(kept, 1, i - 1), lambda q: lower(q.name)), lower(p.name))) AS firsts
   FROM kept),
 pj AS (
-  SELECT id, '{{' || coalesce(array_to_string(list_transform(firsts, lambda p:
-           CAST(to_json(p.name) AS VARCHAR) || ':' || CAST(to_json(p.value) AS VARCHAR)), ','), '') || '}}'
+  SELECT id, CASE WHEN len(firsts) = 0 THEN '[]' ELSE '{{' || coalesce(array_to_string(list_transform(firsts, lambda p:
+           CAST(to_json(p.name) AS VARCHAR) || ':' || CAST(to_json(p.value) AS VARCHAR)), ','), '') || '}}' END
            AS attributes_json
   FROM firsts)"""
 
 
-_PAIRS_SQL = "WITH " + _pairs_ctes() + "\nSELECT id, attributes_json FROM pj"
+_PAIRS_SQL = "WITH " + _pairs_ctes("SELECT id, attributs FROM variation_forms") + "\nSELECT id, attributes_json FROM pj"
 
 
-@register("normalise_attributes", _PAIRS_SQL, ["variation_changes"])
+def _clean_label(c: str, p: str) -> str:
+    """The label of a change: its own, else its cleaned attribute values, else the product's label."""
+    return (f"CASE WHEN {S.php_trim(f'{c}.libelle')} <> '' THEN {S.php_trim(f'{c}.libelle')} "
+            f"WHEN coalesce(len(firsts.firsts), 0) = 0 THEN coalesce({p}.libelle, '') "
+            "ELSE array_to_string(list_transform(firsts.firsts, lambda x: x.value), ' - ') END")
+
+
+@register("normalise_attributes", _PAIRS_SQL, ["variation_forms"])
 def normalise_attributes(spark, sf_dir) -> DataFrame:
-    """Form arrays taken from the change set's attribute objects, cleaned (SCL-11),
-    as the JSON text that is stored."""
-    ch = cat(spark, sf_dir).variation_changes
+    """Form arrays taken from the posted attribute objects, cleaned (SCL-11), as the
+    JSON text that is stored."""
+    forms = cat(spark, sf_dir).variation_forms
     m = attrs.parse_attributes(F.col("attributs"))
     clean = attrs.normalise_pairs(F.map_keys(m), F.map_values(m))
-    return ch.select("id", F.to_json(clean).alias("attributes_json"))
+    return forms.select("id", attrs.stored_attributes(clean).alias("attributes_json"))
 
 
 @register("variation_default_label", f"""
-SELECT c.id, CASE WHEN {S.php_trim('c.libelle')} <> '' THEN {S.php_trim('c.libelle')}
-                  WHEN coalesce(len(json_keys(c.attributs)), 0) = 0 THEN coalesce(p.libelle, '')
-                  ELSE {S.attribute_values('c.attributs')} END AS libelle
-FROM variation_changes c LEFT JOIN products p ON p.id = c.product_id""", [P, "variation_changes"])
+WITH {_pairs_ctes("SELECT id, attributs FROM variation_forms")}
+SELECT c.id, {_clean_label('c', 'p')} AS libelle
+FROM variation_forms c JOIN firsts ON firsts.id = c.id LEFT JOIN products p ON p.id = c.product_id""",
+          [P, "variation_forms"])
 def variation_default_label(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return quality.normalise_variation_changes(c.variation_changes, c.products).select("id", "libelle")
+    return quality.normalise_variation_changes(c.variation_forms, c.products).select("id", "libelle")
 
 
 @register("normalise_products", f"""
@@ -400,29 +408,48 @@ def normalise_users(spark, sf_dir) -> DataFrame:
 
 # --------------------------------------------------------------- data quality
 
-_INTAKE_NORM = f"""SELECT i.id, {S.php_trim('i.libelle')} AS libelle, {S.php_trim('i.description')} AS description,
-       {S.norm_price('i.prix')} AS prix, i.product_type, {S.php_int('i.stock')} AS stock, i.fournisseur_id,
-       s.id AS sid
-FROM product_intake i LEFT JOIN (SELECT id FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false) s
-  ON s.id = i.fournisseur_id"""
+def _intake_norm(rows: str) -> str:
+    return f"""SELECT i.id, {S.php_trim('i.libelle')} AS libelle, {S.php_trim('i.description')} AS description,
+       {S.norm_price('i.prix')} AS prix, i.product_type, {S.php_int('i.stock')} AS stock,
+       CASE WHEN a.role = 'ROLE_FOURNISSEUR' THEN i.actor_id ELSE i.fournisseur_id END AS fournisseur_id,
+       s.id AS sid, a.role AS arole, st.id AS stored, i.image
+FROM ({rows}) i LEFT JOIN (SELECT id FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false) s
+  ON s.id = i.fournisseur_id
+LEFT JOIN (SELECT id, role FROM users WHERE NOT coalesce(is_deleted, false)) a ON a.id = i.actor_id
+LEFT JOIN products st ON st.id = i.id"""
+
+
+def _last(table: str) -> str:
+    return f"SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
+
+
+def _superseded(table: str) -> str:
+    return (f"SELECT id, {S.q('Superseded by a later change of the same id in the batch.')} AS reason FROM {table} "
+            "QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) > 1")
+
+
+_INTAKE_NORM = _intake_norm("SELECT * FROM product_intake")
 _INTAKE_RULES = [
-    ("product_type", quality.MSG["type_invalid"], "coalesce(product_type, '') NOT IN ('standard', 'variations')"),
-    ("stock", quality.MSG["stock_not_integer"], "stock IS NULL"),
-    ("stock", quality.MSG["stock_negative"], "product_type = 'standard' AND stock < 0"),
+    ("id", S.MSG["product_stored"], "stored IS NOT NULL"),
+    ("product_type", S.MSG["type_invalid"], "coalesce(product_type, '') NOT IN ('standard', 'variations')"),
+    ("stock", S.MSG["stock_not_integer"], "stock IS NULL"),
+    ("stock", S.MSG["stock_negative"], "product_type = 'standard' AND stock < 0"),
     *S.product_rules("libelle", "description", "prix"),
-    ("fournisseur", quality.MSG["supplier_invalid"], "sid IS NULL"),
+    ("fournisseur", S.MSG["supplier_invalid"], "arole = 'ROLE_ADMIN' AND sid IS NULL"),
+    ("fournisseur", S.MSG["add_denied"], "coalesce(arole, '') NOT IN ('ROLE_ADMIN', 'ROLE_FOURNISSEUR')"),
+    ("image", S.MSG["image_invalid"], f"image IS NOT NULL AND NOT {S.image_key_ok('image', 'fournisseur_id')}"),
 ]
 
 
-@register("dq_intake", f"SELECT id, {S.report(_INTAKE_RULES)} FROM ({_INTAKE_NORM})", [U, "product_intake"])
+@register("dq_intake", f"SELECT id, {S.report(_INTAKE_RULES)} FROM ({_INTAKE_NORM})", [U, P, "product_intake"])
 def dq_intake(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return quality.flat_report(quality.validate_intake(c.product_intake, c.users))
+    return quality.flat_report(quality.validate_intake(c.product_intake, c.users, c.products))
 
 
 @register("dq_products", f"""
 SELECT id, {S.report(S.product_rules('libelle', 'description', 'prix'))} FROM ({_INTAKE_NORM})""",
-          [U, "product_intake"])
+          [U, P, "product_intake"])
 def dq_products(spark, sf_dir) -> DataFrame:
     return quality.flat_report(quality.validate_products(cat(spark, sf_dir).product_intake))
 
@@ -442,7 +469,7 @@ def dq_prices(spark, sf_dir) -> DataFrame:
 
 
 _VAR_RULES = S.variation_rules("libelle", "CAST(prix_supplement AS VARCHAR)", "stock", "stock_utilise", "reference") + [
-    ("attributs", quality.MSG["attributes_invalid"],
+    ("attributs", S.MSG["attributes_invalid"],
      "NOT (regexp_replace(attributs, '\\s', '', 'g') = '[]' OR (json_valid(attributs) AND json_type(attributs) = 'OBJECT'))")]
 
 
@@ -454,7 +481,7 @@ def dq_variations(spark, sf_dir) -> DataFrame:
 _USER_NORM = f"""SELECT c.id, {S.php_trim('c.nom')} AS nom, {S.php_trim('c.prenom')} AS prenom,
        {S.php_trim('c.email')} AS email, coalesce(c.role, '') AS role,
        CASE WHEN c.role = 'ROLE_FOURNISSEUR' THEN {S.php_trim('c.libelle')} END AS libelle
-FROM user_changes c"""
+FROM ({_last('user_changes')}) c"""
 _TAKEN = (f"EXISTS (SELECT 1 FROM users u WHERE {S.fold_key('u.email')} = {S.fold_key('n.email')} "
           "AND (n.id IS NULL OR u.id <> n.id))")
 _USER_RULES = S.user_rules("n.nom", "n.prenom", "n.email", "n.role", "n.libelle", _TAKEN)
@@ -463,7 +490,8 @@ _USER_RULES = S.user_rules("n.nom", "n.prenom", "n.email", "n.role", "n.libelle"
 @register("dq_users", f"SELECT n.id, {S.report(_USER_RULES)} FROM ({_USER_NORM}) n", [U, "user_changes"])
 def dq_users(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return quality.flat_report(quality.validate_user_changes(c.user_changes, c.users))
+    last, _ = changes.last_change_per_id(c.user_changes)
+    return quality.flat_report(quality.validate_user_changes(last, c.users))
 
 
 @register("dq_supplier_label",
@@ -540,12 +568,27 @@ _V_COLS = "id, product_id, libelle, attributs, prix_supplement, stock, stock_uti
 _U_COLS = "id, nom, prenom, email, role, libelle"
 
 
+_PDEL_CHECK = f"""SELECT d.id, CASE WHEN p.id IS NULL THEN 'Produit introuvable.'
+       WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
+       WHEN a.role <> 'ROLE_ADMIN' AND p.fournisseur_id IS DISTINCT FROM d.actor_id
+         THEN 'Vous ne pouvez pas supprimer ce produit.' END AS reason
+FROM (SELECT DISTINCT id, actor_id FROM product_deletes) d LEFT JOIN products p ON p.id = d.id
+LEFT JOIN users a ON a.id = d.actor_id"""
+
+
 @register("apply_product_deletes", f"""
-SELECT {_P_COLS}, CASE WHEN id IN (SELECT id FROM product_deletes) THEN true ELSE is_deleted END AS is_deleted
-FROM products""", [P, "product_deletes"])
+SELECT {_P_COLS}, CASE WHEN id IN (SELECT id FROM ({_PDEL_CHECK}) WHERE reason IS NULL) THEN true ELSE is_deleted END
+  AS is_deleted FROM products""", [U, P, "product_deletes"])
 def apply_product_deletes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.soft_delete(c.products, c.product_deletes)
+    return changes.apply_product_deletes(c.products, c.users, c.product_deletes).snapshot
+
+
+@register("rejected_product_deletes", f"SELECT id, reason FROM ({_PDEL_CHECK}) WHERE reason IS NOT NULL",
+          [U, P, "product_deletes"])
+def rejected_product_deletes(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.apply_product_deletes(c.products, c.users, c.product_deletes).rejected
 
 
 @register("apply_user_deletes", f"""
@@ -553,29 +596,40 @@ SELECT {_U_COLS}, CASE WHEN id IN (SELECT id FROM user_deletes) THEN true ELSE i
 FROM users""", [U, "user_deletes"])
 def apply_user_deletes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.soft_delete(c.users, c.user_deletes)
+    return changes.apply_user_deletes(c.users, c.user_deletes).snapshot
+
+
+@register("rejected_user_deletes", """
+SELECT DISTINCT id, 'user_not_found' AS reason FROM user_deletes WHERE id NOT IN (SELECT id FROM users)""",
+          [U, "user_deletes"])
+def rejected_user_deletes(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.apply_user_deletes(c.users, c.user_deletes).rejected
 
 
 _VDEL_CHECK = """SELECT d.id, v.product_id,
-       CASE WHEN v.id IS NULL OR coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
-            WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.' END AS reason
-FROM (SELECT DISTINCT id FROM variation_deletes) d LEFT JOIN product_variations v ON v.id = d.id
-LEFT JOIN products p ON p.id = v.product_id"""
+       CASE WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
+            WHEN v.id IS NULL OR coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
+            WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.'
+            WHEN a.role <> 'ROLE_ADMIN' AND p.fournisseur_id IS DISTINCT FROM d.actor_id
+              THEN 'Vous ne pouvez pas gérer les variations de ce produit.' END AS reason
+FROM (SELECT DISTINCT id, actor_id FROM variation_deletes) d LEFT JOIN product_variations v ON v.id = d.id
+LEFT JOIN products p ON p.id = v.product_id LEFT JOIN users a ON a.id = d.actor_id"""
 
 
 @register("apply_variation_deletes", f"""
 SELECT {_V_COLS}, CASE WHEN id IN (SELECT id FROM ({_VDEL_CHECK}) WHERE reason IS NULL) THEN true ELSE is_deleted END
-  AS is_deleted FROM product_variations""", [P, V, "variation_deletes"])
+  AS is_deleted FROM product_variations""", [U, P, V, "variation_deletes"])
 def apply_variation_deletes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.apply_variation_deletes(c.product_variations, c.products, c.variation_deletes).snapshot
+    return changes.apply_variation_deletes(c.product_variations, c.products, c.users, c.variation_deletes).snapshot
 
 
 @register("rejected_variation_deletes", f"SELECT id, reason FROM ({_VDEL_CHECK}) WHERE reason IS NOT NULL",
-          [P, V, "variation_deletes"])
+          [U, P, V, "variation_deletes"])
 def rejected_variation_deletes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.apply_variation_deletes(c.product_variations, c.products, c.variation_deletes).rejected
+    return changes.apply_variation_deletes(c.product_variations, c.products, c.users, c.variation_deletes).rejected
 
 
 @register("refreshed_stock", f"""
@@ -584,31 +638,43 @@ snap AS (SELECT product_id, stock, CASE WHEN id IN (SELECT id FROM acc) THEN tru
          FROM product_variations)
 SELECT t.product_id, CAST(coalesce(sum(CASE WHEN s.is_deleted = false THEN s.stock END), 0) AS BIGINT) AS stock_total
 FROM (SELECT DISTINCT product_id FROM acc) t LEFT JOIN snap s ON s.product_id = t.product_id
-GROUP BY t.product_id""", [P, V, "variation_deletes"])
+GROUP BY t.product_id""", [U, P, V, "variation_deletes"])
 def refreshed_stock(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    res = changes.apply_variation_deletes(c.product_variations, c.products, c.variation_deletes)
-    return summary.refreshed_stock(res.snapshot, res.accepted)
+    return changes.stock_after_deletes(c.product_variations, c.products, c.users, c.variation_deletes)
 
 
-_INTAKE_OK = f"SELECT * FROM ({_INTAKE_NORM}) WHERE ({S.report(_INTAKE_RULES).split(' AS n_violations')[0]}) = 0"
+_INTAKE_LAST = _intake_norm(_last("product_intake"))
+_INTAKE_OK = f"SELECT * FROM ({_INTAKE_LAST}) WHERE ({S.report(_INTAKE_RULES).split(' AS n_violations')[0]}) = 0"
 
 
 @register("intake_products", f"""
-SELECT id, libelle, description, CAST(NULL AS VARCHAR) AS image, {S.parse_price('prix')} AS prix, fournisseur_id,
-       false AS is_deleted FROM ({_INTAKE_OK})""", [U, "product_intake"])
+SELECT id, libelle, description, image, {S.parse_price('prix')} AS prix, fournisseur_id,
+       false AS is_deleted FROM ({_INTAKE_OK})""", [U, P, "product_intake"])
 def intake_products(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.intake(c.product_intake, c.users)[0]
+    return changes.intake(c.product_intake, c.users, c.products)[0]
+
+
+@register("rejected_intake", f"""
+SELECT id, first_message AS reason FROM (SELECT id, {S.report(_INTAKE_RULES)} FROM ({_INTAKE_LAST})) WHERE n_violations > 0
+UNION ALL {_superseded('product_intake')}""", [U, P, "product_intake"])
+def rejected_intake(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.intake(c.product_intake, c.users, c.products)[2]
 
 
 @register("intake_default_variations", f"""
-SELECT id, id AS product_id, libelle, '[]' AS attributs, CAST(0 AS DECIMAL(10,3)) AS prix_supplement, stock,
-       CAST(0 AS BIGINT) AS stock_utilise, {S.reference_base('id', 'libelle')} AS reference, false AS is_deleted
-FROM ({_INTAKE_OK}) WHERE product_type = 'standard'""", [U, "product_intake"])
+WITH {_counter_ctes("SELECT id + 4398046511104 AS id, id AS pid, " + S.reference_base("id", "libelle")
+                    + f" AS base FROM ({_INTAKE_OK}) WHERE product_type = 'standard'")}
+SELECT i.id + 4398046511104 AS id, i.id AS product_id, i.libelle, '[]' AS attributs,
+       CAST(0 AS DECIMAL(10,3)) AS prix_supplement, i.stock, CAST(0 AS BIGINT) AS stock_utilise, gen.reference,
+       false AS is_deleted
+FROM ({_INTAKE_OK}) i LEFT JOIN gen ON gen.product_id = i.id WHERE i.product_type = 'standard'""",
+          [U, P, V, "product_intake"])
 def intake_default_variations(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.intake_default_variations(c.product_intake, c.users, c.product_variations)
+    return changes.intake_default_variations(c.product_intake, c.users, c.products, c.product_variations)
 
 
 _PU_CHECK = f"""SELECT x.*, CASE
@@ -618,13 +684,16 @@ _PU_CHECK = f"""SELECT x.*, CASE
       THEN 'Vous ne pouvez pas modifier ce produit.'
     WHEN {S.first_message(S.product_rules('x.libelle', 'x.description', 'x.prix'))} IS NOT NULL
       THEN {S.first_message(S.product_rules('x.libelle', 'x.description', 'x.prix'))}
-    WHEN coalesce(a.role = 'ROLE_ADMIN', false) AND s.id IS NULL THEN {S.q(quality.MSG['supplier_invalid'])} END AS reason,
+    WHEN coalesce(a.role = 'ROLE_ADMIN', false) AND s.id IS NULL THEN {S.q(S.MSG['supplier_invalid'])}
+    WHEN x.new_image IS NOT NULL AND NOT {S.image_key_ok('x.new_image',
+         "CASE WHEN a.role = 'ROLE_ADMIN' THEN x.req_fournisseur_id ELSE x.actor_id END")}
+      THEN {S.q(S.MSG['image_invalid'])} END AS reason,
   coalesce(a.role = 'ROLE_ADMIN', false) AS is_admin
 FROM (SELECT u.id, u.actor_id, u.remove_image, u.new_image, {S.php_trim('u.libelle')} AS libelle,
              {S.php_trim('u.description')} AS description, {S.norm_price('u.prix')} AS prix,
              u.fournisseur_id AS req_fournisseur_id, p.id AS old_id, p.fournisseur_id AS old_fournisseur_id,
              p.image AS old_image
-      FROM product_updates u LEFT JOIN products p ON p.id = u.id) x
+      FROM ({_last('product_updates')}) u LEFT JOIN products p ON p.id = u.id) x
 LEFT JOIN users a ON a.id = x.actor_id
 LEFT JOIN (SELECT id FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false) s ON s.id = x.req_fournisseur_id"""
 
@@ -646,38 +715,41 @@ def apply_product_updates(spark, sf_dir) -> DataFrame:
     return changes.apply_product_updates(c.products, c.users, c.product_updates).snapshot
 
 
-@register("rejected_product_updates", f"SELECT id, reason FROM ({_PU_CHECK}) WHERE reason IS NOT NULL",
+@register("replaced_image_keys", f"""
+SELECT id, old_image AS image FROM ({_PU_CHECK}) WHERE reason IS NULL AND coalesce(old_image, '') <> '' AND old_image IS DISTINCT FROM
+  CASE WHEN new_image IS NOT NULL THEN new_image WHEN coalesce(remove_image, false) THEN NULL ELSE old_image END""",
+          [U, P, "product_updates"])
+def replaced_image_keys(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.replaced_image_keys(changes.apply_product_updates(c.products, c.users, c.product_updates))
+
+
+@register("rejected_product_updates", f"""SELECT id, reason FROM ({_PU_CHECK}) WHERE reason IS NOT NULL
+UNION ALL {_superseded('product_updates')}""",
           [U, P, "product_updates"])
 def rejected_product_updates(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return changes.apply_product_updates(c.products, c.users, c.product_updates).rejected
 
 
-_VC_CHECK = f"""SELECT c.id, CASE
-    WHEN v.id IS NOT NULL AND coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
-    WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.'
-    WHEN {S.php_int('c.stock')} IS NULL THEN {S.q(quality.MSG['stock_not_integer'])}
-    ELSE {S.first_message(S.variation_rules(
-        f"CASE WHEN {S.php_trim('c.libelle')} <> '' THEN {S.php_trim('c.libelle')} "
-        f"WHEN coalesce(len(json_keys(c.attributs)), 0) = 0 THEN coalesce(p.libelle, '') "
-        f"ELSE {S.attribute_values('c.attributs')} END",
-        S.norm_price('c.prix_supplement'), S.php_int('c.stock'), 'coalesce(v.stock_utilise, 0)', 'v.reference'))} END
-    AS reason
-FROM variation_changes c LEFT JOIN product_variations v ON v.id = c.id
-LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)"""
-
-
-_VC_LABEL = (f"CASE WHEN {S.php_trim('c.libelle')} <> '' THEN {S.php_trim('c.libelle')} "
-             f"WHEN coalesce(len(json_keys(c.attributs)), 0) = 0 THEN coalesce(p.libelle, '') "
-             f"ELSE {S.attribute_values('c.attributs')} END")
-_VC_ROWS = f"""SELECT c.id, coalesce(v.product_id, c.product_id) AS product_id, {_VC_LABEL} AS libelle,
+_VC_ROWS = f"""SELECT c.id, coalesce(v.product_id, c.product_id) AS product_id, {_clean_label('c', 'p')} AS libelle,
        {S.norm_price('c.prix_supplement')} AS sup_text, {S.php_int('c.stock')} AS stock,
-       CAST(coalesce(v.stock_utilise, 0) AS BIGINT) AS stock_utilise, v.reference AS old_ref, chk.reason
-FROM variation_changes c LEFT JOIN product_variations v ON v.id = c.id
+       CAST(coalesce(v.stock_utilise, 0) AS BIGINT) AS stock_utilise, v.reference AS old_ref,
+       CASE WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
+            WHEN v.id IS NOT NULL AND coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
+            WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.'
+            WHEN a.role <> 'ROLE_ADMIN' AND p.fournisseur_id IS DISTINCT FROM c.actor_id
+              THEN 'Vous ne pouvez pas gérer les variations de ce produit.'
+            WHEN NOT {S.readable_attributes('c.attributs')} THEN {S.q(S.MSG['attributes_invalid'])}
+            WHEN {S.php_int('c.stock')} IS NULL THEN {S.q(S.MSG['stock_not_integer'])} END AS early
+FROM ({_last('variation_changes')}) c LEFT JOIN product_variations v ON v.id = c.id
 LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)
-JOIN ({_VC_CHECK}) chk ON chk.id = c.id"""
-_APPLY_VC_SQL = f"""WITH acc AS (SELECT * FROM ({_VC_ROWS}) WHERE reason IS NULL),
-{_pairs_ctes()},
+LEFT JOIN users a ON a.id = c.actor_id LEFT JOIN firsts ON firsts.id = c.id"""
+_VC_CTES = f"""{_pairs_ctes(_last('variation_changes'))},
+checked AS (SELECT *, coalesce(early, {S.first_message(S.variation_rules(
+    'libelle', 'sup_text', 'stock', 'stock_utilise', 'old_ref'))}) AS reason FROM ({_VC_ROWS}))"""
+_APPLY_VC_SQL = f"""WITH {_VC_CTES},
+acc AS (SELECT * FROM checked WHERE reason IS NULL),
 {_counter_ctes("SELECT id, product_id AS pid, " + S.reference_base("product_id", "libelle")
                + " AS base FROM acc WHERE old_ref IS NULL")}
 SELECT {_V_COLS}, is_deleted FROM product_variations WHERE id NOT IN (SELECT id FROM acc)
@@ -688,17 +760,18 @@ SELECT acc.id, acc.product_id, acc.libelle, pj.attributes_json AS attributs,
 FROM acc LEFT JOIN pj ON pj.id = acc.id LEFT JOIN gen ON gen.id = acc.id"""
 
 
-@register("apply_variation_changes", _APPLY_VC_SQL, [P, V, "variation_changes"])
+@register("apply_variation_changes", _APPLY_VC_SQL, [U, P, V, "variation_changes"])
 def apply_variation_changes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.apply_variation_changes(c.product_variations, c.products, c.variation_changes).snapshot
+    return changes.apply_variation_changes(c.product_variations, c.products, c.users, c.variation_changes).snapshot
 
 
-@register("rejected_variation_changes", f"SELECT id, reason FROM ({_VC_CHECK}) WHERE reason IS NOT NULL",
-          [P, V, "variation_changes"])
+@register("rejected_variation_changes", f"""WITH {_VC_CTES}
+SELECT id, reason FROM checked WHERE reason IS NOT NULL
+UNION ALL {_superseded('variation_changes')}""", [U, P, V, "variation_changes"])
 def rejected_variation_changes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    checked = changes.check_variation_changes(c.product_variations, c.products, c.variation_changes)
+    checked = changes.check_variation_changes(c.product_variations, c.products, c.users, c.variation_changes)
     return checked.filter(F.col("reason").isNotNull()).select("id", "reason")
 
 
@@ -716,6 +789,14 @@ def apply_user_changes(spark, sf_dir) -> DataFrame:
     return changes.apply_user_changes(c.users, c.user_changes).snapshot
 
 
+@register("rejected_user_changes", f"""
+SELECT id, first_message AS reason FROM (SELECT n.id, {S.report(_USER_RULES)} FROM ({_USER_NORM}) n) WHERE n_violations > 0
+UNION ALL {_superseded('user_changes')}""", [U, "user_changes"])
+def rejected_user_changes(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return changes.apply_user_changes(c.users, c.user_changes).rejected
+
+
 # ---------------------------------------------------------------- evolution
 
 @register("evolve_users", f"SELECT {_U_COLS}, false AS is_deleted FROM users", [U])

@@ -28,7 +28,7 @@ FROM part
 """,
     "product_variations": """
 SELECT CAST(o_orderkey AS BIGINT) + 1 AS id,
-       CAST(CASE WHEN o_orderkey % 500 = 7 THEN 99000000 ELSE o_custkey END AS BIGINT) + 1 AS product_id,
+       CAST(CASE WHEN o_orderkey % 500 = 7 THEN 8796093022208 ELSE o_custkey END AS BIGINT) + 1 AS product_id,
        o_orderpriority AS libelle,
        CASE WHEN o_orderkey % 4 = 0 THEN '[]' ELSE concat('{"Priorite":"', o_orderpriority, '"}') END AS attributs,
        CAST(CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE (o_orderkey % 4) * 0.5 END AS DECIMAL(10,3)) AS prix_supplement,
@@ -39,51 +39,93 @@ SELECT CAST(o_orderkey AS BIGINT) + 1 AS id,
 FROM orders
 """,
     "product_intake": """
-SELECT CAST(p_partkey AS BIGINT) + 10000001 AS id,
+SELECT * FROM (
+SELECT CASE WHEN p_partkey % 9 = 4 THEN CAST(p_partkey AS BIGINT) + 1 ELSE CAST(p_partkey AS BIGINT) + 1099511627776 END AS id,
        CASE p_partkey % 7 WHEN 0 THEN concat('  ', p_name, ' ') WHEN 1 THEN '   ' ELSE p_name END AS libelle,
        p_type AS description,
-       CASE p_partkey % 8 WHEN 0 THEN ' 12,5 ' WHEN 1 THEN '1.2345' WHEN 2 THEN '' WHEN 3 THEN '-3' WHEN 4 THEN 'abc'
-         ELSE CAST(CAST(p_retailprice AS DECIMAL(10,3)) AS STRING) END AS prix,
+       CASE WHEN p_partkey % 8 = 0 THEN ' 12,5 ' WHEN p_partkey % 8 = 1 THEN '1.2345' WHEN p_partkey % 8 = 2 THEN ''
+            WHEN p_partkey % 8 = 3 THEN '-3' WHEN p_partkey % 16 = 12 THEN '12345678.123' WHEN p_partkey % 8 = 4 THEN 'abc'
+            ELSE CAST(CAST(p_retailprice AS DECIMAL(10,3)) AS STRING) END AS prix,
        CASE p_partkey % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'bundle' WHEN 2 THEN 'variations' ELSE 'standard' END AS product_type,
        CASE p_partkey % 6 WHEN 5 THEN '-1' WHEN 4 THEN 'x' ELSE CAST(p_size AS STRING) END AS stock,
-       CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id
-FROM part
+       CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id,
+       CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 WHEN p_partkey % 20 = 1 THEN 8796093022208 ELSE 1000002 END AS BIGINT) AS actor_id,
+       CASE p_partkey % 6 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 ELSE p_partkey % 12 END AS STRING),
+                                             '/', md5(CAST(p_partkey AS STRING)), '.png')
+                          WHEN 1 THEN '../../etc/x.php' END AS image,
+       CAST(1 AS BIGINT) AS seq
+FROM part) UNION ALL
+SELECT id, 'Second', description, '5', product_type, stock, fournisseur_id, actor_id, image, 2 FROM (
+SELECT CASE WHEN p_partkey % 9 = 4 THEN CAST(p_partkey AS BIGINT) + 1 ELSE CAST(p_partkey AS BIGINT) + 1099511627776 END AS id,
+       p_type AS description,
+       CASE p_partkey % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'bundle' WHEN 2 THEN 'variations' ELSE 'standard' END AS product_type,
+       CASE p_partkey % 6 WHEN 5 THEN '-1' WHEN 4 THEN 'x' ELSE CAST(p_size AS STRING) END AS stock,
+       CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id,
+       CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 WHEN p_partkey % 20 = 1 THEN 8796093022208 ELSE 1000002 END AS BIGINT) AS actor_id,
+       CASE p_partkey % 6 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 ELSE p_partkey % 12 END AS STRING),
+                                             '/', md5(CAST(p_partkey AS STRING)), '.png')
+                          WHEN 1 THEN '../../etc/x.php' END AS image
+FROM part) WHERE id % 25 = 0
 """,
     "product_deletes": """
-SELECT CAST(p_partkey AS BIGINT) + 1 AS id FROM part WHERE p_partkey % 13 = 0
+SELECT CASE WHEN p_partkey % 39 = 0 THEN CAST(p_partkey AS BIGINT) + 1099511627776 ELSE CAST(p_partkey AS BIGINT) + 1 END AS id,
+       CAST(CASE WHEN p_partkey % 3 = 1 THEN 1000002 WHEN p_partkey % 7 = 0 THEN (p_partkey + 1) % 10 + 1
+                 ELSE p_partkey % 10 + 1 END AS BIGINT) AS actor_id
+FROM part WHERE p_partkey % 13 = 0
 """,
     "variation_deletes": """
-SELECT CAST(o_orderkey AS BIGINT) + 1 AS id FROM orders WHERE o_orderkey % 17 = 0
+SELECT CASE WHEN o_orderkey % 51 = 0 THEN CAST(o_orderkey AS BIGINT) + 2199023255552 ELSE CAST(o_orderkey AS BIGINT) + 1 END AS id,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1000002 WHEN o_orderkey % 5 = 0 THEN (o_custkey + 1) % 10 + 1
+                 ELSE o_custkey % 10 + 1 END AS BIGINT) AS actor_id
+FROM orders WHERE o_orderkey % 17 = 0
 """,
     "access_requests": """
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 1000002 ELSE CAST(user_id % 12 AS BIGINT) + 1 END AS user_id,
-       CAST(event_id % 200 AS BIGINT) + 1 AS product_id
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 1000002 WHEN event_id % 17 = 0 THEN 8796093022208
+                      ELSE CAST(user_id % 12 AS BIGINT) + 1 END AS user_id,
+       CASE WHEN event_id % 13 = 0 THEN 8796093022208 ELSE CAST(event_id % 200 AS BIGINT) + 1 END AS product_id
 FROM events
 """,
     "user_deletes": """
-SELECT CAST(s_suppkey AS BIGINT) + 1 AS id FROM supplier WHERE s_suppkey % 4 = 1
+SELECT CAST(s_suppkey AS BIGINT) + CASE WHEN s_suppkey % 8 = 5 THEN 1099511627776 ELSE 1 END AS id FROM supplier WHERE s_suppkey % 4 = 1
 """,
     "product_updates": """
-SELECT CAST(p_partkey AS BIGINT) + 1 AS id, upper(p_name) AS libelle, p_type AS description,
-       CASE WHEN p_partkey % 2 = 0 THEN '19,900' ELSE '7.5' END AS prix, CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id,
-       p_partkey % 4 = 1 AS remove_image,
-       CASE WHEN p_partkey % 5 = 0 THEN concat('1/', md5(concat('n', CAST(p_partkey AS STRING))), '.webp') ELSE NULL END AS new_image,
-       CASE WHEN p_partkey % 3 = 0 THEN CAST(1000002 AS BIGINT) ELSE CAST(p_partkey % 10 AS BIGINT) + 1 END AS actor_id
-FROM part WHERE p_partkey % 7 = 0
+SELECT CAST(p_partkey AS BIGINT) + 1 AS id, CASE seq WHEN 1 THEN upper(p_name) ELSE 'Second' END AS libelle, p_type AS description,
+       CASE WHEN seq = 2 THEN '8' WHEN p_partkey % 28 = 0 THEN '12345678.123' WHEN p_partkey % 2 = 0 THEN '19,900' ELSE '7.5' END AS prix,
+       CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id, p_partkey % 4 = 1 AS remove_image,
+       CASE p_partkey % 5 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 12 ELSE p_partkey % 10 + 1 END AS STRING),
+                                             '/', md5(concat('n', CAST(p_partkey AS STRING))), '.webp')
+                          WHEN 1 THEN '../../etc/x.php' END AS new_image,
+       CASE WHEN p_partkey % 3 = 0 THEN CAST(1000002 AS BIGINT) ELSE CAST(p_partkey % 10 AS BIGINT) + 1 END AS actor_id, seq
+FROM part, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)
+WHERE p_partkey % 7 = 0 AND (seq = 1 OR (p_partkey + 1) % 11 = 0)
 """,
-    "variation_changes": """
-SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST(o_orderkey AS BIGINT) + 1 ELSE CAST(o_orderkey AS BIGINT) + 50000001 END AS id,
+    "variation_forms": """
+SELECT CASE WHEN o_orderkey % 40 = 1 THEN CAST(o_orderkey AS BIGINT) + 2199023255552 ELSE CAST(o_orderkey AS BIGINT) + 1 END AS id,
        CAST(o_custkey AS BIGINT) + 1 AS product_id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' Lot A ' END AS libelle,
-       CASE WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '{"Couleur":"Rouge","Taille":"M"}' END AS attributs,
-       '2,5' AS prix_supplement, CAST(o_orderkey % 30 AS STRING) AS stock
-FROM orders WHERE o_orderkey % 40 IN (0, 1)
+       CASE WHEN o_orderkey % 11 = 3 THEN 'not json' WHEN o_orderkey % 11 = 4 THEN '{"a":" ","b":""}' WHEN o_orderkey % 11 = 5 THEN NULL
+            WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '{"Couleur":"Rouge","Taille":"M"}' END AS attributs
+FROM orders
+""",
+    "variation_changes": """
+SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST(o_orderkey AS BIGINT) + 1 ELSE CAST(o_orderkey AS BIGINT) + 2199023255552 END AS id,
+       CAST(o_custkey AS BIGINT) + 1 AS product_id,
+       CASE WHEN seq = 2 THEN ' Lot B ' WHEN o_orderkey % 3 = 0 THEN '' ELSE ' Lot A ' END AS libelle,
+       CASE WHEN o_orderkey % 11 = 3 THEN 'not json' WHEN o_orderkey % 11 = 4 THEN '{"a":" ","b":""}' WHEN o_orderkey % 11 = 5 THEN NULL
+            WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '{"Couleur":"Rouge","Taille":"M"}' END AS attributs,
+       CASE WHEN o_orderkey % 13 = 2 THEN '99999999' ELSE '2,5' END AS prix_supplement, CAST(o_orderkey % 30 AS STRING) AS stock,
+       CAST(CASE WHEN o_orderkey % 7 = 0 THEN (o_custkey + 1) % 10 + 1 WHEN o_orderkey % 3 = 1 THEN o_custkey % 10 + 1
+                 ELSE 1000002 END AS BIGINT) AS actor_id, seq
+FROM orders, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)
+WHERE o_orderkey % 40 IN (0, 1) AND (seq = 1 OR o_orderkey % 120 = 0)
 """,
     "user_changes": """
-SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE CAST(s_suppkey AS BIGINT) + 2000001 END AS id,
-       concat(' ', s_name, ' ') AS nom, 'Prenom' AS prenom, concat('c', CAST(s_suppkey AS STRING), '@example.com') AS email,
+SELECT * FROM (
+SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE CAST(s_suppkey AS BIGINT) + 1099511627776 END AS id,
+       CASE seq WHEN 1 THEN concat(' ', s_name, ' ') ELSE 'Second' END AS nom, 'Prenom' AS prenom,
+       concat('c', CAST(s_suppkey AS STRING), '@example.com') AS email,
        CASE s_suppkey % 5 WHEN 0 THEN 'ROLE_ADMIN' WHEN 1 THEN 'ROLE_OTHER' ELSE 'ROLE_FOURNISSEUR' END AS role,
-       CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE 'Maison' END AS libelle
-FROM supplier
+       CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE 'Maison' END AS libelle, seq
+FROM supplier, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)) WHERE seq = 1 OR id % 6 = 1
 """,
     "email_candidates": """
 SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE NULL END AS id,

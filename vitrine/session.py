@@ -59,14 +59,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is left alone. Only
-    when it is unset (local tests) a scratch directory is created for it.
+    On a cluster this setting points at shared storage and is left alone; without
+    it a cluster session is refused, since a folder of one machine is lost to the
+    others. Only a local session (tests) gets a scratch directory of its own.
     """
     current = spark.sparkContext.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if current and not path:
         return current
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vitrine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not current:

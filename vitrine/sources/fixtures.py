@@ -3,7 +3,7 @@
 The reference ships no data. These views fill its three tables (plus the change
 sets of the batch jobs) from ``supplier``, ``nation``, ``region``, ``part``,
 ``orders`` and ``events``; the same views exist as SQL in
-``vitrine.plans.oracle`` for the DuckDB cross-check. Every view is a plain
+``vitrine.plans.views_sql`` for the DuckDB cross-check. Every view is a plain
 projection or a join against the tiny ``nation``/``region`` tables, so its size
 grows with the source table it comes from.
 """
@@ -17,6 +17,11 @@ from vitrine.sources import schemas
 from vitrine.sources.tables import raw
 
 _STR = "string"
+# Ids of new rows and of rows that do not exist lie far above any source key.
+NEW_ID = 1 << 40
+NEW_VARIATION_ID = 1 << 41
+NO_ID = 1 << 43
+ADMIN = 1000002
 
 
 def _conform(df: DataFrame, schema) -> DataFrame:
@@ -74,7 +79,7 @@ def product_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, ck, prio = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
     df = o.select(
         (ok.cast("bigint") + 1).alias("id"),
-        (F.when(ok % 500 == 7, F.lit(99000000)).otherwise(ck).cast("bigint") + 1).alias("product_id"),
+        (F.when(ok % 500 == 7, F.lit(NO_ID)).otherwise(ck).cast("bigint") + 1).alias("product_id"),
         prio.alias("libelle"),
         F.when(ok % 4 == 0, F.lit("[]"))
          .otherwise(F.concat(F.lit('{"Priorite":"'), prio, F.lit('"}'))).alias("attributs"),
@@ -95,85 +100,124 @@ def product_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(key % 7 == 1, F.lit("   ")).otherwise(F.col("p_name")))
     prix = (F.when(key % 8 == 0, F.lit(" 12,5 ")).when(key % 8 == 1, F.lit("1.2345"))
             .when(key % 8 == 2, F.lit("")).when(key % 8 == 3, F.lit("-3"))
-            .when(key % 8 == 4, F.lit("abc"))
+            .when(key % 16 == 12, F.lit("12345678.123")).when(key % 8 == 4, F.lit("abc"))
             .otherwise(F.col("p_retailprice").cast(schemas.PRICE).cast(_STR)))
     ptype = (F.when(key % 5 == 0, F.lit("standard")).when(key % 5 == 1, F.lit("bundle"))
              .when(key % 5 == 2, F.lit("variations")).otherwise(F.lit("standard")))
     stock = (F.when(key % 6 == 5, F.lit("-1")).when(key % 6 == 4, F.lit("x"))
              .otherwise(F.col("p_size").cast(_STR)))
-    df = p.select((key.cast("bigint") + 10000001).alias("id"), libelle.alias("libelle"),
-                  F.col("p_type").alias("description"), prix.alias("prix"),
-                  ptype.alias("product_type"), stock.alias("stock"),
-                  (key % 12).cast("bigint").alias("fournisseur_id"))
-    return _conform(df, schemas.PRODUCT_INTAKE)
+    owner = F.when(key % 4 == 0, key % 10 + 1).otherwise(key % 12).cast("bigint")
+    image = (F.when(key % 6 == 0, F.concat(owner.cast(_STR), F.lit("/"), F.md5(key.cast(_STR)), F.lit(".png")))
+             .when(key % 6 == 1, F.lit("../../etc/x.php")))
+    first = p.select(F.when(key % 9 == 4, key.cast("bigint") + 1).otherwise(key.cast("bigint") + NEW_ID).alias("id"),
+                     libelle.alias("libelle"), F.col("p_type").alias("description"), prix.alias("prix"),
+                     ptype.alias("product_type"), stock.alias("stock"),
+                     (key % 12).cast("bigint").alias("fournisseur_id"),
+                     F.when(key % 4 == 0, key % 10 + 1).when(key % 20 == 1, F.lit(NO_ID)).otherwise(F.lit(ADMIN))
+                      .cast("bigint").alias("actor_id"),
+                     image.alias("image"), F.lit(1).cast("bigint").alias("seq"))
+    second = (first.filter(F.col("id") % 25 == 0)
+              .withColumn("libelle", F.lit("Second")).withColumn("prix", F.lit("5")).withColumn("seq", F.lit(2)))
+    return _conform(first.unionByName(second), schemas.PRODUCT_INTAKE)
 
 
 def product_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = raw(spark, sf_dir, "part", "p_partkey")
-    return p.filter(F.col("p_partkey") % 13 == 0).select((F.col("p_partkey").cast("bigint") + 1).alias("id"))
+    key = F.col("p_partkey")
+    p = raw(spark, sf_dir, "part", "p_partkey").filter(key % 13 == 0)
+    return _conform(p.select(
+        F.when(key % 39 == 0, key.cast("bigint") + NEW_ID).otherwise(key.cast("bigint") + 1).alias("id"),
+        F.when(key % 3 == 1, F.lit(ADMIN)).when(key % 7 == 0, (key + 1) % 10 + 1).otherwise(key % 10 + 1)
+         .cast("bigint").alias("actor_id")), schemas.DELETES)
 
 
 def variation_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = raw(spark, sf_dir, "orders", "o_orderkey")
-    return o.filter(F.col("o_orderkey") % 17 == 0).select((F.col("o_orderkey").cast("bigint") + 1).alias("id"))
+    ok, ck = F.col("o_orderkey"), F.col("o_custkey")
+    o = raw(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter(ok % 17 == 0)
+    return _conform(o.select(
+        F.when(ok % 51 == 0, ok.cast("bigint") + NEW_VARIATION_ID).otherwise(ok.cast("bigint") + 1).alias("id"),
+        F.when(ok % 2 == 0, F.lit(ADMIN)).when(ok % 5 == 0, (ck + 1) % 10 + 1).otherwise(ck % 10 + 1)
+         .cast("bigint").alias("actor_id")), schemas.DELETES)
 
 
 def user_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = raw(spark, sf_dir, "supplier", "s_suppkey")
-    return s.filter(F.col("s_suppkey") % 4 == 1).select((F.col("s_suppkey").cast("bigint") + 1).alias("id"))
+    key = F.col("s_suppkey")
+    s = raw(spark, sf_dir, "supplier", "s_suppkey").filter(key % 4 == 1)
+    return s.select((key.cast("bigint") + F.when(key % 8 == 5, F.lit(NEW_ID)).otherwise(F.lit(1))).alias("id"))
 
 
 def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw(spark, sf_dir, "events", "event_id", "user_id")
     return e.select(
         F.col("event_id"),
-        F.when(F.col("event_id") % 9 == 0, F.lit(1000002).cast("bigint"))
+        F.when(F.col("event_id") % 9 == 0, F.lit(ADMIN).cast("bigint"))
+         .when(F.col("event_id") % 17 == 0, F.lit(NO_ID))
          .otherwise((F.col("user_id") % 12).cast("bigint") + 1).alias("user_id"),
-        ((F.col("event_id") % 200).cast("bigint") + 1).alias("product_id"))
+        F.when(F.col("event_id") % 13 == 0, F.lit(NO_ID))
+         .otherwise((F.col("event_id") % 200).cast("bigint") + 1).alias("product_id"))
 
 
 def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = raw(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     key = F.col("p_partkey")
-    df = p.filter(key % 7 == 0).select(
+    owner = F.when(key % 3 == 0, key % 12).otherwise(key % 10 + 1).cast("bigint")
+    first = p.filter(key % 7 == 0).select(
         (key.cast("bigint") + 1).alias("id"),
         F.upper(F.col("p_name")).alias("libelle"),
         F.col("p_type").alias("description"),
-        F.when(key % 2 == 0, F.lit("19,900")).otherwise(F.lit("7.5")).alias("prix"),
+        F.when(key % 28 == 0, F.lit("12345678.123")).when(key % 2 == 0, F.lit("19,900")).otherwise(F.lit("7.5")).alias("prix"),
         (key % 12).cast("bigint").alias("fournisseur_id"),
         (key % 4 == 1).alias("remove_image"),
-        F.when(key % 5 == 0, F.concat(F.lit("1/"), F.md5(F.concat(F.lit("n"), key.cast(_STR))), F.lit(".webp")))
-         .otherwise(F.lit(None).cast(_STR)).alias("new_image"),
-        F.when(key % 3 == 0, F.lit(1000002).cast("bigint"))
-         .otherwise((key % 10).cast("bigint") + 1).alias("actor_id"))
-    return _conform(df, schemas.PRODUCT_UPDATES)
+        F.when(key % 5 == 0, F.concat(owner.cast(_STR), F.lit("/"), F.md5(F.concat(F.lit("n"), key.cast(_STR))), F.lit(".webp")))
+         .when(key % 5 == 1, F.lit("../../etc/x.php")).alias("new_image"),
+        F.when(key % 3 == 0, F.lit(ADMIN).cast("bigint"))
+         .otherwise((key % 10).cast("bigint") + 1).alias("actor_id"),
+        F.lit(1).cast("bigint").alias("seq"))
+    second = (first.filter(F.col("id") % 11 == 0)
+              .withColumn("libelle", F.lit("Second")).withColumn("prix", F.lit("8")).withColumn("seq", F.lit(2)))
+    return _conform(first.unionByName(second), schemas.PRODUCT_UPDATES)
+
+
+def variation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posted form for every variation: an edit of a stored one, or a new one."""
+    o = raw(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    ok, ck = F.col("o_orderkey"), F.col("o_custkey")
+    df = o.select(
+        F.when(ok % 40 == 1, ok.cast("bigint") + NEW_VARIATION_ID).otherwise(ok.cast("bigint") + 1).alias("id"),
+        (ck.cast("bigint") + 1).alias("product_id"),
+        F.when(ok % 3 == 0, F.lit("")).otherwise(F.lit(" Lot A ")).alias("libelle"),
+        F.when(ok % 11 == 3, F.lit("not json")).when(ok % 11 == 4, F.lit('{"a":" ","b":""}'))
+         .when(ok % 11 == 5, F.lit(None).cast(_STR)).when(ok % 2 == 0, F.lit("[]"))
+         .otherwise(F.lit('{"Couleur":"Rouge","Taille":"M"}')).alias("attributs"),
+        F.when(ok % 13 == 2, F.lit("99999999")).otherwise(F.lit("2,5")).alias("prix_supplement"),
+        (ok % 30).cast(_STR).alias("stock"),
+        F.when(ok % 7 == 0, (ck + 1) % 10 + 1).when(ok % 3 == 1, ck % 10 + 1).otherwise(F.lit(ADMIN))
+         .cast("bigint").alias("actor_id"),
+        F.lit(1).cast("bigint").alias("seq"), ok.alias("ok"))
+    return df
 
 
 def variation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = raw(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    ok = F.col("o_orderkey")
-    df = o.filter((ok % 40).isin(0, 1)).select(
-        F.when(ok % 40 == 0, ok.cast("bigint") + 1).otherwise(ok.cast("bigint") + 50000001).alias("id"),
-        (F.col("o_custkey").cast("bigint") + 1).alias("product_id"),
-        F.when(ok % 3 == 0, F.lit("")).otherwise(F.lit(" Lot A ")).alias("libelle"),
-        F.when(ok % 2 == 0, F.lit("[]")).otherwise(F.lit('{"Couleur":"Rouge","Taille":"M"}')).alias("attributs"),
-        F.lit("2,5").alias("prix_supplement"),
-        (ok % 30).cast(_STR).alias("stock"))
-    return _conform(df, schemas.VARIATION_CHANGES)
+    forms = variation_forms(spark, sf_dir)
+    first = forms.filter((F.col("ok") % 40).isin(0, 1))
+    second = (first.filter(F.col("ok") % 120 == 0)
+              .withColumn("libelle", F.lit(" Lot B ")).withColumn("seq", F.lit(2)))
+    return _conform(first.unionByName(second), schemas.VARIATION_CHANGES)
 
 
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = raw(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     key = F.col("s_suppkey")
-    df = s.select(
-        F.when(key % 2 == 0, key.cast("bigint") + 1).otherwise(key.cast("bigint") + 2000001).alias("id"),
+    first = s.select(
+        F.when(key % 2 == 0, key.cast("bigint") + 1).otherwise(key.cast("bigint") + NEW_ID).alias("id"),
         F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("nom"),
         F.lit("Prenom").alias("prenom"),
         F.concat(F.lit("c"), key.cast(_STR), F.lit("@example.com")).alias("email"),
         F.when(key % 5 == 0, F.lit("ROLE_ADMIN")).when(key % 5 == 1, F.lit("ROLE_OTHER"))
          .otherwise(F.lit("ROLE_FOURNISSEUR")).alias("role"),
-        F.when(key % 3 == 0, F.lit("  ")).otherwise(F.lit("Maison")).alias("libelle"))
-    return _conform(df, schemas.USER_CHANGES)
+        F.when(key % 3 == 0, F.lit("  ")).otherwise(F.lit("Maison")).alias("libelle"),
+        F.lit(1).cast("bigint").alias("seq"))
+    second = first.filter(F.col("id") % 6 == 1).withColumn("nom", F.lit("Second")).withColumn("seq", F.lit(2))
+    return _conform(first.unionByName(second), schemas.USER_CHANGES)
 
 
 def email_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +250,7 @@ VIEWS = {
     "user_deletes": user_deletes,
     "access_requests": access_requests,
     "product_updates": product_updates,
+    "variation_forms": variation_forms,
     "variation_changes": variation_changes,
     "user_changes": user_changes,
     "email_candidates": email_candidates,

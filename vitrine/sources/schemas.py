@@ -40,7 +40,8 @@ VARIATIONS = T.StructType([
     T.StructField("is_deleted", T.BooleanType(), True),
 ])
 
-# Incoming rows are raw text, the way a form posts them.
+# Incoming rows are raw text, the way a form posts them. ``seq`` is the order of the
+# changes of one id, ``actor_id`` the account that asks.
 PRODUCT_INTAKE = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("libelle", T.StringType(), True),
@@ -49,6 +50,9 @@ PRODUCT_INTAKE = T.StructType([
     T.StructField("product_type", T.StringType(), True),
     T.StructField("stock", T.StringType(), True),
     T.StructField("fournisseur_id", T.LongType(), True),
+    T.StructField("actor_id", T.LongType(), True),
+    T.StructField("image", T.StringType(), True),
+    T.StructField("seq", T.LongType(), True),
 ])
 
 PRODUCT_UPDATES = T.StructType([
@@ -60,6 +64,7 @@ PRODUCT_UPDATES = T.StructType([
     T.StructField("remove_image", T.BooleanType(), True),
     T.StructField("new_image", T.StringType(), True),
     T.StructField("actor_id", T.LongType(), True),
+    T.StructField("seq", T.LongType(), True),
 ])
 
 VARIATION_CHANGES = T.StructType([
@@ -69,6 +74,8 @@ VARIATION_CHANGES = T.StructType([
     T.StructField("attributs", T.StringType(), True),
     T.StructField("prix_supplement", T.StringType(), True),
     T.StructField("stock", T.StringType(), True),
+    T.StructField("actor_id", T.LongType(), True),
+    T.StructField("seq", T.LongType(), True),
 ])
 
 USER_CHANGES = T.StructType([
@@ -78,9 +85,12 @@ USER_CHANGES = T.StructType([
     T.StructField("email", T.StringType(), True),
     T.StructField("role", T.StringType(), True),
     T.StructField("libelle", T.StringType(), True),
+    T.StructField("seq", T.LongType(), True),
 ])
 
 IDS = T.StructType([T.StructField("id", T.LongType(), False)])
+# Delete requests: the row and who asks.
+DELETES = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("actor_id", T.LongType(), True)])
 
 TABLES = {
     "users": USERS,

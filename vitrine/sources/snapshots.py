@@ -15,11 +15,12 @@ from vitrine.sources.tables import path_exists, read_snapshot, write_snapshot
 
 CHANGE_SETS: dict[str, T.StructType] = {
     "product_intake": schemas.PRODUCT_INTAKE,
-    "product_deletes": schemas.IDS,
-    "variation_deletes": schemas.IDS,
+    "product_deletes": schemas.DELETES,
+    "variation_deletes": schemas.DELETES,
     "user_deletes": schemas.IDS,
     "product_updates": schemas.PRODUCT_UPDATES,
     "variation_changes": schemas.VARIATION_CHANGES,
+    "variation_forms": schemas.VARIATION_CHANGES,
     "user_changes": schemas.USER_CHANGES,
     "access_requests": T.StructType([T.StructField("event_id", T.LongType()),
                                      T.StructField("user_id", T.LongType()),
@@ -31,8 +32,19 @@ CHANGE_SETS: dict[str, T.StructType] = {
 ALL_TABLES: dict[str, T.StructType] = {**schemas.TABLES, **CHANGE_SETS}
 
 
+MARKER = "_CATALOGUE"
+
+
+def publish(spark: SparkSession, root: str) -> None:
+    """Mark a root as complete; called after its last table is written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{MARKER}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+
+
 def is_snapshot_root(spark: SparkSession, root: str) -> bool:
-    return path_exists(spark, f"{root.rstrip('/')}/products")
+    """True for a complete root; a root whose tables are still being written is none."""
+    return path_exists(spark, f"{root.rstrip('/')}/{MARKER}")
 
 
 class SnapshotCatalogue:
@@ -55,4 +67,5 @@ def export(catalogue, root: str, names: list[str] | None = None) -> list[str]:
         df = getattr(catalogue, name)
         write_snapshot(df.select(*[f.name for f in ALL_TABLES[name].fields]), f"{root.rstrip('/')}/{name}")
         written.append(name)
+    publish(catalogue.spark, root)
     return written
