@@ -1,16 +1,18 @@
 """Skew-safe row numbering equals row_number() over the whole group."""
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.windows import page_numbers, row_number_by_id
+from vitrine.operators.windows import QUANTILES, STEPS, bucket_of, id_bounds, page_numbers, row_number_by_id
 
 
 def test_row_number_matches_window(spark):
     # one hot key holding most rows, spread over many buckets of width 7
     df = spark.range(0, 3000).select(F.col("id"), F.when(F.col("id") % 10 < 7, F.lit(1)).otherwise(F.col("id") % 13).alias("k"))
     for desc in (False, True):
-        got = row_number_by_id(df, ["k"], descending=desc, bucket_width=7)
+        got = row_number_by_id(df, ["k"], descending=desc)
         order = F.col("id").desc() if desc else F.col("id").asc()
         want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(order)).cast("bigint"))
         assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
@@ -18,8 +20,7 @@ def test_row_number_matches_window(spark):
 
 def test_page_numbers(spark):
     df = spark.range(1, 13).select(F.col("id"), F.lit(5).alias("s"))
-    pages = {r.id: (r.rn, r.page) for r in page_numbers(df, ["s"], 5, bucket_width=3).collect()} \
-        if False else {r.id: (r.rn, r.page) for r in page_numbers(df, ["s"], 5).collect()}
+    pages = {r.id: (r.rn, r.page) for r in page_numbers(df, ["s"], 5).collect()}
     assert pages[12] == (1, 0) and pages[8] == (5, 0) and pages[7] == (6, 1) and pages[1] == (12, 2)
 
 
@@ -27,7 +28,24 @@ def test_null_keys_are_a_group_not_dropped(spark):
     df = spark.range(0, 500).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).cast("long").alias("k"),
         F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.lit("x")).alias("s"))
-    got = row_number_by_id(df, ["k", "s"], bucket_width=16)
+    got = row_number_by_id(df, ["k", "s"])
     assert got.count() == 500
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k", "s").orderBy("id")).cast("bigint"))
     assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
+
+
+def test_sparse_and_clustered_ids(spark):
+    """63-bit random ids, dense ids and ids far apart, with one hot key: right numbers, small buckets."""
+    r = random.Random(7)
+    ids = {r.getrandbits(62) - (1 << 61) for _ in range(1500)} | set(range(1500)) \
+        | {(1 << 42) + k for k in range(1500)} | {1_000_003 * k + 10**9 for k in range(1500)}
+    df = spark.createDataFrame([(i, 1 if r.random() < 0.9 else r.randint(2, 9)) for i in sorted(ids)], "id long, k long")
+    bounds = id_bounds(df, "id")
+    for desc in (False, True):
+        got = row_number_by_id(df, ["k"], descending=desc)
+        order = F.col("id").desc() if desc else F.col("id").asc()
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(order)).cast("bigint"))
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    sizes = df.groupBy("k", bucket_of(F.col("id"), bounds).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2.5 * len(ids) / QUANTILES
+    assert sizes.groupBy("k").count().agg(F.max("count")).first()[0] <= QUANTILES * STEPS

@@ -147,13 +147,16 @@ def user_rows(users: DataFrame) -> DataFrame:
                         falsy_default(F.col("libelle"), NO_TRADE_NAME).alias("libelle"))
 
 
-def role_labels(users: DataFrame) -> DataFrame:
-    """SCL-2: display name and badge class of each user's role."""
+def role_columns() -> list[Column]:
+    """SCL-2: display name and badge class of a role."""
     label, klass = ROLE_LABELS["ROLE_ADMIN"]
     admin = F.col("role") == F.lit("ROLE_ADMIN")
-    return users.select("id", "role",
-                        F.when(admin, F.lit(label)).otherwise(F.lit(OTHER_ROLE_LABEL[0])).alias("role_label"),
-                        F.when(admin, F.lit(klass)).otherwise(F.lit(OTHER_ROLE_LABEL[1])).alias("role_class"))
+    return [F.when(admin, F.lit(label)).otherwise(F.lit(OTHER_ROLE_LABEL[0])).alias("role_label"),
+            F.when(admin, F.lit(klass)).otherwise(F.lit(OTHER_ROLE_LABEL[1])).alias("role_class")]
+
+
+def role_labels(users: DataFrame) -> DataFrame:
+    return users.select("id", "role", *role_columns())
 
 
 def user_listing(users: DataFrame, search: str | None = None, mode: str = "like") -> DataFrame:
@@ -164,8 +167,11 @@ def user_listing(users: DataFrame, search: str | None = None, mode: str = "like"
 
 def user_page(users: DataFrame, start: int = 0, length: int = DEFAULT_LENGTH,
               search: str | None = None, mode: str = "like") -> DataFrame:
+    """The user grid page: newest first, each row with its role's label and class."""
     start, length = clamp_page(start, length)
-    return user_rows(user_listing(users, search, mode)).orderBy(F.col("id").desc()).offset(start).limit(length)
+    rows = user_rows(user_listing(users, search, mode))
+    page = rows.orderBy(F.col("id").desc()).offset(start).limit(length)
+    return page.select("*", *role_columns())
 
 
 def user_counts(users: DataFrame, search: str | None = None, mode: str = "like") -> DataFrame:
@@ -266,3 +272,18 @@ def product_envelope(products: DataFrame, users: DataFrame, variations: DataFram
                      supplier_id: int | None = None, mode: str = "like") -> Envelope:
     return Envelope(product_counts(products, users, search, supplier_id, mode),
                     lambda: product_page(products, users, variations, start, length, search, supplier_id, mode))
+
+
+def user_envelope(users: DataFrame, start: int = 0, length: int = DEFAULT_LENGTH, search: str | None = None,
+                  mode: str = "like") -> Envelope:
+    return Envelope(user_counts(users, search, mode), lambda: user_page(users, start, length, search, mode))
+
+
+def variation_envelope(variations: DataFrame, products: DataFrame, product_id: int, start: int = 0,
+                       length: int = VARIATION_GRID_LENGTH, search: str | None = None, order_column: int | None = 0,
+                       order_dir: str | None = "asc", mode: str = "like") -> Envelope:
+    """The response for one product's variation grid."""
+    counts = summary.total_and_filtered(filters.active_strict(filters.of_parent(variations, product_id)),
+                                        filters.variation_search_predicate(search, mode))
+    return Envelope(counts, lambda: variation_page(variations, products, product_id, start, length, search,
+                                                   order_column, order_dir, mode))

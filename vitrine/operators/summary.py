@@ -20,13 +20,18 @@ def stock_summary(variations: DataFrame, product_ids: DataFrame | None = None) -
     those products first, the way the listing only summarises its page.
     Output: ``product_id, stock_total, has_price_supplement``.
     """
+    return stock_and_supplement(variations, product_ids).drop("max_supplement")
+
+
+def stock_and_supplement(variations: DataFrame, product_ids: DataFrame | None = None) -> DataFrame:
+    """``stock_summary`` with the greatest supplement itself, from the same aggregation."""
     v = filters.active_strict(variations)
     if product_ids is not None:
         v = filters.by_keys(v, product_ids, column="product_id")
     return (v.groupBy("product_id")
             .agg(F.coalesce(F.sum("stock"), F.lit(0)).cast("bigint").alias("stock_total"),
                  F.max("prix_supplement").alias("max_supplement"))
-            .select("product_id", "stock_total",
+            .select("product_id", "stock_total", "max_supplement",
                     F.coalesce(F.col("max_supplement").cast("double") > 0, F.lit(False))
                      .alias("has_price_supplement")))
 

@@ -2,14 +2,17 @@
 
 ``row_number().over(partitionBy(key).orderBy(id))`` puts every row of a key in
 one task; a supplier or product holding a third of the catalogue would make
-that task a third of the job. Here the integer ``id`` order is cut into buckets
-of at most ``bucket_width`` consecutive ids:
+that task a third of the job. Here the ``id`` order is cut into buckets that
+hold about as many rows each, whatever the ids look like (dense, sparse or far
+apart): approximate quantiles of the ids give ``QUANTILES`` slices, and each slice
+is cut into ``STEPS`` equal steps of the id.
 
-1. rank inside (key, bucket) with a window -- a bucket holds at most
-   ``bucket_width`` rows, whatever the key;
+1. rank inside (key, bucket) with a window -- a bucket, and so a window, holds at
+   most about one in ``QUANTILES`` rows of the table, and far fewer when the ids of
+   a slice are spread evenly;
 2. count rows per (key, bucket) -- a partial/final hash aggregate;
-3. running sum of those counts over the buckets of a key -- a window over the
-   small count table (one row per non-empty bucket);
+3. running sum of those counts over the buckets of a key -- a window over at most
+   ``QUANTILES * STEPS`` rows per key;
 4. join the offsets back on (key, bucket); the big side is already hash
    partitioned on those columns by step 1, so it is not shuffled again.
 
@@ -18,14 +21,36 @@ Result: exactly ``row_number`` over (key ORDER BY id), as a bigint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 16
+QUANTILES = 64
+STEPS = 64
+
+
+def id_bounds(df: DataFrame, id_col: str) -> list[int]:
+    """Ascending ids that cut the table into about ``QUANTILES`` equal slices (one row to the driver)."""
+    share = [k / QUANTILES for k in range(QUANTILES + 1)]
+    got = df.agg(F.percentile_approx(F.col(id_col), share, F.lit(100 * QUANTILES)).alias("q")).first()["q"]
+    return sorted(set(got or []))
+
+
+def bucket_of(id_col: Column, bounds: list[int]) -> Column:
+    """The bucket of an id: its slice among ``bounds``, then its step in the slice; ascending with the id."""
+    def slice_of(lo: int, hi: int) -> Column:
+        if lo + 1 >= hi:
+            width = max(1, -(-(bounds[hi] - bounds[lo]) // STEPS)) if hi < len(bounds) else 1
+            far = F.coalesce(F.try_subtract(id_col, F.lit(bounds[lo])), F.lit(STEPS * width))  # NULL: beyond a long
+            step = F.least(F.floor(far / F.lit(width)), F.lit(STEPS - 1))
+            return F.lit(lo * STEPS) + F.greatest(step, F.lit(0))
+        mid = (lo + hi) // 2
+        return F.when(id_col < F.lit(bounds[mid]), slice_of(lo, mid)).otherwise(slice_of(mid, hi))
+
+    return slice_of(0, len(bounds)).cast("bigint") if bounds else F.lit(0).cast("bigint")
 
 
 def row_number_by_id(df: DataFrame, keys: list[str], id_col: str = "id", descending: bool = False,
-                     out_col: str = "rn", bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                     out_col: str = "rn", bounds: list[int] | None = None) -> DataFrame:
     """Add ``out_col`` = position of the row inside its ``keys`` group, ordered by ``id_col``.
 
     ``id_col`` is an integer, unique inside a group. A NULL key is a group of its
@@ -40,7 +65,7 @@ def row_number_by_id(df: DataFrame, keys: list[str], id_col: str = "id", descend
         d = (d.withColumn(f"__k{i}", F.coalesce(F.col(k), F.lit(0).cast(types[k])))
               .withColumn(f"__n{i}", F.col(k).isNull()))
         safe += [f"__k{i}", f"__n{i}"]
-    d = d.withColumn(bucket, F.floor(F.col(id_col) / F.lit(bucket_width)))
+    d = d.withColumn(bucket, bucket_of(F.col(id_col), id_bounds(df, id_col) if bounds is None else bounds))
     order_id = F.col(id_col).desc() if descending else F.col(id_col).asc()
     local = d.withColumn("__local", F.row_number().over(Window.partitionBy(*safe, bucket).orderBy(order_id)))
     counts = d.groupBy(*safe, bucket).agg(F.count(F.lit(1)).alias("__n"))

@@ -123,6 +123,30 @@ def variation_page_by_supplement(spark, sf_dir) -> DataFrame:
                                   listing.VARIATION_GRID_LENGTH, None, 3, "desc")
 
 
+_GRID_SEARCH = ("(lower(strip_accents(libelle)) LIKE '%1-urgent%' OR lower(strip_accents(reference)) LIKE '%1-urgent%' "
+                "OR attributs LIKE '%1-URGENT%')")
+
+
+def _variation_response(spark, sf_dir) -> listing.Envelope:
+    c = cat(spark, sf_dir)
+    return listing.variation_envelope(c.product_variations, c.products, PAGE_PRODUCT, 0, 5, "1-URGENT", 0, "desc")
+
+
+@register("variation_listing_envelope", f"""
+SELECT count(*) AS records_total, CAST(count_if(coalesce({_GRID_SEARCH}, false)) AS BIGINT) AS records_filtered
+FROM product_variations WHERE is_deleted = false AND product_id = {PAGE_PRODUCT}""", [V])
+def variation_listing_envelope(spark, sf_dir) -> DataFrame:
+    return _variation_response(spark, sf_dir).counts
+
+
+@register("variation_listing_page", f"""
+WITH page AS (SELECT * FROM product_variations WHERE product_id = {PAGE_PRODUCT} AND is_deleted = false AND {_GRID_SEARCH}
+              ORDER BY lower(strip_accents(libelle)) DESC, id LIMIT 5)
+SELECT {_VROW} FROM page v JOIN products p ON p.id = v.product_id AND NOT coalesce(p.is_deleted, false)""", [P, V])
+def variation_listing_page(spark, sf_dir) -> DataFrame:
+    return _variation_response(spark, sf_dir).page
+
+
 @register("variation_rows", f"""
 SELECT {_VROW} FROM product_variations v JOIN products p ON p.id = v.product_id AND NOT coalesce(p.is_deleted, false)
 WHERE v.is_deleted = false""", [P, V])
@@ -272,9 +296,7 @@ FROM products p LEFT JOIN (SELECT product_id, has_price_supplement, max_suppleme
         WHERE is_deleted = false GROUP BY product_id) m ON m.k = s.product_id) s ON s.product_id = p.id""", [P, V])
 def price_text(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    v = filters.active_strict(c.product_variations)
-    m = v.groupBy("product_id").agg(F.max("prix_supplement").alias("max_supplement"))
-    s = summary.stock_summary(c.product_variations).join(m, "product_id")
+    s = summary.stock_and_supplement(c.product_variations)
     p = c.products
     j = p.join(s, p.id == s.product_id, "left")
     flag = F.coalesce(F.col("has_price_supplement"), F.lit(False))

@@ -35,6 +35,8 @@ USER_SEARCH_SQL = ("(lower(strip_accents(nom)) LIKE '%{t}%' OR lower(strip_accen
                    ).format(t=USER_SEARCH.lower())
 VARIATION_SEARCH_SQL = ("(lower(strip_accents(libelle)) LIKE '%{t}%' OR lower(strip_accents(reference)) LIKE '%{t}%'"
                         " OR attributs LIKE '%{raw}%')").format(t=VARIATION_SEARCH.lower(), raw=VARIATION_SEARCH)
+ROLE_SQL = ("CASE WHEN role = 'ROLE_ADMIN' THEN 'Administrateur' ELSE 'Fournisseur' END AS role_label, "
+            "CASE WHEN role = 'ROLE_ADMIN' THEN 'role-admin' ELSE 'role-fournisseur' END AS role_class")
 SUMMARY_SQL = """SELECT product_id, CAST(coalesce(sum(stock), 0) AS BIGINT) AS stock_total,
        coalesce(CAST(max(prix_supplement) AS DOUBLE) > 0, false) AS has_price_supplement
 FROM product_variations WHERE is_deleted = false"""
@@ -232,6 +234,36 @@ def product_listing_envelope(spark, sf_dir) -> DataFrame:
                                     PRODUCT_SEARCH, SUPPLIER_ID).counts
 
 
+@register("product_listing_page", f"""
+WITH page AS (
+  SELECT p.id, p.libelle, p.description, p.image, p.prix, {SUPPLIER_LABEL_SQL} AS fournisseur
+  FROM products p LEFT JOIN users u ON p.fournisseur_id = u.id
+  WHERE p.is_deleted = false AND p.fournisseur_id = {SUPPLIER_ID} AND {PRODUCT_SEARCH_SQL} ORDER BY p.id DESC LIMIT 5),
+s AS ({SUMMARY_SQL} AND product_id IN (SELECT id FROM page) GROUP BY product_id)
+SELECT page.*, CAST(coalesce(s.stock_total, 0) AS BIGINT) AS stock,
+       coalesce(s.has_price_supplement, false) AS has_price_supplement
+FROM page LEFT JOIN s ON s.product_id = page.id""", [U, P, V])
+def product_listing_page(spark, sf_dir) -> DataFrame:
+    c = cat(spark, sf_dir)
+    return listing.product_envelope(c.products, c.users, c.product_variations, 0, listing.PRODUCT_GRID_LENGTH,
+                                    PRODUCT_SEARCH, SUPPLIER_ID).page
+
+
+@register("user_listing_envelope", f"""
+SELECT count(*) AS records_total, CAST(count_if(coalesce({USER_SEARCH_SQL}, false)) AS BIGINT) AS records_filtered
+FROM users WHERE is_deleted = false""", [U])
+def user_listing_envelope(spark, sf_dir) -> DataFrame:
+    return listing.user_envelope(cat(spark, sf_dir).users, 0, listing.USER_GRID_LENGTH, USER_SEARCH).counts
+
+
+@register("user_listing_page", f"""
+SELECT id, nom, prenom, email, role, CASE WHEN libelle IS NULL OR libelle IN ('', '0') THEN '-' ELSE libelle END AS libelle,
+       {ROLE_SQL}
+FROM users WHERE is_deleted = false AND {USER_SEARCH_SQL} ORDER BY id DESC LIMIT 15""", [U])
+def user_listing_page(spark, sf_dir) -> DataFrame:
+    return listing.user_envelope(cat(spark, sf_dir).users, 0, listing.USER_GRID_LENGTH, USER_SEARCH).page
+
+
 @register("user_counts", f"""
 SELECT count(*) AS records_total, CAST(count_if(coalesce({USER_SEARCH_SQL}, false)) AS BIGINT) AS records_filtered
 FROM users WHERE is_deleted = false""", [U])
@@ -263,7 +295,8 @@ def product_page(spark, sf_dir) -> DataFrame:
 
 
 @register("user_page", f"""
-SELECT id, nom, prenom, email, role, CASE WHEN libelle IS NULL OR libelle IN ('', '0') THEN '-' ELSE libelle END AS libelle
+SELECT id, nom, prenom, email, role, CASE WHEN libelle IS NULL OR libelle IN ('', '0') THEN '-' ELSE libelle END AS libelle,
+       {ROLE_SQL}
 FROM users WHERE is_deleted = false ORDER BY id DESC LIMIT 15 OFFSET 15""", [U])
 def user_page(spark, sf_dir) -> DataFrame:
     return listing.user_page(cat(spark, sf_dir).users, 15, listing.USER_GRID_LENGTH)

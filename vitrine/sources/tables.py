@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vitrine.sources import schemas
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -58,7 +57,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def catalogue_schema(name: str) -> T.StructType:
-    return schemas.TABLES[name]
