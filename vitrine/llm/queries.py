@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vitrine.llm import (balltree, html_crf, langid, mixing, packing, partenum, quality_model, quality_rules,
                          token_counts, url_reputation)
+from vitrine.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry module)
 from vitrine.sources.tables import raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,20 +30,6 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(raw(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-ORACLE_SQL["op2_exact_top_k"] = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-WHERE rank <= 20
-"""
-
-
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.linked_groups(raw(spark, sf_dir, "documents", "doc_id", "text"))
@@ -76,7 +61,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(raw(spark, sf_dir, "pages", "page_id", "url"))
+    judged = url_reputation.judge(raw(spark, sf_dir, "pages", "page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 @query
