@@ -39,12 +39,12 @@ def stored_attributes(m: Column) -> Column:
 
 def attribute_text(attributs: Column) -> Column:
     """``name : value`` per entry in stored order, ``Standard`` when there is none."""
-    m = parse_attributes(attributs)
-    text = F.array_join(F.transform(F.map_entries(m),
-                                    lambda e: F.concat(e["key"], F.lit(PAIR_SEPARATOR),
-                                                       F.coalesce(e["value"], F.lit("")))),
-                        LIST_SEPARATOR)
-    return F.when(F.size(m) == 0, F.lit(NO_ATTRIBUTES)).otherwise(text)
+    def text(entries: Column) -> Column:
+        pairs = F.transform(entries, lambda e: F.concat(e["key"], F.lit(PAIR_SEPARATOR), F.coalesce(e["value"], F.lit(""))))
+        return F.when(F.size(entries) == 0, F.lit(NO_ATTRIBUTES)).otherwise(F.array_join(pairs, LIST_SEPARATOR))
+
+    # bound to a lambda variable, so that the JSON is parsed once per row
+    return F.get(F.transform(F.array(F.map_entries(parse_attributes(attributs))), text), F.lit(0))
 
 
 def normalise_pairs(names: Column, values: Column) -> Column:

@@ -42,6 +42,15 @@ def total_stock(variations: DataFrame, product_id: int) -> DataFrame:
     return v.agg(F.coalesce(F.sum("stock"), F.lit(0)).cast("bigint").alias("stock_total"))
 
 
+def stock_totals(products: DataFrame, variations: DataFrame) -> DataFrame:
+    """``total_stock`` of every product."""
+    s = stock_summary(variations)
+    p = products.select("id")
+    return (p.join(s, p.id == s.product_id, "left")
+            .select(F.col("id").alias("product_id"),
+                    F.coalesce(F.col("stock_total"), F.lit(0)).cast("bigint").alias("stock_total")))
+
+
 def count_active_products(products: DataFrame, supplier_id: int | None = None) -> DataFrame:
     p = filters.for_supplier(filters.active_strict(products), supplier_id)
     return p.agg(F.count("id").alias("records_total"))

@@ -3,6 +3,8 @@ references, change-apply, images and schema evolution, with DuckDB oracles."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from vitrine.operators import changes, evolve, filters, listing, quality, refere
 from vitrine.operators.windows import page_numbers
 from vitrine.plans import sqlparts as S
 from vitrine.plans.queries import SUMMARY_SQL, SUPPLIER_LABEL_SQL, cat
-from vitrine.plans.registry import register
+from vitrine.plans.registry import QUERIES, register
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import assets as asset_audit
+from vitrine.sources import snapshots
 from vitrine.sources.tables import raw
 
 U, P, V = "users", "products", "product_variations"
@@ -205,11 +209,14 @@ SELECT p.id AS product_id, CAST(coalesce(s.stock_total, 0) AS BIGINT) AS stock_t
 FROM products p LEFT JOIN s ON s.product_id = p.id""", [P, V])
 def total_stock(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    s = summary.stock_summary(c.product_variations)
-    p = c.products.select("id")
-    return (p.join(s, p.id == s.product_id, "left")
-            .select(F.col("id").alias("product_id"),
-                    F.coalesce(F.col("stock_total"), F.lit(0)).cast("bigint").alias("stock_total")))
+    return summary.stock_totals(c.products, c.product_variations)
+
+
+@register("total_stock_of_product", f"""
+SELECT CAST(coalesce(sum(stock), 0) AS BIGINT) AS stock_total FROM product_variations
+WHERE is_deleted = false AND product_id = {PAGE_PRODUCT}""", [V])
+def total_stock_of_product(spark, sf_dir) -> DataFrame:
+    return summary.total_stock(cat(spark, sf_dir).product_variations, PAGE_PRODUCT)
 
 
 @register("manageable_variations", """
@@ -797,6 +804,32 @@ def rejected_variation_changes(spark, sf_dir) -> DataFrame:
     return checked.filter(F.col("reason").isNotNull()).select("id", "reason")
 
 
+def _new_root(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+
+
+@register("stored_after_intake", f"""
+SELECT {_P_COLS}, is_deleted FROM products UNION ALL
+SELECT id, libelle, description, image, {S.parse_price('prix')} AS prix, fournisseur_id, false FROM ({_INTAKE_OK})""",
+          [U, P, V, "product_intake"])
+def stored_after_intake(spark, sf_dir) -> DataFrame:
+    """SNK-2: the product table as read back from the written and published snapshot root."""
+    c = cat(spark, sf_dir)
+    root = _new_root(spark)
+    changes.write_intake(c.product_intake, c.users, c.products, c.product_variations, root)
+    return cat(spark, root).products
+
+
+@register("stored_after_updates", QUERIES["apply_product_updates"].sql, [U, P, "product_updates"])
+def stored_after_updates(spark, sf_dir) -> DataFrame:
+    """SNK-3: the product table as read back from the written snapshot."""
+    c = cat(spark, sf_dir)
+    root = _new_root(spark)
+    changes.write_change_result(changes.apply_product_updates(c.products, c.users, c.product_updates), "products", root)
+    snapshots.publish(spark, root)
+    return cat(spark, root).products
+
+
 _UC_OK = f"SELECT n.* FROM ({_USER_NORM}) n WHERE ({S.report(_USER_RULES).split(' AS n_violations')[0]}) = 0"
 
 

@@ -1,8 +1,9 @@
 """Product image files, read with Spark's ``binaryFile`` source (DQ-20).
 
-Only the first bytes of each file are looked at (file type signature) plus its
-length and path; the audit is a projection, so it scales with the number of
-files and never gathers them on the driver.
+The file type is read from the first bytes. Spark's source reads a file's whole
+content for that, so it is asked for files up to the upload limit only: longer files
+fail the size rule whatever they hold, and are listed without being opened. The audit
+is a projection, so it scales with the files and never gathers them on the driver.
 """
 
 from __future__ import annotations
@@ -14,9 +15,14 @@ from vitrine.functions import images
 
 
 def read_image_files(spark: SparkSession, root: str) -> DataFrame:
-    """``image_key`` (path under ``root``), ``length`` and detected ``mime`` of every file."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select("path", "length", F.substring("content", 1, 12).alias("head")))
+    """``image_key`` (path under ``root``), ``length`` and detected ``mime`` of every file
+    (NULL for files above the upload limit)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    opened = files.filter(F.col("length") <= images.MAX_BYTES).select(
+        "path", "length", F.substring("content", 1, 12).alias("head"))
+    listed = files.filter(F.col("length") > images.MAX_BYTES).select(
+        "path", "length", F.lit(None).cast("binary").alias("head"))
+    df = opened.unionByName(listed)
     root_uri = root.rstrip("/") + "/"
     key = F.regexp_replace(F.col("path"), r"^.*?" + _escape(root_uri.lstrip("/")), "")
     return df.select(key.alias("image_key"), "length", sniff_mime(F.col("head")).alias("mime"))
