@@ -10,7 +10,8 @@ closes. A full piece is a sequence of its own.
 The piece table (ids, lengths and checksums, no text) is checkpointed and dealt by
 hash over tasks of about ``PIECES_PER_TASK`` rows, each with its own bins, so the
 space lost at the end of a task stays far below one percent whatever the input's
-own partitions are. A task holds its open bins only.
+own partitions are. A task takes its pieces longest first, so that short ones fill
+what long ones leave; it holds its open bins only.
 
 Defined cases: null and empty texts are one piece, the end id; repeated rows are
 packed each; null ids are kept; an empty table gives no rows; other columns are
@@ -34,7 +35,7 @@ ship_by_value(__name__)
 
 SIZE = 1024
 END_ID = 2
-OPEN_BINS = 512
+OPEN_BINS = 65_536
 PIECES_PER_TASK = 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -100,7 +101,8 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, size: int = SIZE,
     table = checkpointed(pieces(docs, vocabulary, size, end_id))
     tasks = max(1, -(-table.count() // per_task))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = table.withColumn("__order", order).repartition(tasks, "__order").sortWithinPartitions("__order", "doc_id")
+    dealt = table.withColumn("__order", order).repartition(tasks, "__order").sortWithinPartitions(
+        F.desc("length"), "__order", "doc_id")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
