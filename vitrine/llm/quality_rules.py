@@ -156,7 +156,10 @@ def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
     rejected = F.lit(False)
     for name, value in zip(RATES, _rates()):
         rejected = rejected | F.coalesce(value > F.col(f"max_{name}"), F.lit(False))
-    return got.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(
+    # one CASE, not a conjunction: a part of a conjunction would be pushed below the join, and the measures
+    # behind it computed twice
+    kept = F.when(F.col("base_failed") | rejected, F.lit(False)).otherwise(F.lit(True))
+    return got.withColumn("kept", kept).drop(
         "__stratum", *[f"max_{r}" for r in RATES])
 
 
@@ -172,7 +175,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     The texts are read twice, once for the cutoffs and once for the verdicts; they
     are never shuffled.
     """
-    measured = with_measures(docs, ["doc_id", "lang"])
+    measured = checkpointed(with_measures(docs, ["doc_id", "lang"]))
     limits = checkpointed(cutoffs(measured, labels, alpha, delta))
     keep = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
