@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
@@ -43,6 +44,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder, read back.
+
+    For loops and many-step jobs: unlike a checkpoint, the table carries no
+    constraints of the plan behind it, which multiply with every round of aliases and
+    fill the driver, and it has sizes of its own for the joins that read it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,7 +65,7 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def text_blocks(texts: Iterable[str | None], max_chars: int = 1_000_000) -> Iterator[list[str]]:
+def text_blocks(texts: Iterable[str | None], max_chars: int = 250_000) -> Iterator[list[str]]:
     """Consecutive texts in lists of about ``max_chars`` characters; null is the empty text."""
     block: list[str] = []
     size = 0

@@ -3,7 +3,7 @@
 Each round points every node at the least label among its neighbours, first from
 the larger neighbours, then from the smaller ones; a chain of n links takes a number
 of rounds that grows with log n. The links of a hub are spread over salted join keys,
-and minima are combined before they are shuffled. Every round is checkpointed, so a
+and minima are combined before they are shuffled. Every round is stored, so a
 lost executor costs one round.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed
+from vitrine.llm.common import stored
 
 SALTS = 8
 
@@ -28,16 +28,16 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component for every node of ``links`` (a, b); the component is its least node."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.filter("u <> v").distinct())
+        large = stored(large.filter("u <> v").distinct())
         small = _with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u <> v").distinct())
+        edges = stored(small.filter("u <> v").distinct())
         # the round changed nothing when the table of links is the same: compare counts and two sums of hashes
         seen = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))),
                          F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()

@@ -24,14 +24,14 @@ of all classes thus sends one row per task, and pairs are as many as the members
 not their square. What this leaves:
 
 1. Pairs with the least partner of each class are compared, then the pairs whose
-   ends are not yet in one component. Compared means: texts are read again, and
-   exact set sizes and overlap decide.
+   ends are not yet in one component. Compared means: two exact filters come first
+   (sizes; counts of shingles per hash cell, whose differences never exceed the sets'
+   difference), then texts are read again, and the overlap of the sets decides.
 2. If every pair under a least class joined its ends, all classes under it are in one
    component and nothing more can come from its signatures. Else the classes
-   under it that lie in different components are compared with each other, after
-   two exact filters (sizes; counts of shingles in ``CELLS`` cells, whose differences
-   never exceed the sets' difference). Such a neighbourhood is cut into blocks, and
-   each pair of blocks is a group of its own, so no task holds a whole hot one.
+   under it that lie in different components are compared with each other, by the
+   same filters and overlap. Such a neighbourhood is cut into blocks, and each pair
+   of blocks is a group of its own, so no task holds a whole hot one.
 
 Defined cases: null texts and texts without a word have empty sets, no links and
 their own id as component; texts of fewer than five words have their whole sequence
@@ -52,23 +52,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, ship_by_value, shuffle_parts, text_blocks
+from vitrine.llm.common import ship_by_value, shuffle_parts, stored, text_blocks
 from vitrine.llm.components import components
 
 ship_by_value(__name__)
 
 SHINGLE = 5
 PERCENT = 75
-#: Cells of the shingle counts that filter pairs.
-CELLS = 128
+#: Least and most cells of the shingle counts that filter pairs: about one cell per shingle, so that few
+#: differences cancel out. Whole neighbourhoods are first compared with COARSE times fewer cells.
+CELLS = (64, 8192)
+COARSE = 8
 #: Signatures a task holds before it passes them on, and those aimed at per partition.
-FLUSH = 1_000_000
-PER_PARTITION = 2_000_000
+FLUSH = 500_000
+PER_PARTITION = 1_000_000
 #: Classes of a neighbourhood that are compared in one group.
-BLOCK = 2048
+BLOCK = 8192
 #: Slots of the bitmap that picks texts to read again (a table of SLOTS / 64 rows).
 SLOTS = 1 << 22
-MEMO = 300_000
+MEMO = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -115,15 +117,30 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(members: np.ndarray) -> int:
-    """The class of a set, as a signed long."""
-    return int((mix(members + _A).sum(dtype=np.uint64) ^ np.uint64(len(members))).view(np.int64))
+    """The class of a set, as an even signed long; the lowest bit is free for a mark."""
+    return int((mix(members + _A).sum(dtype=np.uint64) ^ np.uint64(len(members))).view(np.int64)) & ~1
 
 
 def cells(members: np.ndarray) -> bytes:
-    counts = np.bincount((members >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    """Shingles per cell of the hash range, at most 255; larger sets have more cells, always a power of two."""
+    bits = min(max((len(members) - 1).bit_length(), CELLS[0].bit_length() - 1), CELLS[1].bit_length() - 1)
+    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def folded(counts: bytes, width: int) -> np.ndarray:
+    """The counts in ``width`` cells, neighbouring cells added up."""
+    return np.frombuffer(counts, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32)
+
+
+def may_link(n: int, counts: bytes, m: int, other: bytes) -> bool:
+    """False only if sets of n and m shingles with these counts cannot link."""
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    width = min(len(counts), len(other))
+    return 7 * int(np.abs(folded(counts, width) - folded(other, width)).sum()) <= n + m
+
+
 def band(n: int) -> int:
     return n.bit_length() - 1
 
@@ -171,49 +188,54 @@ def signatures(members: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct signatures, least node of each; pairs: least node, other node of the same signature)."""
+def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct signatures; least node of each; pairs of the least node and another one of the same signature;
+    whether a signature of the pair has more than those two; which of 64 bits the pair's signatures set).
+
+    The lowest bit of a node marks that it stands for several nodes already; the bit of a least node that is
+    returned says the same.
+    """
+    if not len(sig):
+        none = np.zeros(0, dtype=np.int64)
+        return sig, none, none, none, none.astype(bool), none
     order = np.argsort(sig)
-    sig, node = sig[order], node[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(node, start) if len(sig) else node
-    head = np.repeat(least, np.diff(np.append(start, len(sig))))
+    sig, marked = sig[order], node[order]
+    node = marked & ~np.int64(1)
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    length = np.diff(np.append(start, len(sig)))
+    least, top = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
+    head, last = np.repeat(least, length), np.repeat(top, length)
+    several = np.logical_or.reduceat(((node != head) & (node != last)) | ((marked & 1) == 1), start)
     other = np.flatnonzero(node != head)
-    a, b = head[other], node[other]
+    a, b, more = head[other], node[other], np.repeat(several, length)[other]
+    bits = (np.uint64(1) << (sig[other] & np.uint64(63))).view(np.int64)
     if len(a):
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b, more, bits = a[order], b[order], more[order], bits[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        more, bits = np.logical_or.reduceat(more, first), np.bitwise_or.reduceat(bits, first)
         a, b = a[first], b[first]
-    return sig[start], least, a, b
+    return sig[start], least | ((least != top) | several), a, b, more, bits
 
 
-SETS = "doc_id long, node long, n long, cells binary"
-PACKED = "part int, kind int, left binary, right binary"
-PACKED_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 PAIRS = "a long, b long"
 PAIRS_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def document_sets(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, node (class; null for the empty set), n, cells."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            got = [(fingerprint(s), len(s), cells(s)) if len(s) else (None, 0, None)
-                   for s in shingler.sets(batch.column("text").to_pylist())]
-            node, n, counts = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(counts, pa.binary())], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
-
-
-def star_pairs(docs: DataFrame, parts: int) -> DataFrame:
-    """Distinct pairs (a, b): a is the least class met under some signature of b."""
+#: Rows on their way to the signatures' partitions: packed signatures and their nodes, packed pairs that a
+#: task found by itself, and documents.
+SIGNATURES, OWN_PAIRS, DOCUMENT = 0, 1, 2
+PACKED = "part int, kind int, left binary, right binary, doc_id long, node long, n long, cells binary"
+PACKED_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary()),
+                           ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+#: What comes out: pairs (a, b) with the stage that found them, whether a signature of theirs has more classes,
+#: and in ``n`` the bits of their signatures; and documents.
+MET = "kind int, a long, b long, more boolean, doc_id long, n long, cells binary"
+MET_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_()),
+                        ("doc_id", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+
+
+def documents_and_pairs(docs: DataFrame, parts: int) -> DataFrame:
+    """One pass over the texts: a row per document (its class in ``a``), and pairs (a, b) where a is the least
+    class met under some signature of b, by a task itself (kind OWN_PAIRS) or by the signature's partition."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -221,47 +243,73 @@ def star_pairs(docs: DataFrame, parts: int) -> DataFrame:
         nodes: list[np.ndarray] = []
         held = 0
 
+        def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), 64):
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 64]), PACKED_SCHEMA)]
+                empty = [pa.nulls(len(columns[0]), f.type) for f in list(PACKED_SCHEMA)[4:]]
+                yield pa.RecordBatch.from_arrays(columns + empty, schema=PACKED_SCHEMA)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, least, a, b = stars(np.concatenate(sigs), np.concatenate(nodes))
+            sig, least, a, b, more, bits = stars(np.concatenate(sigs), np.concatenate(nodes))
             part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # sig is sorted, so part is
             cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            rows = [(p, 0, sig[cut[p]:cut[p + 1]].tobytes(), least[cut[p]:cut[p + 1]].tobytes())
+            rows = [(p, SIGNATURES, sig[cut[p]:cut[p + 1]].tobytes(), least[cut[p]:cut[p + 1]].tobytes())
                     for p in range(parts) if cut[p] < cut[p + 1]]
             if len(a):
-                rows.append((int(sig[0] % np.uint64(parts)), 1, a.tobytes(), b.tobytes()))
-            for at in range(0, len(rows), 64):
-                columns = zip(*rows[at:at + 64])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, PACKED_SCHEMA)], schema=PACKED_SCHEMA)
+                rows.append((int(sig[0] % np.uint64(parts)), OWN_PAIRS, a.tobytes(), (b | more).tobytes() + bits.tobytes()))
+            yield from packed(rows)
 
         for batch in batches:
+            ids, done, rows = batch.column("doc_id"), 0, []
             for members in shingler.sets(batch.column("text").to_pylist()):
+                node = fingerprint(members) if len(members) else None
+                rows.append((node, len(members), cells(members) if len(members) else None))
                 if len(members):
                     got = signatures(members)
                     sigs.append(got)
-                    nodes.append(np.full(len(got), fingerprint(members), dtype=np.int64))
+                    nodes.append(np.full(len(got), node, dtype=np.int64))
                     held += len(got)
-                    if held >= FLUSH:
-                        yield from flush()
-                        sigs, nodes, held = [], [], 0
+                if len(rows) == 1000 or done + len(rows) == batch.num_rows:
+                    k, (node, n, counts) = len(rows), zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(done, done + k) % parts, pa.int32()), pa.array([DOCUMENT] * k, pa.int32()),
+                         pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), ids.slice(done, k),
+                         pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary())],
+                        schema=PACKED_SCHEMA)
+                    done, rows = done + k, []
+                if held >= FLUSH:
+                    yield from flush()
+                    sigs, nodes, held = [], [], 0
         if held:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[list[bytes]]] = {0: [[], []], 1: [[], []]}
+        def pairs(kind: int, *found: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found[0]), 100_000):
+                a, b, more, bits = (c[at:at + 100_000] for c in found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array(more, pa.bool_()),
+                     pa.nulls(len(a), pa.int64()), pa.array(bits), pa.nulls(len(a), pa.binary())], schema=MET_SCHEMA)
+
+        left, right = [], []
         for batch in batches:
-            for kind, left, right in zip(*[batch.column(c).to_pylist() for c in ("kind", "left", "right")]):
-                got[kind][0].append(left)
-                got[kind][1].append(right)
-        sig, node = np.frombuffer(b"".join(got[0][0]), np.uint64), np.frombuffer(b"".join(got[0][1]), np.int64)
-        _, _, a, b = stars(sig, node)
-        for x, y in ((a, b), *[(np.frombuffer(s, np.int64), np.frombuffer(t, np.int64)) for s, t in zip(*got[1])]):
-            for at in range(0, len(x), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 100_000]), pa.array(y[at:at + 100_000])],
-                                                 schema=PAIRS_SCHEMA)
+            kinds = batch.column("kind").to_numpy()
+            of = {k: batch.take(pa.array(np.flatnonzero(kinds == k))) for k in (SIGNATURES, OWN_PAIRS, DOCUMENT)}
+            left += of[SIGNATURES].column("left").to_pylist()
+            right += of[SIGNATURES].column("right").to_pylist()
+            for x, y in zip(of[OWN_PAIRS].column("left").to_pylist(), of[OWN_PAIRS].column("right").to_pylist()):
+                y, bits = np.split(np.frombuffer(y, np.int64), 2)
+                yield from pairs(OWN_PAIRS, np.frombuffer(x, np.int64), y & ~np.int64(1), (y & 1) == 1, bits)
+            d = of[DOCUMENT]
+            if d.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [d.column("kind"), d.column("node"), pa.nulls(d.num_rows, pa.int64()), pa.nulls(d.num_rows, pa.bool_()),
+                     d.column("doc_id"), d.column("n"), d.column("cells")], schema=MET_SCHEMA)
+        met = stars(np.frombuffer(b"".join(left), np.uint64), np.frombuffer(b"".join(right), np.int64))
+        yield from pairs(SIGNATURES, *met[2:])
 
-    packed = docs.select("text").mapInArrow(emit, PACKED)
-    return packed.repartitionById(parts, "part").mapInArrow(meet, PAIRS).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, PACKED)
+    return rows.repartitionById(parts, "part").mapInArrow(meet, MET)
 
 
 def _slot(doc_id: Column) -> Column:
@@ -277,7 +325,7 @@ def class_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFra
     wanted = nodes.join(classes, "node").select(_slot(F.col("doc_id")).alias("slot"))
     bits = wanted.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits"))
-    bits = checkpointed(bits)  # at most SLOTS / 64 rows
+    bits = stored(bits)  # at most SLOTS / 64 rows
     slotted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("slot", _slot(F.col("doc_id")))
     picked = (slotted.withColumn("word", F.floor(F.col("slot") / 64)).join(F.broadcast(bits), "word")
               .filter(F.expr("(shiftright(bits, CAST(slot % 64 AS INT)) & 1L) = 1L")).select("text"))
@@ -294,9 +342,24 @@ def class_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFra
     return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the exact filters."""
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("n").alias("n_" + end),
+                                          F.col("cells").alias("cells_" + end)), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")]
+            keep = pa.array([may_link(*row) for row in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIRS_SCHEMA).filter(keep)
+
+    return stored(pairs.mapInArrow(run, PAIRS))
+
+
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard similarity of at least PERCENT / 100."""
-    nodes = checkpointed(pairs.select(F.col("a").alias("node")).unionByName(
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(
         pairs.select(F.col("b").alias("node"))).distinct())
     sets = class_sets(docs, nodes, classes)
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
@@ -313,7 +376,7 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIRS_SCHEMA).filter(
                 pa.array(keep, pa.bool_()))
 
-    return checkpointed(both.mapInArrow(run, PAIRS))
+    return stored(both.mapInArrow(run, PAIRS))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -340,54 +403,103 @@ def _close_pairs(members: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["node"].to_numpy(), table["n"].to_numpy()))
         node, comp, n, own = [table[c].to_numpy()[order] for c in ("node", "component", "n", "own")]
-        counts = np.stack([np.frombuffer(c, np.uint8) for c in table["cells"].to_pylist()])[order].astype(np.int16)
+        counts = [table["cells"][int(k)].as_py() for k in order]
+        width = np.array([len(c) for c in counts])
         cross = table["i"][0].as_py() != table["j"][0].as_py()
         a, b = [], []
-        for k in range(len(node)):
-            reach = np.searchsorted(n, 100 * n[k] // PERCENT, side="right")
-            other = np.arange(k + 1, reach)
-            other = other[(comp[other] != comp[k]) & ((own[other] != own[k]) if cross else True)]
-            for at in range(0, len(other), 4096):
-                some = other[at:at + 4096]
-                apart = np.abs(counts[some] - counts[k]).sum(axis=1, dtype=np.int64)
-                some = some[7 * apart <= n[some] + n[k]]
-                a += [min(node[k], x) for x in node[some]]
-                b += [max(node[k], x) for x in node[some]]
+        for w in np.unique(width):  # a partner is at most a third larger, so it has as many cells or twice as many
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            fine = np.stack([folded(counts[k], int(w)) for k in at]).astype(np.int16)
+            coarse = fine.reshape(len(at), max(1, int(w) // COARSE), -1).sum(axis=2, dtype=np.int16)
+            size = n[at]
+            for row in np.flatnonzero(width[at] == w):
+                reach = np.searchsorted(size, 100 * size[row] // PERCENT, side="right")
+                other = np.arange(row + 1, reach)
+                other = other[(comp[at[other]] != comp[at[row]])
+                              & ((own[at[other]] != own[at[row]]) if cross else True)]
+                for grid in (coarse, fine):
+                    apart = np.abs(grid[other] - grid[row]).sum(axis=1, dtype=np.int64)
+                    other = other[7 * apart <= size[other] + size[row]]
+                a += [min(node[at[row]], x) for x in node[at[other]]]
+                b += [max(node[at[row]], x) for x in node[at[other]]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("root", "i", "j").applyInArrow(run, PAIRS).distinct()
 
 
+def _roots(staged: DataFrame, failed: DataFrame) -> DataFrame:
+    """head: the least classes under which a pair failed that may hide another.
+
+    A signature's classes form a tree: below the least of all are the least ones of
+    other tasks (across), and below each of these, and below itself, the other
+    classes of the task (within). A pair that fails matters where the tree has more
+    classes than its two: marked so, or a task's own pair below or at a class that
+    others were met by.
+    """
+    across = staged.filter((F.col("kind") == SIGNATURES) & F.col("more")).select("a", "b")
+    broken = staged.join(failed, ["a", "b"], "left_semi")
+    own_heads = broken.filter(F.col("kind") == OWN_PAIRS).select(F.col("a").alias("head")).distinct()
+    above = across.join(own_heads, F.col("b") == F.col("head"), "left_semi").select(F.col("a").alias("head"))
+    at = across.join(own_heads, F.col("a") == F.col("head"), "left_semi").select(F.col("a").alias("head"))
+    return stored(broken.filter("more").select(F.col("a").alias("head")).unionByName(above).unionByName(at).distinct())
+
+
+def _neighbourhoods(staged: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node: the classes that may share a signature with each other in a tree under the root.
+
+    A task's own pairs are followed where their signatures' bits meet those by which
+    the root met the class above; signatures that are the same set the same bit.
+    """
+    across = staged.filter((F.col("kind") == SIGNATURES) & F.col("more"))
+    within = staged.filter(F.col("kind") == OWN_PAIRS)
+    below = stored(roots.join(across, F.col("head") == F.col("a")).select(
+        F.col("head").alias("root"), F.col("b").alias("node"), F.col("bits").alias("by")))
+    via = below.select("root", F.col("node").alias("via"), "by").unionByName(
+        below.groupBy("root").agg(F.bit_or("by").alias("by")).select("root", F.col("root").alias("via"), "by"))
+    deeper = via.join(within, (F.col("via") == F.col("a")) & (F.col("by").bitwiseAND(F.col("bits")) != 0))
+    under = roots.join(within.filter("more"), F.col("head") == F.col("a")).select(
+        F.col("head").alias("root"), F.col("b").alias("node"))
+    own = roots.select(F.col("head").alias("root"), F.col("head").alias("node"))
+    return stored(own.unionByName(under).unionByName(below.select("root", "node")).unionByName(
+        deeper.select("root", F.col("b").alias("node"))).distinct())
+
+
 def linked_groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    sets = checkpointed(document_sets(docs))
-    shown = F.first("cells").alias("cells")
-    classes = checkpointed(sets.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), shown))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(spark), -(-n_bytes // (12 * PER_PARTITION)))  # about one signature for two words
+    met = stored(documents_and_pairs(docs, int(parts)))
+    sets = met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("a").alias("node"), "n", "cells")
+    classes = stored(sets.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells")))
     ids = classes.select("node", "doc_id")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(shuffle_parts(spark), -(-total // (2 * PER_PARTITION)))
-    pairs = checkpointed(star_pairs(docs, int(parts)))
-    nearest = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    linked = links(docs, nearest, ids)
-    found = components(linked)
-    rest = checkpointed(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), found))
-    linked = linked.unionByName(links(docs, rest, ids))
+    staged = stored(met.filter(F.col("kind") != DOCUMENT).groupBy("kind", "a", "b").agg(
+        F.max("more").alias("more"), F.bit_or("n").alias("bits")))
+    pairs = staged.select("a", "b").distinct()
+    nearest = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    linked = links(docs, possible(nearest, classes), ids)
     found = components(linked)
-    failed = checkpointed(_apart(pairs, found))
-    heads = failed.select(F.col("a").alias("head")).distinct()
-    above = pairs.join(heads, F.col("b") == F.col("head"), "left_semi").select(F.col("a").alias("head"))
-    roots = checkpointed(heads.unionByName(above).distinct())
-    below = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"))
-    under = roots.join(below, F.col("head") == F.col("p")).select(F.col("head").alias("root"), F.col("q").alias("node"))
-    deeper = under.join(below, F.col("node") == F.col("p")).select("root", F.col("q").alias("node"))
-    around = roots.select(F.col("head").alias("root"), F.col("head").alias("node")).unionByName(under).unionByName(deeper)
-    around = around.distinct().join(classes.select("node", "n", "cells"), "node").join(found, "node", "left")
-    around = around.withColumn("component", F.coalesce("component", "node"))
-    close = checkpointed(_close_pairs(around).join(failed, ["a", "b"], "left_anti"))
-    linked = linked.unionByName(links(docs, close, ids))
+    rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti"), found)
+    linked = linked.unionByName(links(docs, possible(rest, classes), ids))
     found = components(linked)
+    # Neighbourhoods of one large group of near copies are alike, and comparing one joins most of the group. So
+    # first only the roots that are the least one of some class, then those that are still unsettled.
+    done = None
+    for _ in range(2):
+        failed = stored(_apart(pairs, found))
+        roots = _roots(staged, failed)
+        if done is None:
+            least = staged.join(roots, F.col("a") == F.col("head"), "left_semi").groupBy("b").agg(F.min("a").alias("head"))
+            done = roots = stored(least.select("head").distinct())
+        else:
+            roots = roots.join(done, "head", "left_anti")
+        around = _neighbourhoods(staged, roots)
+        around = around.join(classes.select("node", "n", "cells"), "node").join(found, "node", "left")
+        around = around.withColumn("component", F.coalesce("component", "node"))
+        close = stored(_close_pairs(around).join(failed, ["a", "b"], "left_anti"))
+        linked = linked.unionByName(links(docs, close, ids))
+        found = components(linked)
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("node").alias("__node"), "component_id")
@@ -400,7 +512,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Of repeated rows with one id, one stays.
     """
-    groups = checkpointed(linked_groups(docs))
+    groups = stored(linked_groups(docs))
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     ids = groups.filter("doc_id is not null")
