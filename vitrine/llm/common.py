@@ -56,6 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side is known to be small enough for every executor.
+SMALL_ROWS = 10_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side, broadcast when it is counted to be small; it is read from a checkpoint, whose size Spark
+    does not know, and would else make the other side shuffle its texts."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

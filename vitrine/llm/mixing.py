@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, n_words_of
+from vitrine.llm.common import checkpointed, n_words_of, small_side
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -112,7 +112,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     drawn = checkpointed(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"),
                                      _draw(F.col("doc_id"), seed).alias("__h")))
     targets = checkpointed(source_targets(drawn, weights, max_epochs))
-    return drawn, checkpointed(_bounds(drawn, targets))
+    return drawn, small_side(checkpointed(_bounds(drawn, targets)))  # one row per source
 
 
 def _repeats() -> Column:

@@ -70,7 +70,7 @@ PER_PARTITION = 1_000_000
 BLOCK = 8192
 #: Slots of the bitmap that picks texts to read again (a table of SLOTS / 64 rows).
 SLOTS = 1 << 22
-MEMO = 200_000
+MEMO = 100_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import checkpointed, let, words_of
+from vitrine.llm.common import checkpointed, let, small_side, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -151,7 +151,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 def verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` plus kept; ``limits`` is the cutoff table."""
-    limits = limits.withColumnRenamed("lang", "__stratum")
+    limits = small_side(limits.withColumnRenamed("lang", "__stratum"))  # one row per language
     got = measured.join(limits, F.col("lang").eqNullSafe(F.col("__stratum")), "left")
     rejected = F.lit(False)
     for name, value in zip(RATES, _rates()):
