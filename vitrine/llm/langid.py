@@ -22,6 +22,7 @@ whose language or id is null are never learned from; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,13 +79,13 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> LanguageM
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    known: dict[str, list[int]] = {}
+    known: dict[str, array] = {}
     bags = []
     for text in texts:
         features: list[int] = []
         for word in text.lower().split():
             if word not in known:
-                known[word] = subwords(word)
+                known[word] = array("i", subwords(word))
             features.extend(known[word])
         index, counts = np.unique(np.array(features, dtype=np.int64), return_counts=True)
         bags.append((index, (counts / max(1, counts.sum())).astype(np.float32)))

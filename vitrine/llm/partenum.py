@@ -316,19 +316,27 @@ def _slot(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` plus __marked: true for every row whose doc_id is in ``ids``, and for a few others by chance.
+
+    A bitmap of the ids, in a broadcast table of at most SLOTS / 64 rows; nothing is shuffled.
+    """
+    slot = _slot(F.col("doc_id").cast("long"))
+    bits = stored(ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("__bits")))
+    slotted = rows.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64))
+    mark = F.expr("coalesce((shiftright(__bits, CAST(__slot % 64 AS INT)) & 1L) = 1L, false)")
+    return slotted.join(F.broadcast(bits), "__word", "left").withColumn("__marked", mark).drop("__word", "__slot", "__bits")
+
+
 def class_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """node, members (sorted shingle hashes as bytes) of the classes in ``nodes``.
 
     Texts are picked by a bitmap of the ids of one document per class before they
     are read again, so only wanted texts are shuffled, and a few by chance.
     """
-    wanted = nodes.join(classes, "node").select(_slot(F.col("doc_id")).alias("slot"))
-    bits = wanted.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits"))
-    bits = stored(bits)  # at most SLOTS / 64 rows
-    slotted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("slot", _slot(F.col("doc_id")))
-    picked = (slotted.withColumn("word", F.floor(F.col("slot") / 64)).join(F.broadcast(bits), "word")
-              .filter(F.expr("(shiftright(bits, CAST(slot % 64 AS INT)) & 1L) = 1L")).select("text"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    picked = _marked(picked, nodes.join(classes, "node").select("doc_id")).filter("__marked").select("text")
     schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,7 +522,11 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     groups = stored(linked_groups(docs))
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = _marked(docs, gone)
+    # texts that no bit marks stay without being shuffled; the marked ones are looked up
+    kept = marked.filter("not __marked").select(*columns).unionByName(
+        marked.filter("__marked").join(gone, "doc_id", "left_anti").select(*columns))
     ids = groups.filter("doc_id is not null")
     if ids.count() > ids.select("doc_id").distinct().count():
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -90,8 +90,10 @@ def whole_tokens(file: str) -> frozenset[str]:
     tokenizer = Tokenizer.from_str(file)
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     texts = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
-    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-    alone = [t for i, (t, e) in enumerate(zip(texts, encoded)) if e.ids == [i] and t not in special]
+    alone = []
+    for at in range(0, len(texts), 2000):  # few encodings at once: the driver is small
+        encoded = tokenizer.encode_batch(texts[at:at + 2000], add_special_tokens=False)
+        alone += [texts[at + k] for k, e in enumerate(encoded) if e.ids == [at + k] and texts[at + k] not in special]
     return frozenset(t for t in alone if len(tokenizer.pre_tokenizer.pre_tokenize_str(t)) == 1)
 
 
