@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_data import CLASHING, EDGE, documents, prose
 from vitrine.llm import components, partenum
@@ -110,6 +111,32 @@ def test_no_pair_is_missed():
             assert np.intersect1d(partenum.signatures(a), partenum.signatures(b)).size, (n, b_size, o)
 
 
+def hidden_triples(r, n):
+    """(hot, x, y): x and y link, neither links with hot, and hot is the least class of every signature they share."""
+    shingler, out = partenum.Shingler(), []
+    while len(out) < n:
+        base = prose(r, r.randint(12, 20))
+        triple = [base[r.randint(3, 6):], base + prose(r, 1), base + prose(r, 1)]
+        hot, x, y = shingler.sets([" ".join(t) for t in triple])
+        h, s, t = (shingle_set(" ".join(t)) for t in triple)
+        if (partenum.fingerprint(hot) < min(map(partenum.fingerprint, (x, y))) and 4 * len(s & t) >= 3 * len(s | t)
+                and 4 * max(len(h & s) / len(h | s), len(h & t) / len(h | t)) < 3
+                and np.isin(np.intersect1d(partenum.signatures(x), partenum.signatures(y)), partenum.signatures(hot)).all()):
+            out.append([" ".join(t) for t in triple])
+    return out
+
+
+def test_copies_in_every_task_hide_no_link(spark):
+    rows = []
+    for k, (hot, x, y) in enumerate(hidden_triples(random.Random(5), 4)):
+        # the even ids are one task and the odd ids another: each has the hot class, and one of the near copies
+        rows += [(10 * k + i, t, "en", "s") for i, t in enumerate((hot, hot, x, y))]
+    docs = documents(spark, rows).repartitionById(2, (F.col("doc_id") % 2).cast("int"))
+    got = {g["doc_id"]: g["component_id"] for g in partenum.linked_groups(docs).collect()}
+    assert got == brute(rows)
+    assert all(got[10 * k + 3] == 10 * k + 2 for k in range(4))
+
+
 def test_edges(spark):
     docs = documents(spark, EDGE + [(11, "A  b\tC d e F", "en", "s"), (12, "ab ab ab ab ab ab", "en", "s")], **CLASHING)
     got = partenum.linked_groups(docs).collect()

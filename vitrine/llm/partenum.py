@@ -193,7 +193,8 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     whether a signature of the pair has more than those two; which of 64 bits the pair's signatures set).
 
     The lowest bit of a node marks that it stands for several nodes already; the bit of a least node that is
-    returned says the same.
+    returned says the same. A signature whose only node comes marked more than once has other nodes in several
+    tasks that met nothing but the least one: it gives the pair of the least node with itself.
     """
     if not len(sig):
         none = np.zeros(0, dtype=np.int64)
@@ -206,7 +207,8 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     least, top = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
     head, last = np.repeat(least, length), np.repeat(top, length)
     several = np.logical_or.reduceat(((node != head) & (node != last)) | ((marked & 1) == 1), start)
-    other = np.flatnonzero(node != head)
+    alone = np.repeat((least == top) & (np.add.reduceat(marked & 1, start) > 1), length)
+    other = np.flatnonzero((node != head) | alone)
     a, b, more = head[other], node[other], np.repeat(several, length)[other]
     bits = (np.uint64(1) << (sig[other] & np.uint64(63))).view(np.int64)
     if len(a):
@@ -235,7 +237,8 @@ MET_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64(
 
 def documents_and_pairs(docs: DataFrame, parts: int) -> DataFrame:
     """One pass over the texts: a row per document (its class in ``a``), and pairs (a, b) where a is the least
-    class met under some signature of b, by a task itself (kind OWN_PAIRS) or by the signature's partition."""
+    class met under some signature of b, by a task itself (kind OWN_PAIRS) or by the signature's partition. A
+    class that is the only least one of a signature in several tasks is paired with itself."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -442,7 +445,8 @@ def _roots(staged: DataFrame, failed: DataFrame) -> DataFrame:
     other tasks (across), and below each of these, and below itself, the other
     classes of the task (within). A pair that fails matters where the tree has more
     classes than its two: marked so, or a task's own pair below or at a class that
-    others were met by.
+    others were met by. A class met with itself (across) is the least one in several
+    tasks, each of which has classes that the other tasks have not seen.
     """
     across = staged.filter((F.col("kind") == SIGNATURES) & F.col("more")).select("a", "b")
     broken = staged.join(failed, ["a", "b"], "left_semi")
@@ -484,7 +488,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     ids = classes.select("node", "doc_id")
     staged = stored(met.filter(F.col("kind") != DOCUMENT).groupBy("kind", "a", "b").agg(
         F.max("more").alias("more"), F.bit_or("n").alias("bits")))
-    pairs = staged.select("a", "b").distinct()
+    pairs = staged.filter("a <> b").select("a", "b").distinct()
     nearest = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     linked = links(docs, possible(nearest, classes), ids)
     found = components(linked)
@@ -498,7 +502,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
         failed = stored(_apart(pairs, found))
         roots = _roots(staged, failed)
         if done is None:
-            least = staged.join(roots, F.col("a") == F.col("head"), "left_semi").groupBy("b").agg(F.min("a").alias("head"))
+            least = pairs.join(roots, F.col("a") == F.col("head"), "left_semi").groupBy("b").agg(F.min("a").alias("head"))
             done = roots = stored(least.select("head").distinct())
         else:
             roots = roots.join(done, "head", "left_anti")
