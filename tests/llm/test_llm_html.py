@@ -74,6 +74,13 @@ def test_broken_pages_end_quietly():
     assert text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_foreign_elements_hide_no_text():
+    page = "<article><p>One sentence, and more.</p>%s<p>Two sentences, and more.</p></article>"
+    for inside in ("<svg width='3'/>", "<math/>", "<object data='x'>", "<canvas>", "<svg>", "<svg><text>no</text></svg>"):
+        assert text(page % inside) == "One sentence, and more. Two sentences, and more.", inside
+    assert "Seen instead" in text(page % "<p><object data=x>Seen instead, and more.</object></p>")
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>Ein Satz, und 中 noch einer.</p></article>"), (2, None, None), (2, None, None),
             (None, "v", ""), (4, "w", "<nav><a href=/>x</a></nav>")]

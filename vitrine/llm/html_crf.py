@@ -52,7 +52,8 @@ CLOSED_BY_NEXT = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select"
 #: Elements whose content is never text.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg\b[^>]*(?<!/)>(?:(?!<svg\b).)*?</svg\s*>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
@@ -144,6 +145,8 @@ def leaf_blocks(page: str | None, known: frozenset[str] | None = None
                 if k and stack[k].tag == tag:
                     links -= sum(e.tag == "a" for e in stack[k:])
                     del stack[k:]
+        if tag in ("svg", "math") and (m[4] if m[3] else m[7]).endswith("/"):
+            continue
         own, label = _own_features(tag, (m[4] if m[3] else m[7]) or "")
         above = stack[-1]
         new = [f for f in own if f not in above.names and (known is None or f in known)]
