@@ -152,6 +152,14 @@ def test_edges(spark):
     assert partenum.one_of_each_group(docs.limit(0)).count() == 0
 
 
+def test_other_texts_of_a_repeated_id_stay(spark):
+    rows = [(1, "a b c d e f g", "en", "s"), (2, "A b c d e f g", "en", "s"), (2, "one two three four five six", "en", "s"),
+            (3, "x y z", "en", "s"), (3, "u v w", "en", "s"), (3, "u V w", "en", "s"), (4, "alone here", "en", "s")]
+    kept = partenum.one_of_each_group(documents(spark, rows, **CLASHING)).collect()
+    assert sorted((k["doc_id"], k["text"].lower()) for k in kept) == [
+        (1, rows[0][1]), (2, rows[2][1]), (3, "u v w"), (3, "x y z"), (4, "alone here")]
+
+
 def test_components(spark):
     r = random.Random(6)
     chain = [(i, i + 1) for i in range(100, 160)]

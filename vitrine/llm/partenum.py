@@ -47,10 +47,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from vitrine.llm.common import ship_by_value, shuffle_parts, stored, text_blocks
 from vitrine.llm.components import components
@@ -476,8 +478,8 @@ def _neighbourhoods(staged: DataFrame, roots: DataFrame) -> DataFrame:
         deeper.select("root", F.col("b").alias("node"))).distinct())
 
 
-def linked_groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, node, component (the least class of its group), n_shingles, component_id."""
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-n_bytes // (12 * PER_PARTITION)))  # about one signature for two words
@@ -514,24 +516,46 @@ def linked_groups(docs: DataFrame) -> DataFrame:
         found = components(linked)
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select(F.col("node").alias("__node"), "component_id")
+    named = named.join(least, "component").select(F.col("node").alias("__node"), "component", "component_id")
     return sets.join(named, F.col("node") == F.col("__node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "node", "component", F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_groups(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@F.pandas_udf(LongType())
+def _class_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    shingler = Shingler()
+    for texts in batches:
+        yield pd.Series([fingerprint(s) if len(s) else None for s in shingler.sets(texts.tolist())], dtype="object")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document with the least id of each group, columns unchanged; documents without words stay.
 
-    Of repeated rows with one id, one stays.
+    Of rows with one id, one stays of each group; texts that no link joins stay each.
     """
-    groups = stored(linked_groups(docs))
+    groups = stored(_grouped(docs))
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = _marked(docs, gone)
-    # texts that no bit marks stay without being shuffled; the marked ones are looked up
-    kept = marked.filter("not __marked").select(*columns).unionByName(
-        marked.filter("__marked").join(gone, "doc_id", "left_anti").select(*columns))
-    ids = groups.filter("doc_id is not null")
-    if ids.count() > ids.select("doc_id").distinct().count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+    again = stored(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        marked = _marked(docs, gone)
+        # texts that no bit marks stay without being shuffled; the marked ones are looked up
+        return marked.filter("not __marked").select(*columns).unionByName(
+            marked.filter("__marked").join(gone, "doc_id", "left_anti").select(*columns))
+    # an id does not name one text here: marked rows are looked up by id and class
+    marked = _marked(docs, gone.unionByName(again))
+    rows = marked.filter("__marked").select(
+        F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _class_of("text").alias("class"))
+    places = groups.filter("doc_id is not null").distinct()
+    found = rows.filter("id is not null").join(
+        places, (F.col("id") == F.col("doc_id")) & F.col("class").eqNullSafe(F.col("node")))
+    found = found.filter("component_id = doc_id").dropDuplicates(["id", "component"])
+    kept = found.select("row").unionByName(rows.filter("id is null").select("row"))
+    return marked.filter("not __marked").select(*columns).unionByName(
+        kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
