@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from llm_data import CLASHING, EDGE, documents
+from llm_data import CLASHING, EDGE, documents, prose
 from vitrine.llm import langid, quality_model
 
 ALPHABETS = {"aa": "ka lo mi ren ta sol", "bb": "zxu qwi vyo thj grr pfl", "cc": "éta ñor ção ühl søn åre"}
@@ -104,3 +104,11 @@ def test_score_is_the_sparse_dot_product():
     dot = sum(v * w[s] for s, v in x.items()) + extra @ w[:quality_model.N_EXTRA]
     assert abs(dot - (extra @ w[:quality_model.N_EXTRA] + sum(w[at].mean() for at in lists))) < 1e-9
     assert dot < 0
+
+
+def test_rejection_follows_the_quantile():
+    r = random.Random(8)
+    texts = [" ".join(prose(r, 5)) for _ in range(2000)]  # any language: no score is high
+    languages = [r.choice("abcd") for _ in texts]
+    assert 0 < langid.train(texts, languages).reject_below < 0.5
+    assert langid.train(texts[:200], languages[:200]).reject_below == 0

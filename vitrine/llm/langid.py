@@ -6,9 +6,10 @@ an embedding table. A text is the mean of the embeddings of all its features; a
 linear layer and a softmax give the languages. Both are trained together by
 stochastic gradient descent in numpy, on a bounded sample: at most ``TRAIN_DOCS``
 labelled texts of at most ``TRAIN_CHARS`` characters each, taken in the order of a
-seeded hash of the id. Every fifth of them is held back to fit one temperature, so
+seeded hash of the id. Every fourth of them is held back to fit one temperature, so
 that the score is a calibrated probability, and to set the rejection bound: the
-conformal quantile that rejects at most ``REJECT`` of such texts, never above one half.
+conformal quantile that rejects at most ``REJECT`` of such texts, never above one half;
+fewer than 499 held-back texts prove no bound, and it is 0.
 
 Because the model is linear, each task scores with a table of word sums: the text's
 logits are the sum of its words' rows over the count of their features. Whole
@@ -93,7 +94,7 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> LanguageM
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer = np.zeros((DIM, len(names)), dtype=np.float32)
     bias = np.zeros(len(names), dtype=np.float32)
-    held = np.arange(len(texts)) % 5 == 4
+    held = np.arange(len(texts)) % 4 == 3
     fit = np.flatnonzero(~held)
     steps = EPOCHS * len(fit)
     for epoch in range(EPOCHS):
@@ -120,7 +121,7 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> LanguageM
         model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
         top = np.sort(_softmax(logits / model.temperature).max(axis=1))
         k = int(REJECT * (len(top) + 1)) - 1
-        model.reject_below = float(min(0.5, top[k] if k >= 0 else 0.5, 0.5))
+        model.reject_below = float(min(0.5, top[k])) if k >= 0 else 0.0
     return model
 
 
