@@ -56,6 +56,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getName().startswith("stored-"):
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Rows up to which a side is known to be small enough for every executor.
 SMALL_ROWS = 10_000
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import (balltree, html_crf, langid, mixing, packing, partenum, quality_model, quality_rules,
-                         token_counts, url_reputation)
+from vitrine.llm import (alignment, ball_codes, balltree, html_crf, langid, mixing, packing, partenum, quality_model,
+                         quality_rules, suffix_dedup, token_counts, url_reputation)
 from vitrine.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry module)
 from vitrine.sources.tables import raw
 
@@ -73,3 +73,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(raw(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(raw(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(raw(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.codes(raw(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
