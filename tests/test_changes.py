@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.functions import attributes as attrs
 from vitrine.functions.text import like_text
@@ -31,6 +32,13 @@ def tables(spark):
     return users, products, variations
 
 
+class Stored:
+    """A catalogue given by its tables."""
+
+    def __init__(self, spark, users, products, product_variations):
+        self.spark, self.users, self.products, self.product_variations = spark, users, products, product_variations
+
+
 def reasons(df):
     return sorted((r["id"], r["reason"]) for r in df.collect())
 
@@ -43,24 +51,29 @@ def test_intake(spark, tables, tmp_path):
     rows = spark.createDataFrame([
         row(5), row(6), row(10, "12345678.123"), row(11), row(12, actor=OTHER), row(13, actor=GONE), row(14, actor=99),
         row(15, image=f"{OWNER}/{KEY}.webp"), row(16, image="../../etc/x.php"), row(17, image=f"{OTHER}/{KEY}.png"),
-        row(18, "1"), row(18, "2", seq=2), row(18, "3", seq=3), row(19, kind="variations"), row(20, supplier=GONE),
+        row(18, "x"), row(18, "2", seq=2), row(18, "3", seq=3), row(19, kind="variations"), row(20, supplier=GONE),
         row(21, "9999999.999"), row(22, "10000000")], schemas.PRODUCT_INTAKE)
     new, defaults, rejected = changes.intake(rows, users, products)
     got = {r["id"]: r for r in new.collect()}
     assert set(got) == {11, 12, 15, 18, 19, 21}
     assert got[12]["fournisseur_id"] == OTHER and got[11]["fournisseur_id"] == OWNER
-    assert got[15]["image"] == f"{OWNER}/{KEY}.webp" and got[18]["prix"] == Decimal("3.000")
+    assert got[15]["image"] == f"{OWNER}/{KEY}.webp" and got[18]["prix"] == Decimal("2.000")
     assert got[21]["prix"] == Decimal("9999999.999")
     M = quality.MSG
     assert reasons(rejected) == sorted([
         (5, M["product_stored"]), (6, M["product_stored"]), (10, M["price_range"]), (13, M["add_denied"]),
-        (14, M["add_denied"]), (16, M["image_invalid"]), (17, M["image_invalid"]), (18, changes.SUPERSEDED),
-        (18, changes.SUPERSEDED), (20, M["supplier_invalid"]), (22, M["price_range"])])
-    changes.write_intake(rows, users, products, variations, str(tmp_path / "next"))
+        (14, M["add_denied"]), (16, M["image_invalid"]), (17, M["image_invalid"]), (18, M["price_pattern"]),
+        (18, M["product_stored"]), (20, M["supplier_invalid"]), (22, M["price_range"])])
+    changes.write_intake(rows, Stored(spark, *tables), str(tmp_path / "next"))
     for table in ("products", "product_variations"):
         stored = spark.read.parquet(str(tmp_path / "next" / table))
         assert stored.count() == stored.select("id").distinct().count()
     assert {r["id"] - changes.DEFAULT_VARIATION_START for r in defaults.collect()} == {11, 12, 15, 18, 21}
+    # an id that a default variation would get is stored already
+    taken = variations.unionByName(variations.limit(1).withColumn("id", F.lit(changes.DEFAULT_VARIATION_START + 11)))
+    new, defaults, rejected = changes.intake(rows, users, products, taken)
+    assert {r["id"] for r in new.collect()} == {12, 15, 18, 19, 21} and (11, M["product_stored"]) in reasons(rejected)
+    assert 11 + changes.DEFAULT_VARIATION_START not in {r["id"] for r in defaults.collect()}
 
 
 def test_product_updates(spark, tables):
@@ -75,7 +88,7 @@ def test_product_updates(spark, tables):
     assert sorted(res.snapshot.collect()) == sorted(products.collect())
     rows = [row(5, "1"), row(5, "2", image=f"{OWNER}/{'b' * 32}.png", seq=2)]
     res = changes.apply_product_updates(products, users, spark.createDataFrame(rows, schemas.PRODUCT_UPDATES))
-    assert reasons(res.rejected) == [(5, changes.SUPERSEDED)]
+    assert reasons(res.rejected) == []
     assert {r["id"]: r["prix"] for r in res.snapshot.collect()}[5] == Decimal("2.000")
     assert [(r["id"], r["image"]) for r in changes.replaced_image_keys(res).collect()] == [(5, f"{OWNER}/{KEY}.png")]
 
@@ -86,15 +99,17 @@ def test_variation_changes(spark, tables):
     def row(i, attributs='{"t":"M"}', prix="1", actor=ADMIN, seq=1, product=5):
         return (i, product, "", attributs, prix, "3", actor, seq)
     rows = [row(1, "not json"), row(2, '{"a":" "}'), row(3, None), row(4, prix="99999999"), row(5, actor=OTHER),
-            row(6, actor=GONE), row(7), row(7, "[1]", seq=2), row(30, actor=OWNER), row(31, product=6)]
+            row(6, actor=GONE), row(7), row(7, "[1]", seq=2), row(30, actor=OWNER), row(31, product=6),
+            row(changes.DEFAULT_VARIATION_START + 8)]
     res = changes.apply_variation_changes(variations, products, users, spark.createDataFrame(rows, schemas.VARIATION_CHANGES))
     M = quality.MSG
     assert reasons(res.rejected) == sorted([
-        (1, M["attributes_invalid"]), (4, M["supplement_range"]), (5, changes.VARIATION_DENIED),
-        (6, changes.ACCOUNT_DISABLED), (7, M["attributes_invalid"]), (7, changes.SUPERSEDED), (31, changes.PRODUCT_NOT_FOUND)])
+        (changes.DEFAULT_VARIATION_START + 8, changes.RESERVED_ID), (1, M["attributes_invalid"]), (4, M["supplement_range"]), (5, changes.VARIATION_DENIED),
+        (6, changes.ACCOUNT_DISABLED), (7, M["attributes_invalid"]), (31, changes.PRODUCT_NOT_FOUND)])
     got = {r["id"]: r for r in res.snapshot.collect()}
     assert got[1]["attributs"] == '{"c":"r"}' and got[2]["attributs"] == "[]" and got[3]["attributs"] == "[]"
     assert got[4]["prix_supplement"] == Decimal("0.000") and got[30]["attributs"] == '{"t":"M"}'
+    assert got[7]["attributs"] == '{"t":"M"}'  # the refused second change takes nothing from the first
     assert got[30]["reference"] and len(got) == variations.count() + 1
 
 

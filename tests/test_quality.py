@@ -24,7 +24,7 @@ def test_dq9_email_pattern(spark):
                                 ["a@b.tn", "a@b", "a b@c.tn", "", "x.y+z@sub.example.com"]], schemas.USER_CHANGES)
     ch = ch.withColumn("id", F.monotonically_increasing_id() + 10)
     out = {r.email: r.first_message for r in
-           quality.validate_user_changes(ch, _users(spark, ["zz@x.tn"])).collect()}
+           quality.validate_user_rows(ch, _users(spark, ["zz@x.tn"])).collect()}
     assert out["a@b.tn"] is None and out["x.y+z@sub.example.com"] is None
     assert out["a@b"] == quality.MSG["email_invalid"]
     assert out["a b@c.tn"] == quality.MSG["email_invalid"]

@@ -1,7 +1,9 @@
 """Reference counter: unit cases and a brute-force comparison on the driver's data."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import references as refs
@@ -82,3 +84,34 @@ def test_family_is_shared_by_all_candidates(spark):
     out = df.select("base", refs.reference_family(F.lit(7), F.col("base")).alias("fb"),
                     refs.reference_family(F.lit(7), F.col("cand")).alias("fc")).collect()
     assert all(r.fb == r.fc for r in out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_of_bases(spark, seed):
+    """Bases that are each other's candidates, several levels deep, with stored references in between; one hot product."""
+    r = random.Random(seed)
+    labels = ["A", "A 02", "A 03", "A 05", "A 02 02", "A 02 03", "A 03 02", "A 02 02 02", "A 99", "B", "B 02", "A 1"]
+    rows, vid = [], 0
+    for _ in range(700):
+        vid += r.randint(1, 2)
+        pid = r.choice((7, 7, 7, 8))
+        if r.random() < 0.75:
+            rows.append((vid, pid, r.choice(labels[:r.choice((2, 5, 12))]), None))
+        else:
+            n = r.choice((1, 2, 3, 4, 6))
+            stored = f"PRD-{pid:06d}-" + r.choice(labels).replace(" ", "-") + ("" if n == 1 else f"-{n:02d}")
+            rows.append((vid, pid, "x", r.choice((stored, stored.lower()))))
+    df = _variations(spark, rows)
+    based = references.with_reference_base(df).select("id", "product_id", "base_reference", "reference").collect()
+    got = references.assign_references(df)
+    assert {x.id: x.reference for x in got.collect()} == _brute_force([tuple(x) for x in based])
+
+
+def test_chains_take_no_sequential_path(spark, monkeypatch):
+    def refuse(batches):
+        for pdf in batches:
+            assert not len(pdf)
+            yield pdf[["id"]].assign(product_id=0, reference="")
+    monkeypatch.setattr(references, "_assign_partition", refuse)
+    rows = [(i, 7, ("A", "A 02", "A 02 02")[i % 3], None) for i in range(1, 200)]
+    assert len(_assigned(spark, rows)) == 199

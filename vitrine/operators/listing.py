@@ -3,13 +3,15 @@ SRT-1..6, SNK-1, SNK-4).
 
 A page is ``orderBy(...).offset(start).limit(length)``, which Spark runs as
 ``TakeOrderedAndProject``: every task keeps only its best ``start + length`` rows,
-so no full sort and no single-task gather of the table. Pages for *all*
-suppliers at once use the skew-safe row numbering in ``windows``.
+so no full sort and no single-task gather of the table. Product and user pages far from the
+start are located first, by counts per id range (``newest_first``), so that a page keeps few
+rows however deep it is. Pages for *all* suppliers at once use the skew-safe row numbering in ``windows``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,49 @@ def clamp_page(start: int, length: int, max_length: int | None = None) -> tuple[
     return start, length
 
 
+#: Rows that a task may keep for a page; pages beyond are located by counts in RANGES id ranges.
+SHALLOW = 1000
+RANGES = 1024
+
+
+def newest_first(df: DataFrame, start: int, length: int) -> DataFrame:
+    """The rows from ``start`` on, in descending id order.
+
+    A page near the start is taken from the rows as they are. For others the ids are counted in at most RANGES
+    equal ranges, and the range that holds the offset is counted again in finer ones until it holds
+    few rows; then the page is taken from that range and those that the page runs on to. Every
+    count reads the id column alone, with the range as a filter of the scan.
+    """
+    newest = F.col("id").desc()
+    if start + length <= SHALLOW:
+        return df.orderBy(newest).offset(start).limit(length)
+    ids = df.select("id")
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return df.limit(0)
+    least, above = low, 0  # the least id of all; rows with ids over ``high``
+    while True:
+        width = max(1, -(-(high - low + 1) // RANGES))
+        far = F.floor((F.lit(high).cast("decimal(38,0)") - F.col("id").cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)"))
+        counts = sorted(ids.filter(F.col("id").between(low, high)).groupBy(far.cast("long").alias("range")).count().collect())
+        seen, held = above, None
+        for at, n in counts:  # at most RANGES rows
+            if seen + n > start:
+                held = at, n
+                break
+            seen += n
+        if held is None:
+            return df.limit(0)  # the offset lies beyond the last row
+        skip, wanted = start - seen, start + length
+        if width == 1 or held[1] <= SHALLOW:
+            running = accumulate((n for _, n in counts), initial=above)
+            last = next((at for (at, _), after in zip(counts, islice(running, 1, None)) if after >= wanted), None)
+            bottom = least if last is None else max(low, high - (last + 1) * width + 1)
+            rows = df.filter(F.col("id").between(bottom, high - held[0] * width))
+            return rows.orderBy(newest).offset(skip).limit(length)
+        low, high, above = max(low, high - (held[0] + 1) * width + 1), high - held[0] * width, seen
+
+
 def product_supplier_join(products: DataFrame, users: DataFrame) -> DataFrame:
     """Products with every column of their supplier (``u_*``); left outer join."""
     u = users.select(*[F.col(c).alias("u_" + c) for c in USER_COLUMNS])
@@ -96,11 +141,11 @@ def product_page(products: DataFrame, users: DataFrame, variations: DataFrame,
     newest = F.col("id").desc()
     if search:
         listing = product_listing(products, users, search, supplier_id, mode)
-        rows = materialise(product_rows(listing).orderBy(newest).offset(start).limit(length))
+        rows = materialise(newest_first(product_rows(listing), start, length))
     else:
         scope = filters.for_supplier(filters.active_strict(products), supplier_id)
-        page = materialise(scope.select("id", "libelle", "description", "image", "prix", "fournisseur_id")
-                           .orderBy(newest).offset(start).limit(length))
+        page = materialise(newest_first(
+            scope.select("id", "libelle", "description", "image", "prix", "fournisseur_id"), start, length))
         owners = filters.by_keys(users, page, key_column="fournisseur_id")
         rows = product_rows(product_supplier_join(page, owners))
     summ = summary.stock_summary(variations, rows.select("id") if search else page.select("id"))
@@ -123,9 +168,13 @@ def catalogue_mart(products: DataFrame, users: DataFrame, variations: DataFrame)
     The summary is aggregated once for all products (partial + final hash
     aggregate) and joined on the product id.
     """
-    rows = product_listing(products, users).select("id", "libelle", "description", "image", "prix",
-                                                    supplier_label().alias("fournisseur"), "fournisseur_id")
-    mart = with_summary(rows, summary.stock_summary(variations))
+    return mart_rows(product_listing(products, users), summary.stock_summary(variations))
+
+
+def mart_rows(listed: DataFrame, summ: DataFrame) -> DataFrame:
+    """The mart's rows of listed products, with a given summary."""
+    rows = listed.select("id", "libelle", "description", "image", "prix", supplier_label().alias("fournisseur"), "fournisseur_id")
+    mart = with_summary(rows, summ)
     return mart.withColumn("prix_text", prices.listing_price_text(F.col("prix"), F.col("has_price_supplement")))
 
 
@@ -169,8 +218,7 @@ def user_page(users: DataFrame, start: int = 0, length: int = DEFAULT_LENGTH,
               search: str | None = None, mode: str = "like") -> DataFrame:
     """The user grid page: newest first, each row with its role's label and class."""
     start, length = clamp_page(start, length)
-    rows = user_rows(user_listing(users, search, mode))
-    page = rows.orderBy(F.col("id").desc()).offset(start).limit(length)
+    page = newest_first(user_rows(user_listing(users, search, mode)), start, length)
     return page.select("*", *role_columns())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import attributes as attrs
 from vitrine.functions import images, prices
 from vitrine.functions.text import fold_key, php_trim
-from vitrine.operators import filters
+from vitrine.operators import filters, membership
 
 # The messages of the entity rules and of the intake checks, the
 # maximum lengths, the allowed product types and roles, and the HTML5 e-mail
@@ -103,8 +103,8 @@ def php_int(c: Column) -> Column:
     return F.when(t.rlike(_INT_TEXT), t.try_cast("bigint"))
 
 
-def normalise_products(intake: DataFrame) -> DataFrame:
-    """SCL-9, SCL-10, SCL-17: trimmed texts, decimal comma fixed, stock as integer."""
+def normalise_products(intake: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SCL-9, SCL-10, SCL-17: trimmed texts, decimal comma fixed, stock as integer. ``keep`` names columns passed on."""
     return intake.select(
         "id",
         php_trim(F.col("libelle")).alias("libelle"),
@@ -113,11 +113,11 @@ def normalise_products(intake: DataFrame) -> DataFrame:
         F.col("product_type"),
         F.col("stock").alias("stock_text"),
         php_int(F.col("stock")).alias("stock"),
-        "fournisseur_id", "actor_id", "image")
+        "fournisseur_id", "actor_id", "image", *keep)
 
 
-def normalise_users(changes: DataFrame) -> DataFrame:
-    """SCL-9, SCL-13: trimmed names and e-mail; trade name kept only for suppliers."""
+def normalise_users(changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SCL-9, SCL-13: trimmed names and e-mail; trade name kept only for suppliers. ``keep`` names columns passed on."""
     role = F.coalesce(F.col("role"), F.lit(""))
     return changes.select(
         "id",
@@ -125,7 +125,7 @@ def normalise_users(changes: DataFrame) -> DataFrame:
         php_trim(F.col("prenom")).alias("prenom"),
         php_trim(F.col("email")).alias("email"),
         role.alias("role"),
-        F.when(role == "ROLE_FOURNISSEUR", php_trim(F.col("libelle"))).alias("libelle"))
+        F.when(role == "ROLE_FOURNISSEUR", php_trim(F.col("libelle"))).alias("libelle"), *keep)
 
 
 def attributes_readable(attributs: Column) -> Column:
@@ -133,10 +133,10 @@ def attributes_readable(attributs: Column) -> Column:
     return F.coalesce(attrs.attributes_valid(attributs), attributs.isNull())
 
 
-def normalise_variation_changes(changes: DataFrame, products: DataFrame) -> DataFrame:
+def normalise_variation_changes(changes: DataFrame, products: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """SCL-10..12: attributes cleaned, default label, decimal comma fixed, stock as integer.
 
-    ``products`` provides the label used when neither a label nor attributes are given.
+    ``products`` provides the label used when neither a label nor attributes are given; ``keep`` names columns passed on.
     """
     parsed = attrs.parse_attributes(F.col("attributs"))
     clean = attrs.normalise_pairs(F.map_keys(parsed), F.map_values(parsed))
@@ -148,7 +148,7 @@ def normalise_variation_changes(changes: DataFrame, products: DataFrame) -> Data
                     attrs.stored_attributes(F.col("__attrs")).alias("attributs"),
                     attributes_readable(F.col("attributs")).alias("attributs_ok"),
                     prices.normalise_price_text(F.col("prix_supplement")).alias("prix_supplement"),
-                    php_int(F.col("stock")).alias("stock")))
+                    php_int(F.col("stock")).alias("stock"), *keep))
 
 
 # ------------------------------------------------------------------ rule sets
@@ -212,7 +212,7 @@ def image_key_allowed(image: Column, supplier_id: Column) -> Column:
             & F.coalesce(images.key_supplier(image) == supplier_id, F.lit(False)))
 
 
-def validate_intake(intake: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
+def validate_intake(intake: DataFrame, users: DataFrame, products: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Whole intake check in the reference's order: product type (DQ-14), stock
     (DQ-15), entity rules (DQ-1..3), supplier (DQ-16), image (DQ-20..22).
 
@@ -220,7 +220,7 @@ def validate_intake(intake: DataFrame, users: DataFrame, products: DataFrame) ->
     adds (``fournisseur_id`` of the result), and nobody else may add. An id that
     is stored already is refused first: intake only adds rows.
     """
-    n = normalise_products(intake)
+    n = normalise_products(intake, keep)
     sup = filters.active_suppliers(users).select(F.col("id").alias("__sid"))
     actors = filters.eligible_accounts(users).select(F.col("id").alias("__aid"), F.col("role").alias("__arole"))
     stored = products.select(F.col("id").alias("__stored"))
@@ -247,39 +247,29 @@ def email_usage(candidates: DataFrame, users: DataFrame, cand_id: str = "id") ->
     """Candidates with ``email_taken``: another user (any id but the candidate's own,
     deleted users included) has the same e-mail under the table collation.
 
-    Users are first reduced to one row per e-mail key (row count and smallest
-    id, a partial/final aggregate), so a very common address never makes the
+    Of the users only possible holders of an address of the candidates go on (``membership``). They
+    are reduced to one row per e-mail key (row count and smallest id, a partial/final aggregate), so a very common address never makes the
     join emit or buffer all its rows: with unique ids, the key is taken for a
     candidate when it has more than one user, or one user whose id differs.
     """
-    per_key = (users.groupBy(fold_key(F.col("email")).alias("__ukey"))
-               .agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__uid")))
     c = candidates.withColumn("__ckey", fold_key(F.col("email")))
+    held = membership.possible(users.select("id", fold_key(F.col("email")).alias("__ukey")), "__ukey", c, "__ckey")
+    per_key = held.groupBy("__ukey").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__uid"))
     j = c.join(per_key, c.__ckey == per_key.__ukey, "left")
     taken = (F.col("__n").isNotNull()
              & (F.col(cand_id).isNull() | (F.col("__n") > 1) | (F.col("__uid") != F.col(cand_id))))
     return j.withColumn("email_taken", taken).drop("__ckey", "__ukey", "__n", "__uid")
 
 
-def validate_user_changes(changes: DataFrame, users: DataFrame) -> DataFrame:
-    """DQ-8..13 on normalised user rows (insert or update).
+def with_user_rules(normalised: DataFrame) -> DataFrame:
+    """DQ-8..13 on normalised user rows that have ``email_taken``."""
+    return with_violations(normalised, user_rules(F.col("nom"), F.col("prenom"), F.col("email"), F.col("role"),
+                                                  F.col("libelle"), F.col("email_taken")))
 
-    Inside one batch an e-mail goes to the lowest id among the rows that pass
-    every other rule (requests are applied in id order); later rows that claim
-    it are refused as taken, earlier failing rows keep their own first problem. The winner is a grouped minimum per e-mail
-    key, not a window, so a very common address is not one task.
-    """
-    n = email_usage(normalise_users(changes), users)
-    rules = lambda taken: user_rules(F.col("nom"), F.col("prenom"), F.col("email"), F.col("role"),
-                                     F.col("libelle"), taken)
-    first = with_violations(n, rules(F.col("email_taken")))
-    winners = (first.filter(F.col("n_violations") == 0)
-               .groupBy(fold_key(F.col("email")).alias("__wkey")).agg(F.min("id").alias("__winner")))
-    n = (n.join(winners, fold_key(n.email) == winners.__wkey, "left")
-         .withColumn("email_taken", F.col("email_taken")
-                     | F.coalesce(F.col("__winner") < F.col("id"), F.lit(False)))
-         .drop("__wkey", "__winner"))
-    return with_violations(n, rules(F.col("email_taken")))
+
+def validate_user_rows(changes: DataFrame, users: DataFrame) -> DataFrame:
+    """DQ-8..13 on user rows (insert or update), each by itself against the stored users."""
+    return with_user_rules(email_usage(normalise_users(changes), users))
 
 
 def validate_variations(variations: DataFrame) -> DataFrame:
@@ -306,6 +296,19 @@ def duplicate_emails(users: DataFrame) -> DataFrame:
     return keyed.join(dup, "email_key").select("id", "email", "n_same")
 
 
+def clashing_references(batch: DataFrame, variations: DataFrame) -> DataFrame:
+    """DQ-19 for a batch: its rows (``id, reference``) whose reference another row holds, of the batch or stored.
+
+    The stored table is only read for the batch's own references, so the work after its scan follows the batch.
+    """
+    from vitrine.functions.references import comparable_reference
+    keyed = batch.filter(F.col("reference").isNotNull()).select("id", "reference", comparable_reference(F.col("reference")).alias("__key"))
+    stored = variations.filter(F.col("reference").isNotNull()).select("id", comparable_reference(F.col("reference")).alias("__key"))
+    met = membership.possible(stored, "__key", keyed, "__key").unionByName(keyed.select("id", "__key")).distinct()
+    held = met.groupBy("__key").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+    return keyed.join(held, "__key").select("id", "reference", "n_rows")
+
+
 def duplicate_references(variations: DataFrame) -> DataFrame:
     """DQ-19: references held by more than one row under the table collation."""
     from vitrine.functions.references import comparable_reference

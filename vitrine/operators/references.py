@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import references as refs
-from vitrine.operators.windows import row_number_by_id
+from vitrine.operators import membership
+from vitrine.operators.windows import row_number_by_id, sum_before
 from vitrine.session import materialise
 
 _PID_IN_REF = r"^PRD-([0-9]+)-"
@@ -122,7 +123,7 @@ def assign_new_references(new_rows: DataFrame, table: DataFrame) -> DataFrame:
     reference of ``table`` (deleted rows included): ``id, product_id, reference``."""
     news = _keyed(new_rows, True)
     # groups are keyed by product: only the references of products with a new row matter
-    stored = _keyed(table, False).join(news.select("pid"), "pid", "left_semi")
+    stored = membership.possible(_keyed(table, False), "pid", news, "pid").join(news.select("pid"), "pid", "left_semi")
     return _assign(news.unionByName(stored))
 
 
@@ -135,44 +136,80 @@ def _parent(base: Column) -> Column:
     return F.when(ok, base.substr(F.lit(1), F.length(base) - F.length(digits) - 1))
 
 
-def _ancestors(base: Column) -> Column:
-    """[base, parent(base), parent(parent(base)), ...]; a reference has at most 33 groups."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(34)), F.array(base),
-                       lambda acc, _: F.when(_parent(F.element_at(acc, -1)).isNotNull(),
-                                             F.concat(acc, F.array(_parent(F.element_at(acc, -1)))))
-                       .otherwise(acc))
+def _split_families(rows: DataFrame) -> DataFrame:
+    """Families whose new rows carry several bases, with one group per base
+    (``rows``: keyed rows of families in which no candidate can be cut).
 
-
-def _refine_families(rows: DataFrame) -> DataFrame:
-    """Split families whose new rows carry several bases into the groups that can
-    really interact (``rows``: keyed rows of such families only).
-
-    When no candidate can be cut (longest base + longest possible suffix <= 100),
-    a candidate of B is B or B + '-NN', so two bases share a candidate only if
-    one is the other plus one ``-NN`` group. The groups are then the chains of
-    such parent links among the bases present: each base goes to its highest
-    ancestor reached through present bases, and a stored reference to the group
-    of the base it equals or extends. Labels such as "Taille 42" and
-    "Taille 44" thus become separate single-base groups.
+    A candidate of B is B or B + '-NN', so a reference matters to the base it equals and
+    to the one that it extends. Two bases share a candidate only if one is the other
+    plus one '-NN' group, and the child itself is all they share; who gets it is settled by
+    ``_contests``. The loser then finds it stored, like any other reference, and every group has one base.
     """
     keys = ["pid", "family"]
-    bases = rows.filter(F.col("kind") == 0).select(*keys, F.col("ref").alias("base")).distinct()
-    chain = bases.select(*keys, "base", F.posexplode(_ancestors(F.col("base"))).alias("pos", "anc")) \
-        .filter(F.col("pos") >= 1)
-    present = bases.select(*keys, F.col("base").alias("anc"), F.lit(True).alias("__hit"))
-    first_absent = (chain.join(present, [*keys, "anc"], "left").groupBy(*keys, "base")
-                    .agg(F.min(F.when(F.col("__hit").isNull(), F.col("pos"))).alias("__fa")))
-    anc = _ancestors(F.col("base"))
-    roots = (bases.join(first_absent, [*keys, "base"], "left")
-             .select(*keys, "base", F.when(F.col("__fa").isNull(), F.element_at(anc, -1))
-                     .otherwise(F.element_at(anc, F.col("__fa").cast("int"))).alias("root")))
-    by_self = roots.select(*keys, F.col("base").alias("ref"), F.col("root").alias("__r1"))
-    by_parent = roots.select(*keys, F.col("base").alias("__pref"), F.col("root").alias("__r2"))
-    refined = (rows.join(by_self, [*keys, "ref"], "left")
-               .withColumn("__pref", F.when(F.col("kind") == 1, _parent(F.col("ref"))))
-               .join(by_parent, [*keys, "__pref"], "left"))
-    group = F.concat(F.col("family"), F.lit("\u0001"), F.coalesce(F.col("__r1"), F.col("__r2"), F.lit("")))
-    return refined.select("id", "pid", "ref", "kind", group.alias("family"))
+    new = rows.filter(F.col("kind") == 0)
+    stored = rows.filter(F.col("kind") == 1).select(*keys, "ref").distinct()
+    bases = materialise(new.groupBy(*keys, F.col("ref").alias("base")).agg(F.min("id").alias("first")))
+    children = bases.withColumn("parent", _parent(F.col("base"))).filter(F.col("parent").isNotNull())
+    contested = materialise(
+        children.join(bases.select(*keys, F.col("base").alias("parent")), [*keys, "parent"], "left_semi")
+        .join(stored.withColumnRenamed("ref", "base"), [*keys, "base"], "left_anti"))
+    met = stored.withColumn("base", F.col("ref")).unionByName(
+        stored.withColumn("base", _parent(F.col("ref"))).filter(F.col("base").isNotNull()))
+    met = met.join(bases.select(*keys, "base"), [*keys, "base"], "left_semi")
+    if not contested.isEmpty():
+        met = met.unionByName(_contests(new, met, contested))
+    def group(base: str) -> Column:
+        return F.concat(F.col("family"), F.lit("\u0001"), F.col(base)).alias("family")
+    return new.select("id", "pid", "ref", "kind", group("ref")).unionByName(
+        met.select(F.lit(None).cast("bigint").alias("id"), "pid", "ref", F.lit(1).alias("kind"), group("base")))
+
+
+def _contests(new: DataFrame, met: DataFrame, contested: DataFrame) -> DataFrame:
+    """pid, family, base, ref: for each child base that its parent's rows can reach, the base that finds it taken.
+
+    The parent's rows take its free indices in id order, the child's first row asks for the child's own
+    string. Let the child stand at index n, let ``taken`` be the parent's stored indices below n, ``before`` the parent's new rows
+    before the child's first row, and W the children below n that won. The parent's row of rank n - taken - W reaches the string;
+    the child is earlier if fewer parent rows than that came before it: W < n - taken - before. So per parent a count over
+    its children (distinct bases, not rows) in index order settles all; what it needs of the rows are two running sums. A parent
+    that lost its own string has one more index taken, so parents are settled before their children, level by level.
+    """
+    keys = ["pid", "family", "parent"]
+    at = F.regexp_extract("base", r"-([0-9]{2,})$", 1).cast("bigint")
+    asked = contested.withColumn("n", at)
+    parents = asked.select(*keys).distinct()
+    index = F.when(F.col("ref") == F.col("parent"), F.lit(1).cast("bigint")).otherwise(
+        F.regexp_extract("ref", r"-([0-9]{2,})$", 1).cast("bigint"))
+    held = met.withColumnRenamed("base", "parent").join(parents, keys, "left_semi").select(*keys, index.alias("n"), F.lit(1).alias("one"))
+    taken = sum_before(held.unionByName(asked.select(*keys, "n", "base", F.lit(0).alias("one")), allowMissingColumns=True),
+                       keys, "n", "one", "taken").filter("base is not null")
+    mine = new.withColumnRenamed("ref", "parent").join(parents, keys, "left_semi").select(*keys, "id", F.lit(1).alias("one"))
+    before = sum_before(mine.unionByName(asked.select(*keys, F.col("first").alias("id"), "base", F.lit(0).alias("one")),
+                                         allowMissingColumns=True), keys, "id", "one", "before").filter("base is not null")
+    room = (taken.join(before.select("pid", "family", "base", "before"), ["pid", "family", "base"])
+            .select(*keys, "base", "n", (F.col("n") - F.col("taken") - F.col("before")).alias("room")))
+    open_ = materialise(room)
+    settled = None
+    while not open_.isEmpty():
+        waiting = open_.select("pid", "family", F.col("base").alias("parent"))
+        now = open_.join(waiting, keys, "left_anti")
+        if settled is not None:
+            lost = settled.filter(~F.col("won")).select("pid", "family", F.col("base").alias("parent"), F.lit(1).alias("lost"))
+            now = now.join(lost, keys, "left").withColumn("room", F.col("room") - F.coalesce("lost", F.lit(0))).drop("lost")
+        done = materialise(now.groupBy(*keys).applyInPandas(_count_winners, "pid long, family string, parent string, base string, won boolean"))
+        open_ = materialise(open_.join(done.select("pid", "family", "base"), ["pid", "family", "base"], "left_anti"))
+        settled = done if settled is None else settled.unionByName(done)
+    loser = F.when(F.col("won"), F.col("parent")).otherwise(F.col("base"))
+    return settled.select("pid", "family", F.col("base").alias("ref"), loser.alias("base"))
+
+
+def _count_winners(children: pd.DataFrame) -> pd.DataFrame:
+    children = children.sort_values("n")
+    won, out = 0, []
+    for room in children["room"].tolist():
+        out.append(won < room)
+        won += out[-1]
+    return children[["pid", "family", "parent", "base"]].assign(won=out)
 
 
 def _group_stats(keyed: DataFrame) -> DataFrame:
@@ -206,25 +243,30 @@ def _assign(keyed: DataFrame) -> DataFrame:
       already stored are found and the k-th new row takes the k-th free index,
       all with skew-safe numbering, so even a group holding a third of the table
       is spread over many tasks;
-    * several bases in one group (their candidates can meet, so the order of
+    * several bases whose candidates could be cut (labels near 100 characters, so the order of
       rows across bases matters): the sequential counter in one sorted pass per
       partition (``mapInPandas``).
 
-    Before that, families with several bases are split into the groups that can
-    really share candidates (``_refine_families``); only their rows take the
-    extra joins. Families with no new row are dropped by the inner join.
+    Before that, families with several bases and no cut candidate get one group per base
+    (``_split_families``); only their rows take the extra joins. Families with no new row are
+    dropped by the inner join.
     """
     keyed = materialise(keyed)
     cols = ["id", "pid", "ref", "kind", "family", "base", "n_new", "n_stored", "path"]
-    coarse = keyed.join(_group_stats(keyed), ["pid", "family"])
-    refined = _refine_families(coarse.filter(F.col("__split")).select("id", "pid", "ref", "kind", "family"))
-    regrouped = refined.join(_group_stats(refined), ["pid", "family"]).select(*cols)
+    stats = materialise(_group_stats(keyed))
+    coarse = keyed.join(stats, ["pid", "family"])
+    tagged = coarse.filter(~F.col("__split")).select(*cols)
+    if not stats.filter("__split").isEmpty():
+        refined = _split_families(coarse.filter(F.col("__split")).select("id", "pid", "ref", "kind", "family"))
+        tagged = tagged.unionByName(refined.join(_group_stats(refined), ["pid", "family"]).select(*cols))
     # every path below reads the tagged rows; write them once instead of scanning
     # and joining the table again for each reader
-    tagged = materialise(coarse.filter(~F.col("__split")).select(*cols).unionByName(regrouped))
+    tagged = materialise(tagged)
 
-    simple = tagged.filter(F.col("path") == "simple").select("id", "pid", "ref")
-    seq = row_number_by_id(simple, ["pid", "ref"], out_col="seq")
+    simple = tagged.filter(F.col("path") == "simple").select("id", "pid", "ref", "n_new")
+    # a group of one row needs no number
+    seq = row_number_by_id(simple.filter("n_new > 1"), ["pid", "ref"], out_col="seq").unionByName(
+        simple.filter("n_new = 1").withColumn("seq", F.lit(1).cast("bigint")))
     simple_out = seq.select("id", F.col("pid").alias("product_id"),
                             _window_candidate(F.col("ref"), F.col("seq")).alias("reference"))
 

@@ -1,22 +1,17 @@
-"""Row numbering inside groups without sending a whole group to one task.
+"""Order-dependent values inside groups without sending a whole group to one task.
 
 ``row_number().over(partitionBy(key).orderBy(id))`` puts every row of a key in
 one task; a supplier or product holding a third of the catalogue would make
-that task a third of the job. Here the ``id`` order is cut into buckets that
-hold about as many rows each, whatever the ids look like (dense, sparse or far
-apart): approximate quantiles of the ids give ``QUANTILES`` slices, and each slice
-is cut into ``STEPS`` equal steps of the id.
-
-1. rank inside (key, bucket) with a window -- a bucket, and so a window, holds at
-   most about one in ``QUANTILES`` rows of the table, and far fewer when the ids of
-   a slice are spread evenly;
-2. count rows per (key, bucket) -- a partial/final hash aggregate;
-3. running sum of those counts over the buckets of a key -- a window over at most
-   ``QUANTILES * STEPS`` rows per key;
-4. join the offsets back on (key, bucket); the big side is already hash
-   partitioned on those columns by step 1, so it is not shuffled again.
-
-Result: exactly ``row_number`` over (key ORDER BY id), as a bigint.
+that task a third of the job. Here the rows are range partitioned by (key, id),
+so a hot key covers many partitions (slices) of about equal size, and their
+number follows the table: Spark's sampled bounds cut the rows, and AQE merges
+slices that are small. The slice is kept with each row in a checkpoint, so
+everything below sees the same cut.
+
+1. a window inside (key, slice) gives the value as far as the slice knows it;
+2. one small aggregate row per (key, slice) is carried over the slices of a key;
+3. only keys that cover several slices need a correction, so at most one row per
+   slice comes back to the rows (a broadcast of that bounded size).
 """
 
 from __future__ import annotations
@@ -24,57 +19,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUANTILES = 64
-STEPS = 64
+from vitrine.session import materialise
 
+_SLICE = "__slice"
 
-def id_bounds(df: DataFrame, id_col: str) -> list[int]:
-    """Ascending ids that cut the table into about ``QUANTILES`` equal slices (one row to the driver)."""
-    share = [k / QUANTILES for k in range(QUANTILES + 1)]
-    got = df.agg(F.percentile_approx(F.col(id_col), share, F.lit(100 * QUANTILES)).alias("q")).first()["q"]
-    return sorted(set(got or []))
+
+def _safe_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Keys as (non-NULL value, is-NULL flag) pairs: NULL is a group of its own, joined by plain equality."""
+    types = dict(df.dtypes)
+    columns = {}
+    for i, k in enumerate(keys):
+        columns[f"__k{i}"] = F.coalesce(F.col(k), F.lit("").cast(types[k]) if types[k] == "string" else F.lit(0).cast(types[k]))
+        columns[f"__n{i}"] = F.col(k).isNull()
+    return df.withColumns(columns) if columns else df, list(columns)
 
 
-def bucket_of(id_col: Column, bounds: list[int]) -> Column:
-    """The bucket of an id: its slice among ``bounds``, then its step in the slice; ascending with the id."""
-    def slice_of(lo: int, hi: int) -> Column:
-        if lo + 1 >= hi:
-            width = max(1, -(-(bounds[hi] - bounds[lo]) // STEPS)) if hi < len(bounds) else 1
-            far = F.coalesce(F.try_subtract(id_col, F.lit(bounds[lo])), F.lit(STEPS * width))  # NULL: beyond a long
-            step = F.least(F.floor(far / F.lit(width)), F.lit(STEPS - 1))
-            return F.lit(lo * STEPS) + F.greatest(step, F.lit(0))
-        mid = (lo + hi) // 2
-        return F.when(id_col < F.lit(bounds[mid]), slice_of(lo, mid)).otherwise(slice_of(mid, hi))
+def in_slices(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The rows with their slice of the (keys, order) range."""
+    return materialise(df.repartitionByRange(*keys, order).withColumn(_SLICE, F.spark_partition_id()))
 
-    return slice_of(0, len(bounds)).cast("bigint") if bounds else F.lit(0).cast("bigint")
+
+def _corrected(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
+    """``carried`` (keys, slice, values) joined to the rows of its slices; it has at most one row per slice."""
+    renamed = carried.select(*[F.col(c).alias(f"__of{c}") if c in (*keys, _SLICE) else F.col(c) for c in carried.columns])
+    on = [F.col(c) == F.col(f"__of{c}") for c in (*keys, _SLICE)]
+    return rows.join(F.broadcast(renamed), on, "left").drop(*[f"__of{c}" for c in (*keys, _SLICE)])
 
 
 def row_number_by_id(df: DataFrame, keys: list[str], id_col: str = "id", descending: bool = False,
-                     out_col: str = "rn", bounds: list[int] | None = None) -> DataFrame:
+                     out_col: str = "rn") -> DataFrame:
     """Add ``out_col`` = position of the row inside its ``keys`` group, ordered by ``id_col``.
 
-    ``id_col`` is an integer, unique inside a group. A NULL key is a group of its
-    own: keys are numbered through a (non-NULL value, is-NULL flag) pair, so
-    every join below is a plain equality join and no row is lost.
+    ``id_col`` is unique inside a group. The result is exactly ``row_number``, as a bigint.
     """
-    bucket = "__bucket"
-    types = dict(df.dtypes)
-    safe = []
-    d = df
-    for i, k in enumerate(keys):
-        d = (d.withColumn(f"__k{i}", F.coalesce(F.col(k), F.lit(0).cast(types[k])))
-              .withColumn(f"__n{i}", F.col(k).isNull()))
-        safe += [f"__k{i}", f"__n{i}"]
-    d = d.withColumn(bucket, bucket_of(F.col(id_col), id_bounds(df, id_col) if bounds is None else bounds))
-    order_id = F.col(id_col).desc() if descending else F.col(id_col).asc()
-    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(*safe, bucket).orderBy(order_id)))
-    counts = d.groupBy(*safe, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    order_b = F.col(bucket).desc() if descending else F.col(bucket).asc()
-    before = Window.partitionBy(*safe).orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return (local.join(offsets, [*safe, bucket])
-            .withColumn(out_col, (F.col("__local") + F.col("__offset")).cast("bigint"))
-            .drop("__local", "__offset", bucket, *safe))
+    order = F.col(id_col).desc() if descending else F.col(id_col).asc()
+    d, safe = _safe_keys(df, keys)
+    d = in_slices(d, safe, order)
+    local = d.withColumn("__local", F.row_number().over(Window.partitionBy(*safe, _SLICE).orderBy(order)))
+    counts = d.groupBy(*safe, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*safe).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*safe, _SLICE, F.sum("__n").over(before).alias("__offset")).filter("__offset is not null")
+    return (_corrected(local, safe, offsets)
+            .withColumn(out_col, (F.col("__local") + F.coalesce("__offset", F.lit(0))).cast("bigint"))
+            .drop("__local", "__offset", _SLICE, *safe))
+
+
+def last_before(df: DataFrame, keys: list[str], order: str, values: dict[str, str]) -> DataFrame:
+    """Add columns: for each ``out: value``, the last non-NULL ``value`` of the same group in a row before this one, by ``order``."""
+    d, safe = _safe_keys(df, keys)
+    d = in_slices(d, safe, F.col(order))
+    before = Window.partitionBy(*safe, _SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumns({f"__local_{out}": F.last(v, ignorenulls=True).over(before) for out, v in values.items()})
+    ends = d.groupBy(*safe, _SLICE).agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"__end_{out}") for out, v in values.items()])
+    earlier = Window.partitionBy(*safe).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [f"__carried_{out}" for out in values]
+    ends = ends.select(*safe, _SLICE, *[F.last(f"__end_{out}", ignorenulls=True).over(earlier).alias(c)
+                                        for out, c in zip(values, carried)])
+    # of a key's slices all but the first may need a correction: fewer rows than slices in all
+    rows = _corrected(local, safe, ends.filter(" OR ".join(f"{c} IS NOT NULL" for c in carried)))
+    return rows.withColumns({out: F.coalesce(f"__local_{out}", c) for out, c in zip(values, carried)}).drop(
+        *[f"__local_{out}" for out in values], *carried, _SLICE, *safe)
+
+
+def sum_before(df: DataFrame, keys: list[str], order: str, value: str, out_col: str) -> DataFrame:
+    """Add ``out_col`` = the sum of ``value`` over the rows of the same group that come before this one by ``order``."""
+    d, safe = _safe_keys(df, keys)
+    d = in_slices(d, safe, F.col(order))
+    before = Window.partitionBy(*safe, _SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumn("__local", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    earlier = Window.partitionBy(*safe).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*safe, _SLICE).agg(F.sum(value).alias("__sum"))
+    offsets = sums.select(*safe, _SLICE, F.sum("__sum").over(earlier).alias("__offset")).filter("__offset is not null")
+    return (_corrected(local, safe, offsets)
+            .withColumn(out_col, (F.col("__local") + F.coalesce("__offset", F.lit(0))).cast("bigint"))
+            .drop("__local", "__offset", _SLICE, *safe))
 
 
 def page_numbers(df: DataFrame, keys: list[str], page_size: int, id_col: str = "id",

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import attributes as attrs
 from vitrine.functions import images, prices
-from vitrine.operators import changes, evolve, filters, listing, quality, references, relations, summary
+from vitrine.operators import changes, evolve, filters, increments, listing, quality, references, relations, summary
 from vitrine.operators.windows import page_numbers
 from vitrine.plans import sqlparts as S
 from vitrine.plans.queries import SUMMARY_SQL, SUPPLIER_LABEL_SQL, cat
 from vitrine.plans.registry import QUERIES, register
-from vitrine.session import ensure_checkpoint_dir
+from vitrine.session import ensure_checkpoint_dir, materialise
 from vitrine.sources import assets as asset_audit
-from vitrine.sources import snapshots
+from vitrine.sources import parts, snapshots
 from vitrine.sources.tables import raw
 
 U, P, V = "users", "products", "product_variations"
@@ -438,7 +438,7 @@ def normalise_users(spark, sf_dir) -> DataFrame:
 # --------------------------------------------------------------- data quality
 
 def _intake_norm(rows: str) -> str:
-    return f"""SELECT i.id, {S.php_trim('i.libelle')} AS libelle, {S.php_trim('i.description')} AS description,
+    return f"""SELECT i.id, i.seq, {S.php_trim('i.libelle')} AS libelle, {S.php_trim('i.description')} AS description,
        {S.norm_price('i.prix')} AS prix, i.product_type, {S.php_int('i.stock')} AS stock,
        CASE WHEN a.role = 'ROLE_FOURNISSEUR' THEN i.actor_id ELSE i.fournisseur_id END AS fournisseur_id,
        s.id AS sid, a.role AS arole, st.id AS stored, i.image
@@ -448,15 +448,6 @@ LEFT JOIN (SELECT id, role FROM users WHERE NOT coalesce(is_deleted, false)) a O
 LEFT JOIN products st ON st.id = i.id"""
 
 
-def _last(table: str) -> str:
-    return f"SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
-
-
-def _superseded(table: str) -> str:
-    return (f"SELECT id, {S.q('Superseded by a later change of the same id in the batch.')} AS reason FROM {table} "
-            "QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) > 1")
-
-
 _INTAKE_NORM = _intake_norm("SELECT * FROM product_intake")
 _INTAKE_RULES = [
     ("id", S.MSG["product_stored"], "stored IS NOT NULL"),
@@ -507,10 +498,10 @@ def dq_variations(spark, sf_dir) -> DataFrame:
     return quality.flat_report(quality.validate_variations(cat(spark, sf_dir).product_variations))
 
 
-_USER_NORM = f"""SELECT c.id, {S.php_trim('c.nom')} AS nom, {S.php_trim('c.prenom')} AS prenom,
+_USER_NORM = f"""SELECT c.id, c.seq, {S.php_trim('c.nom')} AS nom, {S.php_trim('c.prenom')} AS prenom,
        {S.php_trim('c.email')} AS email, coalesce(c.role, '') AS role,
        CASE WHEN c.role = 'ROLE_FOURNISSEUR' THEN {S.php_trim('c.libelle')} END AS libelle
-FROM ({_last('user_changes')}) c"""
+FROM user_changes c"""
 _TAKEN = (f"EXISTS (SELECT 1 FROM users u WHERE {S.fold_key('u.email')} = {S.fold_key('n.email')} "
           "AND (n.id IS NULL OR u.id <> n.id))")
 _USER_RULES = S.user_rules("n.nom", "n.prenom", "n.email", "n.role", "n.libelle", _TAKEN)
@@ -519,8 +510,7 @@ _USER_RULES = S.user_rules("n.nom", "n.prenom", "n.email", "n.role", "n.libelle"
 @register("dq_users", f"SELECT n.id, {S.report(_USER_RULES)} FROM ({_USER_NORM}) n", [U, "user_changes"])
 def dq_users(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    last, _ = changes.last_change_per_id(c.user_changes)
-    return quality.flat_report(quality.validate_user_changes(last, c.users))
+    return quality.flat_report(quality.validate_user_rows(c.user_changes, c.users))
 
 
 @register("dq_supplier_label",
@@ -673,24 +663,31 @@ def refreshed_stock(spark, sf_dir) -> DataFrame:
     return changes.stock_after_deletes(c.product_variations, c.products, c.users, c.variation_deletes)
 
 
-_INTAKE_LAST = _intake_norm(_last("product_intake"))
-_INTAKE_OK = f"SELECT * FROM ({_INTAKE_LAST}) WHERE ({S.report(_INTAKE_RULES).split(' AS n_violations')[0]}) = 0"
+# the first row of an id that passes by itself adds the product; later rows of the id find it stored
+_INTAKE_JUDGED = f"""WITH alone AS (
+  SELECT *, coalesce({S.first_message(_INTAKE_RULES)},
+                     CASE WHEN product_type = 'standard' AND id + 4398046511104 IN (SELECT id FROM product_variations)
+                          THEN {S.q(S.MSG['product_stored'])} END) AS own
+  FROM ({_INTAKE_NORM}))
+SELECT alone.*, CASE WHEN EXISTS (SELECT 1 FROM alone e WHERE e.id = alone.id AND e.seq < alone.seq AND e.own IS NULL)
+                     THEN {S.q(S.MSG['product_stored'])} ELSE own END AS reason
+FROM alone"""
+_INTAKE_OK = f"SELECT * FROM ({_INTAKE_JUDGED}) WHERE reason IS NULL"
 
 
 @register("intake_products", f"""
 SELECT id, libelle, description, image, {S.parse_price('prix')} AS prix, fournisseur_id,
-       false AS is_deleted FROM ({_INTAKE_OK})""", [U, P, "product_intake"])
+       false AS is_deleted FROM ({_INTAKE_OK})""", [U, P, V, "product_intake"])
 def intake_products(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.intake(c.product_intake, c.users, c.products)[0]
+    return changes.intake(c.product_intake, c.users, c.products, c.product_variations)[0]
 
 
-@register("rejected_intake", f"""
-SELECT id, first_message AS reason FROM (SELECT id, {S.report(_INTAKE_RULES)} FROM ({_INTAKE_LAST})) WHERE n_violations > 0
-UNION ALL {_superseded('product_intake')}""", [U, P, "product_intake"])
+@register("rejected_intake", f"SELECT id, seq, reason FROM ({_INTAKE_JUDGED}) WHERE reason IS NOT NULL",
+          [U, P, V, "product_intake"])
 def rejected_intake(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
-    return changes.intake(c.product_intake, c.users, c.products)[2]
+    return changes.intake(c.product_intake, c.users, c.products, c.product_variations)[2]
 
 
 @register("intake_default_variations", f"""
@@ -706,87 +703,110 @@ def intake_default_variations(spark, sf_dir) -> DataFrame:
     return changes.intake_default_variations(c.product_intake, c.users, c.products, c.product_variations)
 
 
-_PU_CHECK = f"""SELECT x.*, CASE
-    WHEN x.old_id IS NULL THEN 'Produit introuvable.'
-    WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
-    WHEN NOT coalesce(a.role = 'ROLE_ADMIN', false) AND NOT (x.old_fournisseur_id IS NOT DISTINCT FROM x.actor_id)
-      THEN 'Vous ne pouvez pas modifier ce produit.'
-    WHEN {S.first_message(S.product_rules('x.libelle', 'x.description', 'x.prix'))} IS NOT NULL
-      THEN {S.first_message(S.product_rules('x.libelle', 'x.description', 'x.prix'))}
-    WHEN coalesce(a.role = 'ROLE_ADMIN', false) AND s.id IS NULL THEN {S.q(S.MSG['supplier_invalid'])}
-    WHEN x.new_image IS NOT NULL AND NOT {S.image_key_ok('x.new_image',
-         "CASE WHEN a.role = 'ROLE_ADMIN' THEN x.req_fournisseur_id ELSE x.actor_id END")}
-      THEN {S.q(S.MSG['image_invalid'])} END AS reason,
-  coalesce(a.role = 'ROLE_ADMIN', false) AS is_admin
-FROM (SELECT u.id, u.actor_id, u.remove_image, u.new_image, {S.php_trim('u.libelle')} AS libelle,
-             {S.php_trim('u.description')} AS description, {S.norm_price('u.prix')} AS prix,
-             u.fournisseur_id AS req_fournisseur_id, p.id AS old_id, p.fournisseur_id AS old_fournisseur_id,
-             p.image AS old_image
-      FROM ({_last('product_updates')}) u LEFT JOIN products p ON p.id = u.id) x
-LEFT JOIN users a ON a.id = x.actor_id
-LEFT JOIN (SELECT id FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false) s ON s.id = x.req_fournisseur_id"""
+# by itself, then with the owner that the change meets: the supplier of the last admin change before it that passes
+_PU_CHECK = f"""WITH x AS (
+  SELECT u.id, u.seq, u.actor_id, coalesce(u.remove_image, false) AS remove_image, u.new_image, {S.php_trim('u.libelle')} AS libelle,
+         {S.php_trim('u.description')} AS description, {S.norm_price('u.prix')} AS prix,
+         u.fournisseur_id AS req_fournisseur_id, p.id AS old_id, p.fournisseur_id AS old_fournisseur_id,
+         p.image AS old_image, coalesce(a.role = 'ROLE_ADMIN', false) AS is_admin,
+         a.id IS NULL OR coalesce(a.is_deleted, false) AS no_account,
+         u.fournisseur_id IN (SELECT id FROM users WHERE role = 'ROLE_FOURNISSEUR' AND is_deleted = false) AS supplier_ok
+  FROM product_updates u LEFT JOIN products p ON p.id = u.id LEFT JOIN users a ON a.id = u.actor_id),
+alone AS (
+  SELECT *, CASE WHEN old_id IS NULL THEN 'Produit introuvable.' WHEN no_account THEN 'Ce compte est désactivé.' END AS early,
+    CASE WHEN {S.first_message(S.product_rules('libelle', 'description', 'prix'))} IS NOT NULL
+           THEN {S.first_message(S.product_rules('libelle', 'description', 'prix'))}
+         WHEN is_admin AND NOT supplier_ok THEN {S.q(S.MSG['supplier_invalid'])}
+         WHEN new_image IS NOT NULL AND NOT {S.image_key_ok('new_image',
+             "CASE WHEN is_admin THEN req_fournisseur_id ELSE actor_id END")} THEN {S.q(S.MSG['image_invalid'])} END AS late
+  FROM x),
+met AS (
+  SELECT n.*, coalesce((SELECT arg_max(e.req_fournisseur_id, e.seq) FROM alone e
+                        WHERE e.id = n.id AND e.seq < n.seq AND e.is_admin AND e.early IS NULL AND e.late IS NULL),
+                       n.old_fournisseur_id) AS owner
+  FROM alone n)
+SELECT *, CASE WHEN early IS NOT NULL THEN early
+               WHEN NOT is_admin AND owner IS DISTINCT FROM actor_id THEN 'Vous ne pouvez pas modifier ce produit.'
+               ELSE late END AS reason,
+       new_image IS NOT NULL OR remove_image AS moves_image
+FROM met"""
 
 
 @register("apply_product_updates", f"""
-WITH ok AS (SELECT * FROM ({_PU_CHECK}) WHERE reason IS NULL)
+WITH good AS (SELECT * FROM ({_PU_CHECK}) WHERE reason IS NULL),
+ok AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+im AS (SELECT * FROM good WHERE moves_image QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT p.id,
        CASE WHEN ok.id IS NOT NULL THEN ok.libelle ELSE p.libelle END AS libelle,
        CASE WHEN ok.id IS NOT NULL THEN ok.description ELSE p.description END AS description,
-       CASE WHEN ok.id IS NULL THEN p.image WHEN ok.new_image IS NOT NULL THEN ok.new_image
-            WHEN coalesce(ok.remove_image, false) THEN NULL ELSE p.image END AS image,
+       CASE WHEN im.id IS NOT NULL THEN im.new_image ELSE p.image END AS image,
        CASE WHEN ok.id IS NOT NULL THEN {S.parse_price('ok.prix')} ELSE p.prix END AS prix,
        CASE WHEN ok.id IS NULL THEN p.fournisseur_id WHEN ok.is_admin THEN ok.req_fournisseur_id ELSE ok.actor_id END
          AS fournisseur_id,
        p.is_deleted
-FROM products p LEFT JOIN ok ON ok.id = p.id""", [U, P, "product_updates"])
+FROM products p LEFT JOIN ok ON ok.id = p.id LEFT JOIN im ON im.id = p.id""", [U, P, "product_updates"])
 def apply_product_updates(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return changes.apply_product_updates(c.products, c.users, c.product_updates).snapshot
 
 
 @register("replaced_image_keys", f"""
-SELECT id, old_image AS image FROM ({_PU_CHECK}) WHERE reason IS NULL AND coalesce(old_image, '') <> '' AND old_image IS DISTINCT FROM
-  CASE WHEN new_image IS NOT NULL THEN new_image WHEN coalesce(remove_image, false) THEN NULL ELSE old_image END""",
-          [U, P, "product_updates"])
+SELECT id, was AS image FROM (
+  SELECT id, new_image, CASE WHEN row_number() OVER w = 1 THEN old_image ELSE lag(new_image) OVER w END AS was
+  FROM ({_PU_CHECK}) WHERE reason IS NULL AND moves_image WINDOW w AS (PARTITION BY id ORDER BY seq))
+WHERE coalesce(was, '') <> '' AND was IS DISTINCT FROM new_image""", [U, P, "product_updates"])
 def replaced_image_keys(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return changes.replaced_image_keys(changes.apply_product_updates(c.products, c.users, c.product_updates))
 
 
-@register("rejected_product_updates", f"""SELECT id, reason FROM ({_PU_CHECK}) WHERE reason IS NOT NULL
-UNION ALL {_superseded('product_updates')}""",
+@register("rejected_product_updates", f"SELECT id, seq, reason FROM ({_PU_CHECK}) WHERE reason IS NOT NULL",
           [U, P, "product_updates"])
 def rejected_product_updates(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return changes.apply_product_updates(c.products, c.users, c.product_updates).rejected
 
 
-_VC_ROWS = f"""SELECT c.id, coalesce(v.product_id, c.product_id) AS product_id, {_clean_label('c', 'p')} AS libelle,
+def _vc_judged(rows: str) -> str:
+    """Every change of ``rows`` by itself, with the product that ``rows`` gives for an insert."""
+    return f"""SELECT *, coalesce(early, {S.first_message(S.variation_rules(
+        'libelle', 'sup_text', 'stock', 'stock_utilise', 'old_ref'))}) AS reason FROM (
+SELECT c.id, c.seq, v.id IS NOT NULL AS is_stored, coalesce(v.product_id, c.product_id) AS product_id,
+       {_clean_label('c', 'p')} AS libelle, c.id * 10 + c.seq AS rid,
        {S.norm_price('c.prix_supplement')} AS sup_text, {S.php_int('c.stock')} AS stock,
        CAST(coalesce(v.stock_utilise, 0) AS BIGINT) AS stock_utilise, v.reference AS old_ref,
-       CASE WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
+       CASE WHEN v.id IS NULL AND c.id >= 4398046511104
+              THEN 'Variation ids from 4398046511104 on belong to default variations.'
+            WHEN a.id IS NULL OR coalesce(a.is_deleted, false) THEN 'Ce compte est désactivé.'
             WHEN v.id IS NOT NULL AND coalesce(v.is_deleted, false) THEN 'Variation introuvable.'
             WHEN p.id IS NULL OR coalesce(p.is_deleted, false) THEN 'Produit introuvable.'
             WHEN a.role <> 'ROLE_ADMIN' AND p.fournisseur_id IS DISTINCT FROM c.actor_id
               THEN 'Vous ne pouvez pas gérer les variations de ce produit.'
             WHEN NOT {S.readable_attributes('c.attributs')} THEN {S.q(S.MSG['attributes_invalid'])}
             WHEN {S.php_int('c.stock')} IS NULL THEN {S.q(S.MSG['stock_not_integer'])} END AS early
-FROM ({_last('variation_changes')}) c LEFT JOIN product_variations v ON v.id = c.id
+FROM ({rows}) c LEFT JOIN product_variations v ON v.id = c.id
 LEFT JOIN products p ON p.id = coalesce(v.product_id, c.product_id)
-LEFT JOIN users a ON a.id = c.actor_id LEFT JOIN firsts ON firsts.id = c.id"""
-_VC_CTES = f"""{_pairs_ctes(_last('variation_changes'))},
-checked AS (SELECT *, coalesce(early, {S.first_message(S.variation_rules(
-    'libelle', 'sup_text', 'stock', 'stock_utilise', 'old_ref'))}) AS reason FROM ({_VC_ROWS}))"""
+LEFT JOIN users a ON a.id = c.actor_id LEFT JOIN firsts ON firsts.id = c.id * 10 + c.seq)"""
+
+
+# the first change of a new id that passes inserts it; later ones are judged with the product of that row
+_VC_CTES = f"""{_pairs_ctes('SELECT id * 10 + seq AS id, attributs FROM variation_changes')},
+alone AS ({_vc_judged('SELECT * FROM variation_changes')}),
+inserts AS (SELECT id, product_id, seq FROM alone WHERE reason IS NULL AND NOT is_stored
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+checked AS ({_vc_judged("""SELECT c.* REPLACE (CASE WHEN i.seq < c.seq THEN i.product_id ELSE c.product_id END AS product_id)
+                           FROM variation_changes c LEFT JOIN inserts i ON i.id = c.id""")})"""
 _APPLY_VC_SQL = f"""WITH {_VC_CTES},
-acc AS (SELECT * FROM checked WHERE reason IS NULL),
-{_counter_ctes("SELECT id, product_id AS pid, " + S.reference_base("product_id", "libelle")
+acc AS (SELECT *, first_value(libelle) OVER (PARTITION BY id ORDER BY seq) AS first_label FROM checked WHERE reason IS NULL
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+{_counter_ctes("SELECT id, product_id AS pid, " + S.reference_base("product_id", "first_label")
                + " AS base FROM acc WHERE old_ref IS NULL")}
 SELECT {_V_COLS}, is_deleted FROM product_variations WHERE id NOT IN (SELECT id FROM acc)
 UNION ALL
 SELECT acc.id, acc.product_id, acc.libelle, pj.attributes_json AS attributs,
        {S.parse_price('acc.sup_text')} AS prix_supplement, acc.stock, acc.stock_utilise,
        coalesce(acc.old_ref, gen.reference) AS reference, false AS is_deleted
-FROM acc LEFT JOIN pj ON pj.id = acc.id LEFT JOIN gen ON gen.id = acc.id"""
+FROM acc LEFT JOIN pj ON pj.id = acc.rid LEFT JOIN gen ON gen.id = acc.id"""
 
 
 @register("apply_variation_changes", _APPLY_VC_SQL, [U, P, V, "variation_changes"])
@@ -796,45 +816,81 @@ def apply_variation_changes(spark, sf_dir) -> DataFrame:
 
 
 @register("rejected_variation_changes", f"""WITH {_VC_CTES}
-SELECT id, reason FROM checked WHERE reason IS NOT NULL
-UNION ALL {_superseded('variation_changes')}""", [U, P, V, "variation_changes"])
+SELECT id, seq, reason FROM checked WHERE reason IS NOT NULL""", [U, P, V, "variation_changes"])
 def rejected_variation_changes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     checked = changes.check_variation_changes(c.product_variations, c.products, c.users, c.variation_changes)
-    return checked.filter(F.col("reason").isNotNull()).select("id", "reason")
+    return checked.filter(F.col("reason").isNotNull()).select("id", "seq", "reason")
 
 
 def _new_root(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
 
 
-@register("stored_after_intake", f"""
-SELECT {_P_COLS}, is_deleted FROM products UNION ALL
-SELECT id, libelle, description, image, {S.parse_price('prix')} AS prix, fournisseur_id, false FROM ({_INTAKE_OK})""",
+_ROWS_OF = """SELECT 'users' AS table_name, id, md5(concat_ws('|', nom, prenom, email, role, libelle, is_deleted)) AS content FROM ({users})
+UNION ALL SELECT 'products', id, md5(concat_ws('|', libelle, description, image, prix, fournisseur_id, is_deleted)) FROM ({products})
+UNION ALL SELECT 'product_variations', id, md5(concat_ws('|', product_id, libelle, attributs, prix_supplement, stock, stock_utilise,
+                                                         reference, is_deleted)) FROM ({variations})"""
+
+
+def _stored_rows(catalogue) -> DataFrame:
+    """Every row of a stored version's three tables, its fields as one digest."""
+    def rows(name: str, *fields: str) -> DataFrame:
+        df = getattr(catalogue, name)
+        return df.select(F.lit(name).alias("table_name"), "id", F.md5(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]))
+                         .alias("content"))
+    return (rows("users", "nom", "prenom", "email", "role", "libelle", "is_deleted")
+            .unionByName(rows("products", "libelle", "description", "image", "prix", "fournisseur_id", "is_deleted"))
+            .unionByName(rows("product_variations", "product_id", "libelle", "attributs", "prix_supplement", "stock", "stock_utilise",
+                              "reference", "is_deleted")))
+
+
+@register("stored_after_intake", _ROWS_OF.format(
+    users="SELECT * FROM users",
+    products=f"""SELECT * FROM products UNION ALL
+SELECT id, libelle, description, image, {S.parse_price('prix')} AS prix, fournisseur_id, false AS is_deleted FROM ({_INTAKE_OK})""",
+    variations=f"SELECT * FROM product_variations UNION ALL SELECT * FROM ({QUERIES['intake_default_variations'].sql})"),
           [U, P, V, "product_intake"])
 def stored_after_intake(spark, sf_dir) -> DataFrame:
-    """SNK-2: the product table as read back from the written and published snapshot root."""
+    """SNK-2: users, products and variations as read back from the written and published version."""
     c = cat(spark, sf_dir)
     root = _new_root(spark)
-    changes.write_intake(c.product_intake, c.users, c.products, c.product_variations, root)
-    return cat(spark, root).products
+    changes.write_intake(c.product_intake, c, root)
+    return _stored_rows(cat(spark, root))
 
 
-@register("stored_after_updates", QUERIES["apply_product_updates"].sql, [U, P, "product_updates"])
+@register("stored_after_updates", _ROWS_OF.format(
+    users="SELECT * FROM users", products=QUERIES["apply_product_updates"].sql, variations="SELECT * FROM product_variations"),
+          [U, P, V, "product_updates"])
 def stored_after_updates(spark, sf_dir) -> DataFrame:
-    """SNK-3: the product table as read back from the written snapshot."""
+    """SNK-3: users, products and variations as read back from the written and published version."""
     c = cat(spark, sf_dir)
     root = _new_root(spark)
-    changes.write_change_result(changes.apply_product_updates(c.products, c.users, c.product_updates), "products", root)
-    snapshots.publish(spark, root)
-    return cat(spark, root).products
-
-
-_UC_OK = f"SELECT n.* FROM ({_USER_NORM}) n WHERE ({S.report(_USER_RULES).split(' AS n_violations')[0]}) = 0"
+    changes.write_change_result(changes.apply_product_updates(c.products, c.users, c.product_updates), "products", c, root)
+    return _stored_rows(cat(spark, root))
+
+
+# The batch as a loop, one change after another: ``held`` has every account with its address so far.
+_NOT_TAKEN = S.user_rules("n.nom", "n.prenom", "n.email", "n.role", "n.libelle", "false")
+_HELD_BY_OTHER = "len(list_filter(run.held, lambda h: h.k = n.k AND h.id <> n.id)) > 0"
+_UC_CTES = f"""RECURSIVE alone AS (
+  SELECT n.*, {S.first_message(_NOT_TAKEN)} AS own, {S.fold_key('n.email')} AS k,
+         row_number() OVER (ORDER BY n.seq, n.id) AS place FROM ({_USER_NORM}) n),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS place, false AS taken,
+         (SELECT list({{'id': id, 'k': {S.fold_key('email')}}}) FROM users) AS held
+  UNION ALL
+  SELECT n.place, {_HELD_BY_OTHER} AS taken,
+         CASE WHEN n.own IS NULL AND NOT ({_HELD_BY_OTHER})
+              THEN list_append(list_filter(run.held, lambda h: h.id <> n.id), {{'id': n.id, 'k': n.k}}) ELSE run.held END AS held
+  FROM run JOIN alone n ON n.place = run.place + 1),
+judged AS (SELECT alone.*, CASE WHEN run.taken THEN {S.q(S.MSG['email_taken'])} ELSE own END AS reason
+           FROM alone JOIN run ON run.place = alone.place)"""
 
 
 @register("apply_user_changes", f"""
-WITH ok AS ({_UC_OK})
+WITH {_UC_CTES},
+ok AS (SELECT * FROM judged WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT {_U_COLS}, is_deleted FROM users WHERE id NOT IN (SELECT id FROM ok)
 UNION ALL
 SELECT ok.id, ok.nom, ok.prenom, ok.email, ok.role, ok.libelle, coalesce(u.is_deleted, false) AS is_deleted
@@ -844,9 +900,8 @@ def apply_user_changes(spark, sf_dir) -> DataFrame:
     return changes.apply_user_changes(c.users, c.user_changes).snapshot
 
 
-@register("rejected_user_changes", f"""
-SELECT id, first_message AS reason FROM (SELECT n.id, {S.report(_USER_RULES)} FROM ({_USER_NORM}) n) WHERE n_violations > 0
-UNION ALL {_superseded('user_changes')}""", [U, "user_changes"])
+@register("rejected_user_changes", f"WITH {_UC_CTES}\nSELECT id, seq, reason FROM judged WHERE reason IS NOT NULL",
+          [U, "user_changes"])
 def rejected_user_changes(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return changes.apply_user_changes(c.users, c.user_changes).rejected
@@ -891,3 +946,41 @@ def catalogue_mart(spark, sf_dir) -> DataFrame:
     c = cat(spark, sf_dir)
     return listing.catalogue_mart(c.products, c.users, c.product_variations)
 
+
+
+_CHANGED_MART = QUERIES["catalogue_mart"].sql.strip().removeprefix("WITH").replace("FROM product_variations", "FROM changed")
+
+
+@register("catalogue_mart_after_changes", f"""
+WITH changed AS ({_APPLY_VC_SQL}), {_CHANGED_MART}""", [U, P, V, "variation_changes"])
+def catalogue_mart_after_changes(spark, sf_dir) -> DataFrame:
+    """SNK-4 kept up to date: the stored mart and summary state, brought to the state after the variation changes by
+    rewriting the partitions that those touch, and read back."""
+    c = cat(spark, sf_dir)
+    root = _new_root(spark)
+    parts.write(listing.catalogue_mart(c.products, c.users, c.product_variations), f"{root}/mart-1", "fournisseur_id")
+    increments.write_state(c.product_variations, f"{root}/state-1")
+    changed = materialise(changes.apply_variation_changes(c.product_variations, c.products, c.users, c.variation_changes).accepted)
+    change = materialise(increments.delta(increments.rows_before(c.product_variations, changed), changed))
+    increments.update_state(spark, f"{root}/state-1", change, f"{root}/state-2")
+    increments.update_mart(spark, f"{root}/mart-1", c.products, c.users, increments.read_state(spark, f"{root}/state-2"), change,
+                           f"{root}/mart-2")
+    return parts.read(spark, f"{root}/mart-2", "fournisseur_id")
+
+
+@register("refreshed_summary", f"""
+WITH changed AS ({_APPLY_VC_SQL}),
+moved AS (SELECT product_id, prix_supplement, count(*) AS n, sum(stock) AS stock FROM product_variations WHERE is_deleted = false GROUP BY ALL
+          EXCEPT SELECT product_id, prix_supplement, count(*), sum(stock) FROM changed WHERE is_deleted = false GROUP BY ALL),
+came AS (SELECT product_id, prix_supplement, count(*) AS n, sum(stock) AS stock FROM changed WHERE is_deleted = false GROUP BY ALL
+         EXCEPT SELECT product_id, prix_supplement, count(*), sum(stock) FROM product_variations WHERE is_deleted = false GROUP BY ALL)
+SELECT t.product_id, CAST(coalesce(sum(c.stock), 0) AS BIGINT) AS stock_total,
+       coalesce(CAST(max(c.prix_supplement) AS DOUBLE) > 0, false) AS has_price_supplement
+FROM (SELECT product_id FROM moved UNION SELECT product_id FROM came) t
+LEFT JOIN changed c ON c.product_id = t.product_id AND c.is_deleted = false GROUP BY t.product_id""", [U, P, V, "variation_changes"])
+def refreshed_summary(spark, sf_dir) -> DataFrame:
+    """AGG-9 after variation changes: stock and supplement flag of the touched products, from the summary's state."""
+    c = cat(spark, sf_dir)
+    changed = materialise(changes.apply_variation_changes(c.product_variations, c.products, c.users, c.variation_changes).accepted)
+    change = materialise(increments.delta(increments.rows_before(c.product_variations, changed), changed))
+    return increments.refreshed_summary(increments.summary_state(c.product_variations), change)

@@ -294,6 +294,24 @@ def product_page(spark, sf_dir) -> DataFrame:
     return listing.product_page(c.products, c.users, c.product_variations, PAGE_START, PAGE_LENGTH)
 
 
+DEEP_START = 1200  # beyond what a task may keep for a page
+
+
+@register("product_page_deep", f"""
+WITH page AS (
+  SELECT p.id, p.libelle, p.description, p.image, p.prix, {SUPPLIER_LABEL_SQL} AS fournisseur
+  FROM products p LEFT JOIN users u ON p.fournisseur_id = u.id
+  WHERE p.is_deleted = false ORDER BY p.id DESC LIMIT {PAGE_LENGTH} OFFSET {DEEP_START}),
+s AS ({SUMMARY_SQL} AND product_id IN (SELECT id FROM page) GROUP BY product_id)
+SELECT page.*, CAST(coalesce(s.stock_total, 0) AS BIGINT) AS stock,
+       coalesce(s.has_price_supplement, false) AS has_price_supplement
+FROM page LEFT JOIN s ON s.product_id = page.id""", [U, P, V])
+def product_page_deep(spark, sf_dir) -> DataFrame:
+    """SRT-1 far from the start: the offset is located by counts per id range."""
+    c = cat(spark, sf_dir)
+    return listing.product_page(c.products, c.users, c.product_variations, DEEP_START, PAGE_LENGTH)
+
+
 @register("user_page", f"""
 SELECT id, nom, prenom, email, role, CASE WHEN libelle IS NULL OR libelle IN ('', '0') THEN '-' ELSE libelle END AS libelle,
        {ROLE_SQL}

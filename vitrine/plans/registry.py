@@ -42,7 +42,9 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     if not ctes:
         return body
     if body[:4].upper() == "WITH":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
+        own = body[4:].lstrip()
+        recursive = own[:9].upper() == "RECURSIVE"
+        return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + ",\n" + own[9 * recursive:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 

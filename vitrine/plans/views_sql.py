@@ -39,7 +39,9 @@ SELECT CAST(o_orderkey AS BIGINT) + 1 AS id,
 FROM orders
 """,
     "product_intake": """
-SELECT * FROM (
+SELECT id, CASE WHEN seq = 2 THEN 'Second' ELSE libelle END AS libelle, description,
+       CASE seq WHEN 1 THEN prix WHEN 2 THEN '5' ELSE 'abc' END AS prix, product_type, stock, fournisseur_id, actor_id, image, seq
+FROM (
 SELECT CASE WHEN p_partkey % 9 = 4 THEN CAST(p_partkey AS BIGINT) + 1 ELSE CAST(p_partkey AS BIGINT) + 1099511627776 END AS id,
        CASE p_partkey % 7 WHEN 0 THEN concat('  ', p_name, ' ') WHEN 1 THEN '   ' ELSE p_name END AS libelle,
        p_type AS description,
@@ -50,22 +52,11 @@ SELECT CASE WHEN p_partkey % 9 = 4 THEN CAST(p_partkey AS BIGINT) + 1 ELSE CAST(
        CASE p_partkey % 6 WHEN 5 THEN '-1' WHEN 4 THEN 'x' ELSE CAST(p_size AS STRING) END AS stock,
        CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id,
        CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 WHEN p_partkey % 20 = 1 THEN 8796093022208 ELSE 1000002 END AS BIGINT) AS actor_id,
-       CASE p_partkey % 6 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 ELSE p_partkey % 12 END AS STRING),
-                                             '/', md5(CAST(p_partkey AS STRING)), '.png')
-                          WHEN 1 THEN '../../etc/x.php' END AS image,
-       CAST(1 AS BIGINT) AS seq
-FROM part) UNION ALL
-SELECT id, 'Second', description, '5', product_type, stock, fournisseur_id, actor_id, image, 2 FROM (
-SELECT CASE WHEN p_partkey % 9 = 4 THEN CAST(p_partkey AS BIGINT) + 1 ELSE CAST(p_partkey AS BIGINT) + 1099511627776 END AS id,
-       p_type AS description,
-       CASE p_partkey % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'bundle' WHEN 2 THEN 'variations' ELSE 'standard' END AS product_type,
-       CASE p_partkey % 6 WHEN 5 THEN '-1' WHEN 4 THEN 'x' ELSE CAST(p_size AS STRING) END AS stock,
-       CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id,
-       CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 WHEN p_partkey % 20 = 1 THEN 8796093022208 ELSE 1000002 END AS BIGINT) AS actor_id,
        CASE p_partkey % 6 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 10 + 1 ELSE p_partkey % 12 END AS STRING),
                                              '/', md5(CAST(p_partkey AS STRING)), '.png')
                           WHEN 1 THEN '../../etc/x.php' END AS image
-FROM part) WHERE id % 25 = 0
+FROM part), (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS seq)
+WHERE seq = 1 OR (seq = 2 AND id % 25 = 0) OR (seq = 3 AND id % 6 = 0)
 """,
     "product_deletes": """
 SELECT CASE WHEN p_partkey % 39 = 0 THEN CAST(p_partkey AS BIGINT) + 1099511627776 ELSE CAST(p_partkey AS BIGINT) + 1 END AS id,
@@ -89,15 +80,19 @@ FROM events
 SELECT CAST(s_suppkey AS BIGINT) + CASE WHEN s_suppkey % 8 = 5 THEN 1099511627776 ELSE 1 END AS id FROM supplier WHERE s_suppkey % 4 = 1
 """,
     "product_updates": """
-SELECT CAST(p_partkey AS BIGINT) + 1 AS id, CASE seq WHEN 1 THEN upper(p_name) ELSE 'Second' END AS libelle, p_type AS description,
-       CASE WHEN seq = 2 THEN '8' WHEN p_partkey % 28 = 0 THEN '12345678.123' WHEN p_partkey % 2 = 0 THEN '19,900' ELSE '7.5' END AS prix,
+SELECT CAST(p_partkey AS BIGINT) + 1 AS id, CASE seq WHEN 1 THEN upper(p_name) WHEN 2 THEN 'Second' ELSE 'Third' END AS libelle,
+       p_type AS description,
+       CASE WHEN seq = 2 THEN '8' WHEN seq = 3 THEN '3' WHEN p_partkey % 28 = 0 THEN '12345678.123' WHEN p_partkey % 2 = 0 THEN '19,900'
+            ELSE '7.5' END AS prix,
        CAST(p_partkey % 12 AS BIGINT) AS fournisseur_id, p_partkey % 4 = 1 AS remove_image,
-       CASE p_partkey % 5 WHEN 0 THEN concat(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 12 ELSE p_partkey % 10 + 1 END AS STRING),
+       CASE WHEN seq = 3 THEN NULL
+            WHEN p_partkey % 5 = 0 THEN concat(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 12 ELSE p_partkey % 10 + 1 END AS STRING),
                                              '/', md5(concat('n', CAST(p_partkey AS STRING))), '.webp')
-                          WHEN 1 THEN '../../etc/x.php' END AS new_image,
-       CASE WHEN p_partkey % 3 = 0 THEN CAST(1000002 AS BIGINT) ELSE CAST(p_partkey % 10 AS BIGINT) + 1 END AS actor_id, seq
-FROM part, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)
-WHERE p_partkey % 7 = 0 AND (seq = 1 OR (p_partkey + 1) % 11 = 0)
+            WHEN p_partkey % 5 = 1 THEN '../../etc/x.php' END AS new_image,
+       CASE WHEN seq = 3 THEN CAST(p_partkey % 12 AS BIGINT) WHEN p_partkey % 3 = 0 THEN CAST(1000002 AS BIGINT)
+            ELSE CAST(p_partkey % 10 AS BIGINT) + 1 END AS actor_id, seq
+FROM part, (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS seq)
+WHERE p_partkey % 7 = 0 AND (seq = 1 OR (seq = 2 AND (p_partkey + 1) % 11 = 0) OR (seq = 3 AND (p_partkey + 1) % 2 = 0))
 """,
     "variation_forms": """
 SELECT CASE WHEN o_orderkey % 40 = 1 THEN CAST(o_orderkey AS BIGINT) + 2199023255552 ELSE CAST(o_orderkey AS BIGINT) + 1 END AS id,
@@ -108,15 +103,17 @@ FROM orders
 """,
     "variation_changes": """
 SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST(o_orderkey AS BIGINT) + 1 ELSE CAST(o_orderkey AS BIGINT) + 2199023255552 END AS id,
-       CAST(o_custkey AS BIGINT) + 1 AS product_id,
-       CASE WHEN seq = 2 THEN ' Lot B ' WHEN o_orderkey % 3 = 0 THEN '' ELSE ' Lot A ' END AS libelle,
+       CAST(o_custkey AS BIGINT) + CASE seq WHEN 3 THEN 2 ELSE 1 END AS product_id,
+       CASE WHEN seq = 2 THEN ' Lot B ' WHEN seq = 3 THEN ' Lot C ' WHEN o_orderkey % 3 = 0 THEN '' ELSE ' Lot A ' END AS libelle,
        CASE WHEN o_orderkey % 11 = 3 THEN 'not json' WHEN o_orderkey % 11 = 4 THEN '{"a":" ","b":""}' WHEN o_orderkey % 11 = 5 THEN NULL
             WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '{"Couleur":"Rouge","Taille":"M"}' END AS attributs,
-       CASE WHEN o_orderkey % 13 = 2 THEN '99999999' ELSE '2,5' END AS prix_supplement, CAST(o_orderkey % 30 AS STRING) AS stock,
-       CAST(CASE WHEN o_orderkey % 7 = 0 THEN (o_custkey + 1) % 10 + 1 WHEN o_orderkey % 3 = 1 THEN o_custkey % 10 + 1
+       CASE WHEN seq = 3 THEN '1' WHEN o_orderkey % 13 = 2 THEN '99999999' ELSE '2,5' END AS prix_supplement,
+       CAST(o_orderkey % 30 AS STRING) AS stock,
+       CAST(CASE WHEN seq = 3 AND o_orderkey % 2 = 0 THEN (o_custkey + 2) % 10 + 1 WHEN seq = 3 THEN 1000002
+                 WHEN o_orderkey % 7 = 0 THEN (o_custkey + 1) % 10 + 1 WHEN o_orderkey % 3 = 1 THEN o_custkey % 10 + 1
                  ELSE 1000002 END AS BIGINT) AS actor_id, seq
-FROM orders, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)
-WHERE o_orderkey % 40 IN (0, 1) AND (seq = 1 OR o_orderkey % 120 = 0)
+FROM orders, (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS seq)
+WHERE o_orderkey % 40 IN (0, 1) AND (seq = 1 OR (seq = 2 AND o_orderkey % 120 = 0) OR (seq = 3 AND o_orderkey % 3 = 1))
 """,
     "user_changes": """
 SELECT * FROM (
@@ -126,6 +123,12 @@ SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE CAST(
        CASE s_suppkey % 5 WHEN 0 THEN 'ROLE_ADMIN' WHEN 1 THEN 'ROLE_OTHER' ELSE 'ROLE_FOURNISSEUR' END AS role,
        CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE 'Maison' END AS libelle, seq
 FROM supplier, (SELECT CAST(unnest([1, 2]) AS BIGINT) AS seq)) WHERE seq = 1 OR id % 6 = 1
+UNION ALL
+SELECT CAST(s_suppkey AS BIGINT) + 1099511627776 + extra AS id, 'Reprise' AS nom, 'P' AS prenom,
+       concat(mail, CAST(s_suppkey AS STRING), '@example.com') AS email, 'ROLE_ADMIN' AS role, CAST(NULL AS STRING) AS libelle, seq
+FROM supplier, (SELECT unnest([4, 8, 4, 16]) AS every, unnest([500000, 700000, 500000, 700000]) AS extra,
+                       unnest(['S', 's', 'm', 's']) AS mail, CAST(unnest([3, 4, 5, 6]) AS BIGINT) AS seq)
+WHERE s_suppkey % every = 0
 """,
     "email_candidates": """
 SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS BIGINT) + 1 ELSE NULL END AS id,

@@ -118,7 +118,8 @@ def product_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
                      image.alias("image"), F.lit(1).cast("bigint").alias("seq"))
     second = (first.filter(F.col("id") % 25 == 0)
               .withColumn("libelle", F.lit("Second")).withColumn("prix", F.lit("5")).withColumn("seq", F.lit(2)))
-    return _conform(first.unionByName(second), schemas.PRODUCT_INTAKE)
+    third = first.filter(F.col("id") % 6 == 0).withColumn("prix", F.lit("abc")).withColumn("seq", F.lit(3))
+    return _conform(first.unionByName(second).unionByName(third), schemas.PRODUCT_INTAKE)
 
 
 def product_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,11 @@ def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("seq"))
     second = (first.filter(F.col("id") % 11 == 0)
               .withColumn("libelle", F.lit("Second")).withColumn("prix", F.lit("8")).withColumn("seq", F.lit(2)))
-    return _conform(first.unionByName(second), schemas.PRODUCT_UPDATES)
+    # asked by the supplier that the first change names: allowed only where an admin has moved the product there
+    third = (first.filter(F.col("id") % 2 == 0).withColumn("libelle", F.lit("Third")).withColumn("prix", F.lit("3"))
+             .withColumn("actor_id", (F.col("id") - 1) % 12).withColumn("new_image", F.lit(None).cast(_STR))
+             .withColumn("seq", F.lit(3)))
+    return _conform(first.unionByName(second).unionByName(third), schemas.PRODUCT_UPDATES)
 
 
 def variation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +206,12 @@ def variation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = forms.filter((F.col("ok") % 40).isin(0, 1))
     second = (first.filter(F.col("ok") % 120 == 0)
               .withColumn("libelle", F.lit(" Lot B ")).withColumn("seq", F.lit(2)))
-    return _conform(first.unionByName(second), schemas.VARIATION_CHANGES)
+    # of new rows the third names another product, which counts only where no change before it was accepted
+    third = (first.filter(F.col("ok") % 3 == 1).withColumn("libelle", F.lit(" Lot C ")).withColumn("prix_supplement", F.lit("1"))
+             .withColumn("product_id", F.col("product_id") + 1)
+             .withColumn("actor_id", F.when(F.col("ok") % 2 == 0, F.col("product_id") % 10 + 1).otherwise(F.lit(ADMIN)))
+             .withColumn("seq", F.lit(3)))
+    return _conform(first.unionByName(second).unionByName(third), schemas.VARIATION_CHANGES)
 
 
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +227,18 @@ def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, F.lit("  ")).otherwise(F.lit("Maison")).alias("libelle"),
         F.lit(1).cast("bigint").alias("seq"))
     second = first.filter(F.col("id") % 6 == 1).withColumn("nom", F.lit("Second")).withColumn("seq", F.lit(2))
-    return _conform(first.unionByName(second), schemas.USER_CHANGES)
+
+    def takes(every: int, extra: int, mail: str, seq: int) -> DataFrame:
+        return s.filter(key % every == 0).select(
+            (key.cast("bigint") + NEW_ID + extra).alias("id"), F.lit("Reprise").alias("nom"), F.lit("P").alias("prenom"),
+            F.concat(F.lit(mail), key.cast(_STR), F.lit("@example.com")).alias("email"), F.lit("ROLE_ADMIN").alias("role"),
+            F.lit(None).cast(_STR).alias("libelle"), F.lit(seq).cast("bigint").alias("seq"))
+    # addresses that the first changes free: taken, asked for again, left, and taken by a third account
+    handed = [takes(4, 500_000, "S", 3), takes(8, 700_000, "s", 4), takes(4, 500_000, "m", 5), takes(16, 700_000, "s", 6)]
+    out = first.unionByName(second)
+    for df in handed:
+        out = out.unionByName(df)
+    return _conform(out, schemas.USER_CHANGES)
 
 
 def email_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
