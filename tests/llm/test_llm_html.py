@@ -89,3 +89,20 @@ def test_extract(spark):
     assert sorted((g["page_id"] or 0, g["url"] or "", g["text"], g["n_chars"]) for g in got) == [
         (0, "v", "", 0), (1, "u", "Ein Satz, und 中 noch einer.", 27), (2, "", "", 0), (2, "", "", 0), (4, "w", "", 0)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_custom_elements_hide_no_text():
+    page = "<article><p>One sentence, and more.</p><%s><p>Two sentences, and more.</p></%s><p>Three sentences, and more.</p></article>"
+    for tag in ("template-part", "script-loader", "iframe-wrap", "style-guide", "svg-icon", "noscript-x"):
+        assert text(page % (tag, tag)) == "One sentence, and more. Two sentences, and more. Three sentences, and more.", tag
+    for tag in ("template", "script", "style", "noscript", "iframe"):
+        assert text(page % (tag, tag + " x")) == "One sentence, and more. Three sentences, and more.", tag
+
+
+def test_layouts_that_name_nothing():
+    one, two = "A first sentence of some length, with a comma. And one more.", "A second paragraph, of the same kind. It ends here."
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul>'
+    assert text(f"<html><body><div><p>{one}</p><p>{two}</p></div></body></html>") == f"{one} {two}"
+    assert text(f"<p>{one}</p>") == one
+    assert text(f"<body>{menu}<p>{one}</p><p>{two}</p><div class=footer>&copy; site</div></body>") == f"{one} {two}"
+    assert text(f"<table><tr><td>{menu}</td><td><p>{one}</p><p>{two}</p></td></tr></table>") == f"{one} {two}"

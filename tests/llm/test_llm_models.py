@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from llm_data import CLASHING, EDGE, documents, prose
 from vitrine.llm import langid, quality_model
 
@@ -112,3 +114,20 @@ def test_rejection_follows_the_quantile():
     languages = [r.choice("abcd") for _ in texts]
     assert 0 < langid.train(texts, languages).reject_below < 0.5
     assert langid.train(texts[:200], languages[:200]).reject_below == 0
+
+
+def test_scorer_is_the_average_of_embeddings(spark):
+    """The scorer adds up sums per word; plainly, it is the mean over all subwords of a text."""
+    r = random.Random(9)
+    texts = [text_of(r, lang, r.randint(1, 40)) for lang in ALPHABETS for _ in range(60)]
+    languages = [lang for lang in ALPHABETS for _ in range(60)]
+    model = langid.train(texts, languages)
+    docs = documents(spark, [(i, t, None, "s") for i, t in enumerate(texts)] + [(500, "a " * 5000 + "zz", None, "s")])
+    got = {g["doc_id"]: g for g in langid.identify(docs, model).collect()}
+    for i, text in [*enumerate(texts), (500, "a " * 5000 + "zz")]:
+        rows = np.concatenate([model.table[langid.subwords(w)] for w in text.lower().split()])
+        z = (rows.mean(axis=0, dtype=np.float64) + model.bias) / model.temperature
+        share = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["lang_pred"] == model.languages[int(share.argmax())] and abs(got[i]["score"] - share.max()) < 1e-5
+        assert got[i]["rejected"] == (share.max() < model.reject_below)
+

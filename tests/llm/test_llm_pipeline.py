@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import SF_SMALL
-from llm_data import documents, prose
+from llm_data import CLASHING, EDGE, documents, prose
 from vitrine.llm import langid, mixing, partenum, quality_rules
 from vitrine.llm.queries import ORACLE_SQL, QUERIES
 
@@ -64,7 +64,7 @@ def test_oracles(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 14)] == [1] * 13
 
 
 def test_columns_of_the_contract(spark):
@@ -73,15 +73,40 @@ def test_columns_of_the_contract(spark):
             "op5": "doc_id size source_size target taken",
             "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
             "op7": "doc_id n_bytes n_tokens over_limit", "op8": "page_id host path rule verdict",
-            "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "doc_id held_out lang_pred score"}
-    rows = {n: spark.read.parquet(f"{SF_SMALL}/{n}.parquet").count() for n in ("documents", "pages")}
+            "op9": "doc_id piece start length ids_crc32 sequence_id offset", "op10": "doc_id held_out lang_pred score",
+            "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+            "op12": "doc_id n_bytes n_removed n_spans kept_sha256", "op13": "vec_id code error label_error codebooks_sha256"}
+    rows = {n: spark.read.parquet(f"{SF_SMALL}/{n}.parquet").count() for n in ("documents", "pages", "embeddings")}
     for name, build in QUERIES.items():
         df = build(spark, SF_SMALL)
         assert set(want[name.split("_")[0]].split()) <= set(df.columns), name
-        table = {"op4": "pages", "op8": "pages"}.get(name.split("_")[0], "documents")
+        table = {"op4": "pages", "op8": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
         if name.split("_")[0] not in ("op2", "op9"):
             assert df.count() == rows[table], name
 
 
 def test_unused_models_are_not_shared():
     assert langid.train([], []) is None and quality_rules.ALPHA < 0.05
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns, and no rows at all, through all stages."""
+    r = random.Random(3)
+    text = " ".join(prose(r, 60))
+    rows = EDGE + [(None, text, "en", "a"), (None, text, "en", "a"), (50, text, "en", None), (50, text, "en", None),
+                   (51, " ".join(prose(r, 80)), None, "a")] + [(100 + i, " ".join(prose(r, 40)), "en", "b") for i in range(80)]
+    for name, table in (("odd", rows), ("none", [])):
+        docs = documents(spark, table, **CLASHING)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(100 + i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(
+            f"{tmp_path}/{name}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if not table:
+            assert pieces == []
+            continue
+        kept = {p["doc_id"] for p in pieces}
+        assert {50, 51} <= kept and len(kept & set(range(100, 180))) == 80 and not kept & {1, 2, 3, 4, 5, 8, 9}
+        # rows without an id are never dropped as copies, whatever else holds their text
+        one = partenum.one_of_each_group(docs)
+        assert one.columns == docs.columns
+        assert one.filter("doc_id is null").count() == 3 and one.filter("doc_id = 50").count() == 1

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,13 @@ def ship_by_value(module_name: str) -> None:
 ship_by_value(__name__)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value`` in the tasks, from a broadcast. Spark pickles what it broadcasts by the name of its
+    class, which executors without the package cannot look up; here the class goes along."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also inside nested lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import html_pages
-from vitrine.llm.common import ship_by_value
+from vitrine.llm.common import ship_by_value, shipped
 
 ship_by_value(__name__)
 
-TRAIN_PAGES = 300
+TRAIN_PAGES = 1200
 EPOCHS = 6
 RATE = 0.3
 DECAY = 1e-4
@@ -52,8 +52,8 @@ CLOSED_BY_NEXT = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select"
 #: Elements whose content is never text.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<svg\b[^>]*(?<!/)>(?:(?!<svg\b).)*?</svg\s*>"
+    r"|<(script|style|noscript|template|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<svg(?=[\s/>])[^>]*(?<!/)>(?:(?!<svg[\s/>]).)*?</svg\s*>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
@@ -258,11 +258,11 @@ def default_field() -> Field:
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
+    shared = shipped(pages.sparkSession, field or default_field())
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        field = shared.value
+        field = shared()
         known = frozenset(field.w)
         for batch in batches:
             yield pd.Series([main_text(p, field, known) for p in batch], dtype="object")

@@ -100,19 +100,27 @@ class _Writer:
             if self.r.random() < 0.1:
                 parts.append(self.other())
         inner = "".join(parts)
-        kind = self.r.randrange(5)
+        kind = self.r.randrange(8)
+        if self.r.random() < 0.5:  # plain divisions around it
+            inner = "<div>" * 2 + inner + "</div>" * 2
         if kind <= 1:
             return f"<article>{inner}</article>"
         if kind == 2:
             return f"<main>{inner}</main>"
         if kind == 3:
             return f"<div{self.name(MAIN_NAMES)}>{inner}</div>"
-        return f"<main><article{self.name(MAIN_NAMES)}>{inner}</article></main>"
+        if kind == 4:
+            return f"<main><article{self.name(MAIN_NAMES)}>{inner}</article></main>"
+        if kind == 5:  # layouts that name nothing: a plain division, the body itself, a cell
+            return f"<div>{inner}</div>"
+        if kind == 6:
+            return inner
+        return f"<table><tr><td>{inner}</td></tr></table>"
 
     def page(self) -> str:
         top = [self.leaf("title", self.sentence(1, 9), 0)]
         head = f"<head><meta charset=\"utf-8\">{top[0]}<style>p{{margin:0}}</style><script>var a=\"<p>\";</script></head>"
-        if self.r.random() < 0.2:
+        if self.r.random() < 0.35:
             head = ""
         parts = []
         if self.r.random() < 0.4:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import fold, ship_by_value, text_blocks
+from vitrine.llm.common import fold, ship_by_value, shipped, text_blocks
 
 ship_by_value(__name__)
 
@@ -147,11 +147,11 @@ def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHAR
 
 def predict(text: Column, model: LanguageModel | None, spark: SparkSession) -> Column:
     """Struct column lang_pred, score, rejected."""
-    shared = spark.sparkContext.broadcast(model)  # at most BUCKETS x languages numbers
+    shared = shipped(spark, model)  # at most BUCKETS x languages numbers
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = shared()
         known: dict[str, int] = {}
         sums = np.zeros((0, len(model.languages) + 1))
         for texts in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import tokens
-from vitrine.llm.common import ship_by_value
+from vitrine.llm.common import ship_by_value, shipped
 
 ship_by_value(__name__)
 
@@ -24,11 +24,11 @@ LIMIT = 1024
 
 def token_counts(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokens.read_vocabulary(vocabulary))
+    shared = shipped(docs.sparkSession, tokens.read_vocabulary(vocabulary))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = tokens.Encoder(shared.value)
+        encoder = tokens.Encoder(shared())
         for texts in batches:
             yield pd.Series(list(encoder.counts(texts.tolist())), dtype="int64")
 
