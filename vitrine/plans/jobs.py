@@ -127,6 +127,16 @@ def variation_page_by_supplement(spark, sf_dir) -> DataFrame:
                                   listing.VARIATION_GRID_LENGTH, None, 3, "desc")
 
 
+@register("variation_page_clamped", f"""
+WITH page AS (SELECT * FROM product_variations WHERE product_id = {PAGE_PRODUCT} AND is_deleted = false
+              ORDER BY stock DESC, id LIMIT 100 OFFSET 0)
+SELECT {_VROW} FROM page v JOIN products p ON p.id = v.product_id AND NOT coalesce(p.is_deleted, false)""", [P, V])
+def variation_page_clamped(spark, sf_dir) -> DataFrame:
+    """SRT-5: a request for 5,000 rows from -7 on gets the first 100."""
+    c = cat(spark, sf_dir)
+    return listing.variation_page(c.product_variations, c.products, PAGE_PRODUCT, -7, 5000, None, 5, "desc")
+
+
 _GRID_SEARCH = ("(lower(strip_accents(libelle)) LIKE '%1-urgent%' OR lower(strip_accents(reference)) LIKE '%1-urgent%' "
                 "OR attributs LIKE '%1-URGENT%')")
 
@@ -925,6 +935,18 @@ def evolve_prices(spark, sf_dir) -> DataFrame:
     return evolve.price_to_decimal(v1).select("id", "prix", "prix_overflow")
 
 
+@register("evolve_descriptions", """
+SELECT id, concat(repeat(description, 20), ' ', libelle) AS description,
+       CAST(length(concat(repeat(description, 20), ' ', libelle)) AS BIGINT) AS n_chars FROM products""", [P])
+def evolve_descriptions(spark, sf_dir) -> DataFrame:
+    """EVO-2: descriptions beyond the old 255 characters go through a stored version whole."""
+    c = cat(spark, sf_dir)
+    root = _new_root(spark)
+    longer = c.products.withColumn("description", F.concat(F.repeat("description", F.lit(20)), F.lit(" "), F.col("libelle")))
+    snapshots.next_version(c, root, {"products": longer})
+    return cat(spark, root).products.select("id", "description", F.length("description").cast("bigint").alias("n_chars"))
+
+
 @register("evolve_variations", f"""
 SELECT id, product_id, libelle, attributs, prix_supplement, stock, CAST(0 AS BIGINT) AS stock_utilise, reference,
        is_deleted FROM product_variations""", [V])
