@@ -30,7 +30,7 @@ def test_heads_are_all_that_is_read(spark, tmp_path, monkeypatch):
         (folder / f"{i}.{('jpg', 'PNG', 'gif', 'webp', 'jpeg', 'txt')[i % 6]}").write_bytes(kinds[i % 6] + b"0" * size)
     got = sorted(map(tuple, audit_assets(read_image_files(spark, str(root))).collect()), key=str)
     whole = sorted(map(tuple, audit_assets(assets._read_whole_files(spark, str(root))).collect()), key=str)
-    assert len(got) == 60 and got == whole
+    assert len(got) == 60 and [g for g in got if g[1]] == whole  # Spark's source leaves out empty files
     reader = assets._HeadReader({"path": str(root), "files_per_task": "7"})
     parts = reader.partitions()
     assert len(parts) == 9 and sum(len(p.files) for p in parts) == 60

@@ -70,7 +70,8 @@ def newest_first(df: DataFrame, start: int, length: int) -> DataFrame:
     least, above = low, 0  # the least id of all; rows with ids over ``high``
     while True:
         width = max(1, -(-(high - low + 1) // RANGES))
-        far = F.floor((F.lit(high).cast("decimal(38,0)") - F.col("id").cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)"))
+        # a whole-number division; decimals, since ids may lie further apart than a long holds
+        far = F.expr(f"(CAST({high} AS DECIMAL(38,0)) - CAST(id AS DECIMAL(38,0))) div CAST({width} AS DECIMAL(38,0))")
         counts = sorted(ids.filter(F.col("id").between(low, high)).groupBy(far.cast("long").alias("range")).count().collect())
         seen, held = above, None
         for at, n in counts:  # at most RANGES rows
