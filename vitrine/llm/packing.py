@@ -2,16 +2,16 @@
 
 A document's ids get an end id. Only longer documents are cut, into full pieces
 after a first one that takes the remainder, so every document has at most one
-piece that is not full. Pieces are packed online: a fixed number of open bins, kept
+piece that is not full. Pieces are packed online: at most ``OPEN_BINS`` open bins, kept
 in a bitset by free space. A piece goes to the open bin with the least room that
 still fits; without one a new bin opens, and when too many are open the fullest
-closes. A full piece is a sequence of its own.
+closes. A full piece is a sequence of its own. Pieces come in runs of ``RUN``, each run longest
+first, so that its short pieces fill what its long ones leave.
 
 The piece table (ids, lengths and checksums, no text) is checkpointed and dealt by
 hash over tasks of about ``PIECES_PER_TASK`` rows, each with its own bins, so the
 space lost at the end of a task stays far below one percent whatever the input's
-own partitions are. A task takes its pieces longest first, so that short ones fill
-what long ones leave; it holds its open bins only.
+own partitions are. A task holds one run of pieces and its open bins.
 
 Defined cases: null and empty texts are one piece, the end id; repeated rows are
 packed each; null ids are kept; an empty table gives no rows; other columns are
@@ -23,19 +23,21 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import tokens
-from vitrine.llm.common import checkpointed, ship_by_value
+from vitrine.llm.common import checkpointed, ship_by_value, shipped
 
 ship_by_value(__name__)
 
 SIZE = 1024
 END_ID = 2
-OPEN_BINS = 65_536
+OPEN_BINS = 256
+RUN = 1024
 PIECES_PER_TASK = 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -44,11 +46,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 def pieces(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokens.read_vocabulary(vocabulary))
+    shared = shipped(docs.sparkSession, tokens.read_vocabulary(vocabulary))
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(shared.value)
+        encoder = tokens.Encoder(shared())
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in SCHEMA.names}
             texts = batch.column("text").to_pylist()
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, size: int = SIZE,
     tasks = max(1, -(-table.count() // per_task))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = table.withColumn("__order", order).repartition(tasks, "__order").sortWithinPartitions(
-        F.desc("length"), "__order", "doc_id")
+        "__order", "doc_id", F.desc("length"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -114,11 +116,12 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, size: int = SIZE,
 
         bins = best_fit_bins(lengths(), size, open_bins)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch.column("length").to_pylist())
-            places = [next(bins) for _ in range(batch.num_rows)]
-            yield (batch.append_column("sequence_id", pa.array([base + b for b, _ in places], pa.int64()))
-                   .append_column("offset", pa.array([o for _, o in places], pa.int64())))
+            for at in range(0, batch.num_rows, RUN):
+                run = batch.slice(at, RUN)
+                run = run.take(pa.array(np.argsort(-run.column("length").to_numpy(), kind="stable")))
+                waiting.append(run.column("length").to_pylist())
+                places = [next(bins) for _ in range(run.num_rows)]
+                yield (run.append_column("sequence_id", pa.array([base + b for b, _ in places], pa.int64()))
+                       .append_column("offset", pa.array([o for _, o in places], pa.int64())))
 
     return dealt.drop("__order").mapInArrow(place, PIECES + ", sequence_id long, offset long")
