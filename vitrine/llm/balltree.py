@@ -2,17 +2,17 @@
 
 Vectors become integers, floor(64 x). Candidates are dealt by id hash to shards of
 about ``SHARD_ROWS`` rows, queries to blocks of about ``QUERY_ROWS``; a task meets one
-block with one shard. It builds a ball tree over the shard. The inner product of a
-query with any point of a ball is at most ``q . center + |q| radius``. Going down the
-tree, a ball is left out for the queries whose current kth score is above that bound;
-each query then visits the remaining leaves in the order of their bounds until the
-next bound is below its kth score. The queries of a block go through each ball
-together, as matrix products.
-
-The current kth score is shared in two rounds: every block first searches one shard,
-and the kth scores found there are the starting bounds in all others, so those tasks
-return only rows that can still matter. Bounds are compared with a margin for
-rounding, and ties of bound and kth score are visited, so the result is exact.
+block with one shard. It builds one ball tree over the shard, and the block's queries go past it
+in groups of ``TOGETHER``, as matrix products. The inner product of a query with any point of a ball is at
+most ``q . center + |q| radius``. A group takes the nodes from a queue, greatest bound first: a node
+whose bound is below a query's current kth score is left out for that query, an inner node puts its
+children in the queue, a leaf is scanned at once. So good rows are met early, and the rest of the tree is
+judged against the kth scores that they set.
+
+The current kth scores are shared between shards, in waves: every block searches one shard, then two more,
+then four, and so on, each wave with the kth scores of all that went before as its floor; a task
+returns only rows that can still matter. Bounds are compared with a margin for rounding, and
+ties of bound and kth score are visited, so the result is exact.
 
 Work is blocks x shards: the stated query set against all rows, in blocks of bounded
 size. Repeated rows are counted before they are dealt.
@@ -27,6 +27,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,8 @@ SCALE = 64
 K = 20
 EVERY = 20
 SHARD_ROWS = 8192
-QUERY_ROWS = 2048
+QUERY_ROWS = 32_768
+TOGETHER = 256
 LEAF = 64
 FOUND = "query_id long, vec_id long, score long"
 LONG_MAX = 2**63 - 1
@@ -87,6 +90,9 @@ class BallTree:
                 half = (start + end) // 2
                 todo += [(half, end, node), (start, half, node)]
 
+    def leaves(self) -> list[int]:
+        return [node for node, children in enumerate(self.children) if not children]
+
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray,
            k: int = K) -> list[tuple[int, int, int]]:
@@ -104,59 +110,56 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, flo
     x, q = x.astype(np.float64), q.astype(np.float64)
     tree = BallTree(x)
     x, ids = x[tree.order], ids[tree.order]
-    norm = np.sqrt((q * q).sum(axis=1))
     margin = 1e-9 * (1 + big)
+    out = []
+    # queries that point the same way share most of their way through the tree
+    near = np.argmax(q @ np.stack([tree.center[n] for n in tree.leaves()]).T, axis=1)
+    for at in np.array_split(np.argsort(near, kind="stable"), max(1, -(-len(q) // TOGETHER))):
+        top, top_ids = best_first(tree, x, ids, q[at], q_ids[at], floor[at].astype(np.float64), k, margin)
+        found = (top > -np.inf) & (top >= floor[at][:, None])
+        out += [(int(q_ids[at[i]]), int(top_ids[i, j]), int(top[i, j])) for i, j in zip(*np.nonzero(found))]
+    return out
+
+
+def best_first(tree: BallTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, kth: np.ndarray, k: int,
+               margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's best k rows; rows below its ``kth`` to begin with may be missing."""
+    norm = np.sqrt((q * q).sum(axis=1))
     top = np.full((len(q), k), -np.inf)
     top_ids = np.full((len(q), k), LONG_MAX, dtype=np.int64)
-    kth = floor.astype(np.float64)
+    kth = kth.copy()
+    queue: list[tuple] = []
 
-    def bound(node: int, who: np.ndarray) -> np.ndarray:
-        return q[who] @ tree.center[node] + norm[who] * tree.radius[node] + margin
-
-    leaves: list[int] = []
-    bounds: list[np.ndarray] = []
-    todo = [(0, np.arange(len(q)))]
-    while todo:
-        node, who = todo.pop()
-        upper = bound(node, who)
+    def offer(node: int, who: np.ndarray) -> None:
+        upper = q[who] @ tree.center[node] + norm[who] * tree.radius[node] + margin
         live = upper >= kth[who]
-        who, upper = who[live], upper[live]
+        if live.any():
+            heapq.heappush(queue, (-upper[live].max(), node, who[live], upper[live]))
+
+    offer(0, np.arange(len(q)))
+    while queue:
+        _, node, who, upper = heapq.heappop(queue)
+        who = who[upper >= kth[who]]  # the kth scores may have risen meanwhile
         if not len(who):
             continue
         if tree.children[node]:
-            todo += [(child, who) for child in tree.children[node]]
-        else:
-            column = np.full(len(q), -np.inf)
-            column[who] = upper
-            leaves.append(node)
-            bounds.append(column)
-    if not leaves:
-        return []
-    upper = np.stack(bounds, axis=1)
-    order = np.argsort(-upper, axis=1, kind="stable")
-    for step in range(len(leaves)):
-        leaf_of = order[:, step]
-        reach = upper[np.arange(len(q)), leaf_of]
-        live = np.flatnonzero((reach >= kth) & (reach > -np.inf))
-        if not len(live):
-            break
-        for leaf in np.unique(leaf_of[live]):
-            who = live[leaf_of[live] == leaf]
-            start, end = tree.rows[leaves[leaf]]
-            scores = q[who] @ x[start:end].T
-            scores[q_ids[who][:, None] == ids[start:end][None, :]] = -np.inf
-            better = scores.max(axis=1) >= kth[who]
-            who, scores = who[better], scores[better]
-            if not len(who):
-                continue
-            all_scores = np.concatenate([top[who], scores], axis=1)
-            all_ids = np.concatenate([top_ids[who], np.broadcast_to(ids[start:end], scores.shape)], axis=1)
-            best = np.lexsort((all_ids, -all_scores), axis=-1)[:, :k]
-            top[who] = np.take_along_axis(all_scores, best, axis=1)
-            top_ids[who] = np.take_along_axis(all_ids, best, axis=1)
-            kth[who] = np.maximum(kth[who], top[who, -1])
-    found = (top > -np.inf) & (top >= floor[:, None])
-    return [(int(q_ids[i]), int(top_ids[i, j]), int(top[i, j])) for i, j in zip(*np.nonzero(found))]
+            for child in tree.children[node]:
+                offer(child, who)
+            continue
+        start, end = tree.rows[node]
+        scores = q[who] @ x[start:end].T
+        scores[q_ids[who][:, None] == ids[start:end][None, :]] = -np.inf
+        better = scores.max(axis=1) >= kth[who]
+        who, scores = who[better], scores[better]
+        if not len(who):
+            continue
+        all_scores = np.concatenate([top[who], scores], axis=1)
+        all_ids = np.concatenate([top_ids[who], np.broadcast_to(ids[start:end], scores.shape)], axis=1)
+        best = np.lexsort((all_ids, -all_scores), axis=-1)[:, :k]
+        top[who] = np.take_along_axis(all_scores, best, axis=1)
+        top_ids[who] = np.take_along_axis(all_ids, best, axis=1)
+        kth[who] = np.maximum(kth[who], top[who, -1])
+    return top, top_ids
 
 
 def _search_pair(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,23 +189,29 @@ def top_k(table: DataFrame, every: int = EVERY, k: int = K, shard_rows: int = SH
     asked = (vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("q"))
              .select(F.col("vec_id").alias("query_id"), "q", F.size("q").alias("dim"), block.alias("block")))
     asked = checkpointed(asked.withColumn("first", F.pmod("block", F.lit(shards))))
-    every_block = F.sequence(F.lit(0), F.lit(blocks - 1))
     key = ["dim", "block", "shard"]
-
-    def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        return queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(_search_pair, FOUND)
-
-    copies = dealt.select("vec_id", "v", "times", "dim", "shard", F.explode(every_block).alias("block"))
-    home = F.pmod("block", F.lit(shards)) == F.col("shard")
-    first = checkpointed(meet(asked.select("query_id", "q", "dim", "block", F.col("first").alias("shard"),
-                                           F.lit(float("-inf")).alias("floor")), copies.filter(home)))
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    kth = kth.filter(F.col("n") >= k).select(F.col("query_id").alias("__id"), F.col("least").cast("double").alias("floor"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("first"))
-    again = asked.join(kth, F.col("query_id") == F.col("__id"), "left").select(
-        "query_id", "q", "dim", "block", F.explode(others).alias("shard"),
-        F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    found = first.unionByName(meet(again, copies.filter(~home)))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    every_block = F.sequence(F.lit(0), F.lit(blocks - 1))
+    # the turn of a shard for a block: its own shard first, then the others in order
+    copies = dealt.select("vec_id", "v", "times", "dim", "shard", F.explode(every_block).alias("block")).withColumn(
+        "turn", F.pmod(F.col("shard") - F.pmod("block", F.lit(shards)), F.lit(shards)))
+    found = None
+    turn, wave = 0, 1
+    while turn < shards:
+        turns = F.sequence(F.lit(turn), F.lit(min(turn + wave, shards) - 1))
+        now = asked.select("query_id", "q", "dim", "block", "first", F.explode(turns).alias("turn")).withColumn(
+            "shard", F.pmod(F.col("first") + F.col("turn"), F.lit(shards)).cast("int"))
+        if found is None:
+            now = now.withColumn("floor", F.lit(float("-inf")))
+        else:
+            kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            kth = kth.filter(F.col("n") >= k).select(F.col("query_id").alias("__id"), F.col("least").cast("double").alias("floor"))
+            now = now.join(kth, F.col("query_id") == F.col("__id"), "left").withColumn(
+                "floor", F.coalesce("floor", F.lit(float("-inf"))))
+        rows = copies.filter(F.col("turn").between(turn, min(turn + wave, shards) - 1)).select("vec_id", "v", "times", *key)
+        met = now.select("query_id", "q", "floor", *key).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(_search_pair, FOUND)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = (met if found is None else found.select("query_id", "vec_id", "score").unionByName(met)).withColumn(
+            "rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        found = checkpointed(ranked)
+        turn, wave = turn + wave, 2 * wave
+    return found.select("query_id", "rank", "vec_id", "score")
