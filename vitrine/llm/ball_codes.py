@@ -45,7 +45,7 @@ ENTRIES = 256
 ROUNDS = 4
 LARGEST = 1 << 28
 #: Vectors whose balls are built at once, and neighbours that are compared at once.
-AT_ONCE, NEIGHBOURS = 65_536, 16
+AT_ONCE, NEIGHBOURS = 65_536, 64
 
 
 def kept_vectors(vectors: DataFrame) -> DataFrame:
@@ -57,18 +57,24 @@ def kept_vectors(vectors: DataFrame) -> DataFrame:
         "vec_id", "label", values.alias("values"))
 
 
-def squares(x: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows from all entries, exact."""
-    size = int(max(np.abs(x).max(initial=0), np.abs(entries).max(initial=0)))
-    if 4 * size * size * x.shape[1] < 1 << 53:  # every sum is a whole number that a double holds
-        x, entries = x.astype(np.float64), entries.astype(np.float64)
-    out = (x * x).sum(axis=1)[:, None] - 2 * (x @ entries.T) + (entries * entries).sum(axis=1)
-    return out.astype(np.int64)
+def exact(*arrays: np.ndarray) -> list[np.ndarray]:
+    """The arrays as doubles where every sum of their squares is a whole number that a double holds, else as they are."""
+    size = int(max(np.abs(a).max(initial=0) for a in arrays))
+    if 4 * size * size * arrays[0].shape[-1] < 1 << 53:
+        return [a.astype(np.float64) for a in arrays]
+    return list(arrays)
+
+
+def squares(x: np.ndarray, entries: np.ndarray, x_norm: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of all rows from all entries, exact for arrays that ``exact`` gave."""
+    x_norm = (x * x).sum(axis=1) if x_norm is None else x_norm
+    return x_norm[:, None] - 2 * (x @ entries.T) + (entries * entries).sum(axis=1)
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of each row's nearest entry, by comparing all."""
     code, best = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=np.int64)
+    x, entries = exact(x, entries)
     for at in range(0, len(x), 8192):
         far = squares(x[at:at + 8192], entries)
         code[at:at + 8192], best[at:at + 8192] = far.argmin(axis=1), far.min(axis=1)
@@ -80,7 +86,8 @@ class Balls:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        apart = squares(entries, entries)
+        whole = exact(entries)[0]
+        apart = squares(whole, whole).astype(np.int64)
         np.fill_diagonal(apart, -1)
         self.order = np.argsort(apart, axis=1, kind="stable")[:, 1:]
         self.apart = np.take_along_axis(apart, self.order, axis=1)
@@ -91,17 +98,20 @@ class Balls:
         rows = np.lexsort((own, code))
         first = np.flatnonzero(np.concatenate([[True], code[rows][1:] != code[rows][:-1]]))
         new_code, new_best, count = code.copy(), own.copy(), len(x)
+        x, entries = exact(x, self.entries)
+        norm = (x * x).sum(axis=1)
         for members in np.split(rows, first[1:]) if len(rows) else []:
             i = code[members[0]]
             ring = np.searchsorted(self.apart[i], 4 * own[members], side="right")  # 0: the stable core
             for k in range(0, int(ring[-1]), NEIGHBOURS):  # the last member has the radius
                 outer = members[np.searchsorted(ring, k, side="right"):]
-                others = self.order[i][k:min(k + NEIGHBOURS, int(ring[-1]))]
-                far = ((x[outer, None, :] - self.entries[others]) ** 2).sum(axis=2)
+                others = np.sort(self.order[i][k:min(k + NEIGHBOURS, int(ring[-1]))])  # so that ties go to the lower index
+                far = squares(x[outer], entries[others], norm[outer])
                 count += far.size
-                for j, d in zip(others, far.T):
-                    better = (d < new_best[outer]) | ((d == new_best[outer]) & (j < new_code[outer]))
-                    new_code[outer[better]], new_best[outer[better]] = j, d[better]
+                at = far.argmin(axis=1)
+                d, j = far[np.arange(len(outer)), at].astype(np.int64), others[at]
+                better = (d < new_best[outer]) | ((d == new_best[outer]) & (j < new_code[outer]))
+                new_code[outer[better]], new_best[outer[better]] = j[better], d[better]
         return new_code, new_best, count
 
 
@@ -134,7 +144,9 @@ def assigned(state: DataFrame, books: np.ndarray, label_type: str) -> DataFrame:
                 else:
                     codes[:, p], far, _ = ball.nearest(own, before[:, p].astype(np.int64))
                 error += far
-                np.add.at(sums[p], codes[:, p], own)
+                rows = np.argsort(codes[:, p], kind="stable")
+                found, first = np.unique(codes[rows, p], return_index=True)
+                sums[p, found] += np.add.reduceat(own[rows], first, axis=0)
                 counts[p] += np.bincount(codes[:, p], minlength=len(ball.entries))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, PARTS), pa.int32()), pa.array(codes.ravel()))
             empty = [pa.nulls(len(x), t) for t in (pa.int32(), pa.int32(), pa.int64())]
