@@ -50,7 +50,7 @@ GRAM = 64
 #: Grams of a window.
 SPAN = WINDOW - GRAM + 1
 #: Bytes that are hashed at once, and bytes of texts in a block.
-PIECE, BLOCK = 1_000_000, 16_000_000
+PIECE, BLOCK = 1_000_000, 8_000_000
 #: Questions aimed at per partition.
 PER_PARTITION = 1_000_000
 #: Contexts of one gram that are sorted in one task.
