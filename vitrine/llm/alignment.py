@@ -45,7 +45,7 @@ ship_by_value(__name__)
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of texts in a block, and of texts that are aligned at once.
-BLOCK, AT_ONCE = 8_000_000, 1_000_000
+BLOCK, AT_ONCE = 3_000_000, 500_000
 SPACE = "▁"
 LOW = (1 << 32) - 1
 
@@ -90,8 +90,8 @@ class Aligner:
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         # an id's text with what may follow it in the written groups
-        self.a_text = [[f"{i}{c}" for i in range(len(self.a_bytes))] for c in ",|"]
-        self.b_text = [[f"{i}{c}" for i in range(len(self.b_bytes))] for c in ",;"]
+        self.a_text = np.array([f"{i}{c}" for c in ",|" for i in range(len(self.a_bytes))], dtype=object)
+        self.b_text = np.array([f"{i}{c}" for c in ",;" for i in range(len(self.b_bytes))], dtype=object)
         self.is_plain = re.compile(tokens.PLAIN).fullmatch if proven else lambda text: None
         self.merger = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, special_tokens={},
                                         mergeable_ranks=tokens.ranks_of(file)) if proven else None
@@ -144,8 +144,7 @@ class Aligner:
         a_last[a_cut - 1], b_last[b_cut - 1] = 1, 1
         written = np.empty(len(a) + len(b), dtype=object)
         for place, ids, last, names in ((a_place, a, a_last, self.a_text), (b_place, b, b_last, self.b_text)):
-            of = np.array(names[0] + names[1], dtype=object)
-            written[place] = of[ids + last * len(names[0])]
+            written[place] = names[ids + last * (len(names) // 2)]
         stop = np.cumsum(a_count + b_count)
         for k, i, j in zip(at, (stop - a_count - b_count).tolist(), stop.tolist()):
             sha[k] = hashlib.sha256("".join(written[i:j].tolist())[:-1].encode()).hexdigest()
