@@ -31,7 +31,11 @@ not their square. What this leaves:
    component and nothing more can come from its signatures. Else the classes
    under it that lie in different components are compared with each other, by the
    same filters and overlap. Such a neighbourhood is cut into blocks, and each pair
-   of blocks is a group of its own, so no task holds a whole hot one.
+   of blocks is a group of its own, so no task holds a whole hot one. A group gives
+   not its close pairs but a spanning forest of them, fewer rows than it has classes.
+   Where all edges of the forest are links, nothing more can come of the group. Else
+   its classes name partners in other components that were not tried yet, in each round
+   WIDER times as many as in the round before, until there are none.
 
 Defined cases: null texts and texts without a word have empty sets, no links and
 their own id as component; texts of fewer than five words have their whole sequence
@@ -52,7 +56,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from vitrine.llm.common import ship_by_value, shuffle_parts, stored, text_blocks
 from vitrine.llm.components import components
@@ -68,8 +72,10 @@ COARSE = 8
 #: Signatures a task holds before it passes them on, and those aimed at per partition.
 FLUSH = 500_000
 PER_PARTITION = 1_000_000
-#: Classes of a neighbourhood that are compared in one group.
-BLOCK = 8192
+#: Classes of a neighbourhood, and bytes of their cells, that make a block; two blocks are compared in one group.
+BLOCK, BLOCK_BYTES = 8192, 8_000_000
+#: Growth of the number of partners that a class names from round to round.
+WIDER = 1024
 #: Slots of the bitmap that picks texts to read again (a table of SLOTS / 64 rows).
 SLOTS = 1 << 22
 MEMO = 100_000
@@ -143,6 +149,18 @@ def may_link(n: int, counts: bytes, m: int, other: bytes) -> bool:
     return 7 * int(np.abs(folded(counts, width) - folded(other, width)).sum()) <= n + m
 
 
+def coarse_cells(counts: bytes | None) -> bytes | None:
+    """The counts in the least number of cells."""
+    return None if counts is None else folded(counts, CELLS[0]).astype("<u2").tobytes()
+
+
+def may_link_coarsely(n: int, counts: bytes, m: int, other: bytes) -> bool:
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    apart = np.frombuffer(counts, "<u2").astype(np.int64) - np.frombuffer(other, "<u2")
+    return 7 * int(np.abs(apart).sum()) <= n + m
+
+
 def band(n: int) -> int:
     return n.bit_length() - 1
 
@@ -190,6 +208,13 @@ def signatures(members: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def placed(sig: np.ndarray, parts: int) -> np.ndarray:
+    """A signature's partition, and 32 bits of its place there. Few signatures of a partition fall together by chance; that
+    only makes pairs which the filters drop."""
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return part << np.uint64(32) | (sig * np.uint64(parts)) >> np.uint64(32)
+
+
 def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     """(distinct signatures; least node of each; pairs of the least node and another one of the same signature;
     whether a signature of the pair has more than those two; which of 64 bits the pair's signatures set).
@@ -255,10 +280,9 @@ def documents_and_pairs(docs: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns + empty, schema=PACKED_SCHEMA)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, least, a, b, more, bits = stars(np.concatenate(sigs), np.concatenate(nodes))
-            part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # sig is sorted, so part is
-            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            rows = [(p, SIGNATURES, sig[cut[p]:cut[p + 1]].tobytes(), least[cut[p]:cut[p + 1]].tobytes())
+            sig, least, a, b, more, bits = stars(placed(np.concatenate(sigs), parts), np.concatenate(nodes))
+            cut = np.searchsorted(sig >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            rows = [(p, SIGNATURES, sig[cut[p]:cut[p + 1]].astype(np.uint32).tobytes(), least[cut[p]:cut[p + 1]].tobytes())
                     for p in range(parts) if cut[p] < cut[p + 1]]
             if len(a):
                 rows.append((int(sig[0] % np.uint64(parts)), OWN_PAIRS, a.tobytes(), (b | more).tobytes() + bits.tobytes()))
@@ -300,7 +324,8 @@ def documents_and_pairs(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             of = {k: batch.take(pa.array(np.flatnonzero(kinds == k))) for k in (SIGNATURES, OWN_PAIRS, DOCUMENT)}
-            left += of[SIGNATURES].column("left").to_pylist()
+            left += [np.frombuffer(x, np.uint32) | np.uint64(p << 32) for p, x in zip(
+                of[SIGNATURES].column("part").to_pylist(), of[SIGNATURES].column("left").to_pylist())]
             right += of[SIGNATURES].column("right").to_pylist()
             for x, y in zip(of[OWN_PAIRS].column("left").to_pylist(), of[OWN_PAIRS].column("right").to_pylist()):
                 y, bits = np.split(np.frombuffer(y, np.int64), 2)
@@ -310,17 +335,33 @@ def documents_and_pairs(docs: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [d.column("kind"), d.column("node"), pa.nulls(d.num_rows, pa.int64()), pa.nulls(d.num_rows, pa.bool_()),
                      d.column("doc_id"), d.column("n"), d.column("cells")], schema=MET_SCHEMA)
-        met = stars(np.frombuffer(b"".join(left), np.uint64), np.frombuffer(b"".join(right), np.int64))
+        met = stars(np.concatenate([np.zeros(0, np.uint64), *left]), np.frombuffer(b"".join(right), np.int64))
         yield from pairs(SIGNATURES, *met[2:])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, PACKED)
     return rows.repartitionById(parts, "part").mapInArrow(meet, MET)
 
 
+@F.pandas_udf(BinaryType())
+def _coarse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for counts in batches:
+        yield counts.map(coarse_cells)
+
+
 def _slot(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
 
+def _picked(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes whose node is in ``nodes``, and a few others by chance: the same bitmap, so that the cells of classes that
+    no pair names are not shuffled."""
+    bits = nodes.select(_slot(F.col("node")).alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("__bits"))
+    slotted = classes.withColumn("__slot", _slot(F.col("node"))).withColumn("__word", F.floor(F.col("__slot") / 64))
+    hit = F.expr("(shiftright(__bits, CAST(__slot % 64 AS INT)) & 1L) = 1L")
+    return slotted.join(F.broadcast(bits), "__word").filter(hit).select(*classes.columns)
+
+
 def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` plus __marked: true for every row whose doc_id is in ``ids``, and for a few others by chance.
 
@@ -356,18 +397,22 @@ def class_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFra
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass the exact filters."""
-    for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("n").alias("n_" + end),
-                                          F.col("cells").alias("cells_" + end)), end)
+    """The pairs (a, b) that pass the exact filters, the least number of cells first: few pairs need the others."""
+    for column, check in (("coarse", may_link_coarsely), ("cells", may_link)):
+        both = pairs
+        for end in ("a", "b"):
+            own = _picked(classes.select("node", "n", column), pairs.select(F.col(end).alias("node")))
+            both = both.join(own.select(F.col("node").alias(end), F.col("n").alias("n_" + end),
+                                        F.col(column).alias("cells_" + end)), end)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")]
-            keep = pa.array([may_link(*row) for row in zip(*columns)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIRS_SCHEMA).filter(keep)
+        def run(batches: Iterator[pa.RecordBatch], check=check) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")]
+                keep = pa.array([check(*row) for row in zip(*columns)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIRS_SCHEMA).filter(keep)
 
-    return stored(pairs.mapInArrow(run, PAIRS))
+        pairs = stored(both.mapInArrow(run, PAIRS))
+    return pairs
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -400,25 +445,37 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return got.filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
 
 
-def _close_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) from different components under one root that pass the exact filters.
-
-    ``members`` has root, node, component, n, cells.
-    """
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("int")
-    rows = members.join(sizes, "root").withColumn("blocks", blocks)
+def _blocks(members: DataFrame) -> DataFrame:
+    """The classes under a root (root, node, n, cells) in groups (root, i, j) of two blocks each, with their ``own`` block."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.octet_length("cells")).alias("bytes"))
+    blocks = F.greatest(F.floor((F.col("size") - 1) / BLOCK), F.floor(F.col("bytes") / BLOCK_BYTES)) + 1
+    rows = members.join(sizes, "root").withColumn("blocks", blocks.cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own",
-                       "node", "component", "n", "cells")
+    return rows.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "n", "cells")
+
 
-    def run(table: pa.Table) -> pa.Table:
+def _candidates(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """root, i, j, a, b: in each group, pairs from different components that pass the exact filters. With ``most`` 0 a forest:
+    none joins what the group's other pairs join already. Else each class names at most ``most`` larger ones.
+
+    ``rows`` has ``_blocks``' columns; ``labels`` has per root, i, j and node the component, and ``wrong``: nodes known not to
+    link with it. Kept apart, so that the cells are shuffled once.
+    """
+    schema = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), *PAIRS_SCHEMA])
+
+    def run(table: pa.Table, labels: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
         order = np.lexsort((table["node"].to_numpy(), table["n"].to_numpy()))
-        node, comp, n, own = [table[c].to_numpy()[order] for c in ("node", "component", "n", "own")]
+        node, n, own = [table[c].to_numpy()[order] for c in ("node", "n", "own")]
         counts = [table["cells"][int(k)].as_py() for k in order]
+        by_node = np.argsort(labels["l_node"].to_numpy())
+        place = by_node[np.searchsorted(labels["l_node"].to_numpy()[by_node], node)]
+        tree = labels["component"].to_numpy()[place].copy()
+        wrong = [labels["wrong"][int(k)].as_py() for k in place]
         width = np.array([len(c) for c in counts])
-        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        root, i, j = (table[c][0].as_py() for c in ("root", "i", "j"))
         a, b = [], []
         for w in np.unique(width):  # a partner is at most a third larger, so it has as many cells or twice as many
             at = np.flatnonzero((width == w) | (width == 2 * w))
@@ -426,18 +483,69 @@ def _close_pairs(members: DataFrame) -> DataFrame:
             coarse = fine.reshape(len(at), max(1, int(w) // COARSE), -1).sum(axis=2, dtype=np.int16)
             size = n[at]
             for row in np.flatnonzero(width[at] == w):
+                me = at[row]
                 reach = np.searchsorted(size, 100 * size[row] // PERCENT, side="right")
                 other = np.arange(row + 1, reach)
-                other = other[(comp[at[other]] != comp[at[row]])
-                              & ((own[at[other]] != own[at[row]]) if cross else True)]
+                other = other[(tree[at[other]] != tree[me]) & ((own[at[other]] != own[me]) if i != j else True)]
+                if wrong[me] and len(other):
+                    other = other[~np.isin(node[at[other]], np.array(wrong[me], dtype=np.int64))]
                 for grid in (coarse, fine):
                     apart = np.abs(grid[other] - grid[row]).sum(axis=1, dtype=np.int64)
                     other = other[7 * apart <= size[other] + size[row]]
-                a += [min(node[at[row]], x) for x in node[at[other]]]
-                b += [max(node[at[row]], x) for x in node[at[other]]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("root", "i", "j").applyInArrow(run, PAIRS).distinct()
+                if most:
+                    other = other[:most]
+                else:
+                    trees, first = np.unique(tree[at[other]], return_index=True)
+                    other = other[first]
+                    if len(trees):
+                        tree[np.isin(tree, trees)] = tree[me]
+                for x in node[at[other]].tolist():
+                    a.append(min(int(node[me]), x))
+                    b.append(max(int(node[me]), x))
+        k = len(a)
+        return pa.Table.from_arrays([pa.array([root] * k, pa.int64()), pa.array([i] * k, pa.int32()), pa.array([j] * k, pa.int32()),
+                                     pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return rows.groupBy("root", "i", "j").cogroup(labels.groupBy("l_root", "l_i", "l_j")).applyInArrow(
+        run, "root long, i int, j int, " + PAIRS)
+
+
+def _joined(docs: DataFrame, around: DataFrame, ids: DataFrame, linked: DataFrame, found: DataFrame
+            ) -> tuple[DataFrame, DataFrame]:
+    """The links and components with those under the roots of ``around`` (root, node, n, cells)."""
+    group = ["root", "i", "j"]
+    rows = stored(_blocks(around))
+    wrong = None
+    most = 0
+    while True:
+        live = rows
+        if wrong is not None:  # only groups that an edge has failed in
+            live = rows.join(edges.select(*[F.col(c).alias("g_" + c) for c in group]).distinct(),
+                             [F.col(c) == F.col("g_" + c) for c in group], "left_semi")
+        labels = live.select(*[F.col(c).alias("l_" + c) for c in [*group, "node"]])
+        labels = labels.join(found, F.col("l_node") == F.col("node"), "left").withColumn(
+            "component", F.coalesce("component", "l_node")).drop("node")
+        if wrong is None:
+            labels = labels.withColumn("wrong", F.lit(None).cast("array<long>"))
+        else:
+            both = wrong.select(*group, F.col("a").alias("node"), F.col("b").alias("x")).unionByName(
+                wrong.select(*group, F.col("b").alias("node"), F.col("a").alias("x")))
+            both = both.groupBy(*group, "node").agg(F.collect_list("x").alias("wrong"))
+            labels = labels.join(both, [F.col("l_" + c) == F.col(c) for c in [*group, "node"]], "left").drop(*group, "node")
+        edges = stored(_candidates(live, labels, most))
+        if edges.isEmpty():
+            return linked, found
+        good = links(docs, edges.select("a", "b").distinct(), ids)
+        if not good.isEmpty():  # the components so far are stars already, so few rounds join them
+            linked = linked.unionByName(good)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
+        failed = stored(edges.join(good, ["a", "b"], "left_anti"))
+        if not most:  # only groups whose forest has an edge that is no link go on
+            edges = failed
+        if failed.isEmpty() and not most:
+            return linked, found
+        wrong = failed if wrong is None else stored(wrong.unionByName(failed))
+        most = WIDER * max(1, most)
 
 
 def _roots(staged: DataFrame, failed: DataFrame) -> DataFrame:
@@ -486,7 +594,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     met = stored(documents_and_pairs(docs, int(parts)))
     sets = met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("a").alias("node"), "n", "cells")
     classes = stored(sets.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells")))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+        .withColumn("coarse", _coarse("cells")))
     ids = classes.select("node", "doc_id")
     staged = stored(met.filter(F.col("kind") != DOCUMENT).groupBy("kind", "a", "b").agg(
         F.max("more").alias("more"), F.bit_or("n").alias("bits")))
@@ -509,11 +618,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
         else:
             roots = roots.join(done, "head", "left_anti")
         around = _neighbourhoods(staged, roots)
-        around = around.join(classes.select("node", "n", "cells"), "node").join(found, "node", "left")
-        around = around.withColumn("component", F.coalesce("component", "node"))
-        close = stored(_close_pairs(around).join(failed, ["a", "b"], "left_anti"))
-        linked = linked.unionByName(links(docs, close, ids))
-        found = components(linked)
+        around = around.join(_picked(classes.select("node", "n", "cells"), around), "node")
+        linked, found = _joined(docs, around, ids, linked, found)
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("node").alias("__node"), "component", "component_id")
@@ -537,7 +643,8 @@ def _class_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document with the least id of each group, columns unchanged; documents without words stay.
 
-    Of rows with one id, one stays of each group; texts that no link joins stay each.
+    Of rows with one id, one stays of each group; texts that no link joins stay each. Rows with a null id stay, all of them:
+    nothing tells which of them the least is.
     """
     groups = stored(_grouped(docs))
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
