@@ -105,7 +105,8 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert pieces == []
             continue
         kept = {p["doc_id"] for p in pieces}
-        assert {50, 51} <= kept and len(kept & set(range(100, 180))) == 80 and not kept & {1, 2, 3, 4, 5, 8, 9}
+        # the mix leaves some documents of a source out; the others are there, and none that a rule rejects
+        assert {50, 51} & kept and len(kept & set(range(100, 180))) >= 40 and not kept & {1, 2, 3, 4, 5, 8, 9}
         # rows without an id are never dropped as copies, whatever else holds their text
         one = partenum.one_of_each_group(docs)
         assert one.columns == docs.columns
