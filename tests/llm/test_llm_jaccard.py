@@ -96,6 +96,26 @@ def test_neighbourhoods_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_groups_are_searched_again_only_for_partners_not_named(spark, monkeypatch):
+    rows = corpus(random.Random(3))
+    docs, want = documents(spark, rows), brute(rows)
+    asked = []
+    keep = partenum._candidates
+
+    def watched(rows, labels, most):
+        asked.append(most)
+        return keep(rows, labels, most)
+    monkeypatch.setattr(partenum, "_candidates", watched)
+    got = {g["doc_id"]: g["component_id"] for g in partenum.linked_groups(docs).collect()}
+    assert got == want
+    assert partenum.WIDER in asked and max(asked) == partenum.WIDER  # no class has more partners than that
+    monkeypatch.setattr(partenum, "WIDER", 1)
+    asked.clear()
+    got = {g["doc_id"]: g["component_id"] for g in partenum.linked_groups(docs).collect()}
+    assert got == want
+    assert asked.count(1) > asked.count(0)  # here some have
+
+
 def test_no_pair_is_missed():
     rng = np.random.default_rng(4)
     for n in [*range(1, 40), 63, 64, 100, 257, 900] * 12:

@@ -35,7 +35,8 @@ not their square. What this leaves:
    not its close pairs but a spanning forest of them, fewer rows than it has classes.
    Where all edges of the forest are links, nothing more can come of the group. Else
    its classes name partners in other components that were not tried yet, in each round
-   WIDER times as many as in the round before, until there are none.
+   WIDER times as many as in the round before. A group in which no class had more
+   partners than it could name is done.
 
 Defined cases: null texts and texts without a word have empty sets, no links and
 their own id as component; texts of fewer than five words have their whole sequence
@@ -457,12 +458,13 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """root, i, j, a, b: in each group, pairs from different components that pass the exact filters. With ``most`` 0 a forest:
-    none joins what the group's other pairs join already. Else each class names at most ``most`` larger ones.
+    none joins what the group's other pairs join already. Else each class names at most ``most`` larger ones, and ``more`` tells
+    in all rows of the group whether a class had others.
 
     ``rows`` has ``_blocks``' columns; ``labels`` has per root, i, j and node the component, and ``wrong``: nodes known not to
     link with it. Kept apart, so that the cells are shuffled once.
     """
-    schema = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), *PAIRS_SCHEMA])
+    schema = pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), *PAIRS_SCHEMA, ("more", pa.bool_())])
 
     def run(table: pa.Table, labels: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -477,6 +479,7 @@ def _candidates(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         width = np.array([len(c) for c in counts])
         root, i, j = (table[c][0].as_py() for c in ("root", "i", "j"))
         a, b = [], []
+        more = False
         for w in np.unique(width):  # a partner is at most a third larger, so it has as many cells or twice as many
             at = np.flatnonzero((width == w) | (width == 2 * w))
             fine = np.stack([folded(counts[k], int(w)) for k in at]).astype(np.int16)
@@ -493,6 +496,7 @@ def _candidates(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
                     apart = np.abs(grid[other] - grid[row]).sum(axis=1, dtype=np.int64)
                     other = other[7 * apart <= size[other] + size[row]]
                 if most:
+                    more |= len(other) > most
                     other = other[:most]
                 else:
                     trees, first = np.unique(tree[at[other]], return_index=True)
@@ -504,10 +508,11 @@ def _candidates(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
                     b.append(max(int(node[me]), x))
         k = len(a)
         return pa.Table.from_arrays([pa.array([root] * k, pa.int64()), pa.array([i] * k, pa.int32()), pa.array([j] * k, pa.int32()),
-                                     pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                                     pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([more] * k, pa.bool_())],
+                                    schema=schema)
 
     return rows.groupBy("root", "i", "j").cogroup(labels.groupBy("l_root", "l_i", "l_j")).applyInArrow(
-        run, "root long, i int, j int, " + PAIRS)
+        run, "root long, i int, j int, " + PAIRS + ", more boolean")
 
 
 def _joined(docs: DataFrame, around: DataFrame, ids: DataFrame, linked: DataFrame, found: DataFrame
@@ -519,7 +524,7 @@ def _joined(docs: DataFrame, around: DataFrame, ids: DataFrame, linked: DataFram
     most = 0
     while True:
         live = rows
-        if wrong is not None:  # only groups that an edge has failed in
+        if wrong is not None:  # only groups that are not done
             live = rows.join(edges.select(*[F.col(c).alias("g_" + c) for c in group]).distinct(),
                              [F.col(c) == F.col("g_" + c) for c in group], "left_semi")
         labels = live.select(*[F.col(c).alias("l_" + c) for c in [*group, "node"]])
@@ -540,9 +545,9 @@ def _joined(docs: DataFrame, around: DataFrame, ids: DataFrame, linked: DataFram
             linked = linked.unionByName(good)
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(good))
         failed = stored(edges.join(good, ["a", "b"], "left_anti"))
-        if not most:  # only groups whose forest has an edge that is no link go on
-            edges = failed
-        if failed.isEmpty() and not most:
+        # groups go on whose forest has an edge that is no link, then those where a class had more partners
+        edges = edges.filter("more") if most else failed
+        if edges.isEmpty():
             return linked, found
         wrong = failed if wrong is None else stored(wrong.unionByName(failed))
         most = WIDER * max(1, most)
