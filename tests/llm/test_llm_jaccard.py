@@ -198,3 +198,22 @@ def test_components(spark):
     got = {g["node"]: g["component"] for g in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for e in links for x in e if e[0] != e[1]}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    tables = []
+    keep = components.stored
+    monkeypatch.setattr(components, "stored", lambda df: (tables.append(1), keep(df))[1])
+    chain = [(i, i + 1) for i in range(100, 160)] + [(159, 7), (500, 400), (450, 500)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    got = {g["node"]: g["component"] for g in components.components(links).collect()}
+    assert got == {**{i: 7 for i in (7, *range(100, 161))}, **{i: 400 for i in (400, 450, 500)}}
+    assert len(tables) == 1
+
+
+def test_components_of_links_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "_joined_in_tasks", lambda edges: edges)
+    test_components(spark)
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "FLUSH", 1)
+    test_components(spark)
