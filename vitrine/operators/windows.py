@@ -41,9 +41,10 @@ def in_slices(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def _corrected(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
     """``carried`` (keys, slice, values) joined to the rows of its slices; it has at most one row per slice."""
-    renamed = carried.select(*[F.col(c).alias(f"__of{c}") if c in (*keys, _SLICE) else F.col(c) for c in carried.columns])
-    on = [F.col(c) == F.col(f"__of{c}") for c in (*keys, _SLICE)]
-    return rows.join(F.broadcast(renamed), on, "left").drop(*[f"__of{c}" for c in (*keys, _SLICE)])
+    of = {**{k: f"__of{k}" for k in keys}, _SLICE: "__bucket"}
+    renamed = carried.select(*[F.col(c).alias(of.get(c, c)) for c in carried.columns])
+    on = [F.col(c) == F.col(other) for c, other in of.items()]
+    return rows.join(F.broadcast(renamed), on, "left").drop(*of.values())
 
 
 def row_number_by_id(df: DataFrame, keys: list[str], id_col: str = "id", descending: bool = False,
